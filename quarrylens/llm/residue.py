@@ -1,0 +1,262 @@
+"""Template residue and error-page text.
+
+Lines of prose that equal each other but for their delimited spans are records of one template; the spans that differ
+are its slots. A slot that still holds a variable name, a default or a blank was never filled. A delimiter that prose
+doesn't use (as in {{ name }}) shows that at once; one that prose does use (as in [Board Title]) counts only if the
+alignment finds the template again with another value. Whole pages are read by lines: menus, headings and footers
+aside, a page is residue if all of it is filler, a server's message or a notice about scripts. Lines of unknown wording
+count as part of such a message if, in the whole corpus, they come again and again on just those pages.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrylens.runtime import materialize
+
+#: An unknown line belongs to page templates if it comes at least so often, and at least so much of it on such pages.
+LINE_TIMES, LINE_SHARE = 2, 0.9
+
+_FENCE = re.compile(r"^\s*(```|~~~)")
+_QUOTE = re.compile(r"^\s*(?:>\s?)+")
+_TICKS = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)")
+_HTML = re.compile(
+    r"</?(?:html|head|body|title|h[1-6]|p|div|span|br|hr|a|b|i|em|strong|small|center|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|"
+    r"pre|code|noscript|script|style|img|form|input|button|label|meta|link|section|article|nav|main|header|footer|blockquote)"
+    r"(?:\s[^<>]*)?/?>", re.I,
+)
+#: Styles of template fields. Those in WEAK are also used by prose.
+_FIELD = re.compile(
+    r"(?P<mustache>\{\{\{?[#/^>&~]?\s*[A-Za-z_$][\w.$ :|'\"()-]*\}?\}\})"
+    r"|(?P<dollar>\$\{[A-Za-z_][\w.:\- ]*\})|(?P<paren>\$\([A-Za-z_][\w.\- ]*\))|(?P<hash>#\{[A-Za-z_@][\w. ]*\})"
+    r"|(?P<erb><%[=-]?\s*[A-Za-z_@][\w.@ ()\[\]'\"]*-?%>)|(?P<stmt>\{%-?\s*[A-Za-z_][\w. |]*-?%\})"
+    r"|(?P<pct>%%[A-Za-z_][\w ]*%%|%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+%)|(?P<pyfmt>%\([A-Za-z_]\w*\)[sdifr])"
+    r"|(?P<dblsq>\[\[[A-Za-z_][\w |:.-]*\]\])|(?P<dblang><<[A-Za-z_][\w .:-]*>>)|(?P<star>\*\|[A-Za-z_][\w:. ]*\|\*)"
+    r"|(?P<pipe>\|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\|)|(?P<at>@[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+@)"
+    r"|(?P<dunder>(?<![\w])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+__(?!\w))|(?P<amp>&[A-Za-z]+(?:_[A-Za-z]+)+;)"
+    r"|(?P<todo>(?<!\w)(?:TBD|XXX|FIXME)_[A-Z0-9]+(?:_[A-Z0-9]+)*(?!\w))"
+    r"|(?P<brace>(?<![\w\\$#{%/)=])\{[A-Za-z_][\w. ]*\}(?![\w}]))"
+    r"|(?P<square>(?<![\w\]\\!])\[[^\W\d_][^\[\]\n|`{}=;]*\](?![(\[:\w]))|(?P<angle>(?<![\w<])<[^\W\d_][^<>\n=/|`;{}()@]*>(?!>))"
+    r"|(?P<blank>(?<=[:：])[ \t]*_{3,}|(?<=[:：])[ \t]*\.{5,}\s*$)"
+)
+WEAK = frozenset(("square", "angle"))
+#: Words by which a bracketed span asks to be replaced.
+_ASKS = re.compile(
+    r"(?i)\b(?:insert|inserte|insertar|ins[eé]rez|ins[eé]rer|einf(?:ü|ue)gen|eingeben|enter|your|ihre?|ihren|votre|vos|su|tu|put|add|"
+    r"replace|fill\s+in|nom\s+d[eu]|nombre\s+de|name\s+(?:here|of)|(?:goes\s+)?here|hier|placeholder|tbd|to\s+be\s+\w+)\b"
+)
+_TITLE = re.compile(r"(?:[A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+)+|[A-ZÀ-Þ]{2,}(?:[ _][A-ZÀ-Þ]{2,})+)$")
+_CODE = re.compile(r"[;{}]\s*$|^\s*(?:#\s*(?:include|define|if|ifdef|ifndef|endif|pragma)\b|\$ |>>> |echo |sed |export |set\(|return\b|static |const |def |class )|^\s*[\w.]+\s*[-+|&]?=[^=]|->|::\w+\(")
+
+_STATUS = (
+    r"(?:bad request|unauthori[sz]ed|payment required|forbidden|(?:page |file )?not found|method not allowed|not acceptable|"
+    r"request time-?out|conflict|gone|length required|payload too large|too many requests|internal server error|not implemented|"
+    r"bad gateway|service (?:temporarily )?unavailable|gateway time-?out|server error|proxy error)"
+).replace(" ", r"\s+")
+#: Wordings of messages by servers and sites.
+_SERVER = re.compile(
+    rf"""(?ix) ^ (?:
+      http(?:/\d(?:\.\d)?)?\s*(?:status|error)?\s*:?\s*[45]\d\d\b .{{0,80}}
+    | (?:error|fehler|erreur|status|code)?\s*:?\s*[45]\d\d\s*[|:–—-]?\s*{_STATUS} (?:[.!]?|[.:,]\s.*)
+    | (?:error|erreur|status|code)\s*:?\s*[45]\d\d[.!]? | fehler\s*[45]\d\d\b .* | status:\s*[45]\d\d
+    | {_STATUS}\s*(?:\(?(?:error|erreur)?\s*[45]\d\d\)?)?[.!]? | message:\s*{_STATUS}[.!]? | error:\s*{_STATUS}[.!]?
+    | [45]\d\d:\s+(?:the\s+)?server\b .*
+    | (?:the\s+)?server\s+(?:could\s+not|cannot|can't|was\s+unable|is\s+(?:down|busy|overloaded|unavailable)|encountered|made\s+a\s+mistake)\b .*
+    | the\s+requested\s+(?:url|page|resource|file|document|address)\b .*
+    | (?:sorry|oops|whoops|uh-oh)\b[,!.:]?\s .* (?:page|content|document|file|link|here|wrong|available|found|exist) .*
+    | .{{0,40}}\b(?:content|page|document|thread|article|file|topic)\b.{{0,40}}\b(?:no\s+longer\s+(?:available|exists?)|has\s+been\s+(?:removed|deleted|moved)|does\s+(?:not|n't)\s+exist)\b .{{0,60}}
+    | (?:la\s+)?p[aá]gina\s+no\s+(?:encontrada|existe|disponible) .* | lo\s+sentimos\b .*
+    | (?:die\s+)?(?:angeforderte\s+)?seite\s+(?:wurde\s+)?(?:nicht\s+gefunden|existiert\s+nicht)[.!]? | die\s+angeforderte\s+seite\b .*
+    | (?:la\s+)?page\s+(?:introuvable|non\s+trouv[eé]e|n'existe\s+plus) .* | (?:le|la)\s+(?:document|page)\b.{{0,60}}\bn'existe\s+(?:plus|pas)\b .*
+    | too\s+many\s+requests[.!] .* | you\s+have\s+(?:hit|reached|exceeded)\s+the\s+(?:rate\s+)?limit\b .*
+    | (?:access|permission)\s+denied[.!]? .{{0,120}} | you\s+(?:do\s+not|don't)\s+have\s+permission\b .* | zugriff\s+verweigert .{{0,80}} | acc[eè]s\s+refus[eé] .{{0,80}} | acceso\s+denegado .{{0,80}}
+    | please\s+check\s+the\s+(?:address|url)\b .* | try\s+again\s+later\b .* | please\s+try\s+again\b .*
+    | (?:the|this)\s+(?:site|website|page|wiki|host|server|service)\s+(?:did\s+not\s+answer|can(?:'t|not)\s+be\s+reached|is\s+(?:down|temporarily)|could\s+not\s+be)\b .*
+    | (?:the\s+)?database\s+(?:behind|error|connection|could)\b .* | error\s+establishing\s+a\s+database\s+connection .*
+    | your\s+session\s+has\s+(?:expired|timed\s+out)\b .* | (?:ihre|die)\s+sitzung\s+ist\s+abgelaufen .*
+    | checking\s+(?:your|the)\s+browser\b .* | (?:please\s+)?(?:verify|confirm)\s+(?:that\s+)?you\s+are\s+(?:a\s+)?(?:human|not\s+a\s+robot)\b .*
+    | (?:php\s+)?(?:fatal\s+error|parse\s+error|warning|notice|deprecated)\s*:\s .* \bon\s+line\s+\d+\b .*
+    | traceback\s+\(most\s+recent\s+call\s+last\): | an?\s+(?:unexpected\s+|internal\s+)?error\s+(?:has\s+)?occurr?ed\b .*
+    | (?:the\s+)?(?:web)?site\s+is\s+(?:currently\s+)?(?:under|down\s+for)\s+maintenance .*
+    ) $"""
+)
+#: Wordings of notices that scripts or cookies must be switched on.
+_SCRIPT_WORD, _ON = r"(?:java\s?script|scripts?|scripting|cookies?|skripte?)", r"(?:enabl\w*|activ\w*|aktiv\w*|switch\w*|turn\w*|allow\w*|requir\w*|need\w*|einschalten|zulassen|habilit\w*|permit\w*|autoris\w*)"
+_NOTICE = re.compile(
+    rf"""(?ix) ^ (?:
+      (?:please\s+|you\s+(?:must|need\s+to|have\s+to)\s+)?{_ON}\s+{_SCRIPT_WORD}\b .{{0,120}}
+    | (?:bitte\s+)?aktivieren\s+sie\s+{_SCRIPT_WORD}\b .{{0,120}} | (?:veuillez\s+)?activer\s+{_SCRIPT_WORD}\b .{{0,120}}
+    | (?:por\s+favor,?\s+)?(?:active|habilite|activa)\s+{_SCRIPT_WORD}\b .{{0,120}}
+    | noscript\s*: .* | {_SCRIPT_WORD}\s+(?:is|are|must\s+be|has\s+to\s+be|seems?\s+to\s+be)\s+(?:currently\s+)?(?:disabled|off|turned\s+off|blocked|enabled|on|switched\s+on|required|allowed)\b .{{0,120}}
+    | (?:this|the|our)\s+(?:site|page|viewer|app|application|website|content)\b.{{0,40}}\b(?:requires?|needs?|works?\s+(?:only\s+)?with|will\s+not\s+\w+\s+(?:until|without)|won't\s+\w+\s+(?:until|without)|cannot\s+\w+\s+without)\b.{{0,20}}\b{_SCRIPT_WORD}\b[^;]{{0,30}}
+    | if\s+nothing\s+happens\b .* | your\s+browser\b.{{0,30}}\b{_SCRIPT_WORD}\b .{{0,60}}
+    ) $"""
+)
+#: Filler phrases.
+_FILLER = re.compile(
+    r"""(?ix) ^ (?:
+      (?:this\s+is\s+)?(?:a\s+|some\s+|just\s+)?(?:sample|dummy|filler|placeholder|example|test)\s+(?:text|paragraph|content|sentence)\b .{0,40}
+    | (?:your|body|main|insert|add)\s+(?:own\s+)?(?:text|content|copy)\b(?:\s+(?:here|goes\s+here))?\W* | heading\s*\d*\W* | (?:sub)?title\s+(?:here|goes\s+here)\W*
+    | replace\s+this\s+(?:text|paragraph|content|sentence)\b .{0,60} | (?:content|text)\s+(?:goes\s+)?(?:here|coming\s+soon)\W* | coming\s+soon\W*
+    | (?:(?:blind|platzhalter|beispiel|muster)text\W*)+(?:hier\W*)? | texto\s+(?:de\s+(?:ejemplo|relleno|muestra)|simulado)\b .{0,30} | texte\s+(?:de\s+remplissage|d'exemple|factice)\b .{0,30}
+    | (?:(?:text|lorem|ipsum|bla|blah|foo|bar|baz|qux|quux|asdf|jkl|qwerty|test|xxx+|dummy)\b\W*){3,}
+    ) $"""
+)
+#: Particulars that go with a server's message; alone they are content.
+_DETAIL = re.compile(
+    r"""(?ix) ^ (?:
+      \w*(?:error|exception)\s*: .{0,120} | file\s+"[^"]+",\s+line\s+\d+ .* | at\s+[\w.$<>]+\([^)]*\) | type:\s .{0,60} | [\w.-]+/\d+(?:\.\d+)*(?:\s*\(.*\))?
+    | (?:request|reference|incident|ray|trace|error)(?:\s+(?:id|no|number|code))?\s*[:\#]?\s*[0-9a-f-]{4,} | upstream\b.{0,80}
+    | directory\s+listing\b .{0,80} | it\s+(?:was|has\s+been|may\s+have\s+been)\s+(?:moved|deleted|removed)\b .{0,60}
+    ) $"""
+)
+_LOREM = re.compile(r"(?i)\b(?:lorem|ipsum)\b")
+_PLAIN_WORDS = frozenset("the a an and or of to is are in on at that with for per der die das und ist le la les et est el los y es en un une una que".split())
+#: Menus, headings and footers.
+_CHROME = re.compile(
+    r"""(?ix) ^ (?:
+      skip\s+to\s+(?:main\s+)?content | menu | search | home | log\s?in | sign\s+(?:in|up) | contact | imprint | privacy(?:\s+policy)? | toggle\s+navigation | top
+    | \W*©.* | \W*copyright\s+(?:\(c\)\s*)?\d{4}.* | [^|]{1,30}(?:\s*\|\s*[^|]{1,30}){2,} | [^›»/]{1,30}(?:\s*[›»]\s*[^›»]{1,30})+
+    | (?:recent|popular|related|latest|see\s+also|more|read\s+more|next|previous)\b\W .{0,60} | [*•-]\s+(?:\w+\s+){2,3}\w+
+    | back\s+to\b .{0,40} | (?:zurück\s+zur?|retour\s+à|volver\s+al?)\b .{0,40} | we\s+use\s+cookies\b .{0,60} | loading\b .{0,30}
+    | \#{1,6}\s .* | v?\d+(?:\.\d+)+ | re:\s .* | \[\w+\]\s .* \bticket\s+\d+ | \w+\(\d\) | [^/.]{1,30}\s/\s[^/.]{1,30}\s/\s[^/.]{1,30} | [-=_*~\#\s]+
+    ) $"""
+)
+_NUM = re.compile(r"\b(?:0x)?[0-9a-f]*\d[0-9a-f]*\b", re.I)
+_IDENT = re.compile(r"\b\w+(?:_\w+)+\b|\b\w+-\w+\b|/[\w./-]+")
+
+
+def prose_lines(text: str) -> list[str]:
+    """The lines of a text without fenced code, code in backticks and HTML tags; an open fence runs to the end."""
+    out, fence = [], None
+    for line in re.split(r"\r\n|\r|\n", text):
+        line = _QUOTE.sub("", line)
+        m = _FENCE.match(line)
+        if m and (fence is None or m.group(1) == fence):
+            fence = None if fence else m.group(1)
+            continue
+        if fence is None:
+            line = _HTML.sub(" ", _TICKS.sub(" ` ", line)).strip()
+            if line:
+                out.append(line)
+    return out
+
+
+def fields(line: str) -> list[tuple[str, str, bool]]:
+    """(style, span, certain) of each span of a line that looks like an unfilled field."""
+    if not any(c in line for c in "{[<%$@|&_.") and "TBD" not in line and "XXX" not in line:
+        return []
+    found = []
+    table = line.startswith("|") and line.count("|") > 2
+    for m in _FIELD.finditer(line):
+        style, span = m.lastgroup, m.group(0)
+        if style == "pipe" and table:
+            continue
+        sure = style not in WEAK
+        if not sure:
+            inner = span[1:-1].strip()
+            if _ASKS.search(inner) and (" " in inner or inner.isupper()):
+                sure = True
+            elif not (_TITLE.match(inner) or (style == "angle" and " " in inner)):
+                continue
+        found.append((style, span, sure))
+    if found and _CODE.search(_FIELD.sub(" ", line)):
+        return []
+    return found
+
+
+def line_kind(line: str) -> str:
+    """server, notice, filler, lorem, chrome or other."""
+    if len(line) < 400:
+        if _SERVER.match(line):
+            return "server"
+        if _NOTICE.match(line):
+            return "notice"
+        if _FILLER.match(line):
+            return "filler"
+        if _CHROME.match(line) or _DETAIL.match(line):
+            return "chrome"
+    if _LOREM.search(line) and not re.search(r"\d", line) and not _PLAIN_WORDS & set(re.findall(r"\w+", line.lower())):
+        return "lorem"
+    return "other"
+
+
+def _mask(line: str) -> str:
+    return _NUM.sub("#", _IDENT.sub("@", line.lower()))
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, what, key, filler, style, certain) of a document: its fields; its lines of unknown kind."""
+    for batch in batches:
+        out = []
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            lines = prose_lines(text)
+            kinds = []
+            words: set[str] = set()
+            for line in lines:
+                for style, span, sure in fields(line):
+                    out.append((doc_id, "field", _NUM.sub("#", _FIELD.sub("<>", line)), span, style, sure))
+                kind = line_kind(line)
+                if kind == "lorem":
+                    words.update(re.findall(r"\w+", line.lower()))
+                kinds.append(kind)
+            grown = bool(words)
+            while grown:
+                grown = False
+                for i, (kind, line) in enumerate(zip(kinds, lines)):
+                    if kind != "other" or re.search(r"\d", line):
+                        continue
+                    own = set(re.findall(r"\w+", line.lower()))
+                    if own and not own & _PLAIN_WORDS and len(own & words) >= 0.3 * len(own):
+                        kinds[i], grown = "lorem", True
+                        words |= own
+            seeded = bool({"server", "notice", "filler", "lorem"} & set(kinds))
+            strange = {_mask(line) for kind, line in zip(kinds, lines) if kind == "other"}
+            if seeded and not strange:
+                out.append((doc_id, "page", "", "", "", True))
+            for key in strange:
+                out.append((doc_id, "line", key, "", "", seeded))
+        yield pd.DataFrame(out, columns=["doc_id", "what", "key", "filler", "style", "certain"])
+
+
+def residue(docs: DataFrame) -> DataFrame:
+    """(doc_id, reason) of each document that is residue; reason is template, page or both, joined by +.
+
+    Null, empty and blank texts are no cases, nor are fields in code. A document delivered twice gives one row; a null
+    doc_id none. Further columns are ignored. Counts of templates and lines cover all documents.
+    """
+    texts = docs.select("doc_id", "text").where("doc_id is not null and trim(text) <> ''")
+    read = texts.mapInPandas(_read, "doc_id long, what string, key string, filler string, style string, certain boolean")
+    signs = materialize(read.withColumn("key", F.when(F.col("what") == "line", F.xxhash64("key").cast("string")).otherwise(F.col("key"))), "page-signs")
+
+    found = signs.where("what = 'field'")
+    fillers = found.groupBy("key", "filler").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    slots = fillers.groupBy("key").agg(
+        F.count(F.lit(1)).alias("fillers"), F.min("a").alias("a"), F.max("b").alias("b")
+    ).where("fillers >= 2 and a < b")
+    unfilled = found.where("certain").select("doc_id").unionByName(
+        found.where("not certain").join(slots.select("key"), "key", "left_semi").select("doc_id")
+    )
+
+    lines = signs.where("what = 'line'")
+    template_lines = (
+        lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("certain").cast("int")).alias("on"))
+        .where((F.col("n") >= LINE_TIMES) & (F.col("on") >= LINE_SHARE * F.col("n"))).select("key")
+    )
+    content = lines.where("certain").join(template_lines, "key", "left_anti").select("doc_id").distinct()
+    seeded = lines.where("certain").select("doc_id").distinct()
+    pages = signs.where("what = 'page'").select("doc_id").unionByName(seeded.join(content, "doc_id", "left_anti"))
+
+    reasons = unfilled.select("doc_id", F.lit("template").alias("r")).unionByName(pages.select("doc_id", F.lit("page").alias("r")))
+    return reasons.groupBy("doc_id").agg(F.concat_ws("+", F.sort_array(F.collect_set("r"))).alias("reason"))
+
+
+def without_residue(docs: DataFrame) -> DataFrame:
+    """The documents that are no residue, with all their columns; null, empty and blank texts stay."""
+    bad = residue(docs).select(F.col("doc_id").alias("__bad"))
+    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
