@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, docpairs, mixing, residue, survivors
+from quarrylens.llm import bpe, docpairs, mixing, neighbours, residue, survivors
 from quarrylens.runtime import load
 
 
@@ -19,6 +19,22 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("symbol_id").agg(*[F.min(c).alias(c) for c in ("name", "declaration", "description", "code")])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(load(spark, sf_dir, "embedding_stash"))
+    return pairs.select(F.col("id_a").alias("stash_id_a"), F.col("id_b").alias("stash_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.neighbours(neighbours.neighbour_graph(load(spark, sf_dir, "embedding_stash")))
+    return near.select(F.col("id").alias("stash_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("similarity", 3).alias("similarity"))
+
+
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = neighbours.neighbour_graph(load(spark, sf_dir, "embedding_stash"))
+    asked = graph.where("id % 50 = 0").select(F.col("id").alias("query"), "model", "h", "q")
+    return neighbours.greedy_search(graph, asked).select("query", F.col("id").alias("stash_id"), "rank")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = survivors.survivors(load(spark, sf_dir, "symbols"))
     return best.where("several").select("config_hash", "usr", "best_id")
@@ -50,11 +66,17 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids,
+    "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_neighbours": p5_neighbours,
+    "p5_search": p5_search, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids,
     "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean,
 }
 
 SQL = {
+    "p5_found": """WITH v AS (SELECT stash_id, model, content_hash, list_transform(embedding, lambda x: x::DOUBLE) AS e
+FROM embedding_stash WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)
+SELECT a.stash_id AS stash_id_a, b.stash_id AS stash_id_b FROM v a JOIN v b ON a.model = b.model AND a.stash_id < b.stash_id
+WHERE a.content_hash <> b.content_hash AND list_cosine_similarity(a.e, b.e) >= 0.9""",
     "p6_found": """WITH r AS (SELECT config_hash, usr, id, row_number() OVER (PARTITION BY config_hash, usr ORDER BY
 removed_at IS NOT NULL, is_definition = 1 DESC, is_weak = 0 DESC, is_tentative = 0 DESC,
 regexp_matches(lower(file_path), '\\.(h|hh|hpp|inc)$'),
