@@ -19,14 +19,12 @@ from pyspark.sql import functions as F
 
 from quarrylens.runtime import drop_scratch, materialize
 
-K, ORDERS, ROUNDS, BLOCK_ROWS, CELL_ROWS, PROBES = 10, 3, 2, 25_000, 400, 3
+K, ORDERS, ROUNDS, BLOCK_ROWS, CELL_ROWS, PROBES = 10, 5, 2, 25_000, 400, 3
 #: Neighbours of one vector, forward and back, that a round compares with each other (the sampling of NN-descent).
-FAN = 20
+FAN = 24
 #: A round that changes fewer than this share of all list places is the last.
 STILL = 0.002
 
-_LISTS = "nb array<long>, nblk array<int>, sim array<float>"
-
 
 def _planes(dim: int, orders: int, bits: int = 30) -> np.ndarray:
     return np.random.default_rng(5).standard_normal((dim, orders * bits)).astype("f4")
@@ -66,16 +64,10 @@ def usable_vectors(rows: DataFrame, dim: int, orders: int, ident: str, group: st
 
     h = F.coalesce(F.xxhash64(label), F.xxhash64(F.lit("none"), ident))
     chosen = rows.where(F.col(ident).isNotNull() & F.col(group).isNotNull() & F.col(vector).isNotNull()).select(
-        F.col(ident).cast("long").alias("id"), F.col(group).alias("model"), F.when(F.col(label).isNull(), F.xxhash64(F.lit("none"), ident)).otherwise(h).alias("h"),
+        F.col(ident).cast("long").alias("id"), F.xxhash64(group).alias("model"), F.when(F.col(label).isNull(), F.xxhash64(F.lit("none"), ident)).otherwise(h).alias("h"),
         F.col(vector).cast("array<float>").alias("v"),
     )
-    return chosen.mapInArrow(run, "id long, model string, h long, q binary, " + ", ".join(f"c{i} int" for i in range(orders)))
-
-
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), "i1").reshape(len(column), -1).astype("f4")
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return x
+    return chosen.mapInArrow(run, "id long, model long, h long, q binary, " + ", ".join(f"c{i} int" for i in range(orders)))
 
 
 def _best(sims: np.ndarray, cols: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,226 +121,359 @@ def block_search(x: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids, sims
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = pa.array(np.arange(0, values.size + 1, values.shape[1], dtype="i4"))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel(), kind))
-
-
 def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     held = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-def _search_order(k: int, keep: list[str]) -> Callable:
-    """Search within one block of an order; the block holds runs of rows of one model."""
+#: A block of vectors, or a message to one, is a row of packed arrays, so that Spark moves few large rows. own: id, model,
+#: h, q, codes, nb, sim; ask: row; guest: row, -, h, q, kth, and edges to, nb, sim; edges: row, -, -, -, -, nb, sim.
+_PACK = ("blk", "what", "src", "a", "b", "c", "d", "e", "nb", "sim", "to")
+_PACKED = "blk int, what string, src int, a binary, b binary, c binary, d binary, e binary, nb binary, sim binary, to binary"
+_SHAPE = pa.schema([("blk", pa.int32()), ("what", pa.string()), ("src", pa.int32()), *[(c, pa.binary()) for c in _PACK[3:]]])
+
+
+def _pack(**arrays) -> pa.RecordBatch:
+    row = {c: v.tobytes() if isinstance(v, np.ndarray) else v for c, v in arrays.items()}
+    return pa.RecordBatch.from_pylist([{c: row.get(c) for c in _PACK}], _SHAPE)
+
+
+def _get(row: dict, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(row[name] or b"", kind)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of a partition by block."""
+    by: dict[int, list[dict]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            by.setdefault(row["blk"], []).append(row)
+    for blk in list(by):
+        yield blk, by.pop(blk)
+
+
+def _by_block(df: DataFrame, parts: int) -> DataFrame:
+    return df.repartitionById(parts, F.col("blk"))
+
+
+class _Own:
+    """A block's own vectors; a neighbour is its block times 2^32 plus its row there."""
+
+    def __init__(self, row: dict, k: int):
+        self.blk, self.row = row["blk"], row
+        self.ids, self.h = _get(row, "a", "i8"), _get(row, "c", "i8")
+        self.n = len(self.ids)
+        self.q = _get(row, "d", "i1").reshape(self.n, -1)
+        self.nb, self.sim = _get(row, "nb", "i8").reshape(self.n, k), _get(row, "sim", "f4").reshape(self.n, k)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, place = np.nonzero(self.nb >= 0)
+        return row, self.nb[row, place], self.sim[row, place]
+
+
+def _unit(q: np.ndarray) -> np.ndarray:
+    x = q.astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
+def _search_models(model: np.ndarray, q: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    x = _unit(q)
+    at, sim = np.full((len(x), k), -1, "i8"), np.full((len(x), k), -2, "f4")
+    for m in np.unique(model):
+        rows = np.flatnonzero(model == m)
+        found, s = block_search(x[rows], h[rows], k)
+        at[rows], sim[rows] = np.where(found >= 0, rows[found], -1), s
+    return at, sim
+
+
+def _first_order(k: int, orders: int) -> Callable:
+    """Make a partition a block, with the neighbours found within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _table(batches)
         if t is None:
             return
-        x, h = _unit(t["q"]), t["h"].to_numpy()
-        ident, blk = t["id"].to_numpy(), t["blk"].to_numpy()
-        model = np.asarray(t["model"].dictionary_encode().combine_chunks().indices)
-        nb, sim, nblk = np.full((len(x), k), -1, "i8"), np.full((len(x), k), -2, "f4"), np.full((len(x), k), -1, "i4")
-        for m in np.unique(model):
-            rows = np.flatnonzero(model == m)
-            at, s = block_search(x[rows], h[rows], k)
-            ok = at >= 0
-            nb[rows], nblk[rows], sim[rows] = np.where(ok, ident[rows][at], -1), np.where(ok, blk[rows][at], -1), s
-        out = pa.Table.from_arrays(
-            [t[c] for c in keep] + [_lists(nb, pa.int64()), _lists(nblk, pa.int32()), _lists(sim, pa.float32())], [*keep, "nb", "nblk", "sim"]
-        )
-        yield from out.to_batches(5_000)
+        h, model, blk = t["h"].to_numpy(), t["model"].to_numpy(), t["blk"][0].as_py()
+        q = np.frombuffer(b"".join(t["q"].to_pylist()), "i1").reshape(len(h), -1)
+        at, sim = _search_models(model, q, h, k)
+        codes = np.stack([t[f"c{i}"].to_numpy() for i in range(orders)], 1)
+        yield _pack(blk=blk, what="own", src=blk, a=t["id"].to_numpy(), b=model, c=h, d=q, e=codes, nb=np.where(at >= 0, (blk << 32) + at, -1), sim=sim)
 
     return run
 
 
-def _merge(k: int) -> Callable:
-    """Merge the lists of each id in a partition; the row with a vector is the id's own one."""
+def _unfold(order: int, orders: int) -> Callable:
+    """The rows (gid, model, h, q, code) of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                h = _get(row, "c", "i8")
+                raw, dim = row["d"], len(row["d"]) // len(h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((row["blk"] << 32) + np.arange(len(h))), pa.array(_get(row, "b", "i8")), pa.array(h),
+                     pa.array([raw[i : i + dim] for i in range(0, len(raw), dim)], pa.binary()),
+                     pa.array(np.ascontiguousarray(_get(row, "e", "i4").reshape(len(h), orders)[:, order]))],
+                    ["gid", "model", "h", "q", "code"],
+                )
+
+    return run
+
+
+def _send(kind: str, dest: np.ndarray, src: int, **arrays) -> Iterator[pa.RecordBatch]:
+    """One message to each block in dest with its part of the arrays."""
+    order = np.argsort(dest, kind="stable")
+    dest = dest[order]
+    heads, begin = np.unique(dest, return_index=True)
+    for blk, a, b in zip(heads, begin, [*begin[1:], len(dest)]):
+        yield _pack(blk=int(blk), what=kind, src=src, **{c: v[order[a:b]] for c, v in arrays.items()})
+
+
+def _later_order(k: int) -> Callable:
+    """Search within a partition of another order; tell each block what was found for its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _table(batches)
         if t is None:
             return
-        own = t.filter(pa.compute.is_valid(t["q"])).combine_chunks().sort_by("id")
-        base = own["id"].to_numpy()
-        length = pa.compute.list_value_length(t["nb"]).to_numpy()
-        src = np.repeat(t["id"].to_numpy(), length)
-        nb, nblk, sim = (t[c].combine_chunks().flatten().to_numpy() for c in ("nb", "nblk", "sim"))
-        fine = nb >= 0
-        src, nb, nblk, sim = src[fine], nb[fine], nblk[fine], sim[fine]
-        order = np.lexsort((-sim, nb, src))
-        src, nb, nblk, sim = src[order], nb[order], nblk[order], sim[order]
-        if len(src):
-            first = np.r_[True, (src[1:] != src[:-1]) | (nb[1:] != nb[:-1])]
-            src, nb, nblk, sim = src[first], nb[first], nblk[first], sim[first]
-            order = np.lexsort((nb, -sim, src))
-            src, nb, nblk, sim = src[order], nb[order], nblk[order], sim[order]
-        start = np.searchsorted(src, base)
-        place = np.arange(len(src)) - np.repeat(np.searchsorted(src, np.unique(src)), np.unique(src, return_counts=True)[1]) if len(src) else np.zeros(0, int)
-        row = np.searchsorted(base, src)
-        fits = (place < k) & (row < len(base))
-        fits[fits] &= base[row[fits]] == src[fits]
-        a, b, s = np.full((len(base), k), -1, "i8"), np.full((len(base), k), -1, "i4"), np.full((len(base), k), -2, "f4")
-        a[row[fits], place[fits]], b[row[fits], place[fits]], s[row[fits], place[fits]] = nb[fits], nblk[fits], sim[fits]
-        del start
-        keep = ["id", "model", "h", "q", "blk"]
-        out = pa.Table.from_arrays([own[c] for c in keep] + [_lists(a, pa.int64()), _lists(b, pa.int32()), _lists(s, pa.float32())], [*keep, "nb", "nblk", "sim"])
-        yield from out.to_batches(5_000)
+        gid, h = t["gid"].to_numpy(), t["h"].to_numpy()
+        q = np.frombuffer(b"".join(t["q"].to_pylist()), "i1").reshape(len(h), -1)
+        at, sim = _search_models(t["model"].to_numpy(), q, h, k)
+        row, place = np.nonzero(at >= 0)
+        yield from _send("edges", gid[row] >> 32, -1, a=(gid[row] & 0xFFFFFFFF).astype("i4"), nb=gid[at[row, place]], sim=sim[row, place])
 
     return run
 
 
-def _join_block(k: int, fan: int) -> Callable:
-    """Compare the neighbours of every vector of a block with each other.
+def _merge(k: int) -> Callable:
+    """Put the edges that a block was told into its lists."""
 
-    Rows with a list are the block's own vectors; rows with a vector only were asked for; rows (id, nb of one) without
-    a vector say that id, from another block, has nb in its list.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blk, rows in _blocks(batches):
+            own = _Own(next(r for r in rows if r["what"] == "own"), k)
+            parts = [own.edges()] + [(_get(r, "a", "i4"), _get(r, "nb", "i8"), _get(r, "sim", "f4")) for r in rows if r["what"] == "edges"]
+            row, nb, sim = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((-sim, nb, row))
+            row, nb, sim = row[order], nb[order], sim[order]
+            once = np.r_[True, (row[1:] != row[:-1]) | (nb[1:] != nb[:-1])] if len(row) else np.zeros(0, bool)
+            row, nb, sim = row[once], nb[once], sim[once]
+            order = np.lexsort((nb, -sim, row))
+            row, nb, sim = row[order], nb[order], sim[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            fits = place < k
+            a, s = np.full((own.n, k), -1, "i8"), np.full((own.n, k), -2, "f4")
+            a[row[fits], place[fits]], s[row[fits], place[fits]] = nb[fits], sim[fits]
+            kept = {c: own.row[c] for c in "abcde"}
+            yield _pack(blk=blk, what="own", src=int((a != own.nb).sum()), **kept, nb=a, sim=s)
+
+    return run
+
+
+def _asks(k: int) -> Callable:
+    """Each block asks the others for the vectors in its lists."""
 
-    def run(t: pa.Table) -> pa.Table:
-        names = ["id", "nb", "nblk", "sim"]
-        t = t.combine_chunks()
-        vec = t.filter(pa.compute.is_valid(t["q"])).sort_by("id")
-        ident = vec["id"].to_numpy()
-        keep = np.r_[True, ident[1:] != ident[:-1]] if len(ident) else np.zeros(0, bool)
-        vec, ident = vec.filter(pa.array(keep)), ident[keep]
-        lists = t.filter(pa.compute.is_valid(t["nb"]))
-        if not len(ident) or not lists.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.float32()))], names)
-        x, h, blk, kth = _unit(vec["q"]), vec["h"].to_numpy(), vec["home"].to_numpy(), vec["kth"].to_numpy()
-        length = pa.compute.list_value_length(lists["nb"]).to_numpy()
-        a = np.repeat(lists["id"].to_numpy(), length)
-        b, sim = (lists[c].combine_chunks().flatten().to_numpy() for c in ("nb", "sim"))
-        fine = b >= 0
-        a, b, sim = a[fine], b[fine], sim[fine]
-        block = t["blk"][0].as_py()
-
-        def at(v: np.ndarray) -> np.ndarray:
-            p = np.minimum(np.searchsorted(ident, v), len(ident) - 1)
-            return np.where(ident[p] == v, p, -1)
-
-        a, b = at(a), at(b)
-        ok = (a >= 0) & (b >= 0)
-        a, b, sim = a[ok], b[ok], sim[ok]
-        centre, member, s = np.r_[a, b], np.r_[b, a], np.r_[sim, sim]
-        mine = blk[centre] == block
-        centre, member, s = centre[mine], member[mine], s[mine]
-        order = np.lexsort((member, -s, centre))
-        centre, member = centre[order], member[order]
-        pair = centre.astype("i8") * len(ident) + member
-        _, once = np.unique(pair, return_index=True)
-        once.sort()
-        centre, member = centre[once], member[once]
-        heads, begin, count = np.unique(centre, return_index=True, return_counts=True)
-        place = np.arange(len(centre)) - np.repeat(begin, count)
-        chosen = np.full((len(heads), fan), -1, "i4")
-        in_fan = place < fan
-        chosen[np.repeat(np.arange(len(heads)), count)[in_fan], place[in_fan]] = member[in_fan]
-        found: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
-        n = len(ident)
-        upper = np.triu(np.ones((fan, fan), bool), 1)
-        for c in range(0, len(chosen), 1_000):
-            m = chosen[c : c + 1_000]
-            v = x[m]
-            v[m < 0] = 0
-            g = np.matmul(v, v.transpose(0, 2, 1))
-            least = np.where(m < 0, 9.0, kth[m])
-            better = upper & (g > np.minimum(least[:, :, None], least[:, None, :])) & (m[:, :, None] >= 0) & (m[:, None, :] >= 0)
-            i, p, q = np.nonzero(better)
-            u, w, g = m[i, p], m[i, q], g[i, p, q]
-            good = h[u] != h[w]
-            u, w, g = u[good], w[good], g[good]
-            lo, hi = np.minimum(u, w).astype("i8"), np.maximum(u, w)
-            key, first = np.unique(lo * n + hi, return_index=True)
-            found.append(key)
-            scores.append(g[first])
-        key, first = np.unique(np.concatenate(found), return_index=True)
-        score = np.concatenate(scores)[first]
-        u, w = key // n, key % n
-        src, dst, sc = np.r_[u, w], np.r_[w, u], np.r_[score, score]
-        win = sc > kth[src]
-        src, dst, sc = src[win], dst[win], sc[win]
-        order = np.lexsort((-sc, src))
-        src, dst, sc = src[order], dst[order], sc[order]
-        if len(src):
-            starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
-            rank = np.arange(len(src)) - np.repeat(starts, np.diff(np.r_[starts, len(src)]))
-            src, dst, sc = src[rank < k], dst[rank < k], sc[rank < k]
-        starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, int)
-        off = pa.array(np.r_[starts, len(src)].astype("i4"))
-        lst = lambda v, kind: pa.ListArray.from_arrays(off, pa.array(v, kind))
-        return pa.Table.from_arrays([pa.array(ident[src[starts]]), lst(ident[dst], pa.int64()), lst(blk[dst], pa.int32()), lst(sc.astype("f4"), pa.float32())], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = _Own(r, k)
+                want = np.unique(own.nb[own.nb >= 0])
+                want = want[want >> 32 != own.blk]
+                yield from _send("ask", want >> 32, own.blk, a=(want & 0xFFFFFFFF).astype("i4"))
 
     return run
 
 
-def _descend(graph: DataFrame, k: int, fan: int, parts: int, label: str) -> tuple[DataFrame, float]:
-    """One round; the new graph and the sum of its list places' changes."""
-    cross = graph.select("id", F.col("blk").alias("from"), F.explode(F.arrays_zip("nb", "nblk", "sim")).alias("e")).where(
-        "e.nb >= 0 and e.nblk <> from"
-    ).select("id", "from", F.col("e.nb").alias("nb"), F.col("e.nblk").alias("to"), F.col("e.sim").alias("sim"))
-    nothing = {"nb": "array<long>", "sim": "array<float>", "q": "binary", "h": "long", "home": "int", "kth": "float"}
-    empty = lambda names: [F.lit(None).cast(nothing[c]).alias(c) for c in names]
-    kth = F.element_at("sim", k).alias("kth")
-    home = graph.select("blk", "id", "nb", "sim", "q", "h", F.col("blk").alias("home"), kth)
-    back = cross.select(F.col("to").alias("blk"), "id", F.array("nb").alias("nb"), F.array("sim").alias("sim"), *empty(("q", "h", "home", "kth")))
-    asked = cross.select(F.col("from").alias("blk"), F.col("nb").alias("id")).unionByName(cross.select(F.col("to").alias("blk"), "id")).distinct()
-    known = graph.select("id", "q", "h", F.col("blk").alias("home"), kth)
-    guests = asked.join(known, "id").select("blk", "id", *empty(("nb", "sim")), "q", "h", "home", "kth")
-    everything = home.unionByName(back).unionByName(guests)
-    better = everything.groupBy("blk").applyInArrow(_join_block(k, fan), f"id long, {_LISTS}")
-    better = materialize(better, f"{label}-better")
-    merged = graph.unionByName(better.select("id", *[F.lit(None).cast(c).alias(n) for n, c in (("model", "string"), ("h", "long"), ("q", "binary"), ("blk", "int"))], "nb", "nblk", "sim"))
-    fresh = materialize(merged.repartition(parts, "id").mapInArrow(_merge(k), f"id long, model string, h long, q binary, blk int, {_LISTS}"), f"{label}-graph")
-    moved = better.agg(F.coalesce(F.sum(F.size("nb")), F.lit(0))).first()[0]
+def _answers(k: int) -> Callable:
+    """Each block sends the vectors asked for, those of its own whose lists name the other block, and these edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blk, rows in _blocks(batches):
+            own = _Own(next(r for r in rows if r["what"] == "own"), k)
+            row, nb, sim = own.edges()
+            away = nb >> 32
+            asked = {r["src"]: _get(r, "a", "i4") for r in rows if r["what"] == "ask"}
+            order = np.argsort(away, kind="stable")
+            row, nb, sim, away = row[order], nb[order], sim[order], away[order]
+            heads = sorted({*np.unique(away).tolist(), *asked} - {blk})
+            kth = own.sim[:, k - 1]
+            for other in heads:
+                lo, hi = np.searchsorted(away, [other, other + 1])
+                send = np.union1d(row[lo:hi].astype("i4"), asked.get(other, np.zeros(0, "i4"))).astype("i4")
+                yield _pack(blk=int(other), what="guest", src=blk, a=send, c=own.h[send], d=own.q[send], e=kth[send], b=row[lo:hi].astype("i4"),
+                            to=(nb[lo:hi] & 0xFFFFFFFF).astype("i4"), sim=sim[lo:hi])
+
+    return run
+
+
+def _local_join(k: int, fan: int) -> Callable:
+    """Compare the neighbours, forward and back, of every vector of a block with each other; send what is better than
+    the last place of a list to the block of that list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blk, rows in _blocks(batches):
+            own = _Own(next(r for r in rows if r["what"] == "own"), k)
+            guests = sorted((r for r in rows if r["what"] == "guest"), key=lambda r: r["src"])
+            q, h, kth = [own.q], [own.h], [own.sim[:, k - 1]]
+            gid = [(blk << 32) + np.arange(own.n)]
+            for g in guests:
+                a = _get(g, "a", "i4")
+                gid.append((g["src"] << 32) + a.astype("i8"))
+                q.append(_get(g, "d", "i1").reshape(len(a), -1))
+                h.append(_get(g, "c", "i8"))
+                kth.append(_get(g, "e", "f4"))
+            gid, x, h, kth = np.concatenate(gid), _unit(np.concatenate(q)), np.concatenate(h), np.concatenate(kth)
+            order = np.argsort(gid)
+            ranked = gid[order]
+
+            def at(v: np.ndarray) -> np.ndarray:
+                return order[np.searchsorted(ranked, v)]
+
+            row, nb, s = own.edges()
+            b = at(nb)
+            inner = b < own.n
+            centre, member, sim = [row, b[inner]], [b, row[inner]], [s, s[inner]]
+            for g in guests:
+                centre.append(_get(g, "to", "i4"))
+                member.append(at((g["src"] << 32) + _get(g, "b", "i4").astype("i8")))
+                sim.append(_get(g, "sim", "f4"))
+            centre, member, sim = np.concatenate(centre), np.concatenate(member), np.concatenate(sim)
+            by = np.lexsort((member, -sim, centre))
+            centre, member = centre[by], member[by]
+            once = np.r_[True, (centre[1:] != centre[:-1]) | (member[1:] != member[:-1])] if len(centre) else np.zeros(0, bool)
+            centre, member = centre[once], member[once]
+            place = np.arange(len(centre)) - np.searchsorted(centre, centre)
+            fits = place < fan
+            chosen = np.full((own.n, fan), -1, "i4")
+            chosen[centre[fits], place[fits]] = member[fits]
+            keys, scores, n = [], [], len(gid)
+            upper = np.triu(np.ones((fan, fan), bool), 1)
+            for c in range(0, own.n, 1_000):
+                m = chosen[c : c + 1_000]
+                v = x[m]
+                v[m < 0] = 0
+                g = np.matmul(v, v.transpose(0, 2, 1))
+                least = np.where(m < 0, 9.0, kth[m]).astype("f4")
+                i, p, r = np.nonzero(upper & (g > np.minimum(least[:, :, None], least[:, None, :])))
+                u, w, g = m[i, p], m[i, r], g[i, p, r]
+                good = (u >= 0) & (w >= 0)
+                good[good] &= h[u[good]] != h[w[good]]
+                u, w, g = u[good].astype("i8"), w[good].astype("i8"), g[good]
+                key, first = np.unique(np.minimum(u, w) * n + np.maximum(u, w), return_index=True)
+                keys.append(key)
+                scores.append(g[first])
+            key, first = np.unique(np.concatenate(keys), return_index=True) if keys else (np.zeros(0, "i8"), np.zeros(0, int))
+            score = np.concatenate(scores)[first] if keys else np.zeros(0, "f4")
+            u, w = key // n, key % n
+            src, dst, sc = np.r_[u, w], np.r_[w, u], np.r_[score, score]
+            win = sc > kth[src]
+            src, dst, sc = src[win], dst[win], sc[win]
+            by = np.lexsort((-sc, src))
+            src, dst, sc = src[by], dst[by], sc[by]
+            fits = np.arange(len(src)) - np.searchsorted(src, src) < k
+            src, dst, sc = gid[src[fits]], gid[dst[fits]], sc[fits]
+            yield from _send("edges", src >> 32, blk, a=(src & 0xFFFFFFFF).astype("i4"), nb=dst, sim=sc)
+
+    return run
+
+
+def _descend(graph: DataFrame, k: int, fan: int, parts: int, label: str) -> DataFrame:
+    """One round of neighbours of neighbours; src of a block is then the number of its list places that changed."""
+    asks = graph.mapInArrow(_asks(k), _PACKED)
+    guests = _by_block(graph.unionByName(asks), parts).mapInArrow(_answers(k), _PACKED)
+    better = materialize(_by_block(graph.unionByName(guests), parts).mapInArrow(_local_join(k, fan), _PACKED), f"{label}-better")
+    fresh = materialize(_by_block(graph.unionByName(better), parts).mapInArrow(_merge(k), _PACKED), f"{label}-graph")
     drop_scratch(better)
-    return fresh, moved
+    return fresh
+
+
+def _resolve(k: int) -> Callable:
+    """The lists of a block as edges from its ids to (block, row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = _Own(r, k)
+                row, place = np.nonzero(own.nb >= 0)
+                for a in range(0, len(row), 50_000):
+                    i, p = row[a : a + 50_000], place[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own.ids[i]), pa.array(own.nb[i, p]), pa.array((p + 1).astype("i4")), pa.array(own.sim[i, p])], ["id", "gid", "rank", "similarity"]
+                    )
+
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gid, id, model, h and q of every vector."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids = _get(r, "a", "i8")
+            dim = len(r["d"]) // len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((r["blk"] << 32) + np.arange(len(ids))), pa.array(ids), pa.array(_get(r, "b", "i8")), pa.array(_get(r, "c", "i8")),
+                 pa.array([r["d"][i : i + dim] for i in range(0, len(r["d"]), dim)], pa.binary())],
+                ["gid", "id", "model", "h", "q"],
+            )
+
+
+class NeighbourGraph:
+    """A finished graph in blocks."""
+
+    def __init__(self, blocks: DataFrame, k: int):
+        self.blocks, self.k = blocks, k
+
+    def members(self) -> DataFrame:
+        """(gid, id, model, h, q)."""
+        return self.blocks.mapInArrow(_members, "gid long, id long, model long, h long, q binary")
+
+    def edges(self) -> DataFrame:
+        """(id, gid, rank, similarity): the lists, their entries still by block and row."""
+        return self.blocks.mapInArrow(_resolve(self.k), "id long, gid long, rank int, similarity float")
+
+    def neighbours(self, least: float = -1.0) -> DataFrame:
+        """(id, neighbour, rank, similarity) of entries with at least that similarity; rank counts from 1."""
+        near = self.edges().where(F.col("similarity") >= least)
+        names = self.members().select("gid", F.col("id").alias("neighbour"))
+        return near.join(names, "gid").select("id", "neighbour", "rank", "similarity")
 
 
 def neighbour_graph(
     rows: DataFrame, k: int = K, dim: int = 64, ident: str = "stash_id", group: str = "model", label: str = "content_hash",
     vector: str = "embedding", orders: int = ORDERS, rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS, fan: int = FAN,
-) -> DataFrame:
-    """The neighbour graph: id, model, h, q, blk and the lists nb, nblk and sim of length k; -1 and -2 fill up.
+) -> NeighbourGraph:
+    """The graph of the k most similar vectors of each vector, of its own model and another label.
 
-    A vector's neighbours have its model and another label. Unusable vectors (null, of another length, with a null,
-    NaN or infinite number, or all zero) and rows with a null id or model have no part in it.
+    Unusable vectors (null, of another length, with a null, NaN or infinite number, or all zero) and rows with a null
+    id or model have no part in it. Ties go to the smaller block and row. An empty table gives an empty graph. There
+    are at least as many blocks as the session has shuffle partitions, so that all tasks have work.
     """
+    spark = rows.sparkSession
     vectors = materialize(usable_vectors(rows, dim, orders, ident, group, label, vector), "vectors")
-    parts = max(1, -(-vectors.count() // block_rows))
-    keep = ["id", "model", "h", "q", "blk", *[f"c{i}" for i in range(1, orders)]]
-    kinds = "id long, model string, h long, q binary, blk int" + "".join(f", c{i} int" for i in range(1, orders))
+    n = vectors.count()
+    parts = max(1, min(n // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // block_rows))
     first = vectors.repartitionByRange(parts, "model", "c0", "id").withColumn("blk", F.spark_partition_id())
-    graph = materialize(first.mapInArrow(_search_order(k, keep), f"{kinds}, {_LISTS}"), "order0")
+    graph = materialize(first.mapInArrow(_first_order(k, orders), _PACKED), "order0")
     drop_scratch(vectors)
-    held = [graph]
+    told = []
     for i in range(1, orders):
-        turn = graph.select("id", "model", "h", "q", "blk", f"c{i}").repartitionByRange(parts, "model", f"c{i}", "id")
-        held.append(materialize(turn.mapInArrow(_search_order(k, ["id"]), f"id long, {_LISTS}"), f"order{i}"))
-    own = ["id", "model", "h", "q", "blk", "nb", "nblk", "sim"]
-    merged = graph.select(*own)
-    for lists in held[1:]:
-        merged = merged.unionByName(lists, allowMissingColumns=True)
-    graph = materialize(merged.repartition(parts, "id").mapInArrow(_merge(k), f"id long, model string, h long, q binary, blk int, {_LISTS}"), "graph")
-    for t in held:
-        drop_scratch(t)
-    places = max(1, graph.count() * k)
-    for r in range(rounds):
-        fresh, moved = _descend(graph, k, fan, parts, f"round{r}")
+        turn = graph.mapInArrow(_unfold(i, orders), "gid long, model long, h long, q binary, code int")
+        told.append(materialize(turn.repartitionByRange(parts, "model", "code", "gid").mapInArrow(_later_order(k), _PACKED), f"order{i}"))
+    if told:
+        everything = graph
+        for t in told:
+            everything = everything.unionByName(t)
+        merged = materialize(_by_block(everything, parts).mapInArrow(_merge(k), _PACKED), "graph")
+        for t in [graph, *told]:
+            drop_scratch(t)
+        graph = merged
+    for r in range(rounds if n else 0):
+        fresh = _descend(graph, k, fan, parts, f"round{r}")
         drop_scratch(graph)
         graph = fresh
-        if moved < STILL * places:
+        if graph.agg(F.sum(F.col("src").cast("long"))).first()[0] < STILL * n * k:
             break
-    return graph
-
-
-def neighbours(graph: DataFrame) -> DataFrame:
-    """(id, neighbour, rank, similarity) from a graph; rank counts from 1."""
-    return graph.select("id", F.posexplode(F.arrays_zip("nb", "sim")).alias("pos", "e")).where("e.nb >= 0").select(
-        "id", F.col("e.nb").alias("neighbour"), (F.col("pos") + 1).alias("rank"), F.col("e.sim").alias("similarity")
-    )
+    return NeighbourGraph(graph, k)
 
 
 def cosine(a, b):
@@ -360,7 +485,7 @@ def cosine(a, b):
 def similar_pairs(rows: DataFrame, threshold: float = 0.9, k: int = K, **options) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: pairs of the graph with at least that cosine in full precision."""
     ident, vector = options.get("ident", "stash_id"), options.get("vector", "embedding")
-    near = neighbours(neighbour_graph(rows, k, **options)).where(F.col("similarity") >= threshold - 0.02)
+    near = neighbour_graph(rows, k, **options).neighbours(threshold - 0.02)
     pairs = materialize(near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("i")).distinct()
     needed = rows.select(F.col(ident).cast("long").alias("i"), F.col(vector).alias("v")).join(ids, "i", "left_semi")
@@ -374,22 +499,24 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.9, k: int = K, **options
 def _pair_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            sim = np.einsum("ij,ij->i", _unit(b.column(2)), _unit(b.column(3)))
+            x, y = (_unit(np.frombuffer(b"".join(b.column(i).to_pylist()), "i1").reshape(b.num_rows, -1)) for i in (2, 3))
+            sim = np.einsum("ij,ij->i", x, y)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim.astype("f4"))], ["query", "id", "sim"])
 
 
 def greedy_search(
-    graph: DataFrame, queries: DataFrame, k: int = K, ef: int = 48, width: int = 12, rounds: int = 8, entries: int = 512,
+    graph: NeighbourGraph, queries: DataFrame, k: int = K, ef: int = 48, width: int = 12, rounds: int = 8, entries: int = 512,
 ) -> DataFrame:
     """(query, id, rank, similarity): the k best for each query that a greedy walk over the graph finds.
 
-    queries has query, model, h and q as in the graph. Every query starts from a fixed number of entry vectors of its
+    queries has query, model, h and q as the graph's members. Every query starts from a fixed number of entry vectors of its
     model; in each round its best width candidates that were not opened yet are opened, their neighbours (both ways)
     are compared with it, and the best ef stay. Queries skip vectors of their own label h.
     """
     spread = Window.partitionBy("model").orderBy(F.xxhash64("id", F.lit(3)), "id")
-    doors = graph.select("id", "model", "h", "q", F.row_number().over(spread).alias("r")).where(F.col("r") <= entries).drop("r")
-    edges = graph.select("id", F.explode("nb").alias("nb")).where("nb >= 0")
+    held = materialize(graph.members(), "members")
+    doors = held.select("id", "model", "h", "q", F.row_number().over(spread).alias("r")).where(F.col("r") <= entries).drop("r")
+    edges = graph.neighbours().select("id", F.col("neighbour").alias("nb"))
     edges = materialize(edges.union(edges.select(F.col("nb"), F.col("id"))).distinct(), "edges")
     asked = queries.select("query", "model", F.col("h").alias("qh"), F.col("q").alias("qq"))
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
@@ -402,7 +529,7 @@ def greedy_search(
         reached = marked.where("now").join(edges, "id").select("query", F.col("nb").alias("id")).distinct()
         new = reached.join(beam.select("query", "id"), ["query", "id"], "left_anti")
         scored = (
-            new.join(graph.select("id", "h", "q"), "id").join(asked, "query").where("h <> qh")
+            new.join(held.select("id", "h", "q"), "id").join(asked, "query").where("h <> qh")
             .select("query", "id", "qq", "q").mapInArrow(_pair_similarity, shape)
         )
         both = marked.select("query", "id", "sim", (F.col("open") | F.col("now")).alias("open")).unionByName(scored.withColumn("open", F.lit(False)))

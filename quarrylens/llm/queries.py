@@ -25,13 +25,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbours.neighbours(neighbours.neighbour_graph(load(spark, sf_dir, "embedding_stash")))
+    near = neighbours.neighbour_graph(load(spark, sf_dir, "embedding_stash")).neighbours()
     return near.select(F.col("id").alias("stash_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("similarity", 3).alias("similarity"))
 
 
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = neighbours.neighbour_graph(load(spark, sf_dir, "embedding_stash"))
-    asked = graph.where("id % 50 = 0").select(F.col("id").alias("query"), "model", "h", "q")
+    asked = graph.members().where("id % 50 = 0").select(F.col("id").alias("query"), "model", "h", "q")
     return neighbours.greedy_search(graph, asked).select("query", F.col("id").alias("stash_id"), "rank")
 
 
