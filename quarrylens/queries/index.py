@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrylens.queries import lookup
+from quarrylens.queries import lookup, slots
 
-_MODULES = [lookup]
+_MODULES = [lookup, slots]
 QUERIES = {n: f for m in _MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in _MODULES for n, s in m.SQL.items()}
