@@ -56,9 +56,11 @@ class MergeAutomaton:
             self.prefix[t] = i
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
+        if u not in self.born or v not in self.born or self._bars(u, v, rank):
+            return  # v never follows u by now, so that no arc w comes into being
         if w not in self.born:
             self.born[w], self.left[w], self.right[w] = rank, u, v
-        self.barred.setdefault((u, v), rank)
+        self.barred[u, v] = rank
 
     def follows(self, p: int, t: int) -> bool:
         """Whether the arc t leaves the state after p."""
@@ -68,8 +70,8 @@ class MergeAutomaton:
             known = self._step[key] = not self._bars(p, t)
         return known
 
-    def _bars(self, p: int, t: int) -> bool:
-        when = len(self.barred) + 1
+    def _bars(self, p: int, t: int, when: int = 1 << 62) -> bool:
+        """Whether t may not follow p in the automaton before the gadget of that rank."""
         born = self.born
         while True:
             rank = self.barred.get((p, t))
