@@ -104,8 +104,8 @@ def mixing_report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZE
     return (
         plan.join(got, ["mix_id", "source"], "left").join(per_mix, "mix_id", "left").join(planned, "mix_id")
         .select(
-            "mix_id", "source", "target_share", (F.col("mixed_tokens") / F.col("planned_all")).alias("planned_share"),
-            (F.coalesce("sampled_tokens", F.lit(0)) / F.col("mix_tokens")).alias("actual_share"), "tokens",
+            "mix_id", "source", "target_share", F.try_divide("mixed_tokens", "planned_all").alias("planned_share"),
+            F.try_divide(F.coalesce("sampled_tokens", F.lit(0)), "mix_tokens").alias("actual_share"), "tokens",
             F.coalesce("sampled_tokens", F.lit(0)).alias("sampled_tokens"), "epochs", "max_repeats", "reachable",
         )
     )
