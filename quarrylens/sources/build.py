@@ -21,9 +21,10 @@ def compile_database(spark: SparkSession, path: str) -> DataFrame:
     arguments may be given as a list or as one command line.
     """
     raw = spark.read.schema("directory string, file string, command string, arguments array<string>, output string").option("multiLine", True).json(path)
+    raw = raw.where("file is not null").withColumnRenamed("file", "unit")
     args = F.coalesce("arguments", F.filter(F.split("command", r"\s+"), lambda a: a != ""))
-    full = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
-    return raw.where("file is not null").select(full.alias("file"), "directory", args.alias("arguments"), flags_hash(F.filter(args, lambda a: a != F.col("file"))).alias("flags_hash"))
+    full = F.when(F.col("unit").startswith("/"), F.col("unit")).otherwise(F.concat_ws("/", "directory", "unit"))
+    return raw.select(full.alias("file"), "directory", args.alias("arguments"), flags_hash(F.filter(args, lambda a: a != F.col("unit"))).alias("flags_hash"))
 
 
 def dependency_files(spark: SparkSession, path: str) -> DataFrame:
@@ -127,6 +128,7 @@ def memory_regions(spark: SparkSession, path: str) -> DataFrame:
 def linker_symbols(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, name, provided, value_text, is_entry): assignments and the entry of linker scripts."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_path"), F.regexp_replace("value", r"(?s)/\*.*?\*/", " ").alias("t"))
+    whole = whole.withColumn("t", F.regexp_replace("t", r"\bMEMORY\s*\{[^}]*\}", " "))
     pat = r"(PROVIDE(?:_HIDDEN)?\s*\(\s*)?\b([A-Za-z_]\w*)\s*=\s*([^;=][^;]*);"
     sym = whole.select("file_path", F.explode(F.regexp_extract_all("t", F.lit(pat), F.lit(0))).alias("r")).select(
         "file_path", F.regexp_extract("r", pat, 2).alias("name"), (F.regexp_extract("r", pat, 1) != "").alias("provided"), F.trim(F.regexp_replace(F.regexp_extract("r", pat, 3), r"\)\s*$", "")).alias("value_text"), F.lit(False).alias("is_entry"))
