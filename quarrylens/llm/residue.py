@@ -212,7 +212,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if kind != "other" or re.search(r"\d", line):
                         continue
                     own = set(re.findall(r"\w+", line.lower()))
-                    if own and not own & _PLAIN_WORDS and len(own & words) >= 0.3 * len(own):
+                    if own and not own & _PLAIN_WORDS and len(own & words) >= 0.1 * len(own):
                         kinds[i], grown = "lorem", True
                         words |= own
             seeded = bool({"server", "notice", "filler", "lorem"} & set(kinds))
