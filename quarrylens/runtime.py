@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,8 +37,24 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python finds it wherever it runs."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quarrylens-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/quarrylens-package.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    spark.sparkContext.addPyFile(f"{folder}/quarrylens-package.zip")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of an index directory; Parquet, so filters and columns reach the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
