@@ -354,12 +354,18 @@ def overrides_closed(spark, sf):
     return G.close_overrides(overrides(spark, sf))
 
 
-@query()
+@query(f"""WITH {BOTH}, fn AS (SELECT config_hash, usr, name, is_definition, CASE WHEN coalesce(signature, '') = '' THEN 0 ELSE len(string_split(signature, ',')) END AS n FROM sym WHERE kind IN ('function', 'method', 'constructor', 'destructor')),
+d AS (SELECT * FROM fn f WHERE is_definition = 0 AND EXISTS (SELECT 1 FROM rf r WHERE r.config_hash = f.config_hash AND r.to_usr = f.usr) AND NOT EXISTS (SELECT 1 FROM rf r WHERE r.config_hash = f.config_hash AND r.from_usr = f.usr)),
+p AS (SELECT d.config_hash, d.usr AS decl_usr, e.usr AS def_usr, CASE WHEN e.name = '__' || d.name THEN 0 ELSE 1 END AS k FROM d JOIN fn e ON e.config_hash = d.config_hash AND e.n = d.n AND e.is_definition = 1 AND e.name IN ('__' || d.name, '_' || d.name))
+SELECT config_hash, decl_usr, arg_min(def_usr, {{'k': k, 'u': def_usr}}) AS def_usr FROM p GROUP BY 1, 2""")
 def alias_pairs(spark, sf):
     return G.alias_pairs(sym(spark, sf), ref(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOTH}, {EDGES}, {_HOT}, u AS (SELECT h.config_hash, h.usr FROM hot h JOIN sym s ON s.config_hash = h.config_hash AND s.usr = h.usr WHERE contains(lower(s.signature), 'struct ctx')
+QUALIFY row_number() OVER (PARTITION BY h.config_hash ORDER BY h.caller_count DESC, h.usr) <= 15), w AS (SELECT config_hash, usr AS src, usr, 0 AS depth FROM u
+UNION SELECT w.config_hash, w.src, e.dst, w.depth + 1 FROM w JOIN edges e ON e.config_hash = w.config_hash AND e.src = w.usr WHERE w.depth < 4)
+SELECT w.config_hash, w.src, w.usr AS dst, min(depth) AS depth FROM w JOIN sym g ON g.config_hash = w.config_hash AND g.usr = w.usr AND g.name = 'sched_lock_enter' WHERE w.usr <> w.src AND depth > 0 GROUP BY ALL""")
 def data_flow(spark, sf):
     return G.data_flow(sym(spark, sf), ref(spark, sf), "struct ctx", "sched_lock_enter", 4).select("config_hash", "src", "dst", "depth")
 
@@ -414,9 +420,15 @@ def scalar_functions(spark, sf):
         S.body_hash(c("source"), c("qualified_name"), c("signature"), c("docstring")).alias("body_hash"))
 
 
-@query()
+def _split_sql(c: str) -> str:
+    out = f"regexp_replace({c}, '\\((?:unnamed|anonymous)[^)]*\\)', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"string_split(trim(lower(regexp_replace({out}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
+
+
+@query(f"""SELECT id, list_sort(list_distinct(list_filter(list_concat({_split_sql('name')}, {_split_sql('qualified_name')}), lambda w: length(w) > 1 AND w NOT IN ('at', 'unnamed', 'anonymous')))) AS tokens FROM symbols""")
 def name_tokens(spark, sf):
-    return load(spark, sf, "symbols").select("id", S.name_tokens(F.col("name"), F.col("qualified_name")).alias("tokens"), S.suggestion_tokens(F.col("name")).alias("suggestion"))
+    return load(spark, sf, "symbols").select("id", F.array_sort(S.name_tokens(F.col("name"), F.col("qualified_name"))).alias("tokens"))
 
 
 # --- aggregates

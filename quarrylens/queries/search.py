@@ -94,7 +94,8 @@ def match_lines(spark, sf):
     return T.match_lines(sym(spark, sf).where("source is not null"), "id", "source", "line", T.query_terms('"return" AND state*'))
 
 
-@query()
+@query(f"""WITH {SYM}, l AS (SELECT config_hash, usr, unnest(string_split(source, chr(10))) AS t, unnest(range(1, len(string_split(source, chr(10))) + 1))::INT AS line_no FROM sym
+WHERE regexp_matches(regexp_replace(source, '(?s)/\\*.*?\\*/', '', 'g'), '\\bEIO\\b')) SELECT config_hash, usr, line_no FROM l WHERE regexp_matches(regexp_replace(t, '//.*$', ''), '\\bEIO\\b')""")
 def macro_refs(spark, sf):
     return T.macro_references(sym(spark, sf).where("source is not null"), "EIO", "source").select("config_hash", "usr", "line_no")
 
@@ -105,7 +106,8 @@ def fts_consistency(spark, sf):
     return T.index_inconsistencies(load(spark, sf, "symbols"), load(spark, sf, "symbols_fts").select(F.col("symbol_id").alias("id")), "id")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text, strpos(lower(text), 'watchdog') AS p FROM documents WHERE contains(lower(text), 'watchdog'))
+SELECT doc_id, regexp_replace(substr(text, greatest(p - 80, 1), 168), '(?i)(watchdog)', '<b>\\1</b>', 'g') AS snippet FROM d""")
 def snippets(spark, sf):
     d = load(spark, sf, "documents").where(F.lower("text").contains("watchdog"))
     return d.select("doc_id", T.snippet(F.col("text"), "watchdog").alias("snippet"))
@@ -149,16 +151,23 @@ def source_boost(spark, sf):
     return V.source_boost(hits, ["query"], key="vec_id").select("vec_id", F.round("boosted", 6).alias("boosted"), "rank")
 
 
-@query()
+_USABLE = "len(embedding) = 64 AND model = 'embed-lite-64' AND chunk_index = 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0"
+
+
+@query(f"""WITH {_TEXTS}, {_bm25(['spi*', 'halt*'], T.SYMBOL_WEIGHTS, _COLS, 't', 'symbol_id')}, top AS (SELECT doc FROM ranked ORDER BY score, doc LIMIT 200),
+s AS (SELECT stash_id, donor_id, embedding::DOUBLE[] AS e FROM embedding_stash WHERE {_USABLE}), q AS (SELECT e FROM s ORDER BY stash_id LIMIT 1)
+SELECT donor_id AS symbol_id, round(min(1 - list_cosine_similarity(e, (SELECT e FROM q))), 6) AS distance FROM s WHERE donor_id IN (SELECT doc FROM top) GROUP BY 1""")
 def hybrid_rerank(spark, sf):
     s = load(spark, sf, "embedding_stash").where("size(embedding) = 64 and model = 'embed-lite-64' and chunk_index = 0")
+    s = s.where(~F.exists("embedding", lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0))
     index = T.build_index(_texts(spark, sf), "symbol_id", tuple(_COLS))
     top = T.search(index, "spi halt", T.SYMBOL_WEIGHTS).orderBy("score", "doc").limit(200).select(F.col("doc").alias("symbol_id"))
     q = s.orderBy("stash_id").first()["embedding"]
-    return V.hybrid_rerank(top, s.select(F.col("donor_id").alias("symbol_id"), "embedding"), q)
+    return V.hybrid_rerank(top, s.select(F.col("donor_id").alias("symbol_id"), "embedding"), q).select("symbol_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"""WITH {_Q}, d AS (SELECT vec_id FROM c WHERE 1 - s <= 0.7 ORDER BY 1 - s, vec_id LIMIT 30), k AS (SELECT count(*) AS n FROM d)
+SELECT vec_id, 'dense' AS mode FROM d WHERE (SELECT n FROM k) >= 3 UNION ALL SELECT vec_id, 'text' FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 20) WHERE (SELECT n FROM k) < 3""")
 def fusion_choice(spark, sf):
     e, q = _first_vector(spark, sf)
     rows, which = V.adaptive_fusion(V.knn(e, q, "vec_id", threshold=0.3), e.select("vec_id", F.lit(1.0).alias("distance")).orderBy("vec_id").limit(20))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrylens.operators import pointsto as P
 from quarrylens.operators import references as R
 from quarrylens.functions import scalars as S
-from quarrylens.queries.common import BOTH, REF, SYM, overrides, ref, slot_facts, sym
+from quarrylens.queries.common import BOTH, OVR, REF, SYM, overrides, ref, slot_facts, sym
 
 _FACTS = f"""{REF}, src AS (SELECT DISTINCT config_hash, to_usr AS function, 'P|' || from_usr || '|' || slot_index AS slot FROM rf WHERE slot_index IS NOT NULL AND from_usr IS NOT NULL),
 flow AS (SELECT DISTINCT config_hash, 'P|' || from_usr || '|0' AS source, 'P|' || to_usr || '|0' AS target FROM rf WHERE ref_kind = 'indirect' AND from_usr IS NOT NULL),
@@ -92,13 +92,20 @@ def vector_table(spark, sf):
     return P.vector_table(r, sym(spark, sf), r.where("ref_kind = 'indirect'").select("config_hash", F.col("from_usr").alias("usr")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PT}, via AS (SELECT pt.config_hash, f.target AS slot, pt.function, pt.slot AS via FROM pt JOIN flow f ON f.config_hash = pt.config_hash AND f.source = pt.slot WHERE f.source <> f.target),
+w AS (SELECT DISTINCT pt.config_hash, pt.slot AS start_slot, pt.function, pt.slot FROM pt JOIN site s ON s.config_hash = pt.config_hash AND s.slot = pt.slot
+UNION SELECT w.config_hash, w.start_slot, w.function, v.via FROM w JOIN via v ON v.config_hash = w.config_hash AND v.slot = w.slot AND v.function = w.function),
+n AS (SELECT config_hash, start_slot, function, count(*) AS n FROM w GROUP BY 1, 2, 3)
+SELECT DISTINCT w.config_hash, w.start_slot, w.function, r.from_file AS file, r.from_line AS line, n.n > 256 AS capped FROM w JOIN n ON n.config_hash = w.config_hash AND n.start_slot = w.start_slot AND n.function = w.function
+JOIN rf r ON r.config_hash = w.config_hash AND r.to_usr = w.function AND r.slot_index IS NOT NULL AND 'P|' || r.from_usr || '|' || r.slot_index = w.slot""")
 def stored_places(spark, sf):
     got, f = _resolved(spark, sf)
     return P.stored_places(got.via, f["sources"], f["sites"].select("config_hash", "slot"))
 
 
-@query()
+@query(f"""WITH {SYM}, {OVR}, {_FACTS}, i AS (SELECT DISTINCT config_hash, regexp_extract(slot, '^P\\|(.*)\\|[^|]*$', 1) AS code, regexp_extract(slot, '([^|]*)$', 1) AS k FROM src)
+SELECT DISTINCT o.config_hash, 'P|' || base_usr || '|' || k AS source, 'P|' || derived_usr || '|' || k AS target FROM ovr o JOIN i ON i.config_hash = o.config_hash AND i.code IN (o.base_usr, o.derived_usr)
+UNION ALL SELECT config_hash, 'R|' || derived_usr, 'R|' || base_usr FROM ovr""")
 def override_flows(spark, sf):
     return P.override_flows(overrides(spark, sf), slot_facts(spark, sf)["sources"])
 
