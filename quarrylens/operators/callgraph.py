@@ -99,11 +99,11 @@ def hotspots(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return symbols.where("is_definition = 1").select("config_hash", "usr", "name", "kind", "file_path", "is_project").join(counts, ["config_hash", "usr"])
 
 
-def pagerank(symbols: DataFrame, refs: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, normalise: bool = True) -> DataFrame:
+def pagerank(symbols: DataFrame, refs: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, normalise: bool = True, stride: int = 5) -> DataFrame:
     """(config_hash, usr, pagerank) of the callables that take part in distinct call edges; the largest of a build is 1.
 
-    Dangling weight isn't handed out again. The loop ends when the summed change of every build is below tolerance.
-    Edges carry their source's out-degree and are written once; each round is one join and one aggregate with map-side
+    Dangling weight isn't handed out again. Rounds are planned stride at a time and then written; the loop ends when the
+    summed change of the last round of every build is below tolerance. Edges carry their source's out-degree and are written once; each round is one join and one aggregate with map-side
     combining, so a function with a third of all callers is no hot task.
     """
     fn = symbols.where(F.col("kind").isin(*CALLABLE, "lambda") & (F.col("usr") != "")).select("config_hash", "usr")
@@ -114,16 +114,21 @@ def pagerank(symbols: DataFrame, refs: DataFrame, damping: float = 0.85, rounds:
     size = nodes.groupBy("config_hash").agg(F.count(F.lit(1)).alias("n"))
     nodes = materialize(nodes.join(size, "config_hash"), "rank-nodes")
     score = nodes.select("config_hash", "usr", (1.0 / F.col("n")).alias("score"))
-    for i in range(rounds):
+    def step(score: DataFrame) -> DataFrame:
         given = edges.join(score.withColumnRenamed("usr", "src"), ["config_hash", "src"]).groupBy("config_hash", F.col("dst").alias("usr")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        fresh = nodes.join(given, ["config_hash", "usr"], "left").select("config_hash", "usr", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        fresh = materialize(fresh, f"rank{i}")
+        return nodes.join(given, ["config_hash", "usr"], "left").select("config_hash", "usr", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+
+    done = 0
+    while done < rounds:
+        ahead = min(stride, rounds - done)
+        for _ in range(ahead - 1):
+            score = step(score)
+        was = materialize(score, f"rank{done}") if tolerance > 0 else score
+        score, done = materialize(step(was), f"rank{done + ahead}"), done + ahead
         if tolerance > 0:
-            moved = fresh.join(score.withColumnRenamed("score", "was"), ["config_hash", "usr"]).groupBy("config_hash").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("d"))
+            moved = score.join(was.withColumnRenamed("score", "was"), ["config_hash", "usr"]).groupBy("config_hash").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("d"))
             if (moved.agg(F.max("d")).first()[0] or 0.0) < tolerance:
-                score = fresh
                 break
-        score = fresh
     if normalise:
         top = score.groupBy("config_hash").agg(F.max("score").alias("top"))
         return score.join(top, "config_hash").select("config_hash", "usr", (F.col("score") / F.col("top")).alias("pagerank"))

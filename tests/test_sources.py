@@ -141,3 +141,13 @@ def test_merges(spark):
     rng = spark.createDataFrame([("g", "a.c", 1, 1000, "outer"), ("g", "a.c", 5, 5, "inner")], "config_hash string, from_file string, lo int, hi int, usr string")
     assert {(r["id"], r["usr"]) for r in intervals.contain(pts, rng, ["config_hash", "from_file"], "from_line", "lo", "hi").collect()} == {(1, "outer"), (1, "inner"), (2, "outer")}
     assert F is not None
+
+
+def test_pagerank_converges(spark, sf):
+    from quarrylens.operators.callgraph import pagerank
+    from quarrylens.queries.common import ref, sym
+
+    s, r = sym(spark, sf), ref(spark, sf)
+    a = {(x["config_hash"], x["usr"]): x["pagerank"] for x in pagerank(s, r).collect()}
+    b = {(x["config_hash"], x["usr"]): x["pagerank"] for x in pagerank(s, r, rounds=20, tolerance=0, stride=4).collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-3 and max(a.values()) == 1.0
