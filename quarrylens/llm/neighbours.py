@@ -126,11 +126,13 @@ def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-#: A block of vectors, or a message to one, is a row of packed arrays, so that Spark moves few large rows. own: id, model,
-#: h, q, codes, nb, sim; ask: row; guest: row, -, h, q, kth, and edges to, nb, sim; edges: row, -, -, -, -, nb, sim.
-_PACK = ("blk", "what", "src", "a", "b", "c", "d", "e", "nb", "sim", "to")
-_PACKED = "blk int, what string, src int, a binary, b binary, c binary, d binary, e binary, nb binary, sim binary, to binary"
-_SHAPE = pa.schema([("blk", pa.int32()), ("what", pa.string()), ("src", pa.int32()), *[(c, pa.binary()) for c in _PACK[3:]]])
+#: A block of vectors, or a message to one, is packed into rows of arrays, so that Spark moves few rows of moderate size.
+#: own: id, model, h, q, codes, nb, sim; ask: row; guest: row, edge's row, h, q, kth, and edges to, sim; edges: row, nb, sim.
+_PACK = ("blk", "what", "src", "part", "a", "b", "c", "d", "e", "nb", "sim", "to")
+_PACKED = "blk int, what string, src int, part int, a binary, b binary, c binary, d binary, e binary, nb binary, sim binary, to binary"
+_SHAPE = pa.schema([("blk", pa.int32()), ("what", pa.string()), ("src", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in _PACK[4:]]])
+#: Vectors and edges in one row at most: about 200 KB, which the JVM's collector still treats as a small object.
+VECTORS, EDGES = 1_000, 10_000
 
 
 def _pack(**arrays) -> pa.RecordBatch:
@@ -159,18 +161,26 @@ def _by_block(df: DataFrame, parts: int) -> DataFrame:
 class _Own:
     """A block's own vectors; a neighbour is its block times 2^32 plus its row there."""
 
-    def __init__(self, row: dict, k: int):
-        self.blk, self.row = row["blk"], row
-        self.ids, self.h = _get(row, "a", "i8"), _get(row, "c", "i8")
+    def __init__(self, rows: list[dict], k: int):
+        rows = sorted((r for r in rows if r["what"] == "own"), key=lambda r: r["part"])
+        all_of = lambda c, kind: np.concatenate([_get(r, c, kind) for r in rows])
+        self.blk = rows[0]["blk"]
+        self.ids, self.model, self.h = all_of("a", "i8"), all_of("b", "i8"), all_of("c", "i8")
         self.n = len(self.ids)
-        self.q = _get(row, "d", "i1").reshape(self.n, -1)
-        self.nb, self.sim = _get(row, "nb", "i8").reshape(self.n, k), _get(row, "sim", "f4").reshape(self.n, k)
+        self.q, self.codes = all_of("d", "i1").reshape(self.n, -1), all_of("e", "i4").reshape(self.n, -1)
+        self.nb, self.sim = all_of("nb", "i8").reshape(self.n, k), all_of("sim", "f4").reshape(self.n, k)
 
     def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, place = np.nonzero(self.nb >= 0)
         return row, self.nb[row, place], self.sim[row, place]
 
 
+def _pack_own(blk: int, moved: int, ids, model, h, q, codes, nb, sim) -> Iterator[pa.RecordBatch]:
+    for part, i in enumerate(range(0, len(ids), VECTORS)):
+        a, b, c, d, e, f, g = (v[i : i + VECTORS] for v in (ids, model, h, q, codes, nb, sim))
+        yield _pack(blk=blk, what="own", src=0 if part else moved, part=part, a=a, b=b, c=c, d=d, e=e, nb=f, sim=g)
+
+
 def _unit(q: np.ndarray) -> np.ndarray:
     x = q.astype("f4")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -198,7 +208,7 @@ def _first_order(k: int, orders: int) -> Callable:
         q = np.frombuffer(b"".join(t["q"].to_pylist()), "i1").reshape(len(h), -1)
         at, sim = _search_models(model, q, h, k)
         codes = np.stack([t[f"c{i}"].to_numpy() for i in range(orders)], 1)
-        yield _pack(blk=blk, what="own", src=blk, a=t["id"].to_numpy(), b=model, c=h, d=q, e=codes, nb=np.where(at >= 0, (blk << 32) + at, -1), sim=sim)
+        yield from _pack_own(blk, 0, t["id"].to_numpy(), model, h, q, codes, np.where(at >= 0, (blk << 32) + at, -1), sim)
 
     return run
 
@@ -212,7 +222,7 @@ def _unfold(order: int, orders: int) -> Callable:
                 h = _get(row, "c", "i8")
                 raw, dim = row["d"], len(row["d"]) // len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((row["blk"] << 32) + np.arange(len(h))), pa.array(_get(row, "b", "i8")), pa.array(h),
+                    [pa.array((row["blk"] << 32) + row["part"] * VECTORS + np.arange(len(h))), pa.array(_get(row, "b", "i8")), pa.array(h),
                      pa.array([raw[i : i + dim] for i in range(0, len(raw), dim)], pa.binary()),
                      pa.array(np.ascontiguousarray(_get(row, "e", "i4").reshape(len(h), orders)[:, order]))],
                     ["gid", "model", "h", "q", "code"],
@@ -222,12 +232,13 @@ def _unfold(order: int, orders: int) -> Callable:
 
 
 def _send(kind: str, dest: np.ndarray, src: int, **arrays) -> Iterator[pa.RecordBatch]:
-    """One message to each block in dest with its part of the arrays."""
+    """Messages to each block in dest with its part of the arrays."""
     order = np.argsort(dest, kind="stable")
     dest = dest[order]
     heads, begin = np.unique(dest, return_index=True)
     for blk, a, b in zip(heads, begin, [*begin[1:], len(dest)]):
-        yield _pack(blk=int(blk), what=kind, src=src, **{c: v[order[a:b]] for c, v in arrays.items()})
+        for i in range(a, b, EDGES):
+            yield _pack(blk=int(blk), what=kind, src=src, **{c: v[order[i : min(i + EDGES, b)]] for c, v in arrays.items()})
 
 
 def _later_order(k: int) -> Callable:
@@ -251,7 +262,7 @@ def _merge(k: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blk, rows in _blocks(batches):
-            own = _Own(next(r for r in rows if r["what"] == "own"), k)
+            own = _Own(rows, k)
             parts = [own.edges()] + [(_get(r, "a", "i4"), _get(r, "nb", "i8"), _get(r, "sim", "f4")) for r in rows if r["what"] == "edges"]
             row, nb, sim = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((-sim, nb, row))
@@ -264,8 +275,7 @@ def _merge(k: int) -> Callable:
             fits = place < k
             a, s = np.full((own.n, k), -1, "i8"), np.full((own.n, k), -2, "f4")
             a[row[fits], place[fits]], s[row[fits], place[fits]] = nb[fits], sim[fits]
-            kept = {c: own.row[c] for c in "abcde"}
-            yield _pack(blk=blk, what="own", src=int((a != own.nb).sum()), **kept, nb=a, sim=s)
+            yield from _pack_own(blk, int((a != own.nb).sum()), own.ids, own.model, own.h, own.q, own.codes, a, s)
 
     return run
 
@@ -276,7 +286,7 @@ def _asks(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                own = _Own(r, k)
+                own = _Own([r], k)
                 want = np.unique(own.nb[own.nb >= 0])
                 want = want[want >> 32 != own.blk]
                 yield from _send("ask", want >> 32, own.blk, a=(want & 0xFFFFFFFF).astype("i4"))
@@ -289,19 +299,25 @@ def _answers(k: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blk, rows in _blocks(batches):
-            own = _Own(next(r for r in rows if r["what"] == "own"), k)
+            own = _Own(rows, k)
             row, nb, sim = own.edges()
             away = nb >> 32
-            asked = {r["src"]: _get(r, "a", "i4") for r in rows if r["what"] == "ask"}
+            asked: dict[int, list[np.ndarray]] = {}
+            for r in rows:
+                if r["what"] == "ask":
+                    asked.setdefault(r["src"], []).append(_get(r, "a", "i4"))
             order = np.argsort(away, kind="stable")
             row, nb, sim, away = row[order], nb[order], sim[order], away[order]
             heads = sorted({*np.unique(away).tolist(), *asked} - {blk})
             kth = own.sim[:, k - 1]
             for other in heads:
                 lo, hi = np.searchsorted(away, [other, other + 1])
-                send = np.union1d(row[lo:hi].astype("i4"), asked.get(other, np.zeros(0, "i4"))).astype("i4")
-                yield _pack(blk=int(other), what="guest", src=blk, a=send, c=own.h[send], d=own.q[send], e=kth[send], b=row[lo:hi].astype("i4"),
-                            to=(nb[lo:hi] & 0xFFFFFFFF).astype("i4"), sim=sim[lo:hi])
+                send = np.unique(np.concatenate([row[lo:hi].astype("i4"), *asked.get(other, [])]))
+                edge = row[lo:hi].astype("i4"), (nb[lo:hi] & 0xFFFFFFFF).astype("i4"), sim[lo:hi]
+                for i in range(max(-(-len(send) // VECTORS), -(-(hi - lo) // EDGES))):
+                    part = send[i * VECTORS : (i + 1) * VECTORS]
+                    b, to, s = (v[i * EDGES : (i + 1) * EDGES] for v in edge)
+                    yield _pack(blk=int(other), what="guest", src=blk, a=part, c=own.h[part], d=own.q[part], e=kth[part], b=b, to=to, sim=s)
 
     return run
 
@@ -312,14 +328,14 @@ def _local_join(k: int, fan: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blk, rows in _blocks(batches):
-            own = _Own(next(r for r in rows if r["what"] == "own"), k)
+            own = _Own(rows, k)
             guests = sorted((r for r in rows if r["what"] == "guest"), key=lambda r: r["src"])
             q, h, kth = [own.q], [own.h], [own.sim[:, k - 1]]
             gid = [(blk << 32) + np.arange(own.n)]
             for g in guests:
                 a = _get(g, "a", "i4")
                 gid.append((g["src"] << 32) + a.astype("i8"))
-                q.append(_get(g, "d", "i1").reshape(len(a), -1))
+                q.append(_get(g, "d", "i1").reshape(len(a), own.q.shape[1]))
                 h.append(_get(g, "c", "i8"))
                 kth.append(_get(g, "e", "f4"))
             gid, x, h, kth = np.concatenate(gid), _unit(np.concatenate(q)), np.concatenate(h), np.concatenate(kth)
@@ -393,7 +409,7 @@ def _resolve(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                own = _Own(r, k)
+                own = _Own([r], k)
                 row, place = np.nonzero(own.nb >= 0)
                 for a in range(0, len(row), 50_000):
                     i, p = row[a : a + 50_000], place[a : a + 50_000]
@@ -411,7 +427,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = _get(r, "a", "i8")
             dim = len(r["d"]) // len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((r["blk"] << 32) + np.arange(len(ids))), pa.array(ids), pa.array(_get(r, "b", "i8")), pa.array(_get(r, "c", "i8")),
+                [pa.array((r["blk"] << 32) + r["part"] * VECTORS + np.arange(len(ids))), pa.array(ids), pa.array(_get(r, "b", "i8")), pa.array(_get(r, "c", "i8")),
                  pa.array([r["d"][i : i + dim] for i in range(0, len(r["d"]), dim)], pa.binary())],
                 ["gid", "id", "model", "h", "q"],
             )
