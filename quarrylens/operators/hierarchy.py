@@ -156,7 +156,8 @@ def hierarchy(
     Repeated rows count once; nulls see parent_links; an empty table gives an empty result; other columns are ignored.
     """
     nodes = parent_links(rows, group, node, parent)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # no task may get more nodes than it can hold; the rows are counted from the files' metadata
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // LOCAL_LIMIT)
     solved = _solve(nodes.repartitionByRange(parts, "g", "n"), paths, local_limit, 0)
     fine = F.col("cyc").isNull()
     return solved.select(
