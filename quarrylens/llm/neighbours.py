@@ -11,10 +11,11 @@ about 0.001); whoever needs exact similarities compares the few chosen pairs aga
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.runtime import drop_scratch, materialize
@@ -454,6 +455,18 @@ class NeighbourGraph:
         return near.join(names, "gid").select("id", "neighbour", "rank", "similarity")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of a few MB: their buffers lie outside of the heap, several to a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def neighbour_graph(
     rows: DataFrame, k: int = K, dim: int = 64, ident: str = "stash_id", group: str = "model", label: str = "content_hash",
     vector: str = "embedding", orders: int = ORDERS, rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS, fan: int = FAN,
@@ -465,30 +478,31 @@ def neighbour_graph(
     are at least as many blocks as the session has shuffle partitions, so that all tasks have work.
     """
     spark = rows.sparkSession
-    vectors = materialize(usable_vectors(rows, dim, orders, ident, group, label, vector), "vectors")
-    n = vectors.count()
-    parts = max(1, min(n // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // block_rows))
-    first = vectors.repartitionByRange(parts, "model", "c0", "id").withColumn("blk", F.spark_partition_id())
-    graph = materialize(first.mapInArrow(_first_order(k, orders), _PACKED), "order0")
-    drop_scratch(vectors)
-    told = []
-    for i in range(1, orders):
-        turn = graph.mapInArrow(_unfold(i, orders), "gid long, model long, h long, q binary, code int")
-        told.append(materialize(turn.repartitionByRange(parts, "model", "code", "gid").mapInArrow(_later_order(k), _PACKED), f"order{i}"))
-    if told:
-        everything = graph
-        for t in told:
-            everything = everything.unionByName(t)
-        merged = materialize(_by_block(everything, parts).mapInArrow(_merge(k), _PACKED), "graph")
-        for t in [graph, *told]:
-            drop_scratch(t)
-        graph = merged
-    for r in range(rounds if n else 0):
-        fresh = _descend(graph, k, fan, parts, f"round{r}")
-        drop_scratch(graph)
-        graph = fresh
-        if graph.agg(F.sum(F.col("src").cast("long"))).first()[0] < STILL * n * k:
-            break
+    with _small_batches(spark):
+        vectors = materialize(usable_vectors(rows, dim, orders, ident, group, label, vector), "vectors")
+        n = vectors.count()
+        parts = max(1, min(n // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // block_rows))
+        first = vectors.repartitionByRange(parts, "model", "c0", "id").withColumn("blk", F.spark_partition_id())
+        graph = materialize(first.mapInArrow(_first_order(k, orders), _PACKED), "order0")
+        drop_scratch(vectors)
+        told = []
+        for i in range(1, orders):
+            turn = graph.mapInArrow(_unfold(i, orders), "gid long, model long, h long, q binary, code int")
+            told.append(materialize(turn.repartitionByRange(parts, "model", "code", "gid").mapInArrow(_later_order(k), _PACKED), f"order{i}"))
+        if told:
+            everything = graph
+            for t in told:
+                everything = everything.unionByName(t)
+            merged = materialize(_by_block(everything, parts).mapInArrow(_merge(k), _PACKED), "graph")
+            for t in [graph, *told]:
+                drop_scratch(t)
+            graph = merged
+        for r in range(rounds if n else 0):
+            fresh = _descend(graph, k, fan, parts, f"round{r}")
+            drop_scratch(graph)
+            graph = fresh
+            if graph.agg(F.sum(F.col("src").cast("long"))).first()[0] < STILL * n * k:
+                break
     return NeighbourGraph(graph, k)
 
 
