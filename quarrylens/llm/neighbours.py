@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from quarrylens.runtime import drop_scratch, materialize
 
-K, ORDERS, ROUNDS, BLOCK_ROWS, CELL_ROWS, PROBES = 10, 5, 2, 25_000, 400, 3
+K, ORDERS, ROUNDS, BLOCK_ROWS, CELL_ROWS, PROBES = 10, 5, 4, 25_000, 256, 6
 #: Neighbours of one vector, forward and back, that a round compares with each other (the sampling of NN-descent).
 FAN = 24
 #: A round that changes fewer than this share of all list places is the last.
-STILL = 0.002
+STILL = 0.08
 
 
 def _planes(dim: int, orders: int, bits: int = 30) -> np.ndarray:
