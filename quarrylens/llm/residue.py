@@ -44,6 +44,8 @@ _FIELD = re.compile(
     r"|(?P<square>(?<![\w\]\\!])\[[^\W\d_][^\[\]\n|`{}=;]*\](?![(\[:\w]))|(?P<angle>(?<![\w<])<[^\W\d_][^<>\n=/|`;{}()@]*>(?!>))"
     r"|(?P<blank>(?<=[:：])[ \t]*_{3,}|(?<=[:：])[ \t]*\.{5,}\s*$)"
 )
+#: What a line has if any of the styles is in it; cheap to look for.
+_HINT = re.compile(r"[{\[<%@|&]|\$[({]|__|(?:TBD|XXX|FIXME)_|\.{5}")
 WEAK = frozenset(("square", "angle"))
 #: Words by which a bracketed span asks to be replaced.
 _ASKS = re.compile(
@@ -128,7 +130,7 @@ _CHROME = re.compile(
     ) $"""
 )
 _NUM = re.compile(r"\b(?:0x)?[0-9a-f]*\d[0-9a-f]*\b", re.I)
-_IDENT = re.compile(r"\b\w+(?:_\w+)+\b|\b\w+-\w+\b|/[\w./-]+")
+_NAME = re.compile(r"\b(?:\w+(?:[_-]\w+)+|(?:0x)?[0-9a-f]*\d[0-9a-f]*)\b|/[\w./-]+")
 
 
 def prose_lines(text: str) -> list[str]:
@@ -149,7 +151,7 @@ def prose_lines(text: str) -> list[str]:
 
 def fields(line: str) -> list[tuple[str, str, bool]]:
     """(style, span, certain) of each span of a line that looks like an unfilled field."""
-    if not any(c in line for c in "{[<%$@|&_.") and "TBD" not in line and "XXX" not in line:
+    if not _HINT.search(line):
         return []
     found = []
     table = line.startswith("|") and line.count("|") > 2
@@ -187,7 +189,7 @@ def line_kind(line: str) -> str:
 
 
 def _mask(line: str) -> str:
-    return _NUM.sub("#", _IDENT.sub("@", line.lower()))
+    return _NAME.sub("@", line.lower())
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
