@@ -28,7 +28,10 @@ def normal_source(col):
 
 def source_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(name, docs, tokens) per normalized source, null for null sources; counts are combined before the shuffle."""
-    counted = token_counts(docs.select("source", "text"), ["source"], tokenizer=tokenizer)
+    return _sizes(token_counts(docs.select("source", "text"), ["source"], tokenizer=tokenizer))
+
+
+def _sizes(counted: DataFrame) -> DataFrame:
     return counted.groupBy(normal_source(F.col("source")).alias("name")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")
     )
@@ -71,7 +74,12 @@ def mixing_plan(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     repeats as none; targets with a null mix_id are left out. Rows of a mix are as many as it names sources, a task
     takes one mix.
     """
-    sizes = materialize(source_sizes(docs, tokenizer), "source-sizes")
+    return plan_from_sizes(source_sizes(docs, tokenizer), targets)
+
+
+def plan_from_sizes(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """mixing_plan for sizes (name, tokens) that are known."""
+    sizes = materialize(sizes, "source-sizes")
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     named = targets.where("mix_id is not null").select(
         "mix_id", "source", normal_source(F.col("source")).alias("name"),
@@ -84,20 +92,20 @@ def mixing_plan(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     return joined.groupBy("mix_id").applyInPandas(_plan, _PLAN)
 
 
-def sample(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """(mix_id, source, doc_id, copies) of each document that a mix takes; the same seed gives the same copies."""
+def sample(docs: DataFrame, plan: DataFrame, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(mix_id, source, doc_id, copies and keep's columns) of each document that a mix takes; the same seed gives the same copies."""
     dose = plan.where("epochs > 0").select("mix_id", "source", "name", "epochs")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("doc_id")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     copies = F.floor("epochs") + F.when(draw < F.col("epochs") - F.floor("epochs"), 1).otherwise(0)
-    taken = docs.select("doc_id", normal_source(F.col("source")).alias("name")).join(dose, "name")
-    return taken.select("mix_id", F.col("source"), "doc_id", copies.cast("int").alias("copies")).where("copies > 0")
+    taken = docs.select("doc_id", normal_source(F.col("source")).alias("name"), *keep).join(dose, "name")
+    return taken.select("mix_id", F.col("source"), "doc_id", copies.cast("int").alias("copies"), *keep).where("copies > 0")
 
 
 def mixing_report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 17) -> DataFrame:
     """Per target: share wanted, share planned and share really reached by the sampled copies, with epochs and cap."""
-    plan = materialize(mixing_plan(docs, targets, tokenizer), "mixing-plan")
     counted = materialize(token_counts(docs.select("doc_id", "source", "text"), ["doc_id", "source"], tokenizer=tokenizer), "doc-tokens")
-    drawn = sample(counted, plan, seed).join(counted.select("doc_id", "n_tokens"), "doc_id")
+    plan = materialize(plan_from_sizes(_sizes(counted), targets), "mixing-plan")
+    drawn = sample(counted, plan, seed, keep=("n_tokens",))
     got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("sampled_tokens"))
     per_mix = got.groupBy("mix_id").agg(F.sum("sampled_tokens").alias("mix_tokens"))
     planned = plan.groupBy("mix_id").agg(F.sum("mixed_tokens").alias("planned_all"))
