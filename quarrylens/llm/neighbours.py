@@ -266,11 +266,11 @@ def _merge(k: int) -> Callable:
             own = _Own(rows, k)
             parts = [own.edges()] + [(_get(r, "a", "i4"), _get(r, "nb", "i8"), _get(r, "sim", "f4")) for r in rows if r["what"] == "edges"]
             row, nb, sim = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((-sim, nb, row))
-            row, nb, sim = row[order], nb[order], sim[order]
-            once = np.r_[True, (row[1:] != row[:-1]) | (nb[1:] != nb[:-1])] if len(row) else np.zeros(0, bool)
-            row, nb, sim = row[once], nb[once], sim[once]
-            order = np.lexsort((nb, -sim, row))
+            row = row.astype("i8")
+            names, at = np.unique(nb, return_inverse=True)
+            _, once = np.unique(row * max(1, len(names)) + at, return_index=True)
+            row, nb, sim = row[once].astype("i8"), nb[once], sim[once]
+            order = np.argsort(row * 4.0 - sim, kind="stable")  # by row, then falling similarity, then neighbour
             row, nb, sim = row[order], nb[order], sim[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             fits = place < k
