@@ -131,10 +131,10 @@ class TextIndex:
 
 def build_index(df: DataFrame, key: str, columns: tuple[str, ...]) -> TextIndex:
     """Postings of the columns of each row; null is empty. Statistics count every row."""
-    tok = df.select(F.col(key).alias("doc"), *[words(F.col(c)).alias(c) for c in columns])
-    lengths = tok.select("doc", reduce(lambda a, b: a + b, [F.size(c) for c in columns]).alias("len"))
+    tok = df.select(F.col(key).alias("doc"), *[words(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
+    lengths = tok.select("doc", reduce(lambda a, b: a + b, [F.size(f"w{i}") for i in range(len(columns))]).alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
-    entry = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("words")) for c in columns]))
+    entry = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"w{i}").alias("words")) for i, c in enumerate(columns)]))
     spread = tok.select("doc", entry.alias("e")).select("doc", "e.col", F.posexplode("e.words").alias("pos", "term"))
     postings = spread.groupBy("doc", "col", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("places"))
     return TextIndex(postings, lengths, stats["n"], stats["avg"] or 1.0, tuple(columns))
@@ -187,6 +187,16 @@ def search(index: TextIndex, query: str, weights: dict[str, float] | None = None
     return scored.select("doc", (-total).alias("score"))
 
 
+def two_style_search(index: TextIndex, query: str, definitions: DataFrame, weights: dict[str, float] | None = None, tokens: str = "name_tokens") -> DataFrame:
+    """(doc, place): any of the words in any column, merged with all of the words in the name tokens; definitions (doc)
+    come first, then those that both styles found, then by the better score."""
+    names = " AND ".join(f"{tokens}:{w}*" for w in query_terms(query))
+    found = search(index, query, weights).unionByName(search(index, names, weights))
+    best = found.groupBy("doc").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("styles"))
+    marked = best.join(definitions.select("doc").distinct().withColumn("d", F.lit(0)), "doc", "left")
+    return marked.select("doc", F.struct(F.coalesce("d", F.lit(1)).alias("declared"), (-F.col("styles")).alias("styles"), F.round("score", 6).alias("score"), "doc").alias("place"))
+
+
 def snippet(text: Column, term: str, width: int = 80) -> Column:
     """The surroundings of a term's first occurrence with the term in <b>; the first 200 characters without one."""
     at = F.locate(term.lower(), F.lower(text))

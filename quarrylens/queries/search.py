@@ -53,6 +53,14 @@ def bm25_topk(spark, sf):
     return hits.select(F.col("doc").alias("symbol_id"), F.round("score", 6).alias("score")).orderBy("score", "symbol_id").limit(50)
 
 
+@query()
+def two_style_search(spark, sf):
+    index = T.build_index(_texts(spark, sf), "symbol_id", tuple(_COLS))
+    defs = load(spark, sf, "symbols").where("is_definition = 1").select(F.col("id").alias("doc"))
+    hits = T.two_style_search(index, "spi halt", defs, T.SYMBOL_WEIGHTS)
+    return hits.orderBy("place").limit(100).select(F.col("doc").alias("symbol_id"), F.col("place.declared").alias("declared"), F.col("place.score").alias("score"))
+
+
 @query(f"WITH {_TEXTS}, {_bm25(['trace', 'emit', 'state'], None, ['source'], 't', 'symbol_id', True)} SELECT doc AS symbol_id, round(score, 6) AS score FROM ranked")
 def body_search(spark, sf):
     index = T.build_index(_texts(spark, sf), "symbol_id", ("source",))

@@ -151,3 +151,19 @@ def test_pagerank_converges(spark, sf):
     a = {(x["config_hash"], x["usr"]): x["pagerank"] for x in pagerank(s, r).collect()}
     b = {(x["config_hash"], x["usr"]): x["pagerank"] for x in pagerank(s, r, rounds=20, tolerance=0, stride=4).collect()}
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-3 and max(a.values()) == 1.0
+
+
+def test_ranking_by_hand(spark):
+    rows = [(1, "spi init", "starts the bus"), (2, "uart init", "spi spi spi"), (3, "adc", None), (4, "", "")]
+    index = T.build_index(spark.createDataFrame(rows, "id long, name string, doc string"), "id", ("name", "doc"))
+    assert index.docs == 4 and index.average == 2.75
+    got = {r["doc"]: r["score"] for r in T.search(index, "spi", {"name": 2.0}).collect()}
+    import math
+
+    idf = max(math.log((4 - 2 + 0.5) / (2 + 0.5)), 1e-6)
+    want = {1: 2.0, 2: 3.0}
+    for d, f in want.items():
+        assert got[d] == pytest.approx(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * 5 / 2.75)))
+    assert {r["doc"] for r in T.search(index, 'name:init NOT "the bus"').collect()} == {2}
+    both = T.two_style_search(index, "spi init", spark.createDataFrame([(2,)], "doc long"), tokens="name").orderBy("place").collect()
+    assert [r["doc"] for r in both] == [2, 1]
