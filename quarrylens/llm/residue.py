@@ -5,21 +5,23 @@ are its slots. A slot that still holds a variable name, a default or a blank was
 doesn't use (as in {{ name }}) shows that at once; one that prose does use (as in [Board Title]) counts only if the
 alignment finds the template again with another value. Whole pages are read by lines: menus, headings and footers
 aside, a page is residue if all of it is filler, a server's message or a notice about scripts. Lines of unknown wording
-count as part of such a message if, in the whole corpus, they come again and again on just those pages.
+count as part of such a message if, in the whole corpus, they come again and again on just those pages, and on pages that
+differ from each other: a copy or a longer version of a document says nothing about its lines.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.runtime import materialize
+from quarrylens.runtime import drop_scratch, materialize
 
-#: An unknown line belongs to page templates if it comes at least so often, and at least so much of it on such pages.
+#: An unknown line belongs to page templates if at least so many different pages have it, and so much of its texts are such pages.
 LINE_TIMES, LINE_SHARE = 2, 0.9
 
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -129,6 +131,7 @@ _CHROME = re.compile(
     | \#{1,6}\s .* | v?\d+(?:\.\d+)+ | re:\s .* | \[\w+\]\s .* \bticket\s+\d+ | \w+\(\d\) | [^/.]{1,30}\s/\s[^/.]{1,30}\s/\s[^/.]{1,30} | [-=_*~\#\s]+
     ) $"""
 )
+_HEADING = re.compile(r"#{1,6}\s")
 _NUM = re.compile(r"\b(?:0x)?[0-9a-f]*\d[0-9a-f]*\b", re.I)
 _NAME = re.compile(r"\b(?:\w+(?:[_-]\w+)+|(?:0x)?[0-9a-f]*\d[0-9a-f]*)\b|/[\w./-]+")
 
@@ -192,8 +195,22 @@ def _mask(line: str) -> str:
     return _NAME.sub("@", line.lower())
 
 
+def _hash(line: str) -> int:
+    return int.from_bytes(blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+
+
+def _rest(lines: list[str], kinds: list[str]) -> int:
+    """A sum over the different lines that tell a page from others: all but menus and footers; headings by their names."""
+    body = {_mask(line) for kind, line in zip(kinds, lines) if kind != "chrome"}
+    heads = {"# " + _NUM.sub("#", line.lower()) for kind, line in zip(kinds, lines) if kind == "chrome" and _HEADING.match(line)}
+    return sum(map(_hash, body | heads))
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, what, key, filler, style, certain) of a document: its fields; its lines of unknown kind."""
+    """Rows (doc_id, what, key, filler, style, certain) of a document: its fields; its lines of unknown kind.
+
+    The filler of a line stands for the other lines of its page, that of a line on no such page for all of its unknown lines.
+    """
     for batch in batches:
         out = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -221,8 +238,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             strange = {_mask(line) for kind, line in zip(kinds, lines) if kind == "other"}
             if seeded and not strange:
                 out.append((doc_id, "page", "", "", "", True))
+            rest = _rest(lines, kinds) if seeded and strange else _hash("\n".join(sorted(strange)))
             for key in strange:
-                out.append((doc_id, "line", key, "", "", seeded))
+                out.append((doc_id, "line", key, f"{(rest - _hash(key)) % 2**64:x}" if seeded else f"{rest:x}", "", seeded))
         yield pd.DataFrame(out, columns=["doc_id", "what", "key", "filler", "style", "certain"])
 
 
@@ -245,19 +263,34 @@ def residue(docs: DataFrame) -> DataFrame:
         found.where("not certain").join(slots.select("key"), "key", "left_semi").select("doc_id")
     )
 
-    lines = signs.where("what = 'line'")
-    template_lines = (
-        lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("certain").cast("int")).alias("on"))
-        .where((F.col("n") >= LINE_TIMES) & (F.col("on") >= LINE_SHARE * F.col("n"))).select("key")
-    )
-    content = lines.where("certain").join(template_lines, "key", "left_anti").select("doc_id").distinct()
-    seeded = lines.where("certain").select("doc_id").distinct()
-    pages = signs.where("what = 'page'").select("doc_id").unionByName(seeded.join(content, "doc_id", "left_anti"))
+    lines = signs.where("what = 'line'").select("key", "filler", "certain").distinct()
+    shares = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("certain").alias("on")).where((F.col("on") >= LINE_TIMES) & (F.col("on") >= LINE_SHARE * F.col("n")))
+    seeded = signs.where("what = 'line' and certain").select("doc_id", "key", "filler").distinct()
+    pages = signs.where("what = 'page'").select("doc_id").unionByName(_repeated(seeded, shares.select("key")).select("doc_id"))
 
     reasons = unfilled.select("doc_id", F.lit("template").alias("r")).unionByName(pages.select("doc_id", F.lit("page").alias("r")))
     return reasons.groupBy("doc_id").agg(F.concat_ws("+", F.sort_array(F.collect_set("r"))).alias("reason"))
 
 
+def _repeated(seeded: DataFrame, keys: DataFrame) -> DataFrame:
+    """The lines of those pages whose unknown lines are all repeated: on LINE_TIMES pages of this very set that differ in their other lines.
+
+    Pages with any other line leave, and the rest are counted anew until none leaves.
+    """
+    left = materialize(seeded.join(keys, "key", "left_semi").unionByName(seeded.join(keys, "key", "left_anti").withColumn("key", F.lit(None).cast("string"))), "page-lines")
+    n = left.count()
+    while n:
+        again = left.groupBy("key").agg(F.count_distinct("filler").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where((F.col("n") >= LINE_TIMES) & (F.col("a") < F.col("b")))
+        content = left.join(again, "key", "left_anti").select("doc_id")
+        kept = materialize(left.join(content, "doc_id", "left_anti"), "page-lines")
+        drop_scratch(left)
+        left, before = kept, n
+        n = left.count()
+        if n == before:
+            break
+    return left
+
+
 def without_residue(docs: DataFrame) -> DataFrame:
     """The documents that are no residue, with all their columns; null, empty and blank texts stay."""
     bad = residue(docs).select(F.col("doc_id").alias("__bad"))

@@ -271,4 +271,16 @@ def test_long_texts_are_read_to_the_end(spark):
     assert residue.residue(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
 
 
-
+def test_copies_of_a_text_make_no_template(spark):
+    """Copies, versions and rows delivered twice of a real document stay, however often its lines come; a message repeated on different pages goes."""
+    real = "# Title\nReal content follows here.\nAnd some more of it.\n404 Not Found"
+    hamster = "The hamster that runs this wheel is asleep."
+    found = lambda texts: {r["doc_id"] for r in residue.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found([real, real]) == set()
+    assert found([real] * 30) == set()
+    assert found([real, "Menu\n" + real + "\n© 2020 X", real + "\nOne line is new.", real + "\nOne line is new.\nAnd a last one."]) == set()
+    assert residue.residue(spark.createDataFrame([(1, real), (1, real)], "doc_id long, text string")).count() == 0
+    assert found([f"# pump.c\n404 Not Found\n{hamster}", f"# valve.c\n404 Not Found\n{hamster}"]) == {0, 1}
+    assert found([f"# pump.c\n404 Not Found\n{hamster}", f"# valve.c\n404 Not Found\n{hamster}", hamster + "\nSo it says in the story."]) == set()
+    assert found([f"# pump.c\n404 Not Found\n{hamster}"] * 20 + [f"# valve.c\n404 Not Found\n{hamster}"] * 20 + [hamster]) == set()
+    assert residue.without_residue(spark.createDataFrame([(1, real), (2, real)], "doc_id long, text string")).count() == 2
