@@ -121,6 +121,23 @@ _DETAIL = re.compile(
 )
 _LOREM = re.compile(r"(?i)\b(?:lorem|ipsum)\b")
 _PLAIN_WORDS = frozenset("the a an and or of to is are in on at that with for per der die das und ist le la les et est el los y es en un une una que".split())
+#: The words of the passages that filler is taken from. Those that are plain words too veto a line only if it isn't mostly made of the rest.
+_LATIN = frozenset(
+    """lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud
+    exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat
+    cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum perspiciatis unde omnis iste natus error voluptatem accusantium doloremque laudantium totam rem
+    aperiam eaque ipsa quae ab illo inventore veritatis quasi architecto beatae vitae dicta explicabo nemo ipsam quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos
+    ratione sequi nesciunt neque porro quisquam dolorem adipisci numquam eius modi tempora incidunt magnam aliquam quaerat minima nostrum exercitationem ullam corporis suscipit
+    laboriosam aliquid commodi autem vel eum iure quam nihil molestiae illum quo at vero accusamus iusto odio dignissimos ducimus blanditiis praesentium voluptatum deleniti atque corrupti
+    quos quas molestias excepturi occaecati cupiditate provident similique mollitia animi dolorum fuga harum quidem rerum facilis expedita distinctio nam libero tempore cum soluta
+    nobis eligendi optio cumque impedit minus quod maxime placeat facere possimus assumenda repellendus temporibus quibusdam officiis debitis necessitatibus saepe eveniet voluptates
+    repudiandae recusandae itaque earum hic tenetur a sapiente delectus reiciendis voluptatibus maiores alias perferendis doloribus asperiores repellat sadipscing elitr diam nonumy
+    eirmod invidunt aliquyam erat voluptua accusam justo duo rebum stet clita kasd gubergren no sea takimata sanctus vivamus vestibulum ante primis faucibus orci luctus ultrices posuere
+    cubilia curae donec pellentesque habitant morbi tristique senectus netus malesuada fames ac turpis egestas integer maecenas nullam nunc phasellus praesent proin quisque suspendisse
+    ultricies varius volutpat viverra tellus tortor tincidunt sodales semper sapien sagittis risus rhoncus pulvinar pretium porttitor pharetra ornare mauris mattis massa lectus leo
+    lacus lacinia iaculis hendrerit gravida fringilla feugiat faucibus euismod eros dui dictum dapibus cursus cras convallis congue condimentum blandit bibendum augue arcu aenean class
+    aptent taciti sociosqu litora torquent per conubia nostra inceptos himenaeos metus ligula nibh odio enim urna purus felis fermentum elementum efficitur interdum imperdiet""".split()
+)
 #: Menus, headings and footers.
 _CHROME = re.compile(
     r"""(?ix) ^ (?:
@@ -186,11 +203,18 @@ def line_kind(line: str) -> str:
             return "filler"
         if _CHROME.match(line) or _DETAIL.match(line):
             return "chrome"
-    if _LOREM.search(line) and not re.search(r"\d", line) and not _PLAIN_WORDS & set(re.findall(r"\w+", line.lower())):
+    if _LOREM.search(line) and not re.search(r"\d", line) and not _plain(set(re.findall(r"\w+", line.lower()))):
         return "lorem"
     return "other"
 
 
+def _plain(words: set[str]) -> bool:
+    """Whether words are those of a sentence about something: a plain word among them that is no Latin, or fewer than three words of filler for each other word beside one that is."""
+    plain = words & _PLAIN_WORDS
+    rest = words - _PLAIN_WORDS - {"lorem", "ipsum"}
+    return bool(plain) and (not plain <= _LATIN or not rest or len(rest & _LATIN) < 0.75 * len(rest))
+
+
 def _mask(line: str) -> str:
     return _NAME.sub("@", line.lower())
 
@@ -222,7 +246,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append((doc_id, "field", _NUM.sub("#", _FIELD.sub("<>", line)), span, style, sure))
                 kind = line_kind(line)
                 if kind == "lorem":
-                    words.update(re.findall(r"\w+", line.lower()))
+                    words.update(re.findall(r"\w{4,}", line.lower()))
                 kinds.append(kind)
             grown = bool(words)
             while grown:
@@ -231,9 +255,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if kind != "other" or re.search(r"\d", line):
                         continue
                     own = set(re.findall(r"\w+", line.lower()))
-                    if own and not own & _PLAIN_WORDS and len(own & words) >= 0.1 * len(own):
+                    if own and not _plain(own) and (len(own & words) >= 0.1 * len(own) or len(own & _LATIN) >= max(3, 0.75 * len(own))):
                         kinds[i], grown = "lorem", True
-                        words |= own
+                        words.update(w for w in own if len(w) > 3)
             seeded = bool({"server", "notice", "filler", "lorem"} & set(kinds))
             strange = {_mask(line) for kind, line in zip(kinds, lines) if kind == "other"}
             if seeded and not strange:

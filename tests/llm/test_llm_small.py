@@ -284,3 +284,21 @@ def test_copies_of_a_text_make_no_template(spark):
     assert found([f"# pump.c\n404 Not Found\n{hamster}", f"# valve.c\n404 Not Found\n{hamster}", hamster + "\nSo it says in the story."]) == set()
     assert found([f"# pump.c\n404 Not Found\n{hamster}"] * 20 + [f"# valve.c\n404 Not Found\n{hamster}"] * 20 + [hamster]) == set()
     assert residue.without_residue(spark.createDataFrame([(1, real), (2, real)], "doc_id long, text string")).count() == 2
+
+
+PASSAGE = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco "
+    "laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat "
+    "cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+
+
+def test_the_standard_passage_is_filler(spark):
+    cases = [
+        (PASSAGE, True), (PASSAGE.replace(". ", ".\n"), True), (PASSAGE.replace(", ", ",\n"), True), ("# Title\n" + PASSAGE + "\n© 2020 X", True),
+        ("Lorem ipsum dolor sit amet, consetetur sadipscing elitr, sed diam nonumy eirmod tempor. At vero eos et accusam et justo duo dolores et ea rebum.", True),
+        ("Use lorem ipsum in mockups.", False), ("Lorem ipsum in Figma", False), ("Lorem ipsum est un faux texte.", False), (PASSAGE + " The designer put the passage in the draft.", False),
+        (PASSAGE + "\nThe board has two regulators and a fuse.", False), ("The demo scrolls lorem ipsum et dolore in a box.", False), (PASSAGE + "\nsed -i", False),
+    ]
+    got = {r["doc_id"] for r in residue.residue(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [cases[i][0] for i in range(len(cases)) if (i in got) != cases[i][1]] == []
