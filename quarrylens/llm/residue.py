@@ -3,7 +3,8 @@
 Lines of prose that equal each other but for their delimited spans are records of one template; the spans that differ
 are its slots. A slot that still holds a variable name, a default or a blank was never filled. A delimiter that prose
 doesn't use (as in {{ name }}) shows that at once; one that prose does use (as in [Board Title]) counts only if the
-alignment finds the template again with another value. Whole pages are read by lines: menus, headings and footers
+alignment finds the template again with another value. Marks and bare defaults of no listed style (#NAME#, Your Project
+Name, a blank amid a line) count if at least two other lines fill the same places with plain words. Whole pages are read by lines: menus, headings and footers
 aside, a page is residue if all of it is filler, a server's message or a notice about scripts. Lines of unknown wording
 count as part of such a message if, in the whole corpus, they come again and again on just those pages, and on pages that
 differ from each other: a copy or a longer version of a document says nothing about its lines.
@@ -55,6 +56,15 @@ _ASKS = re.compile(
     r"replace|fill\s+in|nom\s+d[eu]|nombre\s+de|name\s+(?:here|of)|(?:goes\s+)?here|hier|placeholder|tbd|to\s+be\s+\w+)\b"
 )
 _TITLE = re.compile(r"(?:[A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+)+|[A-ZÀ-Þ]{2,}(?:[ _][A-ZÀ-Þ]{2,})+)$")
+#: Spans that may be an unfilled slot if other records of their line have plain words there: marked names, defaults, blanks.
+_SLOT = re.compile(
+    r"(?<![\w#~^!+@$%&|:])(?P<d>(?!~~)(?P<c>[#~^!+@$%&|:])(?P=c){0,2})(?:[A-Z][A-Z0-9_]+(?:[ -][A-Z0-9_]+){0,3}(?P=d)|(?<=[#~^!+@])[A-Za-z_]\w*(?: [A-Za-z_]\w*){0,3}(?P=d))(?![\w#~^!+@$%&|:])"
+    r"|(?<!\w)(?:Your|My|Insert|Enter|Sample|Example|Default)(?: [A-Z]\w*){1,4}(?!\w)|(?<![\w_])_{3,}(?![\w_])|(?<= )\.{5,}(?= |$)"
+)
+#: What a text has if any of them is in it; cheap to look for.
+_SLOT_HINTS = (re.compile(r"[#~^!+@$%&|:][A-Za-z_][\w -]*[#~^!+@$%&|:]"), re.compile(r"(?:Your|My|Insert|Enter|Sample|Example|Default) [A-Z]"))
+#: What stands in a filled slot, and how many different lines have to show it.
+_VALUE, SLOT_VALUES = r"\S+(?: \S+){0,5}", 2
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:#\s*(?:include|define|if|ifdef|ifndef|endif|pragma)\b|\$ |>>> |echo |sed |export |set\(|return\b|static |const |def |class )|^\s*[\w.]+\s*[-+|&]?=[^=]|->|::\w+\(")
 
 _STATUS = (
@@ -192,6 +202,23 @@ def fields(line: str) -> list[tuple[str, str, bool]]:
     return found
 
 
+def slot_template(line: str) -> tuple[str, str] | None:
+    """(anchor, pattern) of a line with spans that may be unfilled slots: its longest word outside them, and what its other records match."""
+    literals, at = [], 0
+    for m in _SLOT.finditer(line):
+        literals.append(line[at:m.start()])
+        at = m.end()
+    if not at or _CODE.search(line):
+        return None
+    literals.append(line[at:])
+    words = [w for w in "\0".join(literals).split() if "\0" not in w and re.search(r"[^\W\d_]", w)]
+    anchors = [w for w in words if not re.search(r"\d", w)]
+    if not anchors or (len(words) < 2 and not words[0].endswith((":", "："))):
+        return None
+    pattern = _VALUE.join(re.sub(r"\d+", r"\\d+", re.escape(part)) for part in literals)
+    return max(anchors, key=lambda w: (len(w), w)), f"^{pattern}$"
+
+
 def line_kind(line: str) -> str:
     """server, notice, filler, lorem, chrome or other."""
     if len(line) < 400:
@@ -233,7 +260,8 @@ def _rest(lines: list[str], kinds: list[str]) -> int:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (doc_id, what, key, filler, style, certain) of a document: its fields; its lines of unknown kind.
 
-    The filler of a line stands for the other lines of its page, that of a line on no such page for all of its unknown lines.
+    A slot's key is the anchor, its filler the pattern of its line. The style of a line or plain row is
+    the line itself if it can show the values of slots. The filler of a line stands for the other lines of its page, that of a line on no such page for all of its unknown lines.
     """
     for batch in batches:
         out = []
@@ -241,9 +269,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines = prose_lines(text)
             kinds = []
             words: set[str] = set()
+            filled, marked = set(), "___" in text or "....." in text or any(hint.search(text) for hint in _SLOT_HINTS)
             for line in lines:
-                for style, span, sure in fields(line):
+                spans = fields(line)
+                for style, span, sure in spans:
                     out.append((doc_id, "field", _NUM.sub("#", _FIELD.sub("<>", line)), span, style, sure))
+                if not spans and not (marked and _SLOT.search(line)):
+                    filled.add(line)
+                elif marked and not any(sure for _, _, sure in spans) and (slot := slot_template(line)):
+                    out.append((doc_id, "slot", *slot, "", False))
                 kind = line_kind(line)
                 if kind == "lorem":
                     words.update(re.findall(r"\w{4,}", line.lower()))
@@ -259,12 +293,14 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         kinds[i], grown = "lorem", True
                         words.update(w for w in own if len(w) > 3)
             seeded = bool({"server", "notice", "filler", "lorem"} & set(kinds))
-            strange = {_mask(line) for kind, line in zip(kinds, lines) if kind == "other"}
+            masks = {line: _mask(line) for kind, line in zip(kinds, lines) if kind == "other"}
+            strange = set(masks.values())
+            out.extend((doc_id, "plain", "", "", line, False) for line in filled - masks.keys())
             if seeded and not strange:
                 out.append((doc_id, "page", "", "", "", True))
             rest = _rest(lines, kinds) if seeded and strange else _hash("\n".join(sorted(strange)))
-            for key in strange:
-                out.append((doc_id, "line", key, f"{(rest - _hash(key)) % 2**64:x}" if seeded else f"{rest:x}", "", seeded))
+            for line, key in masks.items():
+                out.append((doc_id, "line", key, f"{(rest - _hash(key)) % 2**64:x}" if seeded else f"{rest:x}", line if line in filled else "", seeded))
         yield pd.DataFrame(out, columns=["doc_id", "what", "key", "filler", "style", "certain"])
 
 
@@ -285,7 +321,7 @@ def residue(docs: DataFrame) -> DataFrame:
     ).where("fillers >= 2 and a < b")
     unfilled = found.where("certain").select("doc_id").unionByName(
         found.where("not certain").join(slots.select("key"), "key", "left_semi").select("doc_id")
-    )
+    ).unionByName(_induced(signs))
 
     lines = signs.where("what = 'line'").select("key", "filler", "certain").distinct()
     shares = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("certain").alias("on")).where((F.col("on") >= LINE_TIMES) & (F.col("on") >= LINE_SHARE * F.col("n")))
@@ -296,6 +332,16 @@ def residue(docs: DataFrame) -> DataFrame:
     return reasons.groupBy("doc_id").agg(F.concat_ws("+", F.sort_array(F.collect_set("r"))).alias("reason"))
 
 
+def _induced(signs: DataFrame) -> DataFrame:
+    """(doc_id) of the slots whose places SLOT_VALUES other lines or more fill with plain words."""
+    open_slots = signs.where("what = 'slot'").select("doc_id", F.col("key").alias("anchor"), F.col("filler").alias("pattern"))
+    templates = materialize(open_slots.select("anchor", "pattern").distinct(), "page-slots")  # written, so that Spark knows its size before it moves the words
+    plain = signs.where("what in ('line', 'plain') and style <> ''").select(F.col("style").alias("line"))
+    words = plain.select("line", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("anchor"))
+    shown = words.join(templates, "anchor").where("line rlike pattern").groupBy("anchor", "pattern").agg(F.count_distinct("line").alias("n"))
+    return open_slots.join(shown.where(F.col("n") >= SLOT_VALUES), ["anchor", "pattern"], "left_semi").select("doc_id")
+
+
 def _repeated(seeded: DataFrame, keys: DataFrame) -> DataFrame:
     """The lines of those pages whose unknown lines are all repeated: on LINE_TIMES pages of this very set that differ in their other lines.
 

@@ -302,3 +302,16 @@ def test_the_standard_passage_is_filler(spark):
     ]
     got = {r["doc_id"] for r in residue.residue(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [cases[i][0] for i in range(len(cases)) if (i in got) != cases[i][1]] == []
+
+
+def test_slots_are_induced_without_a_listed_mark(spark):
+    """A marked name, default or blank counts where other lines hold plain words; alone, or beside further open ones, it shows nothing."""
+    line = "Welcome to the pages of {} and its crew."
+    found = lambda texts: {r["doc_id"] for r in residue.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    values = ["Acme", "Blue River Labs", "#NAME#", "~name~", "Your Project Name", "______"]
+    assert found([line.format(v) for v in values]) == {2, 3, 4, 5}
+    assert found([line.format(v) for v in values[1:]]) == set()
+    assert found([line.format(v) for v in (values[0], values[0], *values[2:])]) == set()
+    two = "Dear {}, order 17 of {} is ready."
+    assert found([two.format("#NAME#", "@item@"), two.format("Ada", "bolts").replace("17", "4"), two.format("Bo Li", "two nuts"), "`#NAME#` is code.", "```\n" + line.format("#NAME#") + "\n```"]) == {0}
+    assert found([line.format("Acme"), line.format("Zeta"), line.format("~~Beta~~"), line.format("$n$"), line.format(":smile:")]) == set()
