@@ -1,13 +1,25 @@
 """Template residue and error-page text.
 
-Lines of prose that equal each other but for their delimited spans are records of one template; the spans that differ
-are its slots. A slot that still holds a variable name, a default or a blank was never filled. A delimiter that prose
-doesn't use (as in {{ name }}) shows that at once; one that prose does use (as in [Board Title]) counts only if the
-alignment finds the template again with another value. Marks and bare defaults of no listed style (#NAME#, Your Project
-Name, a blank amid a line) count if at least two other lines fill the same places with plain words. Whole pages are read by lines: menus, headings and footers
-aside, a page is residue if all of it is filler, a server's message or a notice about scripts. Lines of unknown wording
-count as part of such a message if, in the whole corpus, they come again and again on just those pages, and on pages that
-differ from each other: a copy or a longer version of a document says nothing about its lines.
+The corpus decides, in three ways, and word lists only name what it shows.
+
+Slots. Lines of prose are aligned by their stable parts: the line without the spans that look like a name, a default or
+a blank is its frame, and all records of a frame, filled or not, lie under each other. A column whose value changes from
+document to document is a slot; a record that still has a name, a default or a blank there was never filled. Spans in
+delimiters that prose doesn't use (as in {{ name }}) need one other record with another value, spans that prose does use
+(as in [Board Title]) too, marks and bare defaults of no listed style (#NAME#, Your Project Name) two other lines that
+fill the same places with plain words.
+
+Pages. Menus, headings and footers aside, a page is residue if all its lines belong to page templates: lines that come
+again on other pages, where at least one line names the page as a server's message, a notice about scripts or filler.
+Lines of unknown wording belong if, in the whole corpus, they come again and again on just those pages, and on pages that
+differ from each other: a copy or a longer version of a document says nothing about its lines. A page of nothing but such
+lines is residue too, without any known wording.
+
+Filler. The vocabulary of filler is learned: words that stand, over all documents, mostly in lines of filler. Lines made of
+them are filler wherever they stand.
+
+What the corpus holds once only can't be aligned. Such a record counts if its own mark or wording is unmistakable; the
+column evidence tells these (alone) from the others (aligned, repeated).
 """
 
 from __future__ import annotations
@@ -24,6 +36,10 @@ from quarrylens.runtime import drop_scratch, materialize
 
 #: An unknown line belongs to page templates if at least so many different pages have it, and so much of its texts are such pages.
 LINE_TIMES, LINE_SHARE = 2, 0.9
+#: A word belongs to filler if so many documents have it there, and so much of all that have it; a line, if so much of its words do.
+WORD_TIMES, WORD_SHARE, FILLER_SHARE = 3, 0.6, 0.75
+#: Words of a line of known wording from which on it is aligned as a whole only.
+GAPPED = 100
 
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _QUOTE = re.compile(r"^\s*(?:>\s?)+")
@@ -33,6 +49,8 @@ _HTML = re.compile(
     r"pre|code|noscript|script|style|img|form|input|button|label|meta|link|section|article|nav|main|header|footer|blockquote)"
     r"(?:\s[^<>]*)?/?>", re.I,
 )
+#: Tags that end a line.
+_BLOCK = re.compile(r"</?(?:title|h[1-6]|p|div|br|hr|center|ul|ol|li|dl|dt|dd|table|tr|td|th|noscript|section|article|nav|main|header|footer|blockquote)(?:\s[^<>]*)?/?>", re.I)
 #: Styles of template fields. Those in WEAK are also used by prose.
 _FIELD = re.compile(
     r"(?P<mustache>\{\{\{?[#/^>&~]?\s*[A-Za-z_$][\w.$ :|'\"()-]*\}?\}\})"
@@ -159,6 +177,7 @@ _CHROME = re.compile(
     ) $"""
 )
 _HEADING = re.compile(r"#{1,6}\s")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _NUM = re.compile(r"\b(?:0x)?[0-9a-f]*\d[0-9a-f]*\b", re.I)
 _NAME = re.compile(r"\b(?:\w+(?:[_-]\w+)+|(?:0x)?[0-9a-f]*\d[0-9a-f]*)\b|/[\w./-]+")
 
@@ -173,9 +192,11 @@ def prose_lines(text: str) -> list[str]:
             fence = None if fence else m.group(1)
             continue
         if fence is None:
-            line = _HTML.sub(" ", _TICKS.sub(" ` ", line)).strip()
-            if line:
-                out.append(line)
+            line = _TICKS.sub(" ` ", line)
+            for piece in _BLOCK.split(line) if "<" in line else (line,):
+                piece = _HTML.sub(" ", piece).strip()
+                if piece:
+                    out.append(piece)
     return out
 
 
@@ -202,10 +223,10 @@ def fields(line: str) -> list[tuple[str, str, bool]]:
     return found
 
 
-def slot_template(line: str) -> tuple[str, str] | None:
+def slot_template(line: str, spans: re.Pattern) -> tuple[str, str] | None:
     """(anchor, pattern) of a line with spans that may be unfilled slots: its longest word outside them, and what its other records match."""
     literals, at = [], 0
-    for m in _SLOT.finditer(line):
+    for m in spans.finditer(line):
         literals.append(line[at:m.start()])
         at = m.end()
     if not at or _CODE.search(line):
@@ -220,7 +241,13 @@ def slot_template(line: str) -> tuple[str, str] | None:
 
 
 def line_kind(line: str) -> str:
-    """server, notice, filler, lorem, chrome or other."""
+    """server, notice, filler, lorem, chrome or other; a long line is what all of its sentences are."""
+    if len(line) >= 400:
+        pieces = [p for p in _SENTENCE.split(line) if p]
+        kinds = [line_kind(p) for p in pieces] if len(pieces) > 1 and line_kind(pieces[0]) != "other" else ["other"]
+        named = [k for k in kinds if k not in ("chrome", "other")]
+        if named and "other" not in kinds:
+            return named[0]
     if len(line) < 400:
         if _SERVER.match(line):
             return "server"
@@ -246,6 +273,10 @@ def _mask(line: str) -> str:
     return _NAME.sub("@", line.lower())
 
 
+#: Kinds of lines that name a page.
+KNOWN = ("server", "notice", "filler", "lorem")
+
+
 def _hash(line: str) -> int:
     return int.from_bytes(blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "big")
 
@@ -257,89 +288,183 @@ def _rest(lines: list[str], kinds: list[str]) -> int:
     return sum(map(_hash, body | heads))
 
 
+_SIGN = ("doc_id", "what", "key", "filler", "style", "at", "certain")
+_SIGNS = "doc_id long, what string, key string, filler string, style string, at int, certain boolean"
+
+
+def _grow(lines: list[str], kinds: list[str]) -> None:
+    """Mark the lines of a page of filler that share its words."""
+    words = {w for kind, line in zip(kinds, lines) if kind == "lorem" for w in re.findall(r"\w{4,}", line.lower())}
+    grown = bool(words)
+    while grown:
+        grown = False
+        for i, (kind, line) in enumerate(zip(kinds, lines)):
+            if kind != "other" or re.search(r"\d", line):
+                continue
+            own = set(re.findall(r"\w+", line.lower()))
+            if own and not _plain(own) and (len(own & words) >= 0.1 * len(own) or len(own & _LATIN) >= max(3, 0.75 * len(own))):
+                kinds[i], grown = "lorem", True
+                words.update(w for w in own if len(w) > 3)
+
+
+def _wordy(line: str) -> list[str]:
+    """The different words of a line that may be filler: three or more, no number, none of a sentence."""
+    if re.search(r"\d", line):
+        return []
+    own = set(re.findall(r"\w{4,}", line.lower()))
+    return sorted(own) if len(own) > 2 and not _plain(set(re.findall(r"\w+", line.lower()))) else []
+
+
+def _gapped(mask: str) -> list[str]:
+    """A line, and the line but for each of its words: records that differ in one slot share one of these."""
+    words = mask.split()
+    return [mask, *(" ".join([*words[:i], "\0", *words[i + 1 :]]) for i in range(len(words) if 2 < len(words) < GAPPED else 0))]
+
+
+def _line_signs(lines: list[str]) -> tuple[list[tuple], set[str]]:
+    """(what, key, filler, style, at, certain) of the spans of a text that may be unfilled, and the lines that may show values.
+
+    field: key is the frame, filler the span, style the pattern of filled records, at the column. slot: key is the
+    anchor, filler the pattern of its line.
+    """
+    out: list[tuple] = []
+    filled = set()
+    text = "\n".join(lines)
+    marked = "___" in text or "....." in text or any(hint.search(text) for hint in _SLOT_HINTS)
+    for line in lines:
+        spans = fields(line)
+        if spans:
+            frame = _NUM.sub("#", _FIELD.sub("<>", line))
+            for at, (_, span, sure) in enumerate(spans):
+                out.append(("field", frame, span, "", at, sure))
+        if not spans and not (marked and _SLOT.search(line)):
+            filled.add(line)
+        elif not any(sure for _, _, sure in spans):
+            if marked and (slot := slot_template(line, _SLOT)):
+                out.append(("slot", *slot, "", 0, False))
+        elif slot := slot_template(line, _FIELD):
+            out.append(("frame", *slot, frame, 0, True))
+    return out, filled
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, what, key, filler, style, certain) of a document: its fields; its lines of unknown kind.
+    """Signs of each document: its fields, its lines of prose by hash, the words of lines that may be filler.
 
-    A slot's key is the anchor, its filler the pattern of its line. The style of a line or plain row is
-    the line itself if it can show the values of slots. The filler of a line stands for the other lines of its page, that of a line on no such page for all of its unknown lines.
+    The style of a line or plain row is the line itself if it can show the values of slots. The filler of a line stands
+    for the other lines of its page, that of a line on no such page for all of its unknown lines; at counts the page's lines.
+    known: line at of a page of known wording, under the line and the line but for each of its words. word: a word and whether it stands in filler. maybe: a word of line at of a page
+    that is filler if that line is.
     """
     for batch in batches:
-        out = []
+        out: list[tuple] = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             lines = prose_lines(text)
-            kinds = []
-            words: set[str] = set()
-            filled, marked = set(), "___" in text or "....." in text or any(hint.search(text) for hint in _SLOT_HINTS)
-            for line in lines:
-                spans = fields(line)
-                for style, span, sure in spans:
-                    out.append((doc_id, "field", _NUM.sub("#", _FIELD.sub("<>", line)), span, style, sure))
-                if not spans and not (marked and _SLOT.search(line)):
-                    filled.add(line)
-                elif marked and not any(sure for _, _, sure in spans) and (slot := slot_template(line)):
-                    out.append((doc_id, "slot", *slot, "", False))
-                kind = line_kind(line)
-                if kind == "lorem":
-                    words.update(re.findall(r"\w{4,}", line.lower()))
-                kinds.append(kind)
-            grown = bool(words)
-            while grown:
-                grown = False
-                for i, (kind, line) in enumerate(zip(kinds, lines)):
-                    if kind != "other" or re.search(r"\d", line):
-                        continue
-                    own = set(re.findall(r"\w+", line.lower()))
-                    if own and not _plain(own) and (len(own & words) >= 0.1 * len(own) or len(own & _LATIN) >= max(3, 0.75 * len(own))):
-                        kinds[i], grown = "lorem", True
-                        words.update(w for w in own if len(w) > 3)
-            seeded = bool({"server", "notice", "filler", "lorem"} & set(kinds))
+            signs, filled = _line_signs(lines)
+            out.extend((doc_id, *sign) for sign in signs)
+            kinds = [line_kind(line) for line in lines]
+            _grow(lines, kinds)
+            seeded = bool(set(KNOWN) & set(kinds))
             masks = {line: _mask(line) for kind, line in zip(kinds, lines) if kind == "other"}
             strange = set(masks.values())
-            out.extend((doc_id, "plain", "", "", line, False) for line in filled - masks.keys())
+            out.extend((doc_id, "plain", "", "", line, 0, False) for line in filled - masks.keys())
             if seeded and not strange:
-                out.append((doc_id, "page", "", "", "", True))
+                known = sorted({_mask(line) for kind, line in zip(kinds, lines) if kind in KNOWN and kind != "lorem"})
+                out.append((doc_id, "page", "", "", "", len(known), True))
+                whole = f"{_hash(chr(10).join(sorted(map(_mask, lines)))):x}"
+                out.extend((doc_id, "known", key, whole, "", at, True) for at, line in enumerate(known) for key in _gapped(line))
             rest = _rest(lines, kinds) if seeded and strange else _hash("\n".join(sorted(strange)))
             for line, key in masks.items():
-                out.append((doc_id, "line", key, f"{(rest - _hash(key)) % 2**64:x}" if seeded else f"{rest:x}", line if line in filled else "", seeded))
-        yield pd.DataFrame(out, columns=["doc_id", "what", "key", "filler", "style", "certain"])
+                out.append((doc_id, "line", key, f"{(rest - _hash(key)) % 2**64:x}" if seeded else f"{rest:x}", line if line in filled else "", len(strange), seeded))
+            wordy = {i: words for i, (kind, line) in enumerate(zip(kinds, lines)) if kind in ("lorem", "other") and (words := _wordy(line))}
+            on = {w for i, words in wordy.items() if kinds[i] == "lorem" for w in words}
+            out.extend((doc_id, "word", w, "", "", 0, w in on) for w in sorted(set().union(*wordy.values())))
+            body = [i for i, kind in enumerate(kinds) if kind in ("lorem", "other")]
+            if body and all(i in wordy for i in body):
+                out.extend((doc_id, "maybe", w, "", "", i, len(body) == 1) for i in body for w in wordy[i])
+        yield pd.DataFrame(out, columns=_SIGN)
 
 
 def residue(docs: DataFrame) -> DataFrame:
-    """(doc_id, reason) of each document that is residue; reason is template, page or both, joined by +.
+    """(doc_id, reason, evidence) of each document that is residue; reason is template, page or both, joined by +.
 
-    Null, empty and blank texts are no cases, nor are fields in code. A document delivered twice gives one row; a null
-    doc_id none. Further columns are ignored. Counts of templates and lines cover all documents.
+    evidence is aligned (a column of records of one frame), repeated (lines or words of pages that come again on other
+    pages), both, or alone: the corpus has no second record, its own mark or wording decides. Null, empty and blank texts
+    are no cases, nor are fields in code. A document delivered twice gives one row; a null doc_id none. Further columns
+    are ignored. Counts of frames, lines and words cover all documents.
     """
     texts = docs.select("doc_id", "text").where("doc_id is not null and trim(text) <> ''")
-    read = texts.mapInPandas(_read, "doc_id long, what string, key string, filler string, style string, certain boolean")
-    signs = materialize(read.withColumn("key", F.when(F.col("what") == "line", F.xxhash64("key").cast("string")).otherwise(F.col("key"))), "page-signs")
-
-    found = signs.where("what = 'field'")
-    fillers = found.groupBy("key", "filler").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    slots = fillers.groupBy("key").agg(
-        F.count(F.lit(1)).alias("fillers"), F.min("a").alias("a"), F.max("b").alias("b")
-    ).where("fillers >= 2 and a < b")
-    unfilled = found.where("certain").select("doc_id").unionByName(
-        found.where("not certain").join(slots.select("key"), "key", "left_semi").select("doc_id")
-    ).unionByName(_induced(signs))
-
-    lines = signs.where("what = 'line'").select("key", "filler", "certain").distinct()
-    shares = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("certain").alias("on")).where((F.col("on") >= LINE_TIMES) & (F.col("on") >= LINE_SHARE * F.col("n")))
-    seeded = signs.where("what = 'line' and certain").select("doc_id", "key", "filler").distinct()
-    pages = signs.where("what = 'page'").select("doc_id").unionByName(_repeated(seeded, shares.select("key")).select("doc_id"))
-
-    reasons = unfilled.select("doc_id", F.lit("template").alias("r")).unionByName(pages.select("doc_id", F.lit("page").alias("r")))
-    return reasons.groupBy("doc_id").agg(F.concat_ws("+", F.sort_array(F.collect_set("r"))).alias("reason"))
+    read = texts.mapInPandas(_read, _SIGNS)
+    signs = materialize(read.withColumn("key", F.when(F.col("what").isin("line", "known"), F.xxhash64("key").cast("string")).otherwise(F.col("key"))), "page-signs", ["what"])
+
+    aligned = _aligned(signs).unionByName(_induced(signs)).distinct()
+    marked = signs.where("what = 'field' and certain").select("doc_id").distinct()
+    learned = _learned(signs)
+    pages = learned.unionByName(_filler_pages(signs)).distinct()
+    worded = signs.where("what = 'page'").select("doc_id").distinct()
+
+    told = aligned.select("doc_id", F.lit("template").alias("r"), F.lit("aligned").alias("e")).unionByName(
+        pages.select("doc_id", F.lit("page").alias("r"), F.lit("repeated").alias("e"))
+    ).unionByName(marked.select("doc_id", F.lit("template").alias("r"), F.lit(None).cast("string").alias("e"))).unionByName(
+        worded.select("doc_id", F.lit("page").alias("r"), F.lit(None).cast("string").alias("e"))
+    )
+    joined = lambda c: F.concat_ws("+", F.sort_array(F.collect_set(c)))
+    return told.groupBy("doc_id").agg(joined("r").alias("reason"), F.coalesce(F.nullif(joined("e"), F.lit("")), F.lit("alone")).alias("evidence"))
+
+
+def _aligned(signs: DataFrame) -> DataFrame:
+    """(doc_id) of the fields in a column that other documents fill otherwise: with another span, or with plain words."""
+    found = signs.where("what = 'field'").select("doc_id", "key", "at", "filler", "certain")
+    values = found.groupBy("key", "at", "filler").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    columns = values.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where("n >= 2 and a < b")
+    varied = found.join(columns.select("key", "at"), ["key", "at"], "left_semi").select("doc_id")
+    # frames whose columns don't change among the open records: is there a record that is filled in?
+    lone = signs.where("what = 'frame'").select("doc_id", F.col("key").alias("anchor"), F.col("filler").alias("pattern"), F.col("style").alias("key"))
+    lone = lone.join(columns.select("key").distinct(), "key", "left_anti")
+    return varied.unionByName(_matched(signs, lone, 1))
 
 
 def _induced(signs: DataFrame) -> DataFrame:
     """(doc_id) of the slots whose places SLOT_VALUES other lines or more fill with plain words."""
     open_slots = signs.where("what = 'slot'").select("doc_id", F.col("key").alias("anchor"), F.col("filler").alias("pattern"))
-    templates = materialize(open_slots.select("anchor", "pattern").distinct(), "page-slots")  # written, so that Spark knows its size before it moves the words
+    return _matched(signs, open_slots, SLOT_VALUES)
+
+
+def _matched(signs: DataFrame, opened: DataFrame, times: int) -> DataFrame:
+    """(doc_id) of the open lines (doc_id, anchor, pattern) whose pattern so many different filled lines match."""
+    templates = materialize(opened.select("anchor", "pattern").distinct(), "page-slots")  # written, so that Spark knows its size before it moves the words
     plain = signs.where("what in ('line', 'plain') and style <> ''").select(F.col("style").alias("line"))
     words = plain.select("line", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("anchor"))
     shown = words.join(templates, "anchor").where("line rlike pattern").groupBy("anchor", "pattern").agg(F.count_distinct("line").alias("n"))
-    return open_slots.join(shown.where(F.col("n") >= SLOT_VALUES), ["anchor", "pattern"], "left_semi").select("doc_id")
+    return opened.join(shown.where(F.col("n") >= times), ["anchor", "pattern"], "left_semi").select("doc_id")
+
+
+def _learned(signs: DataFrame) -> DataFrame:
+    """(doc_id) of the pages all of whose lines belong to page templates of the corpus."""
+    lines = signs.where("what = 'line'").select("key", "filler", "certain").distinct()
+    shares = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("certain").alias("on")).where((F.col("on") >= LINE_TIMES) & (F.col("on") >= LINE_SHARE * F.col("n")))
+    seeded = signs.where("what = 'line' and certain").select("doc_id", "key", "filler").distinct()
+    strange = _repeated(seeded, shares.select("key"))
+    # pages without any known wording, made of lines that the others have taught
+    taught = strange.select("key").distinct()
+    bare = signs.where("what = 'line' and not certain").select("doc_id", "key", "at").distinct().join(taught, "key", "left_semi")
+    bare = bare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at")).where("n = at").select("doc_id")
+    # pages of known wording only: all their lines come again on other pages, with the same or another word in a slot
+    known = signs.where("what = 'known'").select("doc_id", "key", "filler", "at")
+    times = known.groupBy("key").agg(F.min("filler").alias("a"), F.max("filler").alias("b")).where("a < b").select("key")
+    again = known.join(times, "key", "left_semi").select("doc_id", "at").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = signs.where("what = 'page'").groupBy("doc_id").agg(F.max("at").alias("at")).join(again, "doc_id").where("n = at").select("doc_id")
+    return strange.select("doc_id").unionByName(bare).unionByName(whole)
+
+
+def _filler_pages(signs: DataFrame) -> DataFrame:
+    """(doc_id) of the pages all of whose prose is made of the words of filler."""
+    words = signs.where("what = 'word'").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("certain").alias("on"))
+    filler = words.where((F.col("on") >= WORD_TIMES) & (F.col("on") >= WORD_SHARE * F.col("n"))).select("key", F.lit(1).alias("f"))
+    maybe = signs.where("what = 'maybe'").select("doc_id", "at", "key").distinct()
+    # only lines with a word of filler matter: those come first, so that few lines are counted
+    touched = maybe.join(filler.select("key"), "key", "left_semi").select("doc_id").distinct()
+    lines = maybe.join(touched, "doc_id", "left_semi").join(filler, "key", "left").groupBy("doc_id", "at").agg(F.avg(F.coalesce("f", F.lit(0))).alias("share"))
+    return lines.groupBy("doc_id").agg(F.min("share").alias("least")).where(F.col("least") >= FILLER_SHARE).select("doc_id")
 
 
 def _repeated(seeded: DataFrame, keys: DataFrame) -> DataFrame:

@@ -315,3 +315,44 @@ def test_slots_are_induced_without_a_listed_mark(spark):
     two = "Dear {}, order 17 of {} is ready."
     assert found([two.format("#NAME#", "@item@"), two.format("Ada", "bolts").replace("17", "4"), two.format("Bo Li", "two nuts"), "`#NAME#` is code.", "```\n" + line.format("#NAME#") + "\n```"]) == {0}
     assert found([line.format("Acme"), line.format("Zeta"), line.format("~~Beta~~"), line.format("$n$"), line.format(":smile:")]) == set()
+
+
+def found_with_evidence(spark, texts):
+    return {r["doc_id"]: r["evidence"] for r in residue.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_evidence_of_the_corpus(spark):
+    """What aligns or repeats says so; what stands alone is decided by its own mark."""
+    line = "Welcome to the pages of {} and its crew."
+    assert found_with_evidence(spark, [line.format("{{ name }}")]) == {0: "alone"}
+    assert found_with_evidence(spark, [line.format("{{ name }}"), line.format("{{ owner }}")]) == {0: "aligned", 1: "aligned"}
+    assert found_with_evidence(spark, [line.format("{{ name }}"), line.format("Blue River Labs")]) == {0: "aligned"}
+    assert found_with_evidence(spark, [line.format("{{ name }}"), line.format("{{ name }}")]) == {0: "alone", 1: "alone"}
+    assert found_with_evidence(spark, ["404 Not Found"]) == {0: "alone"}
+    assert found_with_evidence(spark, ["Menu\n404 Not Found", "404 Not Found\n© 2020 X"]) == {0: "repeated", 1: "repeated"}
+    gone = "Sorry, the page about {} is gone."
+    assert found_with_evidence(spark, [gone.format("pumps"), gone.format("valves")]) == {0: "repeated", 1: "repeated"}
+
+
+def test_pages_of_wording_in_no_list(spark):
+    """Held-out wording: taught by twenty pages that have a known line too, it names pages that have none; beside content it doesn't."""
+    ours, stage = "Our hamsters are fetching fresh cables.", "Stage crew, please mind the curtain."
+    taught = [f"# part{i}.c\n503 Service Unavailable\n{ours}" for i in range(20)]
+    got = found_with_evidence(spark, [*taught, ours, ours + "\nThe board has two regulators.", stage, stage])
+    assert got == dict.fromkeys(range(21), "repeated")
+
+
+def test_filler_by_its_vocabulary(spark):
+    """Words learned from marked passages find a passage without the mark, none of whose words are in a list."""
+    vocabulary = ["grunfel", "mopdar", "siltor", "vexan", "ploriat", "kandel", "umbrit", "tosque"]
+    rnd = random.Random(3)
+    passage = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n)) + "."
+    texts = ["Lorem ipsum " + passage(20) for _ in range(6)] + [passage(12), "Heading\n\nThe board has two regulators and a fuse.", passage(6) + "\nThe board draws 5 mA."]
+    got = found_with_evidence(spark, texts)
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6} and got[6] == "repeated"
+
+
+def test_one_long_line_is_a_page(spark):
+    words = "<p>404 Not Found</p><p>The requested URL /a/b was not found on this server.</p>" + "<p>Please try again in a while, or write to the people who run it.</p>" * 8
+    plain = words.replace("Found</p>", "Found. ").replace("<p>", "").replace("</p>", " ")
+    assert found_with_evidence(spark, [words, plain, words + "<p>The board has two regulators.</p>"]).keys() == {0, 1}
