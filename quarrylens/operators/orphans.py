@@ -2,8 +2,10 @@
 
 References and parent keys are partitioned alike and sorted by key, and both streams are merged in one pass (Spark's
 sort-merge join, asked for by hint). A parent key comes with its validity interval, from the first time that it was
-seen until it was removed for good, so one comparison tells missing, late and deleted references apart. A key that
-holds a large part of the references is split by adaptive execution: its parent is one row, which every part gets.
+seen until it was removed for good, so one comparison tells missing, late and deleted references apart. The parent keys
+are written first, so that the join reads two shuffles and nothing else: adaptive execution then splits a key that
+holds a large part of the references, as its parent is one row, which every part gets. What is left of the references, the
+orphans, is combined by reference afterwards.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.runtime import column, filled
+from quarrylens.runtime import column, filled, materialize
 
 STATES = ("missing", "late", "deleted")
 
@@ -50,14 +52,16 @@ def orphan_references(
         .select("ref_id", "k0", "seen_at", F.col("e.side").alias("side"), F.col("e.k").alias("k1"))
         .where("k1 is not null")
     )
-    keys = validity(parents, [group, key], seen, removed).withColumn("held", F.lit(True))
+    keys = materialize(validity(parents, [group, key], seen, removed), "parent-keys").withColumn("held", F.lit(True))
     state = (
         F.when(F.col("held").isNull(), "missing")
         .when(F.col("seen_at") < F.col("born"), "late")
         .when(F.col("seen_at") >= F.col("gone"), "deleted")
     )
     merged = stream.hint("merge").join(keys, ["k0", "k1"], "left").withColumn("state", state).where("state is not null")
-    return merged.select("ref_id", F.col("k0").alias(group), "side", F.col("k1").alias(key), "state", "seen_at").distinct()
+    # grouped by a hash of the key, not the key: a partitioning that the join's own one can't serve leaves it free to be split
+    once = merged.groupBy("ref_id", "side", "state", "seen_at", F.xxhash64("k0", "k1").alias("k")).agg(F.any_value("k0").alias("k0"), F.any_value("k1").alias("k1"))
+    return once.select("ref_id", F.col("k0").alias(group), "side", F.col("k1").alias(key), "state", "seen_at")
 
 
 def orphan_report(orphans: DataFrame, table: str) -> DataFrame:
