@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.runtime import column, filled
+from quarrylens.runtime import column, filled, materialize
 
 FAN_IN = 16
 
@@ -68,19 +68,16 @@ def usr_profile(refs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """(usr, sites, callers, calls_made, callees) of every usr that refs names.
 
     sites: rows that refer to it; callers: different from_usr among them; calls_made: rows whose from_usr it is;
-    callees: different to_usr among them. Null and empty usrs are nobody. Pairs are combined first, then each side is
-    merged in rounds whose chunk is the hash of the other side, so a usr with a third of all rows is spread out.
+    callees: different to_usr among them. Null and empty usrs are nobody. The pairs, nearly as many as there are edges, are
+    counted in one shuffle and written; each side is then a tree over the chunks of that table, so a usr with a third of
+    all rows is combined where its pairs lie.
     """
     edges = refs.select(filled(F.col("to_usr")).alias("to_usr"), filled(F.col("from_usr")).alias("from_usr"))
-    pairs = tree_aggregate(edges, ["to_usr", "from_usr"], {"n": ("count", F.count(F.lit(1)))}, fan_in)
+    pairs = materialize(edges.groupBy("to_usr", "from_usr").agg(F.count(F.lit(1)).alias("n")), "pairs")
 
     def side(key: str, other: str, rows: str, names: str) -> DataFrame:
-        chunks = fan_in * fan_in
-        out = tree_aggregate(
-            pairs.where(F.col(key).isNotNull()), [key], {rows: ("sum", F.sum("n")), names: ("sum", F.count(other))}, fan_in,
-            chunks, F.pmod(F.xxhash64(other), F.lit(chunks)),
-        )
-        return out.withColumnRenamed(key, "usr")
+        states = {rows: ("sum", F.sum("n")), names: ("sum", F.count(other))}
+        return tree_aggregate(pairs.where(F.col(key).isNotNull()), [key], states, fan_in).withColumnRenamed(key, "usr")
 
     called, calling = side("to_usr", "from_usr", "sites", "callers"), side("from_usr", "to_usr", "calls_made", "callees")
     zero = F.lit(0).cast("long")
