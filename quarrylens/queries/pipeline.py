@@ -47,18 +47,42 @@ def p3_usr_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.usr_profile(load(spark, sf_dir, "refs"))
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p7(spark: SparkSession, sf_dir: str, steps: int, crash: int | None = None) -> DataFrame:
+    """All listings through one store in so many deliveries by the time that they arrived, each followed by an incremental
+    run; the run numbered crash dies once before its commit."""
     store = I.CommitStore(spark, scratch_path(spark, "p7-store"))
-    I.process_files(store, load(spark, sf_dir, "files"), load(spark, sf_dir, "index_runs"))
-    done = store.committed()
-    if done is None:
-        return spark.createDataFrame([], "file_id long, run_no int")
-    return done.select("file_id", "run_no").distinct()
+    files, runs = load(spark, sf_dir, "files"), load(spark, sf_dir, "index_runs")
+    first, last = (t or 0 for t in files.agg(F.unix_micros(F.min("seen_at")), F.unix_micros(F.max("seen_at"))).first())
+    ends = [F.timestamp_micros(F.lit(first + (last - first) * i // steps)) for i in range(1, steps)]
+    for i in range(steps):
+        def arrived(when, i=i):
+            late = when > ends[i - 1] if i else F.lit(True)
+            early = F.lit(True) if i == steps - 1 else when <= ends[i] if i else (when <= ends[i]) | when.isNull()
+            return late & early
+        I.deliver_files(store, f"arrived-{i}", files.where(arrived(F.col("seen_at"))), runs.where(arrived(F.coalesce("finished_at", "started_at"))))
+
+        def die():
+            raise OSError("lost")
+        if i == crash:
+            try:
+                I.process_news(store, before_commit=die)
+            except OSError:
+                pass
+        I.process_news(store)
+    return store.committed().select("file_id", "run_no").distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir, 3)
+
+
+def p7_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir, 5, crash=3)
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p2_found": p2_found,
-    "p2_report": p2_report, "p3_found": p3_found, "p3_usr_profile": p3_usr_profile, "p7_found": p7_found,
+    "p2_report": p2_report, "p3_found": p3_found, "p3_usr_profile": p3_usr_profile, "p7_found": p7_found, "p7_increments": p7_increments,
 }
 
 _LINKS = """
@@ -117,3 +141,4 @@ prev AS (SELECT *, lag(source_hash) OVER w AS s, lag(flags_hash) OVER w AS g, ro
 SELECT id AS file_id, run_no FROM prev WHERE k = 1 OR NOT coalesce(
 nullif(s, '') = nullif(source_hash, '') AND nullif(g, '') = nullif(flags_hash, ''), false)""",
 }
+SQL["p7_increments"] = SQL["p7_found"]

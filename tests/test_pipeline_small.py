@@ -184,3 +184,39 @@ def test_increment_of_nothing(spark, tmp_path):
     store = I.CommitStore(spark, f"file://{tmp_path}/none")
     assert not I.process_files(store, spark.createDataFrame([], FILES), spark.createDataFrame([], RUNS))
     assert store.committed() is None and store.watermark() is None
+
+
+def test_hot_orphan_key_is_split(spark):
+    """The final plan of the join has the hot key's partition cut into parts."""
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10kb", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), F.col("id").cast("string")))
+        refs = spark.range(0, 60_000, 1, 8).select("id", F.lit("g").alias("config_hash"), hot.alias("to_usr"), F.lit(None).cast("string").alias("from_usr"), F.timestamp_seconds("id").alias("seen_at"))
+        keys = spark.createDataFrame([("g", "hot", at(5), None), ("g", "u1", at(5), None)], "config_hash string, usr string, seen_at timestamp, removed_at timestamp")
+        found = O.orphan_references(refs, keys)
+        assert found.count() == 60_000
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in names:
+            spark.conf.unset(k)
+
+
+def test_a_delivery_late_in_time_is_not_passed_by(spark, tmp_path):
+    """A listing delivered after others were processed, with an older time than theirs, is taken; it may withdraw what was given out."""
+    store = I.CommitStore(spark, f"file://{tmp_path}/store")
+    row = lambda run, s, hour: (1, "g", "p", s, "fl", run, at(hour), "x")
+    runs = [("g", i, at(i), at(i), "ok") for i in (1, 2, 3)]
+    give = lambda name, rows, runs: I.deliver_files(store, name, spark.createDataFrame(rows, FILES), spark.createDataFrame(runs, RUNS))
+    got = lambda: {(r["file_id"], r["run_no"]) for r in store.committed().collect()}
+    assert give("a", [row(1, "s1", 1), row(3, "s2", 30)], runs[:1]) == 0 and I.process_news(store) and got() == {(1, 1)}
+    assert not I.process_news(store)
+    assert give("b", [], runs[1:]) == 1 and I.process_news(store) and got() == {(1, 1), (1, 3)}
+    assert give("c", [row(2, "s2", 2)], []) == 2 and give("c", [row(2, "s9", 2)], []) == 2
+    assert I.process_news(store) and got() == {(1, 1), (1, 2)} and store.watermark() == 2
+    give("d", [row(2, "s2", 2)], [])
+    assert I.process_news(store) and got() == {(1, 1), (1, 2)}
+    with pytest.raises(RuntimeError):
+        store.run(9, lambda low, high: store.committed().limit(0).withColumn("keep", F.lit(True)), before_commit=lambda: store._publish("commits", len(store.commits()), {"watermark": 9, "data": "", "schema": ""}))
