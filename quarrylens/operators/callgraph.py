@@ -12,6 +12,10 @@ from quarrylens.functions.scalars import CALL_EDGES, CALLABLE, parameter_count
 from quarrylens.runtime import materialize
 
 
+#: Rounds after which an iteration writes anew what it has seen.
+REWRITE = 8
+
+
 def call_edges(refs: DataFrame, kinds: tuple[str, ...] = CALL_EDGES) -> DataFrame:
     """Distinct (config_hash, src, dst), src calling dst."""
     return refs.where(F.col("ref_kind").isin(*kinds) & (F.coalesce("from_usr", F.lit("")) != "")).select("config_hash", F.col("from_usr").alias("src"), F.col("to_usr").alias("dst")).distinct()
@@ -29,17 +33,19 @@ def alias_pairs(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return pairs.groupBy("config_hash", "decl_usr").agg(F.min_by("def_usr", F.struct("pref", "def_usr")).alias("def_usr"))
 
 
-def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, forward: bool = True) -> DataFrame:
-    """(config_hash, target, usr, depth): all nodes within max_depth steps of each start, at their least depth.
+def walk(edges: DataFrame, start: DataFrame, max_depth: int | None = 5, forward: bool = True) -> DataFrame:
+    """(config_hash, target, usr, depth): all nodes within max_depth steps of each start, at their least depth; None: all.
 
     start has config_hash and usr. forward follows callees, else callers. The start itself appears only through a
-    cycle. The frontier of each round is what is new, so cycles end.
+    cycle. The frontier of each round is what is new, so cycles end. What was seen is written anew every REWRITE rounds,
+    so that a deep walk doesn't read a table per round.
     """
     a, b = ("src", "dst") if forward else ("dst", "src")
     step = materialize(edges.select("config_hash", F.col(a).alias("usr"), F.col(b).alias("next")), "walk-edges")
     front = start.select("config_hash", F.col("usr").alias("target"), "usr").distinct()
-    seen = None
-    for depth in range(1, max_depth + 1):
+    seen, depth = None, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         new = front.join(step, ["config_hash", "usr"]).select("config_hash", "target", F.col("next").alias("usr")).distinct()
         if seen is not None:
             new = new.join(seen, ["config_hash", "target", "usr"], "left_anti")
@@ -47,10 +53,29 @@ def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, forward: bool =
         if front.isEmpty():
             break
         seen = front if seen is None else seen.unionByName(front)
+        if depth % REWRITE == 0:
+            seen = materialize(seen, f"walked{depth}")
         front = front.select("config_hash", "target", "usr")
     return seen if seen is not None else start.select("config_hash", F.col("usr").alias("target"), "usr", F.lit(0).alias("depth")).limit(0)
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(config_hash, src, dst): every pair with a path from src to dst, of any length.
+
+    Pairs are joined with pairs, so that a round doubles the length of the paths it knows: a chain of n edges takes
+    log n rounds. Only pairs that are new are joined, on either side.
+    """
+    new = materialize(edges.select("config_hash", "src", "dst").where("src is not null and dst is not null").distinct(), "closure")
+    known = None
+    while not new.isEmpty():
+        known = new if known is None else materialize(known.unionByName(new), "closure")
+        left = new.select("config_hash", "src", F.col("dst").alias("mid")).join(known.select("config_hash", F.col("src").alias("mid"), "dst"), ["config_hash", "mid"])
+        right = known.select("config_hash", "src", F.col("dst").alias("mid")).join(new.select("config_hash", F.col("src").alias("mid"), "dst"), ["config_hash", "mid"])
+        found = left.select("config_hash", "src", "dst").unionByName(right.select("config_hash", "src", "dst")).distinct()
+        new = materialize(found.join(known, ["config_hash", "src", "dst"], "left_anti"), "closure-new")
+    return new if known is None else known
+
+
 def shortest_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int = 10) -> DataFrame:
     """(config_hash, src, dst, depth, path): one shortest path for each start and goal of a build.
 
@@ -154,10 +179,10 @@ def inheritance_closure(inheritance: DataFrame, up: bool = True, max_depth: int
     return reduce(DataFrame.unionByName, out) if out else step.select("config_hash", F.col("usr").alias("start_usr"), "usr", F.lit(0).alias("depth"), "access", "is_virtual").limit(0)
 
 
-def close_overrides(overrides: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Override pairs with all pairs that follow from them."""
-    as_edges = overrides.select("config_hash", F.col("derived_usr").alias("src"), F.col("base_usr").alias("dst"))
-    return walk(as_edges, as_edges.select("config_hash", F.col("src").alias("usr")), max_depth).select("config_hash", F.col("target").alias("derived_usr"), F.col("usr").alias("base_usr"))
+def close_overrides(overrides: DataFrame) -> DataFrame:
+    """Override pairs with all pairs that follow from them, however many levels apart."""
+    pairs = closure(overrides.select("config_hash", F.col("derived_usr").alias("src"), F.col("base_usr").alias("dst")))
+    return pairs.select("config_hash", F.col("src").alias("derived_usr"), F.col("dst").alias("base_usr"))
 
 
 def data_flow(symbols: DataFrame, refs: DataFrame, type_name: str, to: str, max_depth: int = 8, limit: int = 15) -> DataFrame:

@@ -12,30 +12,34 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.operators.callgraph import walk
+from quarrylens.operators.callgraph import REWRITE, walk
 from quarrylens.runtime import materialize
 
 _SITE = ("config_hash", "file", "line", "col", "ordinal")
 
 
-def reach(flows: DataFrame, start: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def reach(flows: DataFrame, start: DataFrame) -> DataFrame:
     """(config_hash, target, usr, depth): the slots that each start slot flows into, without a bound of depth."""
     edges = flows.select("config_hash", F.col("source").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
-    return walk(edges, start.select("config_hash", F.col("slot").alias("usr")), max_rounds)
+    return walk(edges, start.select("config_hash", F.col("slot").alias("usr")), None)
 
 
-def propagate(known: DataFrame, delta: DataFrame, flows: DataFrame, item: str, label: str) -> DataFrame:
-    """(config_hash, slot, item): known and delta with all that follows from delta along flows."""
-    step = flows.select("config_hash", F.col("source").alias("slot"), "target").where("slot <> target").distinct()
-    seen = known.unionByName(delta).distinct()
-    front, round_no = delta, 0
-    while True:
+def propagate(known: DataFrame, delta: DataFrame, step: DataFrame, item: str, label: str) -> DataFrame:
+    """(config_hash, slot, item): what follows from delta along step (config_hash, slot, target), delta included, and isn't known.
+
+    known must be closed under step already, or be joined with what of step is new by the caller.
+    """
+    front = materialize(delta.distinct().join(known, ["config_hash", "slot", item], "left_anti"), f"{label}new")
+    seen, added, round_no = known.unionByName(front), front, 0
+    while not front.isEmpty():
+        round_no += 1
         moved = front.join(step, ["config_hash", "slot"]).select("config_hash", F.col("target").alias("slot"), item).distinct()
         front = materialize(moved.join(seen, ["config_hash", "slot", item], "left_anti"), f"{label}{round_no}")
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-        round_no += 1
+        seen, added = seen.unionByName(front), added.unionByName(front)
+        if round_no % REWRITE == 0:
+            added = materialize(added, f"{label}all{round_no}")
+            seen = known.unionByName(added)
+    return added
 
 
 def override_flows(overrides: DataFrame, slots: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ class Resolution:
 
 def resolve_slots(
     sources: DataFrame, flows: DataFrame, sites: DataFrame, arguments: DataFrame | None = None, overrides: DataFrame | None = None,
-    escapes: DataFrame | None = None, defined: DataFrame | None = None, max_rounds: int = 100,
+    escapes: DataFrame | None = None, defined: DataFrame | None = None,
 ) -> Resolution:
     """The functions that each call site may call.
 
@@ -87,37 +91,45 @@ def resolve_slots(
         escaped = lost.select("config_hash", "slot").distinct()
     flows, sites = materialize(flows, "flows"), materialize(sites, "sites")
     by_type = sources.select("config_hash", F.col("function_type").alias("slot_type"), "function").distinct()
-    none = spark.createDataFrame([], direct.schema)
-    targets = propagate(none, direct, flows, "function", "pt0-")
-    escaped = propagate(escaped.limit(0).withColumn("e", F.lit(1)), escaped.withColumn("e", F.lit(1)), flows, "e", "esc0-").select("config_hash", "slot")
+    steps = lambda f: f.where("source <> target").select("config_hash", F.col("source").alias("slot"), "target")
+    empty = lambda item: spark.createDataFrame([], f"config_hash string, slot string, {item} string")
+    marked = lambda df: df.select("config_hash", "slot", F.lit("e").alias("e"))
+    targets = materialize(propagate(empty("function"), direct, steps(flows), "function", "pt0-"), "pt-targets")
+    escaped = materialize(propagate(empty("e"), marked(escaped), steps(flows), "e", "esc0-"), "pt-escaped")
 
     def calls(t: DataFrame, e: DataFrame) -> DataFrame:
         held = sites.where("slot <> ''").join(t, ["config_hash", "slot"]).select(*_SITE, "function")
         fixed = sites.where("callee <> ''").select(*_SITE, F.col("callee").alias("function"))
         sure = held.unionByName(fixed).distinct()
-        open_sites = sites.where("kind = 'pointer'").join(e.withColumn("esc", F.lit(True)).distinct(), ["config_hash", "slot"], "left").where("esc or coalesce(slot, '') = ''")
+        open_sites = sites.where("kind = 'pointer'").join(e.select("config_hash", "slot", F.lit(True).alias("esc")).distinct(), ["config_hash", "slot"], "left").where("esc or coalesce(slot, '') = ''")
         guess = open_sites.join(by_type, ["config_hash", "slot_type"]).join(t, ["config_hash", "slot", "function"], "left_anti").select(*_SITE, "function")
         return sure.withColumn("type_only", F.lit(False)).unionByName(guess.distinct().withColumn("type_only", F.lit(True)))
 
     edges = materialize(calls(targets, escaped), "pt-edges0")
     if arguments is not None:
         args = materialize(arguments.select(*_SITE, "arg_index", "value_kind", "value").distinct(), "args")
-        passed = None
-        for i in range(max_rounds):
+        passed, i = None, 0
+        while True:
             fresh = edges if passed is None else edges.join(passed, [*_SITE, "function", "type_only"], "left_anti")
             fresh = materialize(fresh, f"pt-fresh{i}")
             if fresh.isEmpty():
                 break
             given = fresh.join(args, list(_SITE)).withColumn("param", F.concat_ws("|", F.lit("P"), "function", F.col("arg_index").cast("string")))
-            new_src = given.where("not type_only and value_kind = 'function'").select("config_hash", F.col("param").alias("slot"), F.col("value").alias("function")).distinct()
-            new_flow = given.where("not type_only and value_kind <> 'function'").select("config_hash", F.col("value").alias("source"), F.col("param").alias("target")).distinct()
-            new_esc = given.where("type_only").select("config_hash", F.col("param").alias("slot")).distinct()
+            into, out_of = given.where("not type_only"), given.where("type_only")
+            new_src = into.where("value_kind = 'function'").select("config_hash", F.col("param").alias("slot"), F.col("value").alias("function")).distinct()
+            new_flow = into.where("value_kind <> 'function'").select("config_hash", F.col("value").alias("source"), F.col("param").alias("target")).distinct()
+            new_flow = materialize(new_flow.join(flows, ["config_hash", "source", "target"], "left_anti"), f"pt-flow{i}")
+            flows = materialize(flows.unionByName(new_flow), f"pt-flows{i}")
             direct = materialize(direct.unionByName(new_src).distinct(), f"pt-direct{i}")
-            flows = materialize(flows.unionByName(new_flow).distinct(), f"pt-flows{i}")
-            targets = materialize(propagate(targets, new_src.unionByName(targets).distinct(), flows, "function", f"pt{i + 1}-").distinct(), f"pt-targets{i}")
-            escaped = materialize(propagate(escaped.withColumn("e", F.lit(1)), new_esc.union(escaped).distinct().withColumn("e", F.lit(1)), flows, "e", f"esc{i + 1}-").select("config_hash", "slot").distinct(), f"pt-escaped{i}")
-            passed = edges if passed is None else passed.unionByName(fresh)
+            # what is new: functions passed, and what the old slots hold carried over the new flows
+            carried = lambda held, item: held.join(steps(new_flow), ["config_hash", "slot"]).select("config_hash", F.col("target").alias("slot"), item)
+            more = propagate(targets, new_src.unionByName(carried(targets, "function")), steps(flows), "function", f"pt{i + 1}-")
+            lost = propagate(escaped, marked(out_of.select("config_hash", F.col("param").alias("slot"))).unionByName(carried(escaped, "e")), steps(flows), "e", f"esc{i + 1}-")
+            targets, escaped = materialize(targets.unionByName(more), f"pt-targets{i}"), materialize(escaped.unionByName(lost), f"pt-escaped{i}")
+            passed = fresh if passed is None else materialize(passed.unionByName(fresh), f"pt-passed{i}")
             edges = materialize(calls(targets, escaped), f"pt-edges{i + 1}")
+            i += 1
+    escaped = escaped.select("config_hash", "slot")
     given_on = flows.where("source <> target").join(targets.withColumnRenamed("slot", "source"), ["config_hash", "source"]).select(
         "config_hash", F.col("target").alias("slot"), "function", F.col("source").alias("via"))
     via = direct.withColumn("via", F.lit("")).unionByName(given_on).distinct()
@@ -140,7 +152,7 @@ def stored_places(via: DataFrame, sources: DataFrame, wanted: DataFrame, max_slo
     followed back through the slots that gave it; capped is set where a function has more than max_slots of them."""
     back = via.where("via <> ''").select("config_hash", F.concat_ws("\x1f", "slot", "function").alias("src"), F.concat_ws("\x1f", "via", "function").alias("dst")).distinct()
     own = via.join(wanted.select("config_hash", "slot").distinct(), ["config_hash", "slot"], "left_semi").select("config_hash", F.concat_ws("\x1f", "slot", "function").alias("usr")).distinct()
-    far = walk(back, own, 1_000).select("config_hash", F.col("target").alias("start"), "usr")
+    far = walk(back, own, None).select("config_hash", F.col("target").alias("start"), "usr")
     all_slots = far.unionByName(own.select("config_hash", F.col("usr").alias("start"), "usr")).distinct()
     sized = all_slots.groupBy("config_hash", "start").agg(F.count(F.lit(1)).alias("n"))
     split = lambda c, i: F.split(c, "\x1f")[i]
