@@ -113,10 +113,24 @@ def decide_units(current: DataFrame, manifest: DataFrame, keys: list[str], hashe
     return both.select(*keys, decision.alias("decision"))
 
 
-def modified_files(current: DataFrame, stored: DataFrame, key: str, hash_col: str) -> DataFrame:
+def run_pairs(runs: DataFrame) -> DataFrame:
+    """(config_hash, run_no, last_run): each run that ended well beside the last earlier one of its build, null for the first."""
+    ok = runs.where("state = 'ok'").select("config_hash", "run_no").distinct()
+    return ok.withColumn("last_run", F.lag("run_no").over(Window.partitionBy("config_hash").orderBy("run_no")))
+
+
+def against_last(files: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The listings of every run that ended well, and those of its last earlier such run, both under the run's number."""
+    pairs = run_pairs(runs)
+    now = files.join(pairs.select("config_hash", "run_no"), ["config_hash", "run_no"])
+    was = files.withColumnRenamed("run_no", "last_run").join(pairs.where("last_run is not null"), ["config_hash", "last_run"]).drop("last_run")
+    return now, was
+
+
+def modified_files(current: DataFrame, stored: DataFrame, keys: list[str], hash_col: str) -> DataFrame:
     """Files whose content hash differs between two listings, with the side that lacks it as null."""
-    a, b = current.select(key, F.col(hash_col).alias("now")), stored.select(key, F.col(hash_col).alias("was"))
-    return a.join(b, key, "full").where(~F.col("now").eqNullSafe(F.col("was")))
+    a, b = current.select(*keys, F.col(hash_col).alias("now")).distinct(), stored.select(*keys, F.col(hash_col).alias("was")).distinct()
+    return a.join(b, keys, "full").where(~F.col("now").eqNullSafe(F.col("was")))
 
 
 def annotate_stale(rows: DataFrame, stale_files: DataFrame, path: str = "file_path") -> DataFrame:

@@ -224,10 +224,12 @@ class CodeIndex:
         return A.build_stats(self.symbols)
 
     def get_project_status(self) -> DataFrame:
-        """Listings of the newest run against the one before."""
-        f = self._table("files")
-        last = f.agg(F.max("run_no")).first()[0] or 0
-        return M.decide_units(f.where(F.col("run_no") == last), f.where(F.col("run_no") == last - 1), ["config_hash", "path"], ["source_hash", "flags_hash"]).groupBy("decision").agg(F.count(F.lit(1)).alias("files"))
+        """Decisions of the newest run that ended well against the good run before it."""
+        runs = self._table("index_runs")
+        now, was = M.against_last(self._table("files"), runs)
+        last = runs.where("state = 'ok'").agg(F.max("run_no")).first()[0]
+        both = M.decide_units(now, was, ["config_hash", "run_no", "path"], ["source_hash", "flags_hash"])
+        return both.where(F.col("run_no") == last).groupBy("decision").agg(F.count(F.lit(1)).alias("files"))
 
     def list_projects(self) -> DataFrame:
         return A.project_counts(*[load(self.spark, self.dir, t) for t in ("projects", "build_configs", "symbols", "files", "refs")])

@@ -422,7 +422,7 @@ def scalar_functions(spark, sf):
 
 def _split_sql(c: str) -> str:
     out = f"regexp_replace({c}, '\\((?:unnamed|anonymous)[^)]*\\)', ' ', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '{S.CASE_CUTS[0][0]}', '\\1 \\2', 'g'), '{S.CASE_CUTS[1][0]}', '\\1 \\2', 'g')"
     return f"string_split(trim(lower(regexp_replace({out}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
 
 
@@ -514,13 +514,17 @@ def latest_build_per_pair(spark, sf):
     return M.latest_builds(load(spark, sf, "build_configs"), load(spark, sf, "index_runs")).select("config_hash", "project_id")
 
 
-@query("""WITH a AS (SELECT config_hash, path, list_sort(list(DISTINCT {'s': source_hash, 'f': flags_hash})) AS l, bool_or(coalesce(source_hash, '') = '' OR coalesce(flags_hash, '') = '') AS o FROM files WHERE run_no = 2 GROUP BY 1, 2),
-b AS (SELECT config_hash, path, list_sort(list(DISTINCT {'s': source_hash, 'f': flags_hash})) AS l, bool_or(coalesce(source_hash, '') = '' OR coalesce(flags_hash, '') = '') AS o FROM files WHERE run_no = 1 GROUP BY 1, 2)
-SELECT coalesce(a.config_hash, b.config_hash) AS config_hash, coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'gone'
-WHEN a.l = b.l AND NOT a.o AND NOT b.o THEN 'unchanged' ELSE 'changed' END AS decision FROM a FULL JOIN b ON a.config_hash = b.config_hash AND a.path = b.path""")
+_RUNS = """ok AS (SELECT config_hash, run_no, lag(run_no) OVER (PARTITION BY config_hash ORDER BY run_no) AS last_run FROM (SELECT DISTINCT config_hash, run_no FROM index_runs WHERE state = 'ok')),
+now_ AS (SELECT f.* FROM files f JOIN ok ON ok.config_hash = f.config_hash AND ok.run_no = f.run_no), was_ AS (SELECT f.* REPLACE (ok.run_no AS run_no) FROM files f JOIN ok ON ok.config_hash = f.config_hash AND ok.last_run = f.run_no)"""
+
+
+@query(f"""WITH {_RUNS}, a AS (SELECT config_hash, run_no, path, list_sort(list(DISTINCT {{'s': source_hash, 'f': flags_hash}})) AS l, bool_or(coalesce(source_hash, '') = '' OR coalesce(flags_hash, '') = '') AS o FROM now_ GROUP BY 1, 2, 3),
+b AS (SELECT config_hash, run_no, path, list_sort(list(DISTINCT {{'s': source_hash, 'f': flags_hash}})) AS l, bool_or(coalesce(source_hash, '') = '' OR coalesce(flags_hash, '') = '') AS o FROM was_ GROUP BY 1, 2, 3)
+SELECT coalesce(a.config_hash, b.config_hash) AS config_hash, coalesce(a.run_no, b.run_no) AS run_no, coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'gone'
+WHEN a.l = b.l AND NOT a.o AND NOT b.o THEN 'unchanged' ELSE 'changed' END AS decision FROM a FULL JOIN b ON a.config_hash = b.config_hash AND a.run_no = b.run_no AND a.path = b.path""")
 def changed_units(spark, sf):
-    f = load(spark, sf, "files")
-    return M.decide_units(f.where("run_no = 2"), f.where("run_no = 1"), ["config_hash", "path"], ["source_hash", "flags_hash"])
+    now, was = M.against_last(load(spark, sf, "files"), load(spark, sf, "index_runs"))
+    return M.decide_units(now, was, ["config_hash", "run_no", "path"], ["source_hash", "flags_hash"])
 
 
 @query(f"""WITH {SYM} SELECT id, config_hash, path FROM (SELECT DISTINCT id, config_hash, path, content_hash FROM files) f WHERE coalesce(content_hash, '') = ''
@@ -538,8 +542,9 @@ def integrity(spark, sf):
     return M.integrity(sym(spark, sf), ref(spark, sf), load(spark, sf, "files"))
 
 
-@query("""WITH a AS (SELECT DISTINCT config_hash || path AS k, content_hash FROM files WHERE run_no = 2), b AS (SELECT DISTINCT config_hash || path AS k, content_hash FROM files WHERE run_no = 1)
-SELECT coalesce(a.k, b.k) AS k, a.content_hash AS now, b.content_hash AS was FROM a FULL JOIN b ON a.k = b.k WHERE a.content_hash IS DISTINCT FROM b.content_hash""")
+@query(f"""WITH {_RUNS}, a AS (SELECT DISTINCT config_hash, run_no, path, content_hash FROM now_), b AS (SELECT DISTINCT config_hash, run_no, path, content_hash FROM was_)
+SELECT coalesce(a.config_hash, b.config_hash) AS config_hash, coalesce(a.run_no, b.run_no) AS run_no, coalesce(a.path, b.path) AS path, a.content_hash AS now, b.content_hash AS was
+FROM a FULL JOIN b ON a.config_hash = b.config_hash AND a.run_no = b.run_no AND a.path = b.path WHERE a.content_hash IS DISTINCT FROM b.content_hash""")
 def modified_files(spark, sf):
-    f = load(spark, sf, "files").select(F.concat("config_hash", "path").alias("k"), "content_hash", "run_no").distinct()
-    return M.modified_files(f.where("run_no = 2"), f.where("run_no = 1"), "k", "content_hash")
+    now, was = M.against_last(load(spark, sf, "files"), load(spark, sf, "index_runs"))
+    return M.modified_files(now, was, ["config_hash", "run_no", "path"], "content_hash")

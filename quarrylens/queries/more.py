@@ -13,6 +13,7 @@ from quarrylens.operators import pointsto as S
 from quarrylens.operators import registry as R
 from quarrylens.operators import stats as A
 from quarrylens.queries.common import BOTH, SYM, ref, slot_facts, sym
+from quarrylens.queries.lookup import _RUNS
 from quarrylens.queries.search import retrieval_metrics
 from quarrylens.queries.slots import _PT
 from quarrylens.runtime import load
@@ -132,12 +133,17 @@ def header_owners(spark, sf):
     return M.header_owners(claims)
 
 
-@query(f"""WITH {SYM}, st AS (SELECT DISTINCT a.config_hash, a.path FROM files a JOIN files b ON b.config_hash = a.config_hash AND b.path = a.path AND b.run_no = a.run_no + 1 WHERE a.run_no = 1 AND a.content_hash <> b.content_hash)
+@query(f"""WITH {SYM}, {_RUNS}, top AS (SELECT config_hash, max(run_no) AS run_no FROM ok GROUP BY 1), a AS (SELECT DISTINCT n.config_hash, path, content_hash FROM now_ n JOIN top t ON t.config_hash = n.config_hash AND t.run_no = n.run_no),
+b AS (SELECT DISTINCT n.config_hash, path, content_hash FROM was_ n JOIN top t ON t.config_hash = n.config_hash AND t.run_no = n.run_no),
+st AS (SELECT DISTINCT a.config_hash, a.path FROM a JOIN b ON b.config_hash = a.config_hash AND b.path = a.path WHERE a.content_hash <> b.content_hash)
 SELECT s.config_hash, s.usr, st.path IS NOT NULL AS stale FROM sym s LEFT JOIN st ON st.config_hash = s.config_hash AND st.path = s.file_path""")
 def stale_flags(spark, sf):
-    f = load(spark, sf, "files").select("config_hash", "path", "content_hash", "run_no").distinct()
-    both = f.where("run_no = 1").withColumnRenamed("content_hash", "was").drop("run_no").join(f.where("run_no = 2").drop("run_no"), ["config_hash", "path"]).where("was <> content_hash")
-    return M.annotate_stale(sym(spark, sf), both.select("config_hash", "path")).select("config_hash", "usr", "stale")
+    """Stale: the newest good run of the build found another content than the good run before it."""
+    runs = load(spark, sf, "index_runs")
+    now, was = M.against_last(load(spark, sf, "files"), runs)
+    newest = runs.where("state = 'ok'").groupBy("config_hash").agg(F.max("run_no").alias("run_no"))
+    both = was.select("config_hash", "run_no", "path", F.col("content_hash").alias("was")).join(now.select("config_hash", "run_no", "path", "content_hash"), ["config_hash", "run_no", "path"]).join(newest, ["config_hash", "run_no"])
+    return M.annotate_stale(sym(spark, sf), both.where("was <> content_hash").select("config_hash", "path")).select("config_hash", "usr", "stale")
 
 
 @query("SELECT DISTINCT id, run_no, CASE WHEN starts_with(path, 'app/') OR starts_with(path, 'lib/') THEN 1 ELSE is_project END AS is_project FROM files")
