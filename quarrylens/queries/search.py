@@ -182,7 +182,7 @@ def fusion_choice(spark, sf):
     return rows.select("vec_id", F.lit(which).alias("mode"))
 
 
-_SCORE = """(CASE WHEN regexp_matches(lower(name), '(?:^|_|[a-z])spi(?:$|_)') OR list_contains(string_split(coalesce(name_tokens, ''), ' '), 'spi') THEN 3 WHEN contains(lower(qualified_name), 'spi') THEN 2 WHEN contains(lower(file_path), 'spi') THEN 1 ELSE 0 END
+_SCORE = """(CASE WHEN len(list_filter(string_split(lower(name) || '_', 'spi_')[:-2], lambda t: t = '' OR right(t, 1) = '_' OR right(t, 1) BETWEEN 'a' AND 'z')) > 0 OR list_contains(string_split(coalesce(name_tokens, ''), ' '), 'spi') THEN 3 WHEN contains(lower(qualified_name), 'spi') THEN 2 WHEN contains(lower(file_path), 'spi') THEN 1 ELSE 0 END
 + CASE WHEN is_project = 1 THEN 1 ELSE 0 END + CASE WHEN kind IN ('function', 'method', 'constructor', 'destructor', 'class', 'struct', 'enum', 'typedef', 'varglobal') THEN 2 WHEN kind IN ('enum_constant', 'namespace') THEN 1 ELSE 0 END)::INT"""
 
 
@@ -238,9 +238,15 @@ def triple_candidates(spark, sf):
     return V.hard_negatives(dense, text)
 
 
-@query()
+@query(f"""WITH {SYM}, t AS (SELECT symbol_id AS id, min(summary) AS summary FROM symbols_fts GROUP BY 1),
+d AS (SELECT s.id, s.name, s.kind, left(trim(coalesce(s.docstring, ''), e' \\t\\n\\r'), 120) AS doc, left(trim(coalesce(t.summary, ''), e' \\t\\n\\r'), 120) AS summary,
+('0x' || substr(md5(s.id::VARCHAR), 1, 8))::BIGINT % 100 AS draw FROM sym s LEFT JOIN t ON t.id = s.id WHERE s.is_definition = 1 AND s.kind IN ('function', 'method', 'constructor', 'destructor')),
+q AS (SELECT id, rtrim(trim(CASE WHEN draw < 35 THEN 'function that ' || summary WHEN draw < 60 THEN 'code for ' || kind || ' ' || name WHEN draw < 80 THEN summary WHEN draw < 90 THEN 'implementation of ' || name
+WHEN draw < 95 THEN kind || ' ' || name || ' usage' ELSE doc END, e' \\t\\n\\r'), '.') AS query FROM d WHERE doc <> '' OR summary <> '') SELECT id, query FROM q WHERE length(query) >= 8""")
 def made_queries(spark, sf):
-    return V.made_queries(sym(spark, sf), "id", "docstring")
+    summaries = load(spark, sf, "symbols_fts").groupBy(F.col("symbol_id").alias("id")).agg(F.min("summary").alias("summary"))
+    code = sym(spark, sf).where("is_definition = 1 and kind in ('function', 'method', 'constructor', 'destructor')")
+    return V.made_queries(code.join(summaries, "id", "left"), "id")
 
 
 @query()
