@@ -36,7 +36,7 @@ def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = survivors.survivors(load(spark, sf_dir, "symbols"))
+    best = survivors.survivors(load(spark, sf_dir, "symbols"), fields=())
     return best.where("several").select("config_hash", "usr", "best_id")
 
 
@@ -85,3 +85,37 @@ regexp_matches(lower(file_path), '\\.(h|hh|hpp|inc)$'),
 min(id) OVER (PARTITION BY config_hash, usr) <> max(id) OVER (PARTITION BY config_hash, usr) AS several FROM symbols)
 SELECT config_hash, usr, id AS best_id FROM r WHERE k = 1 AND several""",
 }
+
+
+def _survivor_sql(rounds: int = 24) -> str:
+    """p6_survivors with the rounds of truth discovery written out; once no weight moves by more than the tolerance they stand still."""
+    path = "regexp_replace(regexp_replace(regexp_replace(coalesce(file_path, ''), '\\\\', '/', 'g'), '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g')"
+    claims = " UNION ALL ".join(
+        f"SELECT config_hash, usr, k, src, '{f}' AS f, {path if f == 'file_path' else f} AS v FROM r WHERE regexp_matches({f}, '\\S')" for f in survivors.FIELDS)
+    out = f"""WITH r AS (SELECT *, concat_ws('|', lower(regexp_extract({path}, '^/?([^/]*)/', 1)), lower(regexp_extract({path}, '\\.(\\w+)$', 1)), coalesce(is_definition, 0)) AS src,
+row_number() OVER (PARTITION BY config_hash, usr ORDER BY
+removed_at IS NOT NULL, is_definition = 1 DESC, is_weak = 0 DESC, is_tentative = 0 DESC,
+regexp_matches(lower(file_path), '\\.(h|hh|hpp|inc)$'),
+(CASE WHEN regexp_matches(signature, '\\S') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(docstring, '\\S') THEN 1 ELSE 0 END
+ + CASE WHEN regexp_matches(source, '\\S') THEN 1 ELSE 0 END) DESC, seen_at DESC, id) AS k,
+min(id) OVER (PARTITION BY config_hash, usr) <> max(id) OVER (PARTITION BY config_hash, usr) AS several FROM symbols),
+c AS ({claims}),
+s AS (SELECT config_hash, usr, f, v, src, min(k) AS k FROM c GROUP BY ALL),
+rival AS (SELECT * FROM s QUALIFY min(v) OVER (PARTITION BY config_hash, usr, f) <> max(v) OVER (PARTITION BY config_hash, usr, f)),
+w0 AS MATERIALIZED (SELECT DISTINCT src, 1.0::DOUBLE AS weight, false AS still FROM rival)"""
+    for i in range(1, rounds + 1):
+        out += f""",
+v{i} AS (SELECT config_hash, usr, f, v, sum(weight) AS support FROM rival JOIN w{i - 1} USING (src) GROUP BY ALL),
+h{i} AS (SELECT *, support / sum(support) OVER (PARTITION BY config_hash, usr, f) AS share FROM v{i}),
+p{i} AS (SELECT src, -ln(1 - least(greatest((sum(share) + 1) / (count(*) + 2), 0.05), 0.95)) AS weight FROM rival JOIN h{i} USING (config_hash, usr, f, v) GROUP BY src),
+n{i} AS (SELECT p.src, p.weight / (SELECT avg(weight) FROM p{i}) AS weight, o.weight AS was, o.still FROM p{i} p JOIN w{i - 1} o USING (src)),
+w{i} AS MATERIALIZED (SELECT src, CASE WHEN still THEN was ELSE weight END AS weight, still OR max(abs(weight - was)) OVER () <= {survivors.TOLERANCE} AS still FROM n{i})"""
+    columns = ", ".join(f"max(CASE WHEN f = '{f}' THEN v END) AS {f}" for f in survivors.FIELDS)
+    return out + f""",
+won AS (SELECT config_hash, usr, f, v FROM (SELECT s.config_hash, s.usr, s.f, s.v, round(sum(coalesce(weight, 1)), 9) AS w, min(k) AS k FROM s LEFT JOIN w{rounds} USING (src) GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY config_hash, usr, f ORDER BY w DESC, k) = 1),
+wide AS (SELECT config_hash, usr, {columns} FROM won GROUP BY 1, 2)
+SELECT r.config_hash, r.usr, several, id AS best_id, {", ".join(f"wide.{f}" for f in survivors.FIELDS)} FROM r LEFT JOIN wide USING (config_hash, usr) WHERE k = 1"""
+
+
+SQL["p6_survivors"] = _survivor_sql()
