@@ -27,6 +27,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker remembers; beyond that it starts afresh.
 CACHE_WORDS = 400_000
+#: Transitions that a worker keeps tabulated; beyond that the table starts afresh.
+CACHE_STEPS = 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,6 +69,8 @@ class MergeAutomaton:
         key = (p, t)
         known = self._step.get(key)
         if known is None:
+            if len(self._step) >= CACHE_STEPS:
+                self._step.clear()
             known = self._step[key] = not self._bars(p, t)
         return known
 

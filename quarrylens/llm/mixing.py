@@ -2,7 +2,7 @@
 
 Sizes are tokens of a public tokenizer. Capped water-filling: a source whose share needs more than its epochs allow is
 clamped at its cap, the tokens that it can't give are shared out among the others in proportion to their targets, and
-so on until nothing exceeds its cap. Each document then comes as often as the whole epochs of its source say, and once
+so on until nothing exceeds its cap. A target whose source is left below its share, as its cap is, can't be reached. Each document then comes as often as the whole epochs of its source say, and once
 more by a seeded hash for the fraction.
 """
 
@@ -61,7 +61,9 @@ def _plan(mix: pd.DataFrame) -> pd.DataFrame:
     size = fill(mix["target_share"].tolist(), caps, total)
     mix["mixed_tokens"] = size
     mix["epochs"] = [s / t if t else 0.0 for s, t in zip(size, mix["tokens"])]
-    mix["reachable"] = [not c < s * total for c, s in zip(caps, mix["target_share"])]
+    # who got less than the share, and for no other reason than the cap; the margin is for the rounding of the division
+    short = [filled <= share * total * (1 + 1e-9) for filled, share in zip(size, mix["target_share"])]
+    mix["reachable"] = [not (s and cap < share * total) for s, cap, share in zip(short, caps, mix["target_share"])]
     return mix
 
 

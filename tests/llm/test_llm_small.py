@@ -119,6 +119,19 @@ def test_mixing_plan_and_sample(spark):
     assert mixing.mixing_plan(docs, goals.limit(0)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(0, 1000), st.integers(0, 4)), min_size=1, max_size=6), st.integers(0, 3000))
+def test_targets_out_of_reach_are_those_clamped_below_their_share(sources, more):
+    """What the water-filling leaves below its share by a cap is what the definition names, whatever the shares add up to."""
+    import pandas as pd
+
+    total = sum(t for _, t, _ in sources) + more
+    mix = pd.DataFrame([(1, f"s{i}", f"s{i}", s, r, t, total, True, 0.0, 0.0) for i, (s, t, r) in enumerate(sources)],
+                       columns=["mix_id", "source", "name", "target_share", "max_repeats", "tokens", "total", "reachable", "mixed_tokens", "epochs"])
+    got = mixing._plan(mix)
+    assert got["reachable"].tolist() == [not r * t < s * total for s, r, t in zip(got["target_share"], got["max_repeats"], got["tokens"])]
+
+
 # --- 4
 
 BODY = "int f(int mask) {\n  return mask; // { not this\n}"
