@@ -295,8 +295,12 @@ def _asks(k: int) -> Callable:
     return run
 
 
-def _answers(k: int) -> Callable:
-    """Each block sends the vectors asked for, those of its own whose lists name the other block, and these edges."""
+def _answers(k: int, fan: int) -> Callable:
+    """Each block sends the vectors asked for, those of its own whose lists name the other block, and these edges.
+
+    Of the edges to one vector the best fan go, as more of them are not compared there: a vector that all others name
+    gets no more than that from any block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blk, rows in _blocks(batches):
@@ -307,8 +311,10 @@ def _answers(k: int) -> Callable:
             for r in rows:
                 if r["what"] == "ask":
                     asked.setdefault(r["src"], []).append(_get(r, "a", "i4"))
-            order = np.argsort(away, kind="stable")
+            order = np.lexsort((row, -sim, nb))
             row, nb, sim, away = row[order], nb[order], sim[order], away[order]
+            few = np.arange(len(nb)) - np.searchsorted(nb, nb) < fan
+            row, nb, sim, away = row[few], nb[few], sim[few], away[few]
             heads = sorted({*np.unique(away).tolist(), *asked} - {blk})
             kth = own.sim[:, k - 1]
             for other in heads:
@@ -397,7 +403,7 @@ def _local_join(k: int, fan: int) -> Callable:
 def _descend(graph: DataFrame, k: int, fan: int, parts: int, label: str) -> DataFrame:
     """One round of neighbours of neighbours; src of a block is then the number of its list places that changed."""
     asks = graph.mapInArrow(_asks(k), _PACKED)
-    guests = _by_block(graph.unionByName(asks), parts).mapInArrow(_answers(k), _PACKED)
+    guests = _by_block(graph.unionByName(asks), parts).mapInArrow(_answers(k, fan), _PACKED)
     better = materialize(_by_block(graph.unionByName(guests), parts).mapInArrow(_local_join(k, fan), _PACKED), f"{label}-better")
     fresh = materialize(_by_block(graph.unionByName(better), parts).mapInArrow(_merge(k), _PACKED), f"{label}-graph")
     drop_scratch(better)
@@ -535,7 +541,7 @@ def _pair_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def greedy_search(
-    graph: NeighbourGraph, queries: DataFrame, k: int = K, ef: int = 48, width: int = 12, rounds: int = 8, entries: int = 512,
+    graph: NeighbourGraph, queries: DataFrame, k: int = K, ef: int = 96, width: int = 16, rounds: int = 12, entries: int = 512,
 ) -> DataFrame:
     """(query, id, rank, similarity): the k best for each query that a greedy walk over the graph finds.
 
@@ -546,12 +552,13 @@ def greedy_search(
     spread = Window.partitionBy("model").orderBy(F.xxhash64("id", F.lit(3)), "id")
     held = materialize(graph.members(), "members")
     doors = held.select("id", "model", "h", "q", F.row_number().over(spread).alias("r")).where(F.col("r") <= entries).drop("r")
+    doors = materialize(doors, "doors")  # entries rows a model; written, so that Spark knows the size and chooses the join
     edges = graph.neighbours().select("id", F.col("neighbour").alias("nb"))
     edges = materialize(edges.union(edges.select(F.col("nb"), F.col("id"))).distinct(), "edges")
     asked = queries.select("query", "model", F.col("h").alias("qh"), F.col("q").alias("qq"))
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     shape = "query long, id long, sim float"
-    start = asked.join(F.broadcast(doors), "model").where("h <> qh").select("query", "id", "qq", "q").mapInArrow(_pair_similarity, shape)
+    start = asked.join(doors, "model").where("h <> qh").select("query", "id", "qq", "q").mapInArrow(_pair_similarity, shape)
     beam = materialize(start.withColumn("open", F.lit(False)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= ef).drop("r"), "beam")
     for _ in range(rounds):
         next_up = Window.partitionBy("query", "open").orderBy(F.desc("sim"), "id")
