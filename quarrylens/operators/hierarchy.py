@@ -93,7 +93,7 @@ def _contract(paths: bool):
     return run
 
 
-def _mates(nodes: DataFrame) -> DataFrame:
+def _mates(nodes: DataFrame, parts: int) -> DataFrame:
     """Spread super-nodes by hash, each parent whose coin shows heads together with one child whose coin shows tails.
 
     One child only: a parent with millions of children draws none of them into its partition. Leaves never reach the
@@ -105,7 +105,12 @@ def _mates(nodes: DataFrame) -> DataFrame:
     placed = nodes.join(kids, ["g", "n"], "left").withColumn(
         "at", F.when(F.col("boss").isNotNull() & heads(F.col("boss")) & ~heads(F.col("n")), F.col("boss")).otherwise(F.col("n"))
     )
-    return placed.drop("boss").repartition("g", "at").drop("at")
+    return placed.drop("boss").repartition(parts, "g", "at").drop("at")
+
+
+def _tasks(df: DataFrame, count: int) -> int:
+    """Tasks of which none gets more nodes than it can hold."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // LOCAL_LIMIT))
 
 
 def _solve(nodes: DataFrame, paths: bool, limit: int, level: int) -> DataFrame:
@@ -127,7 +132,7 @@ def _solve(nodes: DataFrame, paths: bool, limit: int, level: int) -> DataFrame:
     if count <= limit:
         above = quotient.coalesce(1).mapInPandas(_contract(paths), schema).select(*keep)
     else:
-        above = _solve(_mates(quotient), paths, limit, level + 1)
+        above = _solve(_mates(quotient, _tasks(quotient, count)), paths, limit, level + 1)
     above = materialize(above, f"solved{level}")
     drop_scratch(quotient)
     up = above.select(
@@ -156,8 +161,7 @@ def hierarchy(
     Repeated rows count once; nulls see parent_links; an empty table gives an empty result; other columns are ignored.
     """
     nodes = parent_links(rows, group, node, parent)
-    # no task may get more nodes than it can hold; the rows are counted from the files' metadata
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // LOCAL_LIMIT)
+    parts = _tasks(rows, rows.count())  # counted from the files' metadata
     solved = _solve(nodes.repartitionByRange(parts, "g", "n"), paths, local_limit, 0)
     fine = F.col("cyc").isNull()
     return solved.select(

@@ -18,6 +18,7 @@ BROADCAST_ROWS = 20_000
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_kept: set[str] = set()
 
 
 def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -79,7 +80,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/quarrylens-{os.getpid()}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path below this application's folder in the scratch root; the folder goes when the driver's JVM ends."""
+    own = f"{scratch_root(spark)}/quarrylens-{spark.sparkContext.applicationId}-{os.getpid()}"
+    if own not in _kept:
+        _kept.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
