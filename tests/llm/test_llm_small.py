@@ -207,16 +207,14 @@ def test_neighbours_against_brute_force(spark):
 def test_descent_adds_pairs_and_a_hub_is_no_burden(spark):
     """Of few orders the descent finds what they miss; 900 copies of one vector, each of its own label, fill the lists of all."""
     rnd = np.random.default_rng(7)
-    x = vectors(rnd, 3_000, 300)
-    x[:900] = x[0]
+    x = np.repeat(rnd.standard_normal((350, 64)), 6, axis=0)
+    x = np.r_[x + rnd.standard_normal(x.shape) * 0.3, np.repeat(rnd.standard_normal((1, 64)), 900, axis=0)]
     df = spark.createDataFrame([(i, "m", f"h{i}", [float(v) for v in x[i]]) for i in range(len(x))], "stash_id long, model string, content_hash string, embedding array<float>")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    other = np.argwhere(np.triu(u[900:] @ u[900:].T >= 0.9, 1)) + 900
-    want = {(int(a), int(b)) for a, b in other}
-    few = {(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(df, block_rows=300, orders=1, rounds=0).collect()}
-    more = {(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(df, block_rows=300, orders=1, rounds=6).collect()}
+    u = x[:2100] / np.linalg.norm(x[:2100], axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T >= 0.9, 1))}
+    few, more = ({(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(df, block_rows=150, orders=1, rounds=n).collect()} for n in (0, 6))
     assert len(want & few) < len(want & more)
-    near = neighbours.neighbour_graph(df, block_rows=300).neighbours().groupBy("id").count().collect()
+    near = neighbours.neighbour_graph(df, block_rows=150).neighbours().groupBy("id").count().collect()
     assert len(near) == 3_000 and all(r["count"] == 10 for r in near)
 
 
