@@ -93,14 +93,15 @@ def _contract(paths: bool):
     return run
 
 
-def _mates(nodes: DataFrame, parts: int) -> DataFrame:
+def _mates(nodes: DataFrame, parts: int, level: int) -> DataFrame:
     """Spread super-nodes by hash, each parent whose coin shows heads together with one child whose coin shows tails.
 
     One child only: a parent with millions of children draws none of them into its partition. Leaves never reach the
-    next quotient and of the nodes with one child a quarter is contracted, so every level shrinks by a constant factor.
+    next quotient and of the nodes with one child a quarter is contracted, so every level shrinks by a constant factor. The
+    coins are thrown anew at each level.
     """
     child = nodes.where("p is not null").groupBy("g", F.col("p").alias("n")).agg(F.min("n").alias("kid"))
-    heads = lambda c: F.xxhash64(F.col("g"), c, F.lit(7)) % 2 == 0
+    heads = lambda c: F.xxhash64(F.col("g"), c, F.lit(level)) % 2 == 0
     kids = child.select("g", F.col("kid").alias("n"), F.col("n").alias("boss"))
     placed = nodes.join(kids, ["g", "n"], "left").withColumn(
         "at", F.when(F.col("boss").isNotNull() & heads(F.col("boss")) & ~heads(F.col("n")), F.col("boss")).otherwise(F.col("n"))
@@ -132,7 +133,7 @@ def _solve(nodes: DataFrame, paths: bool, limit: int, level: int) -> DataFrame:
     if count <= limit:
         above = quotient.coalesce(1).mapInPandas(_contract(paths), schema).select(*keep)
     else:
-        above = _solve(_mates(quotient, _tasks(quotient, count)), paths, limit, level + 1)
+        above = _solve(_mates(quotient, _tasks(quotient, count), level), paths, limit, level + 1)
     above = materialize(above, f"solved{level}")
     drop_scratch(quotient)
     up = above.select(
