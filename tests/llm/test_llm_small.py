@@ -212,7 +212,7 @@ def test_descent_adds_pairs_and_a_hub_is_no_burden(spark):
     df = spark.createDataFrame([(i, "m", f"h{i}", [float(v) for v in x[i]]) for i in range(len(x))], "stash_id long, model string, content_hash string, embedding array<float>")
     u = x[:2100] / np.linalg.norm(x[:2100], axis=1, keepdims=True)
     want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T >= 0.9, 1))}
-    few, more = ({(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(df, block_rows=150, orders=1, rounds=n).collect()} for n in (0, 6))
+    few, more = ({(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(df, block_rows=150, orders=2, rounds=n).collect()} for n in (0, 6))
     assert len(want & few) < len(want & more)
     near = neighbours.neighbour_graph(df, block_rows=150).neighbours().groupBy("id").count().collect()
     assert len(near) == 3_000 and all(r["count"] == 10 for r in near)
