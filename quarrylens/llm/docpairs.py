@@ -1,16 +1,18 @@
 """Functions paired with their documentation.
 
-The source of a symbol is lexed once by a state machine that knows comments and strings, so that braces inside either
-don't count. The comments ahead of the first token of code are its leading documentation; the first brace group outside
-of parentheses after a parameter list is the body, and must be closed. Documentation is real if words remain after
-comment marks, tags, decoration, placeholders, pointers, licence and author notes and the words of the declaration
-itself are taken away.
+A source is lexed once by a state machine that knows comments, strings and preprocessor lines, so that braces inside any
+of them don't count. Braces that open no function (a namespace, a class, a language block) are entered, so every function
+of a file is found; a function is a parameter list followed by a closed brace group. Its documentation is the comments
+that touch it: they end on the line above the declaration or on its own, without a blank line between them. Documentation
+is real if words remain after comment marks, tags, decoration, placeholders, pointers, licence and author notes and the
+words of the declaration itself are taken away.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,10 +22,14 @@ FUNCTION_KINDS = ("function", "method", "constructor", "destructor")
 
 #: Lexemes; anything between them is plain code.
 _LEX = re.compile(
-    r"""(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*(?:\\\r?\n[^\n]*)*)|(?P<raw>R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)")"""
-    r"""|(?P<str>"(?:\\.|[^"\\\n])*"?)|(?P<chr>(?<![0-9a-fA-F])'(?:\\.|[^'\\\n])*'?)|(?P<mark>[{}()\[\];])""",
-    re.S,
+    r"""(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*(?:\\\r?\n[^\n]*)*)|(?P<pre>^[ \t]*\#[^\n]*(?:(?<=\\)\n[^\n]*|(?<=\\\r)\n[^\n]*)*)"""
+    r"""|(?P<raw>R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)")"""
+    r"""|(?P<str>"(?:\\.|[^"\\\n])*"?)|(?P<chr>(?<![0-9a-fA-F])'(?:\\.|[^'\\\n])*'?)|(?P<mark>[{}()\[\];,]|::|:|[=!<>]?=+)|(?P<word>[^\W\d]\w*)""",
+    re.S | re.M,
 )
+#: Words that open a section of a class, and words whose parentheses are no parameter list.
+_ACCESS = frozenset(("public", "private", "protected", "signals"))
+_NO_CALL = frozenset("__attribute__ __declspec alignas decltype __asm__ asm noexcept throw requires".split())
 _MARKS = re.compile(r"^\s*(?:/\*+[!<]*<?|//[/!]*<?|\*+(?!/))|\*+/\s*$|^\s*\*+/", re.M)
 _TAG = re.compile(r"[@\\](?:param(?:\[[^\]]*\])?\s+\w+|t?param\b|retval\s+\w+|(?:fn|def|var|class|struct|file|name|typedef)\b[^\n]*|(?!todo|author|date|version|copyright|license|see|sa|since)[a-zA-Z]+\b)", re.I)
 _PIECE = re.compile(r"(?<=[.!?;。])\s+|\n")
@@ -38,7 +44,7 @@ _EMPTY_TALK = re.compile(
     | (?:n/?a|n\.\s?a\.?|none|null|nil|unknown|undocumented|placeholder|dummy|stub|empty|nothing|keine|aucune|ninguna|ninguno)\W*
     | (?:(?:insert|add|write|put|enter|place|provide|fill\s+in|missing|no|brief|short|long|detailed|full|function|method|your|a|the|some|proper)\s+)*
         (?:description|comment|comments|documentation|docs?|doc\s?string|summary|text|beschreibung|kommentar|descripci[oó]n|comentario|documentaci[oó]n|commentaire)
-        (?:\s+(?:here|goes|needed|missing|required|follows|to\s+be\s+(?:added|written|done)|pending|hier|ici|aqu[ií]|below|later))*\W*
+        (?:\s+(?:here|goes|needed|missing|required|follows|to\s+be\s+(?:added|written|done)|pending|folgt|fehlt|suit|manquante?|pendiente|hier|ici|aqu[ií]|below|later))*\W*
     | (?:describe|document|explain|comment)\s+(?:me|this|it|here|function|method)?\W*
     | (?:auto|automatically|machine)[\s-]*generated\b .*
     | generated\s+(?:by|from|automatically|stub)\b .*
@@ -46,7 +52,7 @@ _EMPTY_TALK = re.compile(
     | (?:noch\s+)?(?:zu\s+(?:dokumentieren|erledigen)|nicht\s+dokumentiert|fehlt(?:\s+noch)?)\W*
     | (?:à|a)\s+(?:documenter|compl[eé]ter|faire|d[eé]crire)\W*
     | (?:por\s+|a\s+|sin\s+)?(?:documentar|completar|hacer)\W*
-    | \{?@?inherit-?doc\}?\W*
+    | \{?@?inherit-?doc\}?\W* | [@\\]copy(?:doc|brief|details)\b .*
     | [@\\]?(?:see|sa|siehe|voir|ver|vea|v[eé]ase|cf\.?|refer\s+to|documented\s+(?:in|at|elsewhere)|described\s+(?:in|at|elsewhere)|same\s+as)\b\W* (?:[^\s]+\s*){0,8}
     | copyright\b.* | .*\bcopyright\s*(?:\(c\)|©|\d{4}).* | ©.* | .*\ball\s+rights\s+reserved\b.* | .*\bspdx-\S+.* | .*\blicen[cs]ed?\s+(?:under|to)\b.*
     | .*\b(?:mit|bsd|apache|gpl|lgpl|mpl)[\s-]*(?:v?\d[\d.]*)?\s+licen[cs]e\b.* | .*\bredistribution\s+and\s+use\b.*
@@ -64,60 +70,130 @@ _FILLER = frozenset(
 )
 
 
-def lex(source: str) -> tuple[str, str, str] | None:
-    """(leading comments, declaration, body with braces) of a source; None if it holds no closed body.
+class Function(NamedTuple):
+    """The comment that touches a function, its declaration, and its body with braces."""
 
-    A body needs a parameter list before it. Braces in comments, strings, parentheses and initialisers after = don't
-    open one; of several groups (member initialisers a{1}) the last is the body.
-    """
-    lead: list[str] = []
-    code = depth = 0
-    opened = None
-    seen_call = assigned = False
-    decl_end = body = None
-    started = None
-    at = 0
+    comment: str
+    declaration: str
+    body: str
+
+
+class _Lexeme(NamedTuple):
+    kind: str  # block, line, pre, word, code, or the mark itself
+    start: int
+    end: int
+
+
+def _lexemes(source: str) -> list[_Lexeme]:
+    out, at = [], 0
     for m in _LEX.finditer(source):
-        kind = m.lastgroup if m.lastgroup != "d" else "raw"
-        between = source[at : m.start()]
-        if started is None and between.strip():
-            started = at + len(between) - len(between.lstrip())
-        if depth == 0 and code == 0 and seen_call and "=" in between and "==" not in between:
-            assigned = True
+        gap = source[at : m.start()]
+        if gap.strip():
+            out.append(_Lexeme("code", at + len(gap) - len(gap.lstrip()), at + len(gap.rstrip())))
+        kind = m.lastgroup
+        out.append(_Lexeme(m.group(0) if kind == "mark" else kind if kind in ("block", "line", "pre", "word") else "code", *m.span()))
         at = m.end()
-        if kind in ("block", "line"):
-            if started is None:
-                lead.append(m.group(0))
+    if (rest := source[at:]).strip():
+        out.append(_Lexeme("code", at + len(rest) - len(rest.lstrip()), len(source.rstrip())))
+    return out
+
+
+def _partners(lexemes: list[_Lexeme]) -> dict[int, int]:
+    """The closing brace of each opening one."""
+    held, found = [], {}
+    for i, x in enumerate(lexemes):
+        if x.kind == "{":
+            held.append(i)
+        elif x.kind == "}" and held:
+            found[held.pop()] = i
+    return found
+
+
+def _touching(source: str, comments: list[_Lexeme], start: int) -> str:
+    """The last comments ahead of a declaration that no blank line cuts off from it."""
+    kept: list[str] = []
+    for c in reversed(comments):
+        if source.count("\n", c.end, start) > 1:
+            break
+        kept.append(source[c.start : c.end])
+        start = c.start
+    return "\n".join(reversed(kept))
+
+
+def functions(source: str) -> Iterator[Function]:
+    """The functions of a source in order, those inside of namespaces, classes and language blocks too.
+
+    A body needs a parameter list before it. Braces in comments, strings, preprocessor lines, parentheses and values after =
+    open none, nor do those of member initialisers a{1}: a comma or another group follows them. A function that isn't
+    closed is none; what is inside a body is not looked at.
+    """
+    lexemes = _lexemes(source)
+    partner = _partners(lexemes)
+    comments: list[_Lexeme] = []
+    start = opened = None
+    called = valued = colon = False
+    word, inner, i = "", 0, 0
+
+    def following(j: int) -> str:
+        """The next lexeme that is no comment: its mark or its text."""
+        while (j := j + 1) < len(lexemes):
+            if lexemes[j].kind not in ("block", "line", "pre"):
+                return source[lexemes[j].start : lexemes[j].end]
+        return ""
+
+    while i < len(lexemes):
+        x = lexemes[i]
+        i += 1
+        if x.kind in ("block", "line"):
+            if start is None and not (i > 1 and lexemes[i - 2].kind not in ("block", "line") and "\n" not in source[lexemes[i - 2].end : x.start]):
+                comments.append(x)  # one that shares its line with code before it speaks of that code
+            continue
+        if x.kind == "pre":
+            if start is None:
+                comments = []
             continue
-        if started is None:
-            started = m.start()
-        if kind != "mark":
+        if x.kind not in (";", "{", "}") and start is None:
+            start = x.start
+        if x.kind == "word":
+            word = source[x.start : x.end]
             continue
-        c = m.group(0)
-        if c in "([":
-            code += depth == 0
-        elif c in ")]":
-            if depth == 0:
-                code = max(0, code - 1)
-                seen_call |= c == ")"
-        elif c == "{":
-            if depth == 0 and code == 0:
-                opened = m.start()
-            if code == 0:
-                depth += 1
-        elif c == "}":
-            if depth:
-                depth -= 1
-                if depth == 0 and opened is not None and seen_call and not assigned:
-                    decl_end = opened if decl_end is None or source[body[1] : opened].strip(" \t\r\n,") else decl_end
-                    body = (opened, m.end())
-        elif c == ";" and depth == 0 and code == 0:
-            if body:
-                break
-            seen_call = assigned = False
-    if body is None:
-        return None
-    return "\n".join(lead), source[started:decl_end].strip(), source[body[0] : body[1]]
+        if x.kind in ("(", "["):
+            if not inner and x.kind == "(" and word not in _NO_CALL:
+                called = True
+            inner += 1
+        elif x.kind in (")", "]"):
+            inner = max(0, inner - 1)
+        elif x.kind == "{" and inner:
+            if i - 1 not in partner:
+                return
+            i = partner[i - 1] + 1
+        elif x.kind == "{" and (called or valued):
+            close = partner.get(i - 1)
+            if close is None:
+                return
+            i = close + 1
+            opened = x.start if opened is None else opened
+            after = following(close)
+            if called and not valued and after != "catch" and not (colon and after in (",", "{")):
+                yield Function(_touching(source, comments, start), source[start:opened].strip(), source[opened : lexemes[close].end])
+                comments, start, opened, called, colon, word = [], None, None, False, False, ""
+            elif after != "catch":
+                opened = None
+        elif not inner and (x.kind in (";", "{", "}") or x.kind == ":" and source[start : x.start].split()[0] in _ACCESS):
+            comments, start, opened, called, valued, colon, word = [], None, None, False, False, False, ""
+        elif x.kind == ":" and not inner:
+            colon |= called
+        elif x.kind == "=" and not inner and word != "operator":
+            valued |= called or following(i - 1) == "{"
+        if x.kind != "code":
+            word = ""
+
+
+def _named(found: list[Function], name) -> Function | None:
+    """The function of that name, else the first."""
+    tail = name.rsplit("::", 1)[-1] if isinstance(name, str) else ""
+    own = (f for f in found if tail and re.search(rf"(?<!\w){re.escape(tail)}\s*\(", f.declaration))
+    return next(own, found[0] if found else None)
 
 
 def _parts(text: str) -> set[str]:
@@ -128,6 +204,23 @@ def _parts(text: str) -> set[str]:
     return words
 
 
+#: Endings that make another form of a word.
+_ENDINGS = frozenset("s es e ed d ing er ers or ors en n ies ied y".split())
+
+
+def _inflected(a: str, b: str) -> bool:
+    """Whether two words are forms of one: they differ in a short ending only, the last letter before it doubled or not."""
+    same = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        same += 1
+    if same < 3:
+        return False
+    rest = [w[same + (1 if len(w) > same and w[same] == w[same - 1] else 0) :] for w in (a, b)]
+    return all(not r or r in _ENDINGS for r in rest)
+
+
 def describe(comment: str | None, own: str) -> str:
     """The comment as plain text, or '' if it says nothing beyond the declaration's own words."""
     if not comment or not comment.strip():
@@ -144,36 +237,53 @@ def describe(comment: str | None, own: str) -> str:
         if not told or _EMPTY_TALK.match(told):
             continue
         for w in _WORD.findall(told):
-            low = w.lower()
-            if low in names or low in _FILLER or _parts(w) <= names:
-                continue
-            if any(low.startswith(s) or (len(low) >= 3 and s.startswith(low)) for s in stems):
-                continue
-            news += 2 if len(low) >= 6 and not low.isascii() and ord(low[0]) > 0x2E80 else 1
+            parts = [w.lower(), *(p.lower() for p in _CAMEL.findall(w))]
+            own = [p in names or p in _FILLER or any(_inflected(p, s) for s in stems) for p in parts]
+            news += not (own[0] or (len(own) > 1 and all(own[1:])))
         kept.append(told)
-    return " ".join(" ".join(kept).split()) if news >= 2 else ""
+    return " ".join(" ".join(kept).split()) if news else ""
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            cut = lex(row.source)
-            if cut is None:
+            f = _named(list(functions(row.source)), row.name)
+            if f is None:
                 continue
-            lead, decl, body = cut
-            own = " ".join(x for x in (row.name, row.qualified_name, row.signature, decl) if isinstance(x, str))
-            text = describe(row.docstring, own) or describe(lead, own)
+            own = " ".join(x for x in (row.name, row.qualified_name, row.signature, f.declaration) if isinstance(x, str))
+            text = describe(row.docstring, own) or describe(f.comment, own)
             if text:
-                out.append((row.symbol_id, row.name, decl, text, f"{decl} {body}"))
+                out.append((row.symbol_id, row.name, f.declaration, text, f"{f.declaration} {f.body}"))
         yield pd.DataFrame(out, columns=["symbol_id", "name", "declaration", "description", "code"])
 
 
+def _file_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for key, source in zip(batch["key"], batch["source"]):
+            for i, f in enumerate(functions(source)):
+                if text := describe(f.comment, f.declaration):
+                    out.append((key, i, f.declaration, text, f"{f.declaration} {f.body}"))
+        yield pd.DataFrame(out, columns=["key", "place", "declaration", "description", "code"])
+
+
+def file_pairs(files: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, place, declaration, description, code): the documented functions of whole source files, numbered by place.
+
+    Null and empty sources give none; a file delivered twice is read twice; further columns are ignored.
+    """
+    chosen = files.select(F.col(key).alias("key"), F.col(source).alias("source")).where("source like '%{%'")
+    kind = chosen.schema["key"].dataType.simpleString()
+    return chosen.mapInPandas(_file_pairs, f"key {kind}, place int, declaration string, description string, code string").withColumnRenamed("key", key)
+
+
 def documented_functions(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol_id, name, declaration, description, code) of each function with a body and real documentation.
 
-    texts has symbol_id, name, qualified_name, signature, docstring and source; symbols has id and kind. The docstring
-    comes first, the comment that leads the source is taken if the docstring says nothing. Null or empty sources, ids
+    texts has symbol_id, name, qualified_name, signature, docstring and source; symbols has id and kind. A row's function is
+    the one of its name in the source, else the first. The docstring comes first, the comment that touches the
+    function is taken if the docstring says nothing. Null or empty sources, ids
     without a function kind and null ids give no row; a text row delivered twice gives one row. Texts of any length are
     read whole. Further columns are ignored.
     """

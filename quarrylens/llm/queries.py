@@ -19,6 +19,11 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("symbol_id").agg(*[F.min(c).alias(c) for c in ("name", "declaration", "description", "code")])
 
 
+def p4_file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source read as a file of its own: its functions with the comments that touch them."""
+    return docpairs.file_pairs(load(spark, sf_dir, "symbols_fts"), "symbol_id", "source").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neighbours.similar_pairs(load(spark, sf_dir, "embedding_stash"))
     return pairs.select(F.col("id_a").alias("stash_id_a"), F.col("id_b").alias("stash_id_b"))
@@ -66,7 +71,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_neighbours": p5_neighbours,
+    "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_file_pairs": p4_file_pairs, "p5_found": p5_found, "p5_neighbours": p5_neighbours,
     "p5_search": p5_search, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids,
     "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean,
 }

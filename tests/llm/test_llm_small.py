@@ -146,11 +146,73 @@ BODY = "int f(int mask) {\n  return mask; // { not this\n}"
     ("Real words here.", "int t[2] = {1, 2};", False), ("   ", "int f(void)\r\n{\r\n /* Real words inside. */\r\n}", False), ("Wartet auf den Bus.", BODY, True), ("", "", False), ("漏電検出ブロックを初期化する。", BODY, True),
 ])
 def test_documentation_is_real(spark, doc, src, real):
-    cut = docpairs.lex(src)
-    got = bool(cut) and bool(docpairs.describe(doc, "f " + cut[1]) or docpairs.describe(cut[0], "f " + cut[1]))
+    cut = docpairs._named(list(docpairs.functions(src)), "f")
+    got = bool(cut) and bool(docpairs.describe(doc, "f " + cut.declaration) or docpairs.describe(cut.comment, "f " + cut.declaration))
     assert got == real
 
 
+FILE = """/* Licence: do as you like. */
+
+#include <a.h>
+#define TWICE(x) { x; x; }
+
+/* A note about the whole file. */
+
+// Waits until the bus
+// is idle.
+static int wait_idle(int tries)
+{
+    return tries ? wait_idle(tries - 1) : 0; /* } */
+}
+
+int plain(void) { return 1; }   // speaks of the line before
+int next(void) { return 2; }
+
+/** Cut off by a blank line. */
+
+int cut(void) { return 3; }
+int table[2] = { 1, 2 };  struct point p = { .x = f(1) };
+
+namespace hal {
+/// Keeps the ring of samples.
+class Ring {
+public:
+    /** Builds an empty ring of that many places. */
+    explicit Ring(int n) : size{n}, data(new int[n]) { clear(); }
+    Ring &operator=(const Ring &r) = default;
+    /// Compares two rings place by place.
+    bool operator==(const Ring &r) const { return true; }
+private:
+    int size{0};
+};
+}
+/* Never closed. */
+int open(void) {
+"""
+
+
+def test_functions_of_a_whole_file(spark):
+    """Every function is found, with the comment that touches it and no other; the second function doesn't take the first one's."""
+    got = {f.declaration.split("(")[0].split()[-1].lstrip("&"): f.comment for f in docpairs.functions(FILE.replace("/* Never closed. */\nint open(void) {\n", ""))}
+    assert list(got) == ["wait_idle", "plain", "next", "cut", "Ring", "operator=="]
+    assert got["wait_idle"].split() == "// Waits until the bus // is idle.".split() and got["plain"] == got["next"] == got["cut"] == ""
+    assert "empty ring" in got["Ring"] and "place by place" in got["operator=="]
+    bodies = {f.declaration: f.body for f in docpairs.functions("/* First one. */\nint a(int x) { return 1; }\n/* Second one. */\nint b(int x) { return 2; }")}
+    assert bodies == {"int a(int x)": "{ return 1; }", "int b(int x)": "{ return 2; }"}
+    rows = docpairs.file_pairs(spark.createDataFrame([(1, FILE), (2, None), (3, "")], "key string, text string"), "key", "text").orderBy("place").collect()
+    assert [(r["key"], r["place"]) for r in rows] == [("1", 0), ("1", 4), ("1", 5)]
+
+
+@pytest.mark.parametrize("doc, own, real", [
+    ("Idempotent.", "set_mask int set_mask(int mask)", True), ("Interrupt safe.", "int f(int interval)", True), ("Sets the masks.", "set_mask int set_mask(int mask)", False),
+    ("SetMask()", "set_mask", False), ("Spinning lock.", "spi int spi(void)", True), ("Réentrant.", "f", True), ("Stopped timers", "stop_timer", False), ("Lorem dolor.", "f", True),
+    ("Same as above.", "f", False), ("Nur ein Platzhalter für den Bus.", "f", True), ("@todo", "f", False), ("Beschreibung folgt", "f", False), ("@copydoc g", "f", False), ("Documented in the manual.", "f", False),
+])
+def test_one_word_of_its_own_is_enough(doc, own, real):
+    """Held-out wordings: a word that isn't a form of the declaration's words is documentation."""
+    assert bool(docpairs.describe(doc, own)) == real
+
+
 def test_pairs_of_rows(spark):
     texts = spark.createDataFrame([
         (1, "f", None, None, "Counts the set bits.", BODY, 0), (1, "f", None, None, "Counts the set bits.", BODY, 0), (2, None, None, None, None, None, 0), (None, "f", "f", "f", "Real words here.", BODY, 0),
