@@ -33,6 +33,16 @@ def alias_pairs(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return pairs.groupBy("config_hash", "decl_usr").agg(F.min_by("def_usr", F.struct("pref", "def_usr")).alias("def_usr"))
 
 
+def alias_edges(calls: DataFrame, pairs: DataFrame, forward: bool) -> DataFrame:
+    """Call edges with those of the definitions behind declarations: forward a declaration calls what its definition
+    calls, backward who calls the declaration calls the definition."""
+    if forward:
+        more = calls.join(pairs.select("config_hash", F.col("def_usr").alias("src"), "decl_usr"), ["config_hash", "src"]).select("config_hash", F.col("decl_usr").alias("src"), "dst")
+    else:
+        more = calls.join(pairs.select("config_hash", F.col("decl_usr").alias("dst"), "def_usr"), ["config_hash", "dst"]).select("config_hash", "src", F.col("def_usr").alias("dst"))
+    return calls.unionByName(more).distinct()
+
+
 def walk(edges: DataFrame, start: DataFrame, max_depth: int | None = 5, forward: bool = True) -> DataFrame:
     """(config_hash, target, usr, depth): all nodes within max_depth steps of each start, at their least depth; None: all.
 
@@ -99,6 +109,46 @@ def shortest_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, max_dept
     return reduce(DataFrame.unionByName, found).select("config_hash", F.col("origin").alias("src"), F.col("usr").alias("dst"), "depth", "path")
 
 
+def call_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int = 10, limit: int = 5, max_nodes: int | None = 5_000) -> tuple[DataFrame, DataFrame]:
+    """Paths (config_hash, src, dst, depth, path, rn) and outcomes (config_hash, src, dst, outcome).
+
+    Of each start and goal the first limit shortest paths in the order of their nodes; a direct edge is one. A node keeps
+    no more than limit paths a level, which is enough: the first paths to a node go through first paths. outcome is found,
+    or not_found, or capped for starts that met more than max_nodes nodes before their goal.
+    """
+    step = materialize(edges.select("config_hash", F.col("src").alias("usr"), F.col("dst").alias("next")), "path-edges")
+    front = start.select("config_hash", F.col("usr").alias("src"), "usr", F.array("usr").alias("path")).distinct()
+    ends = materialize(goal.select("config_hash", F.col("usr").alias("dst")).distinct(), "path-goals")
+    seen = front.select("config_hash", "src", "usr")
+    pairs = front.select("config_hash", "src").distinct().join(ends, "config_hash")
+    found, capped = [], []
+    first = Window.partitionBy("config_hash", "src", "usr").orderBy("path")
+    for depth in range(1, max_depth + 1):
+        new = front.join(step, ["config_hash", "usr"]).select("config_hash", "src", F.col("next").alias("usr"), F.concat("path", F.array("next")).alias("path"))
+        new = new.join(seen, ["config_hash", "src", "usr"], "left_anti").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= limit)
+        front = materialize(new, f"paths{depth}")
+        if front.isEmpty():
+            break
+        found.append(front.join(ends.withColumnRenamed("dst", "usr"), ["config_hash", "usr"], "left_semi").withColumn("depth", F.lit(depth)))
+        seen = materialize(seen.unionByName(front.where("rn = 1").select("config_hash", "src", "usr")), f"paths-seen{depth}")
+        # a start is done when all its goals are met, or when it has met too many nodes
+        met = reduce(DataFrame.unionByName, found).select("config_hash", "src", F.col("usr").alias("dst")).distinct()
+        left = pairs.join(met, ["config_hash", "src", "dst"], "left_anti")
+        if max_nodes is not None:
+            many = materialize(seen.groupBy("config_hash", "src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_nodes).select("config_hash", "src"), f"paths-many{depth}")
+            capped.append(many)
+            left = left.join(many, ["config_hash", "src"], "left_anti")
+        front = front.drop("rn").join(left.select("config_hash", "src").distinct(), ["config_hash", "src"], "left_semi")
+    spark = edges.sparkSession
+    paths = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "config_hash string, src string, usr string, path array<string>, rn int, depth int")
+    paths = paths.select("config_hash", "src", F.col("usr").alias("dst"), "depth", "path", "rn")
+    hit = paths.select("config_hash", "src", "dst").distinct().withColumn("hit", F.lit(True))
+    over = reduce(DataFrame.unionByName, capped).distinct().withColumn("over", F.lit(True)) if capped else spark.createDataFrame([], "config_hash string, src string, over boolean")
+    outcomes = pairs.join(hit, ["config_hash", "src", "dst"], "left").join(over, ["config_hash", "src"], "left")
+    outcome = F.when(F.col("hit"), "found").when(F.col("over"), "capped").otherwise("not_found")
+    return paths, outcomes.select("config_hash", "src", "dst", outcome.alias("outcome"))
+
+
 def dead_code(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(config_hash, usr, category, sites): callable definitions never referred to (dead), or only indirectly
     (possibly_dead) with up to three sites in order."""

@@ -6,11 +6,15 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.scalars import stem_matches
+from quarrylens.runtime import materialize
 
 #: Weights of the kinds of symbols in the relevance score.
 KIND_WEIGHT = {
@@ -41,6 +45,59 @@ def knn(vectors: DataFrame, query: list[float], key: str = "symbol_id", vector:
     return best if limit is None else best.orderBy("distance", key).limit(limit)
 
 
+#: Asked vectors that are sent to all tasks at once.
+WAVE = 8_192
+
+
+def nearest_of(asked: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, wave: int = WAVE) -> DataFrame:
+    """(query, id, rank, similarity): for each asked vector the k most similar of all vectors of its length but its own; ties
+    go to the smaller key. Null vectors and a null key take no part.
+
+    Exact, a blocked product: the asked vectors are cut by hash into waves of about that many, which is what is sent to the
+    tasks at once; every task compares its batches with the wave, and only the k best of each asked vector leave it.
+    """
+    spark = vectors.sparkSession
+    chosen = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    asks, held = materialize(chosen(asked), "asked"), chosen(vectors)
+    waves = max(1, -(-asks.count() // wave))
+    near = [_wave(held, asks.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).collect(), k, spark) for w in range(waves)]
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return reduce(DataFrame.unionByName, near).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "rank", "similarity")
+
+
+def _wave(held: DataFrame, rows: list, k: int, spark: SparkSession) -> DataFrame:
+    by_length: dict[int, list] = {}
+    for r in rows:
+        by_length.setdefault(len(r["v"]), []).append(r)
+    shared = spark.sparkContext.broadcast({n: (np.array([r["id"] for r in rs]), _unit_rows(np.array([r["v"] for r in rs], "f8"))) for n, rs in by_length.items() if n})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: (np.full((len(ids), k), np.iinfo("i8").max), np.full((len(ids), k), -np.inf)) for n, (ids, _) in shared.value.items()}
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for n, (asks, q) in shared.value.items():
+                part = batch.filter(pa.array(size == n))
+                for at in range(0, part.num_rows, 4_096):
+                    ids = part.column(0).slice(at, 4_096).to_numpy(zero_copy_only=False)
+                    x = part.column(1).slice(at, 4_096).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(ids), n)
+                    sims = np.round(q @ _unit_rows(x).T, 9)
+                    sims[(asks[:, None] == ids[None, :]) | np.isnan(sims)] = -np.inf
+                    names, sims = np.concatenate([best[n][0], np.broadcast_to(ids, sims.shape)], 1), np.concatenate([best[n][1], sims], 1)
+                    order = np.lexsort((names, -sims), axis=1)[:, :k]
+                    best[n] = np.take_along_axis(names, order, 1), np.take_along_axis(sims, order, 1)
+        for n, (names, sims) in best.items():
+            row, place = np.nonzero(np.isfinite(sims))
+            asks = shared.value[n][0]
+            yield pa.RecordBatch.from_arrays([pa.array(asks[row]), pa.array(names[row, place]), pa.array(sims[row, place])], ["query", "id", "similarity"])
+
+    return held.mapInArrow(run, "query long, id long, similarity double")
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
 def hybrid_rerank(candidates: DataFrame, vectors: DataFrame, query: list[float], key: str = "symbol_id") -> DataFrame:
     """Text candidates that have a vector, by distance."""
     return knn(vectors.join(candidates.select(key).distinct(), key, "left_semi"), query, key, threshold=None, limit=None)
@@ -113,7 +170,7 @@ def hard_negatives(dense: DataFrame, text: DataFrame, k: int = 10, least: int =
     """
     a, b = (df.where((F.col("rank") <= k) & (F.col("id") != F.col("query"))) for df in (dense, text))
     enough = a.groupBy("query").count().where(F.col("count") >= least).select("query").join(b.groupBy("query").count().where(F.col("count") >= least).select("query"), "query")
-    pick = lambda x, y, n: x.join(y, ["query", "id"], "left_anti").groupBy("query").agg(F.min_by("id", F.xxhash64("id", F.lit(seed))).alias(n))
+    pick = lambda x, y, n: x.join(y, ["query", "id"], "left_anti").groupBy("query").agg(F.min_by("id", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))).alias(n))
     return enough.join(pick(a, b, "dense_id"), "query").join(pick(b, a, "text_id"), "query")
 
 

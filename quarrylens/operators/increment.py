@@ -13,16 +13,15 @@ for the store.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.runtime import filled
+from quarrylens.sources.manifests import Manifests
 
 #: Folders into which deliveries and outputs are cut by the hash of their build, so that a run reads those that it touches.
 PARTS = 32
@@ -33,54 +32,13 @@ class CommitStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark._jvm
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._at("").getFileSystem(self._conf)
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _manifests(self, kind: str) -> list[dict]:
-        folder = self._at(kind)
-        if not self._fs.exists(folder):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
-        out = []
-        for name in (n for n in names if n.endswith(".json") and not n.startswith((".", "_"))):
-            stream = self._fs.open(self._at(f"{kind}/{name}"))
-            out.append(json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            stream.close()
-        return out
-
-    def _publish(self, kind: str, number: int, manifest: dict) -> bool:
-        """Put a manifest into place at once; False if its number is taken."""
-        self._fs.mkdirs(self._at(kind))
-        draft, final = self._at(f"{kind}/_{uuid.uuid4().hex}"), self._at(f"{kind}/{number:08d}.json")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        try:
-            if self._fs.getScheme() == "file":
-                at = lambda p: self._jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0))
-                self._jvm.java.nio.file.Files.createLink(at(final), at(draft))
-            else:
-                kinds = self._jvm.org.apache.hadoop.fs.Options.Rename
-                none = self.spark.sparkContext._gateway.new_array(kinds, 1)
-                none[0] = kinds.NONE
-                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self._conf).rename(draft, final, none)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
-        finally:
-            self._fs.delete(draft, False)
-        return True
+        self._log, self._commits = (Manifests(spark, f"{self.path}/{kind}") for kind in ("log", "commits"))
 
     # --- what came in
 
     def deliveries(self) -> list[dict]:
         """The manifests of the log in order."""
-        return self._manifests("log")
+        return self._log.read()
 
     def deliver(self, name: str, tables: dict[str, DataFrame], parts: str = "config_hash") -> int:
         """Write a delivery of tables and give it the next number; one of that name which is already there keeps its number.
@@ -102,7 +60,7 @@ class CommitStore:
             for d in done:
                 if d["name"] == name:
                     return d["number"]
-            if self._publish("log", len(done), {"number": len(done), "name": name, "data": folder, "tables": held}):
+            if self._log.publish(len(done), {"number": len(done), "name": name, "data": folder, "tables": held}):
                 return len(done)
 
     def delivered(self, table: str, above: int | None, upto: int | None, parts: Iterable[int] | None = None) -> DataFrame | None:
@@ -122,7 +80,7 @@ class CommitStore:
 
     def commits(self) -> list[dict]:
         """The manifests of the commits in order."""
-        return self._manifests("commits")
+        return self._commits.read()
 
     def watermark(self) -> int | None:
         done = self.commits()
@@ -139,6 +97,11 @@ class CommitStore:
             rows = rows.groupBy(*keys).agg(F.max_by("keep", "commit").alias("keep"))
         return rows.where("keep").drop("keep", "commit")
 
+    def snapshot(self) -> DataFrame | None:
+        """The rows of the last commit alone, for runs whose output stands for all that came before."""
+        done = self.commits()
+        return self._read(done[-1:], lambda c: c["data"], lambda c: c["schema"], None).where("keep").drop("keep", "commit") if done else None
+
     def run(self, upper: int | None, make: Callable[[int | None, int], DataFrame], before_commit: Callable[[], None] | None = None, parts: str = "config_hash") -> bool:
         """Process (watermark, upper] once; True if something was committed.
 
@@ -157,7 +120,7 @@ class CommitStore:
         if before_commit:
             before_commit()
         manifest = {"watermark": upper, "data": data, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)}
-        if not self._publish("commits", number, manifest):
+        if not self._commits.publish(number, manifest):
             raise RuntimeError(f"another run committed number {number}")
         return True
 

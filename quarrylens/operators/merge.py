@@ -18,15 +18,22 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return best.select(*keys, "row.*").select(*df.columns)
 
 
-def merge_symbols(symbols: DataFrame) -> DataFrame:
+def merge_symbols(symbols: DataFrame, fresh_files: DataFrame | None = None) -> DataFrame:
     """One row per (config_hash, usr) of the rows that aren't removed.
 
     A definition replaces a declaration, a strong one a weak one, a real one a tentative one; otherwise the first row
-    seen holds, of equal times the smaller id.
+    seen holds, of equal times the smaller id. fresh_files (config_hash, file_path, since) names files that were read anew:
+    a row of theirs that was seen before that is stale, and any other row replaces it.
     """
     live = symbols.where("removed_at is null and usr is not null and config_hash is not null")
-    order = [-F.coalesce("is_definition", F.lit(0)), F.coalesce("is_weak", F.lit(0)), F.coalesce("is_tentative", F.lit(0)), F.col("seen_at"), F.col("id")]
-    return first_by(live, ["config_hash", "usr"], order)
+    stale = F.lit(False)
+    if fresh_files is not None:
+        since = fresh_files.groupBy("config_hash", "file_path").agg(F.max("since").alias("__since"))
+        live = live.join(since, ["config_hash", "file_path"], "left")
+        stale = F.coalesce(F.col("seen_at") < F.col("__since"), F.lit(False))
+    order = [stale, -F.coalesce("is_definition", F.lit(0)), F.coalesce("is_weak", F.lit(0)), F.coalesce("is_tentative", F.lit(0)), F.col("seen_at"), F.col("id")]
+    best = first_by(live, ["config_hash", "usr"], order)
+    return best if fresh_files is None else best.drop("__since").select(*symbols.columns)
 
 
 def merge_refs(refs: DataFrame) -> DataFrame:
@@ -87,6 +94,14 @@ def delete_build(tables: dict[str, DataFrame], config_hash: str) -> dict[str, Da
     return {n: t.where(F.col("config_hash") != config_hash) if "config_hash" in t.columns else t for n, t in tables.items()}
 
 
+def builds_of_scope(builds: DataFrame, runs: DataFrame, project_id: str | None = None, variant: str | None = None, image: str | None = None) -> DataFrame:
+    """The builds of a project, variant and image (None: any) that ended a run well, newest first: rn by created_at, then config_hash."""
+    own = builds.join(runs.where("state = 'ok'").select("config_hash").distinct(), "config_hash", "left_semi")
+    for name, value in (("project_id", project_id), ("variant", variant), ("image", image)):
+        own = own if value is None else own.where(F.col(name) == value)
+    return own.withColumn("rn", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("config_hash"))))
+
+
 def latest_builds(builds: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """The newest build per project, variant and image; builds that never ended a run well don't count."""
     if runs is not None:

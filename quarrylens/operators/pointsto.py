@@ -136,6 +136,11 @@ def resolve_slots(
     return Resolution(targets.distinct(), via, escaped.distinct(), edges)
 
 
+def site_counts(sites: DataFrame) -> DataFrame:
+    """(config_hash, slot, sites, callers): the call sites of each slot, copies in several units counted once, and who holds them."""
+    return sites.drop("unit").distinct().groupBy("config_hash", "slot").agg(F.count(F.lit(1)).alias("sites"), F.countDistinct("caller").alias("callers"))
+
+
 def call_refs(edges: DataFrame, sites: DataFrame) -> DataFrame:
     """Reference rows of resolved edges: indirect, with the slot bit, or the type-only bit; copies of a template's site count once."""
     from quarrylens.operators.references import one_unit_sites

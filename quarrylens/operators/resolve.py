@@ -64,9 +64,22 @@ def link_definition(symbols: DataFrame) -> DataFrame:
 
 
 def candidate_labels(candidates: DataFrame) -> DataFrame:
-    """A label for each candidate: its name, with its file where the name comes twice."""
+    """A label for each candidate: its name, with its file where the name comes twice, with its parameters where name and
+    file do; adds ambiguous, the number of candidates that share the name."""
     n = F.count(F.lit(1)).over(Window.partitionBy("config_hash", "qualified_name"))
-    return candidates.withColumn("label", F.when(n > 1, F.concat("qualified_name", F.lit(" ("), "file_path", F.lit(")"))).otherwise(F.col("qualified_name")))
+    same = F.count(F.lit(1)).over(Window.partitionBy("config_hash", "qualified_name", "file_path"))
+    file = F.concat(F.lit(" ("), "file_path", F.lit(")"))
+    params = F.regexp_extract(F.coalesce("signature", F.lit("")), r"(\(.*\))", 1)
+    label = F.when(n == 1, F.col("qualified_name")).when(same == 1, F.concat("qualified_name", file)).otherwise(F.concat("qualified_name", params, file))
+    return candidates.withColumn("label", label).withColumn("ambiguous", n)
+
+
+def ambiguity_notice(candidates: DataFrame, shown: int = 5) -> DataFrame:
+    """(config_hash, candidates, notice): for builds where a name has several candidates, how many, and the first labels."""
+    order = Window.partitionBy("config_hash").orderBy("rn", "usr")
+    first = candidate_labels(candidates).withColumn("place", F.row_number().over(order))
+    told = first.groupBy("config_hash").agg(F.count(F.lit(1)).alias("candidates"), F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "label")))).alias("l"))
+    return told.where("candidates > 1").select("config_hash", "candidates", F.array_join(F.transform("l", lambda x: x["label"]), "; ").alias("notice"))
 
 
 def find_variables(symbols: DataFrame, part: str, kinds: tuple[str, ...] = ("varglobal", "varlocal", "variable")) -> DataFrame:
@@ -82,6 +95,21 @@ def file_map(symbols: DataFrame, per_kind: int = 30) -> DataFrame:
     return symbols.withColumn("kind_total", F.count(F.lit(1)).over(w)).withColumn("rn", F.row_number().over(w.orderBy("line", "col", "usr"))).where(F.col("rn") <= per_kind)
 
 
+def file_map_kind(symbols: DataFrame, path: str, kind: str, limit: int = 30, offset: int = 0) -> DataFrame:
+    """One page of the symbols of one kind in the files of a path, in the order of the file map; enum constants with their enum."""
+    own = symbols.where((F.col("file_path") == path) & (F.col("kind") == kind))
+    parent = symbols.where("kind = 'enum'").select("config_hash", F.col("usr").alias("parent_usr"), F.col("name").alias("enum_name"))
+    return own.join(parent, ["config_hash", "parent_usr"], "left").orderBy("config_hash", "line", "col", "usr").offset(offset).limit(limit)
+
+
+def file_map_enums(symbols: DataFrame) -> DataFrame:
+    """(config_hash, file_path, usr, constants): the enums of each file with the names of their constants in order."""
+    constant = symbols.where("kind = 'enum_constant'").select("config_hash", F.col("parent_usr").alias("usr"), F.struct("line", "col", "name").alias("c"))
+    held = constant.groupBy("config_hash", "usr").agg(F.sort_array(F.collect_list("c")).alias("c"))  # as long as the enum's text is
+    enums = symbols.where("kind = 'enum'").select("config_hash", "file_path", "usr")
+    return enums.join(held, ["config_hash", "usr"], "left").select("config_hash", "file_path", "usr", F.coalesce(F.transform("c", lambda x: x["name"]), F.array().cast("array<string>")).alias("constants"))
+
+
 def match_path(files: DataFrame, path: str) -> DataFrame:
     """Files of that path, or if none has it those that end in it, per build."""
     low = path.lower()
@@ -105,8 +133,9 @@ def class_members(symbols: DataFrame, parent_usr: str) -> DataFrame:
     return symbols.where(F.col("parent_usr") == parent_usr)
 
 
-def template_instances(symbols: DataFrame, template_usr: str) -> DataFrame:
-    return symbols.where(F.col("template_usr") == template_usr)
+def template_instances(symbols: DataFrame, template_usr: str | None = None) -> DataFrame:
+    """The instances of a template, or of all templates."""
+    return symbols.where(F.col("template_usr") != "" if template_usr is None else F.col("template_usr") == template_usr)
 
 
 def enum_constants(symbols: DataFrame, enum_name: str, cap: int = 200) -> DataFrame:

@@ -84,3 +84,15 @@ def average_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFram
     """Mean of every metric, per variant if by names its column; the same order of columns for an A/B join."""
     names = [c for c in metrics.columns if c not in ("query", *(by or []))]
     return metrics.groupBy(*(by or [])).agg(*[F.avg(c).alias(c) for c in names])
+
+
+def compare_metrics(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """(metric, a, b, gain): the means of two variants side by side."""
+    long = lambda df, side: df.agg(*[F.avg(n).alias(n) for n in names]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias(side)) for n in names])).alias("x")).select("x.*")
+    return long(a, "a").join(long(b, "b"), "metric").withColumn("gain", F.col("b") - F.col("a"))
+
+
+def metric_grid(metrics: DataFrame, by: list[str], best: str) -> DataFrame:
+    """The means of every variant (by), ranked by one of them."""
+    means = average_metrics(metrics, by)
+    return means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(best), *by)))  # one row a variant

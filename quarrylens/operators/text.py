@@ -6,10 +6,12 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.scalars import contains_ci, words
+from quarrylens.operators.fusion import merge_lists
+from quarrylens.runtime import materialize
 
 #: Weights of the columns of a symbol in the ranking, in the order of the columns.
 SYMBOL_WEIGHTS = {
@@ -140,6 +142,12 @@ def build_index(df: DataFrame, key: str, columns: tuple[str, ...]) -> TextIndex:
     return TextIndex(postings, lengths, stats["n"], stats["avg"] or 1.0, tuple(columns))
 
 
+def store_index(index: TextIndex) -> TextIndex:
+    """The index with its postings written in order of their terms, so that a search reads the row groups of its terms only."""
+    ordered = index.postings.repartitionByRange("term").sortWithinPartitions("term", "col", "doc")
+    return TextIndex(materialize(ordered, "postings"), materialize(index.lengths, "doc-lengths"), index.docs, index.average, index.columns)
+
+
 def _hits(index: TextIndex, term: Term, no: int) -> DataFrame:
     """(doc, col, no, tf) of one term: phrase occurrences are counted by their places."""
     p = index.postings if term.column is None else index.postings.where(F.col("col") == term.column)
@@ -165,8 +173,8 @@ def search(index: TextIndex, query: str, weights: dict[str, float] | None = None
     weight = F.lit(1.0)
     if weights:
         weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("col")), F.lit(1.0))
-    per = hits.groupBy("doc", "no").agg(F.sum(F.col("tf") * weight).alias("f")).where("f > 0")
-    counts = {r["no"]: r["n"] for r in per.groupBy("no").agg(F.countDistinct("doc").alias("n")).collect()}
+    per = materialize(hits.groupBy("doc", "no").agg(F.sum(F.col("tf") * weight).alias("f")).where("f > 0"), "hits")
+    counts = {r["no"]: r["n"] for r in per.groupBy("no").agg(F.count(F.lit(1)).alias("n")).collect()}
     wide = per.groupBy("doc").agg(*[F.max(F.when(F.col("no") == i, F.col("f"))).alias(f"f{i}") for i in range(len(terms))])
 
     def holds(n: Node) -> Column:
@@ -237,6 +245,45 @@ def content_search(files: DataFrame, query: str, text: str = "content") -> DataF
     return files.where(hit).withColumn("snippet", F.substring(text, 1, 200))
 
 
+def body_page(hits: DataFrame, symbols: DataFrame, terms: list[str]) -> DataFrame:
+    """The definitions of hits (id, score) with the lines that match and a snippet around the first term."""
+    found = hits.join(symbols.where("is_definition = 1"), "id")
+    return found.join(match_lines(found, "id", "source", "line", terms), "id", "left").withColumn("snippet", snippet(F.col("source"), terms[0]))
+
+
+def search_chain(index: TextIndex, symbols: DataFrame, macros: TextIndex | None, query: str, weights: dict[str, float] | None = None, kind: str | None = None) -> tuple[str, DataFrame]:
+    """(step, rows): what the first of these finds: the query within the kind (match), in all kinds (any_kind), name tokens
+    (name_tokens), docstrings (docstring), each word by itself with the lists interleaved (words), macros (macro).
+
+    rows are symbols with a score, lower is better; those of the last step are (id, score) of macros.
+    """
+    hits = search(index, query, weights).withColumnRenamed("doc", "id").join(symbols, "id")
+    terms = query_terms(query)
+    zero = lambda df: df.withColumn("score", F.lit(0.0))
+    steps = [
+        ("match", lambda: hits if kind is None else hits.where(F.col("kind") == kind)), ("any_kind", lambda: hits if kind is not None else None),
+        ("name_tokens", lambda: name_token_search(symbols, terms).withColumn("score", -F.col("matches").cast("double")).drop("matches") if terms else None),
+        ("docstring", lambda: zero(docstring_search(symbols, query))), ("words", lambda: _by_word(index, symbols, terms, weights)),
+        ("macro", lambda: search(macros, query).withColumnRenamed("doc", "id") if macros else None),
+    ]
+    for name, make in steps:
+        rows = make()
+        if rows is not None and not rows.isEmpty():
+            return name, rows
+    return "nothing", zero(symbols).limit(0)
+
+
+def _by_word(index: TextIndex, symbols: DataFrame, terms: list[str], weights: dict[str, float] | None) -> DataFrame | None:
+    """The symbols of each word's ranking, interleaved by rank; score is the place."""
+    if len(terms) < 2:
+        return None
+    ranked = [search(index, t, weights).withColumn("term_pos", F.lit(i)) for i, t in enumerate(terms)]
+    lists = reduce(DataFrame.unionByName, ranked).withColumnRenamed("doc", "id").join(symbols.select("id", "config_hash"), "id")
+    order = Window.partitionBy("config_hash", "term_pos").orderBy("score", "id")
+    placed = merge_lists(lists.withColumn("rank", F.row_number().over(order)), ["config_hash"], "id")
+    return placed.select("config_hash", "id", F.col("place").cast("double").alias("score")).join(symbols, ["config_hash", "id"])
+
+
 def macro_references(files: DataFrame, macro: str, text: str = "content") -> DataFrame:
     """(all columns, line_no, macro_line): lines that name a macro outside of comments."""
     plain = F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/", "")

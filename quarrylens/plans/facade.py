@@ -155,15 +155,13 @@ class CodeIndex:
         return self.find_references(name, ["call", "indirect", "implicit_construct"], limit, offset)
 
     @cached_property
-    def _edges(self) -> DataFrame:
-        pairs = G.alias_pairs(self.symbols, self.refs)
-        calls = G.call_edges(self.refs)
-        down = calls.join(pairs.select("config_hash", F.col("def_usr").alias("src"), "decl_usr"), ["config_hash", "src"]).select("config_hash", F.col("decl_usr").alias("src"), "dst")
-        up = calls.join(pairs.select("config_hash", F.col("decl_usr").alias("dst"), "def_usr"), ["config_hash", "dst"]).select("config_hash", "src", F.col("def_usr").alias("dst"))
-        return materialize(calls.unionByName(down).unionByName(up).distinct(), "facade-edges")
+    def _edges(self) -> dict[bool, DataFrame]:
+        """Call edges with alias edges, forward and backward."""
+        calls, pairs = G.call_edges(self.refs), materialize(G.alias_pairs(self.symbols, self.refs), "facade-aliases")
+        return {forward: materialize(G.alias_edges(calls, pairs, forward), "facade-edges") for forward in (True, False)}
 
     def _closure(self, name: str, forward: bool, depth: int, limit: int, offset: int) -> tuple[DataFrame, P.Notice]:
-        found = G.walk(self._edges, self._candidates(name).select("config_hash", "usr"), depth, forward)
+        found = G.walk(self._edges[forward], self._candidates(name).select("config_hash", "usr"), depth, forward)
         named = found.join(self.symbols.select("config_hash", "usr", "name", "kind", "file_path"), ["config_hash", "usr"])
         return P.page_with_total(named, [F.col(c) for c in ("depth", "name", "usr", "target")], limit, offset)
 
@@ -174,7 +172,9 @@ class CodeIndex:
         return self._closure(name, True, max_depth, limit, offset)
 
     def find_call_path(self, source: str, target: str, max_depth: int = 10) -> DataFrame:
-        return G.shortest_paths(self._edges, self._candidates(source), self._candidates(target), max_depth)
+        """Up to five paths, the shortest first, with the outcome of each start and goal."""
+        paths, outcomes = G.call_paths(self._edges[True], self._candidates(source), self._candidates(target), max_depth)
+        return outcomes.join(paths, ["config_hash", "src", "dst"], "left").orderBy("depth", "path").limit(5)
 
     def find_dead_code(self, project_only: bool = False, excluded: tuple[str, ...] = (), limit: int = 50, offset: int = 0) -> tuple[DataFrame, P.Notice]:
         rows = L.project_filter(G.dead_code(self.symbols, self.refs), project_only, excluded)

@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators.merge import merge_refs, merge_symbols
-from quarrylens.runtime import load
+from quarrylens.runtime import load, materialize
+
+
+_stored: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, make: Callable[[], object]) -> object:
+    """What make gives, made once an application for the files of an index directory as they are now.
+
+    Merged tables and text indexes are what an index holds; queries read them, deliveries change them.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf)
+    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(files)))
+    key = (spark.sparkContext.applicationId, sf, name, state)
+    if key not in _stored:
+        for old in [k for k in _stored if k[:3] == key[:3]]:
+            del _stored[old]
+        _stored[key] = make()
+    return _stored[key]
 
 
 def sym(spark: SparkSession, sf: str) -> DataFrame:
-    return merge_symbols(load(spark, sf, "symbols"))
+    """The merged symbols, sorted by build and usr."""
+    return stored(spark, sf, "symbols", lambda: materialize(_sorted(merge_symbols(load(spark, sf, "symbols")), "config_hash", "usr"), "merged-symbols"))
 
 
 def ref(spark: SparkSession, sf: str) -> DataFrame:
-    return merge_refs(load(spark, sf, "refs"))
+    """The merged references, sorted by build and target."""
+    return stored(spark, sf, "refs", lambda: materialize(_sorted(merge_refs(load(spark, sf, "refs")), "config_hash", "to_usr"), "merged-refs"))
+
+
+def _sorted(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in order within each file, so that a scan for one build or name skips row groups; no further shuffle."""
+    return df.sortWithinPartitions(*columns)
 
 
 def inheritance(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,8 @@ from quarrylens.operators import references as R
 from quarrylens.operators import resolve as L
 from quarrylens.operators import stats as A
 from quarrylens.queries.common import BOTH, EDGES, INH, OVR, REF, SYM, inheritance, overrides, ref, sym
-from quarrylens.runtime import load
+from quarrylens.runtime import load, scratch_path
+from quarrylens.sources.sinks import read_table, replace_table
 
 QUERIES, SQL = {}, {}
 
@@ -75,10 +76,28 @@ def link_rank_resolution(spark, sf):
     return L.link_definition(sym(spark, sf))
 
 
-@query(f"""WITH {SYM} SELECT config_hash, usr, CASE WHEN count(*) OVER (PARTITION BY config_hash, qualified_name) > 1
-THEN qualified_name || ' (' || file_path || ')' ELSE qualified_name END AS label FROM sym""")
+@query(f"""WITH {SYM} SELECT config_hash, usr, CASE WHEN count(*) OVER (PARTITION BY config_hash, qualified_name) = 1 THEN qualified_name
+WHEN count(*) OVER (PARTITION BY config_hash, qualified_name, file_path) = 1 THEN qualified_name || ' (' || file_path || ')'
+ELSE qualified_name || regexp_extract(coalesce(signature, ''), '(\\(.*\\))', 1) || ' (' || file_path || ')' END AS label, count(*) OVER (PARTITION BY config_hash, qualified_name) AS ambiguous FROM sym""")
 def candidate_labels(spark, sf):
-    return L.candidate_labels(sym(spark, sf)).select("config_hash", "usr", "label")
+    return L.candidate_labels(sym(spark, sf)).select("config_hash", "usr", "label", "ambiguous")
+
+
+@query(f"""WITH {BOTH}, top AS (SELECT name AS q FROM sym GROUP BY config_hash, name ORDER BY count(*) DESC, name LIMIT 1),
+m AS (SELECT sym.*, CASE WHEN name = q THEN 1 WHEN ends_with(qualified_name, '::' || q) OR qualified_name = q THEN 2 END AS match_rank FROM sym, top),
+b AS (SELECT * FROM m WHERE match_rank IS NOT NULL QUALIFY match_rank = min(match_rank) OVER (PARTITION BY config_hash)),
+i AS (SELECT config_hash, to_usr AS usr, count(*) AS n FROM rf GROUP BY 1, 2), o AS (SELECT config_hash, from_usr AS usr, count(*) AS n FROM rf GROUP BY 1, 2),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.config_hash ORDER BY match_rank, is_definition DESC, is_project DESC, coalesce(i.n, 0) DESC, coalesce(o.n, 0) DESC, b.usr) AS rn
+FROM b LEFT JOIN i ON i.config_hash = b.config_hash AND i.usr = b.usr LEFT JOIN o ON o.config_hash = b.config_hash AND o.usr = b.usr),
+l AS (SELECT config_hash, rn, CASE WHEN count(*) OVER (PARTITION BY config_hash, qualified_name) = 1 THEN qualified_name
+WHEN count(*) OVER (PARTITION BY config_hash, qualified_name, file_path) = 1 THEN qualified_name || ' (' || file_path || ')'
+ELSE qualified_name || regexp_extract(coalesce(signature, ''), '(\\(.*\\))', 1) || ' (' || file_path || ')' END AS label FROM r)
+SELECT config_hash, count(*) AS candidates, string_agg(label, '; ' ORDER BY rn) FILTER (WHERE rn <= 5) AS notice FROM l GROUP BY 1 HAVING count(*) > 1""")
+def ambiguity_notice(spark, sf):
+    """Of the name that most symbols of a build share."""
+    s = sym(spark, sf)
+    name = s.groupBy("config_hash", "name").count().orderBy(F.desc("count"), "name").first()["name"]
+    return L.ambiguity_notice(L.resolve(s, ref(spark, sf), name))
 
 
 @query(f"""WITH {SYM} SELECT v.config_hash, v.usr, v.name, p.qualified_name AS parent_name FROM sym v
@@ -94,6 +113,21 @@ def file_map_capped(spark, sf):
     return L.file_map(sym(spark, sf), 3).select("config_hash", "file_path", "kind", "usr", "kind_total", "rn")
 
 
+@query(f"""WITH {SYM}, top AS (SELECT file_path FROM sym WHERE kind = 'enum_constant' GROUP BY 1 ORDER BY count(*) DESC, file_path LIMIT 1)
+SELECT s.config_hash, s.usr, s.name, e.name AS enum_name FROM sym s LEFT JOIN sym e ON e.config_hash = s.config_hash AND e.usr = s.parent_usr AND e.kind = 'enum'
+WHERE s.kind = 'enum_constant' AND s.file_path = (SELECT file_path FROM top) ORDER BY s.config_hash, s.line, s.col, s.usr LIMIT 20 OFFSET 2""")
+def file_map_kind_page(spark, sf):
+    s = sym(spark, sf)
+    top = s.where("kind = 'enum_constant'").groupBy("file_path").count().orderBy(F.desc("count"), "file_path").first()[0]
+    return L.file_map_kind(s, top, "enum_constant", 20, 2).select("config_hash", "usr", "name", "enum_name")
+
+
+@query(f"""WITH {SYM}, c AS (SELECT config_hash, parent_usr AS usr, list(name ORDER BY line, col, name) AS constants FROM sym WHERE kind = 'enum_constant' GROUP BY 1, 2)
+SELECT e.config_hash, e.file_path, e.usr, coalesce(c.constants, []) AS constants FROM sym e LEFT JOIN c ON c.config_hash = e.config_hash AND c.usr = e.usr WHERE e.kind = 'enum'""")
+def file_map_enums(spark, sf):
+    return L.file_map_enums(sym(spark, sf))
+
+
 @query("""WITH f AS (SELECT DISTINCT id, config_hash, path, CASE WHEN path = 'er.c' THEN 0 WHEN ends_with(lower(path), 'er.c') THEN 1 END AS k FROM files)
 SELECT DISTINCT config_hash, path, k AS path_rank FROM f WHERE k IS NOT NULL QUALIFY k = min(k) OVER (PARTITION BY config_hash)""")
 def path_match(spark, sf):
@@ -115,7 +149,7 @@ def class_members(spark, sf):
 
 @query(f"""WITH {SYM} SELECT config_hash, template_usr, usr, file_path, line FROM sym WHERE template_usr <> ''""")
 def template_instances(spark, sf):
-    return sym(spark, sf).where("template_usr <> ''").select("config_hash", "template_usr", "usr", "file_path", "line")
+    return L.template_instances(sym(spark, sf)).select("config_hash", "template_usr", "usr", "file_path", "line")
 
 
 @query(f"""WITH {SYM}, e AS (SELECT qualified_name AS q FROM sym WHERE kind = 'enum_constant' AND contains(qualified_name, '::') ORDER BY qualified_name LIMIT 1)
@@ -286,6 +320,70 @@ def callers_khop(spark, sf):
     return found.join(s.select("config_hash", "usr", "name"), ["config_hash", "usr"]).select("config_hash", "target", "usr", "name", "depth")
 
 
+#: Bound to make alias pairs: every callable declaration gets a definition _name that calls trace_emit.
+_IMPL = """sym2 AS (SELECT config_hash, usr, name, kind, signature, is_definition FROM sym UNION ALL SELECT config_hash, usr || '#', '_' || name, kind, signature, 1 FROM sym
+WHERE is_definition = 0 AND kind IN ('function', 'method', 'constructor', 'destructor')),
+rf2 AS (SELECT config_hash, from_usr, to_usr, ref_kind FROM rf UNION ALL SELECT config_hash, usr || '#', 'c:@F@trace_emit', 'call' FROM sym WHERE is_definition = 0 AND kind IN ('function', 'method', 'constructor', 'destructor')),
+fn AS (SELECT config_hash, usr, name, is_definition, CASE WHEN coalesce(signature, '') = '' THEN 0 ELSE len(string_split(signature, ',')) END AS n FROM sym2 WHERE kind IN ('function', 'method', 'constructor', 'destructor')),
+de AS (SELECT * FROM fn f WHERE is_definition = 0 AND EXISTS (SELECT 1 FROM rf2 r WHERE r.config_hash = f.config_hash AND r.to_usr = f.usr) AND NOT EXISTS (SELECT 1 FROM rf2 r WHERE r.config_hash = f.config_hash AND r.from_usr = f.usr)),
+ap AS (SELECT de.config_hash, de.usr AS decl_usr, arg_min(e.usr, {'k': CASE WHEN e.name = '__' || de.name THEN 0 ELSE 1 END, 'u': e.usr}) AS def_usr FROM de
+JOIN fn e ON e.config_hash = de.config_hash AND e.n = de.n AND e.is_definition = 1 AND e.name IN ('__' || de.name, '_' || de.name) GROUP BY 1, 2),
+edges2 AS (SELECT DISTINCT config_hash, from_usr AS src, to_usr AS dst FROM rf2 WHERE ref_kind IN ('call', 'indirect', 'implicit_construct') AND from_usr IS NOT NULL)"""
+
+
+def _with_definitions(spark, sf):
+    s, r = sym(spark, sf), ref(spark, sf)
+    declared = s.where((F.col("is_definition") == 0) & F.col("kind").isin(*S.CALLABLE))
+    more = declared.withColumns({"usr": F.concat("usr", F.lit("#")), "name": F.concat(F.lit("_"), "name"), "is_definition": F.lit(1)})
+    calls = declared.select("config_hash", F.concat("usr", F.lit("#")).alias("from_usr"), F.lit("c:@F@trace_emit").alias("to_usr"), F.lit("call").alias("ref_kind"))
+    return s.unionByName(more), r.unionByName(calls, allowMissingColumns=True)
+
+
+@query(f"""WITH RECURSIVE {BOTH}, {_IMPL}, e AS (SELECT * FROM edges2 UNION SELECT x.config_hash, x.src, ap.def_usr FROM edges2 x JOIN ap ON ap.config_hash = x.config_hash AND ap.decl_usr = x.dst),
+w AS (SELECT e.config_hash, e.dst AS target, e.src AS usr, 1 AS depth FROM e WHERE e.dst = 'c:@F@trace_emit'
+UNION SELECT w.config_hash, w.target, e.src, w.depth + 1 FROM w JOIN e ON e.config_hash = w.config_hash AND e.dst = w.usr WHERE w.depth < 4)
+SELECT w.config_hash, target, w.usr, s.name, min(depth) AS depth FROM w JOIN sym2 s ON s.config_hash = w.config_hash AND s.usr = w.usr GROUP BY ALL""")
+def callers_with_aliases(spark, sf):
+    s, r = _with_definitions(spark, sf)
+    edges = G.alias_edges(G.call_edges(r), G.alias_pairs(s, r), forward=False)
+    start = s.select("config_hash").distinct().withColumn("usr", F.lit("c:@F@trace_emit"))
+    return G.walk(edges, start, 4, forward=False).join(s.select("config_hash", "usr", "name"), ["config_hash", "usr"]).select("config_hash", "target", "usr", "name", "depth")
+
+
+@query(f"""WITH RECURSIVE {BOTH}, {_IMPL}, e AS (SELECT * FROM edges2 UNION SELECT x.config_hash, ap.decl_usr, x.dst FROM edges2 x JOIN ap ON ap.config_hash = x.config_hash AND ap.def_usr = x.src),
+start AS (SELECT config_hash, usr FROM sym2 WHERE name = 'board_bringup_all'), w AS (SELECT s.config_hash, s.usr AS target, e.dst AS usr, 1 AS depth FROM start s JOIN e ON e.config_hash = s.config_hash AND e.src = s.usr
+UNION SELECT w.config_hash, w.target, e.dst, w.depth + 1 FROM w JOIN e ON e.config_hash = w.config_hash AND e.src = w.usr WHERE w.depth < 4), n AS (SELECT w.config_hash, target, w.usr, s.name, min(depth) AS depth FROM w JOIN sym2 s ON s.config_hash = w.config_hash AND s.usr = w.usr GROUP BY ALL)
+SELECT *, count(*) OVER () AS total FROM n ORDER BY depth, name, usr, target, config_hash LIMIT 50 OFFSET 10""")
+def callees_with_aliases_page(spark, sf):
+    s, r = _with_definitions(spark, sf)
+    edges = G.alias_edges(G.call_edges(r), G.alias_pairs(s, r), forward=True)
+    found = G.walk(edges, s.where("name = 'board_bringup_all'"), 4).join(s.select("config_hash", "usr", "name"), ["config_hash", "usr"])
+    rows, notice = P.page_with_total(found, [F.col(c) for c in ("depth", "name", "usr", "target", "config_hash")], 50, 10)
+    return rows.select("config_hash", "target", "usr", "name", "depth", F.lit(notice.total).cast("long").alias("total"))
+
+
+@query(f"""WITH RECURSIVE {BOTH}, {EDGES}, g AS (SELECT config_hash, usr FROM sym WHERE name = 'sched_lock_enter'), st AS (SELECT config_hash, usr FROM sym WHERE name = 'board_bringup_all'),
+lv AS (SELECT config_hash, usr AS src, usr, 0 AS depth FROM st UNION SELECT lv.config_hash, lv.src, e.dst, lv.depth + 1 FROM lv JOIN edges e ON e.config_hash = lv.config_hash AND e.src = lv.usr WHERE lv.depth < 4),
+near AS (SELECT config_hash, src, usr, min(depth) AS depth FROM lv GROUP BY 1, 2, 3),
+p AS (SELECT config_hash, usr AS src, usr, [usr] AS path FROM st UNION ALL SELECT p.config_hash, p.src, e.dst, list_append(p.path, e.dst) FROM p JOIN edges e ON e.config_hash = p.config_hash AND e.src = p.usr
+JOIN near n ON n.config_hash = p.config_hash AND n.src = p.src AND n.usr = e.dst AND n.depth = len(p.path) JOIN near m ON m.config_hash = p.config_hash AND m.src = p.src AND m.usr = p.usr AND m.depth = len(p.path) - 1 WHERE len(p.path) <= 4)
+SELECT p.config_hash, p.src, p.usr AS dst, (len(path) - 1)::INT AS depth, path, row_number() OVER (PARTITION BY p.config_hash, p.src, p.usr ORDER BY path)::INT AS rn
+FROM p JOIN g ON g.config_hash = p.config_hash AND g.usr = p.usr WHERE len(path) > 1 QUALIFY rn <= 5""")
+def call_paths_five(spark, sf):
+    s = sym(spark, sf)
+    paths, _ = G.call_paths(G.call_edges(ref(spark, sf)), s.where("name = 'board_bringup_all'"), s.where("name = 'sched_lock_enter'"), 4, max_nodes=None)
+    return paths
+
+
+@query(f"""WITH RECURSIVE {BOTH}, {EDGES}, g AS (SELECT config_hash, usr FROM sym WHERE name IN ('sched_lock_enter', 'cpu_relax')), st AS (SELECT config_hash, usr FROM sym WHERE name = 'trace_emit' OR name = 'board_bringup_all'),
+lv AS (SELECT config_hash, usr AS src, usr, 0 AS depth FROM st UNION SELECT lv.config_hash, lv.src, e.dst, lv.depth + 1 FROM lv JOIN edges e ON e.config_hash = lv.config_hash AND e.src = lv.usr WHERE lv.depth < 3)
+SELECT s.config_hash, s.usr AS src, g.usr AS dst, CASE WHEN EXISTS (SELECT 1 FROM lv WHERE lv.config_hash = s.config_hash AND lv.src = s.usr AND lv.usr = g.usr AND lv.depth > 0 AND g.usr <> s.usr) THEN 'found' ELSE 'not_found' END AS outcome
+FROM st s JOIN g ON g.config_hash = s.config_hash""")
+def call_path_outcomes(spark, sf):
+    s = sym(spark, sf)
+    return G.call_paths(G.call_edges(ref(spark, sf)), s.where("name in ('trace_emit', 'board_bringup_all')"), s.where("name in ('sched_lock_enter', 'cpu_relax')"), 3, max_nodes=None)[1]
+
+
 @query(f"""WITH RECURSIVE {BOTH}, {EDGES}, w AS (SELECT s.config_hash, s.usr AS src, s.usr, 0 AS depth FROM sym s WHERE s.name = 'board_bringup_all'
 UNION SELECT w.config_hash, w.src, e.dst, w.depth + 1 FROM w JOIN edges e ON e.config_hash = w.config_hash AND e.src = w.usr WHERE w.depth < 4)
 SELECT w.config_hash, w.src, w.usr AS dst, min(depth) AS depth, min(depth) + 1 AS nodes FROM w JOIN sym g ON g.config_hash = w.config_hash AND g.usr = w.usr AND g.name = 'sched_lock_enter'
@@ -320,6 +418,14 @@ def hotspot_count(spark, sf):
     return G.hotspots(sym(spark, sf), ref(spark, sf)).groupBy("config_hash").agg(F.count(F.lit(1)).alias("hotspots"))
 
 
+@query(f"WITH {BOTH}, {_HOT} SELECT config_hash, usr, name, caller_count FROM hot")
+def hotspot_table(spark, sf):
+    """The table of hotspots, written as a version of its own and read back."""
+    path = scratch_path(spark, "hotspots")
+    replace_table(G.hotspots(sym(spark, sf), ref(spark, sf)), path, ["config_hash"])
+    return read_table(spark, path).select("config_hash", "usr", "name", "caller_count")
+
+
 def _rank_sql(rounds: int) -> str:
     out = f"""WITH {BOTH}, fn AS (SELECT config_hash, usr FROM sym WHERE kind IN ('function', 'method', 'constructor', 'destructor', 'lambda') AND usr <> ''),
 e AS (SELECT DISTINCT r.config_hash, r.from_usr AS src, r.to_usr AS dst FROM rf r SEMI JOIN fn a ON a.config_hash = r.config_hash AND a.usr = r.from_usr
@@ -362,6 +468,11 @@ def alias_pairs(spark, sf):
     return G.alias_pairs(sym(spark, sf), ref(spark, sf))
 
 
+@query(f"WITH {BOTH}, {_IMPL} SELECT config_hash, decl_usr, def_usr FROM ap")
+def alias_pairs_bound(spark, sf):
+    return G.alias_pairs(*_with_definitions(spark, sf))
+
+
 @query(f"""WITH RECURSIVE {BOTH}, {EDGES}, {_HOT}, u AS (SELECT h.config_hash, h.usr FROM hot h JOIN sym s ON s.config_hash = h.config_hash AND s.usr = h.usr WHERE contains(lower(s.signature), 'struct ctx')
 QUALIFY row_number() OVER (PARTITION BY h.config_hash ORDER BY h.caller_count DESC, h.usr) <= 15), w AS (SELECT config_hash, usr AS src, usr, 0 AS depth FROM u
 UNION SELECT w.config_hash, w.src, e.dst, w.depth + 1 FROM w JOIN edges e ON e.config_hash = w.config_hash AND e.src = w.usr WHERE w.depth < 4)
@@ -502,10 +613,29 @@ def producers_released(spark, sf):
     return M.release_producers(r, producers).select("id", "origins")
 
 
-@query("""WITH h AS (SELECT content_hash, stash_id, chunk_index, donor_id FROM embedding_stash) SELECT content_hash, min(stash_id) AS stash_id FROM h GROUP BY 1""")
+_CACHE = "a AS (SELECT content_hash, min(stash_id) AS stash_id FROM embedding_stash WHERE chunk_index = 0 GROUP BY 1), b AS (SELECT content_hash, min(stash_id) AS stash_id FROM embedding_stash WHERE chunk_index > 0 OR is_project = 1 GROUP BY 1)"
+
+
+def _cache(spark, sf):
+    """An old cache, of the first chunks, and what is put into it: later chunks and project code."""
+    e = load(spark, sf, "embedding_stash").select("content_hash", "stash_id", "chunk_index", "is_project")
+    pick = lambda df: df.groupBy("content_hash").agg(F.min("stash_id").alias("stash_id"))
+    return pick(e.where("chunk_index = 0")), pick(e.where("chunk_index > 0 or is_project = 1"))
+
+
+@query(f"WITH {_CACHE} SELECT coalesce(a.content_hash, b.content_hash) AS content_hash, coalesce(a.stash_id, b.stash_id) AS stash_id FROM a FULL JOIN b ON a.content_hash IS NOT DISTINCT FROM b.content_hash")
 def cache_first_write(spark, sf):
-    e = load(spark, sf, "embedding_stash").select("content_hash", "stash_id")
-    return M.first_by(e, ["content_hash"], [F.col("stash_id")])
+    return M.cache_put(*_cache(spark, sf), "content_hash")
+
+
+@query(f"WITH {_CACHE} SELECT coalesce(a.content_hash, b.content_hash) AS content_hash, coalesce(b.stash_id, a.stash_id) AS stash_id FROM a FULL JOIN b ON a.content_hash IS NOT DISTINCT FROM b.content_hash")
+def cache_overwrite(spark, sf):
+    return M.cache_put(*_cache(spark, sf), "content_hash", overwrite=True)
+
+
+@query(f"WITH {_CACHE} SELECT DISTINCT e.content_hash, a.stash_id FROM embedding_stash e LEFT JOIN a ON a.content_hash = e.content_hash")
+def cache_lookup(spark, sf):
+    return M.cache_get(load(spark, sf, "embedding_stash").select("content_hash").distinct(), _cache(spark, sf)[0], "content_hash")
 
 
 @query("""SELECT config_hash, project_id FROM build_configs b WHERE EXISTS (SELECT 1 FROM index_runs r WHERE r.config_hash = b.config_hash AND r.state = 'ok')
@@ -514,6 +644,24 @@ def latest_build_per_pair(spark, sf):
     return M.latest_builds(load(spark, sf, "build_configs"), load(spark, sf, "index_runs")).select("config_hash", "project_id")
 
 
+@query("""SELECT project_id, config_hash, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, config_hash DESC)::INT AS rn FROM build_configs b
+WHERE EXISTS (SELECT 1 FROM index_runs r WHERE r.config_hash = b.config_hash AND r.state = 'ok') AND variant = (SELECT min(variant) FROM build_configs)""")
+def builds_of_scope(spark, sf):
+    b = load(spark, sf, "build_configs")
+    return M.builds_of_scope(b, load(spark, sf, "index_runs"), variant=b.agg(F.min("variant")).first()[0]).select("project_id", "config_hash", "rn")
+
+
+@query("""WITH ok AS (SELECT config_hash, max(run_no) AS run_no, arg_max(started_at, run_no) AS since FROM index_runs WHERE state = 'ok' GROUP BY 1),
+fr AS (SELECT f.config_hash, f.path AS file_path, max(since) AS since FROM files f JOIN ok ON ok.config_hash = f.config_hash AND ok.run_no = f.run_no GROUP BY 1, 2),
+r AS (SELECT s.config_hash, s.usr, s.id, row_number() OVER (PARTITION BY s.config_hash, s.usr ORDER BY coalesce(s.seen_at < fr.since, false), coalesce(is_definition, 0) DESC, coalesce(is_weak, 0), coalesce(is_tentative, 0), s.seen_at, s.id) AS k
+FROM symbols s LEFT JOIN fr ON fr.config_hash = s.config_hash AND fr.file_path = s.file_path WHERE removed_at IS NULL AND s.usr IS NOT NULL AND s.config_hash IS NOT NULL) SELECT config_hash, usr, id FROM r WHERE k = 1""")
+def symbol_merge_stale(spark, sf):
+    """The merge after the files of each build's newest good run were read anew."""
+    newest = load(spark, sf, "index_runs").where("state = 'ok'").groupBy("config_hash").agg(F.max("run_no").alias("run_no"), F.max_by("started_at", "run_no").alias("since"))
+    fresh = load(spark, sf, "files").join(newest, ["config_hash", "run_no"]).select("config_hash", F.col("path").alias("file_path"), "since")
+    return M.merge_symbols(load(spark, sf, "symbols"), fresh).select("config_hash", "usr", "id")
+
+
 _RUNS = """ok AS (SELECT config_hash, run_no, lag(run_no) OVER (PARTITION BY config_hash ORDER BY run_no) AS last_run FROM (SELECT DISTINCT config_hash, run_no FROM index_runs WHERE state = 'ok')),
 now_ AS (SELECT f.* FROM files f JOIN ok ON ok.config_hash = f.config_hash AND ok.run_no = f.run_no), was_ AS (SELECT f.* REPLACE (ok.run_no AS run_no) FROM files f JOIN ok ON ok.config_hash = f.config_hash AND ok.last_run = f.run_no)"""
 
@@ -527,15 +675,18 @@ def changed_units(spark, sf):
     return M.decide_units(now, was, ["config_hash", "run_no", "path"], ["source_hash", "flags_hash"])
 
 
-@query(f"""WITH {SYM} SELECT id, config_hash, path FROM (SELECT DISTINCT id, config_hash, path, content_hash FROM files) f WHERE coalesce(content_hash, '') = ''
-AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.config_hash = f.config_hash AND s.file_id = f.id)""")
+@query(f"""WITH {SYM} SELECT id, config_hash, path FROM (SELECT DISTINCT id, config_hash, path, nullif(language, 'c') AS content_hash FROM files) f WHERE coalesce(content_hash, '') = ''
+AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.config_hash = f.config_hash AND s.file_id = f.id AND s.kind IN ('enum', 'enum_constant'))""")
 def orphan_files(spark, sf):
-    f = load(spark, sf, "files").select("id", "config_hash", "path", "content_hash").distinct()
-    return M.orphan_files(f, sym(spark, sf)).select("id", "config_hash", "path")
+    """Bound so that there are some: the content counts as empty for C files, symbols are the enums, macros their constants."""
+    f = load(spark, sf, "files").select("id", "config_hash", "path", F.when(F.col("language") != "c", F.col("language")).alias("content_hash")).distinct()
+    s = sym(spark, sf)
+    return M.orphan_files(f, s.where("kind = 'enum'"), s.where("kind = 'enum_constant'")).select("id", "config_hash", "path")
 
 
 @query(f"""WITH {BOTH} SELECT 'symbols without file' AS check_name, count(*) AS bad FROM sym s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.config_hash = s.config_hash AND f.id = s.file_id)
-UNION ALL SELECT 'symbols repeated', 0 UNION ALL SELECT 'references repeated', 0
+UNION ALL SELECT 'symbols repeated', count(*) FROM (SELECT config_hash, usr FROM sym GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'references repeated', count(*) FROM (SELECT config_hash, to_usr, from_file, from_line, from_col, ref_kind, from_usr, slot_index FROM rf GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT 'references from unknown', count(*) FROM rf r WHERE from_usr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.config_hash = r.config_hash AND s.usr = r.from_usr)
 UNION ALL SELECT 'definitions without end', count(*) FROM sym WHERE is_definition = 1 AND end_line < line""")
 def integrity(spark, sf):

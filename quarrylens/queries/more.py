@@ -14,6 +14,7 @@ from quarrylens.operators import registry as R
 from quarrylens.operators import stats as A
 from quarrylens.queries.common import BOTH, SYM, ref, slot_facts, sym
 from quarrylens.queries.lookup import _RUNS
+from quarrylens.queries.search import SQL as SEARCH_SQL
 from quarrylens.queries.search import retrieval_metrics
 from quarrylens.queries.slots import _PT
 from quarrylens.runtime import load
@@ -49,11 +50,12 @@ def macro_count(spark, sf):
     return _macros(spark, sf).groupBy("config_hash").agg(F.count(F.lit(1)).alias("macros"))
 
 
-@query(f"""WITH {SYM}, i AS (SELECT config_hash, template_usr, count(DISTINCT (file_path, line)) AS n, min({{'f': file_path, 'l': line}}) AS p FROM sym WHERE template_usr <> '' GROUP BY 1, 2)
-SELECT config_hash, template_usr, p.f || ':' || p.l AS place FROM i WHERE n = 1""")
+@query(f"""WITH {SYM}, i AS (SELECT config_hash, template_usr, count(DISTINCT (file_path, line)) AS n, min({{'f': file_path, 'l': line}}) AS p, bool_or(is_project = 1) AS m FROM sym WHERE template_usr <> '' GROUP BY 1, 2)
+SELECT config_hash, template_usr, p.f || ':' || p.l AS place FROM i WHERE n = 1 OR m""")
 def template_places(spark, sf):
+    """Merged: the templates with an instance in project code."""
     s = sym(spark, sf).where("template_usr <> ''")
-    return R.template_places(s, s.limit(0))
+    return R.template_places(s, s.where("is_project = 1"))
 
 
 @query(f"""WITH {BOTH}, v AS (SELECT config_hash, name AS macro, min(enum_value) AS lo FROM symbols WHERE kind = 'enum_constant' AND enum_value IS NOT NULL GROUP BY 1, 2 HAVING min(enum_value) = max(enum_value)),
@@ -151,9 +153,10 @@ def project_realigned(spark, sf):
     return M.align_is_project(load(spark, sf, "files"), ["app/", "lib/"]).select("id", "run_no", "is_project").distinct()
 
 
-@query("SELECT DISTINCT from_file AS path FROM refs WHERE from_file NOT IN (SELECT path FROM files)")
+@query("SELECT DISTINCT from_file AS path FROM refs WHERE from_file NOT IN (SELECT path FROM files WHERE generated = 0 AND is_project = 1)")
 def unindexed_sources(spark, sf):
-    return M.unindexed_sources(load(spark, sf, "refs").select(F.col("from_file").alias("path")).distinct(), load(spark, sf, "files"))
+    """Bound so that there are some: on disk is what references stand in, listed are the project's own files."""
+    return M.unindexed_sources(load(spark, sf, "refs").select(F.col("from_file").alias("path")).distinct(), load(spark, sf, "files").where("generated = 0 and is_project = 1"))
 
 
 @query(f"""WITH {SYM}, a AS (SELECT DISTINCT s.config_hash, 'x' || s.usr AS alias, s.name, s.file_path AS decl_file, s.line, s.signature FROM sym s WHERE s.kind = 'function' AND s.is_definition = 1),
@@ -174,11 +177,26 @@ def page_over_parts(spark, sf):
     return reduce(DataFrame.unionByName, P.page_parts(parts, n - 3 + 40, 3))
 
 
-@query()
+@query(f"WITH m AS ({SEARCH_SQL['retrieval_metrics']}) SELECT " + ", ".join(f"avg({c}) AS {c}" for c in ("mrr", "recall1", "recall10", "precision5", "ndcg10")) + " FROM m")
 def metric_averages(spark, sf):
     return A.average_metrics(retrieval_metrics(spark, sf))
 
 
+@query(f"""WITH m AS ({SEARCH_SQL['retrieval_metrics']}), v AS (SELECT *, query % 100 = 0 AS even FROM m), a AS (SELECT avg(mrr) AS mrr, avg(recall10) AS recall10 FROM v WHERE even), b AS (SELECT avg(mrr) AS mrr, avg(recall10) AS recall10 FROM v WHERE NOT even)
+SELECT 'mrr' AS metric, a.mrr AS a, b.mrr AS b, b.mrr - a.mrr AS gain FROM a, b UNION ALL SELECT 'recall10', a.recall10, b.recall10, b.recall10 - a.recall10 FROM a, b""")
+def metric_comparison(spark, sf):
+    """Two variants, bound to the queries with an even and an odd multiple of 50."""
+    m = retrieval_metrics(spark, sf)
+    return A.compare_metrics(m.where("query % 100 = 0"), m.where("query % 100 <> 0"), ["mrr", "recall10"])
+
+
+@query(f"""WITH m AS ({SEARCH_SQL['retrieval_metrics']}), g AS (SELECT CASE WHEN query % 100 = 0 THEN 'even' ELSE 'odd' END AS variant, avg(mrr) AS mrr, avg(recall10) AS recall10 FROM m GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY mrr DESC, variant)::INT AS rank FROM g""")
+def metric_grid(spark, sf):
+    m = retrieval_metrics(spark, sf).withColumn("variant", F.when(F.col("query") % 100 == 0, "even").otherwise("odd"))
+    return A.metric_grid(m, ["variant"], "mrr").select("variant", "mrr", "recall10", "rank")
+
+
 @query("""WITH t AS (SELECT DISTINCT id, kind, unnest(list_distinct(string_split(name_tokens, ' '))) AS term FROM (SELECT DISTINCT ON (id) * FROM symbols ORDER BY id)), n AS (SELECT kind, count(DISTINCT id) AS rows FROM symbols GROUP BY 1),
 c AS (SELECT kind, term, count(*) AS n FROM t WHERE term <> '' GROUP BY 1, 2)
 SELECT c.kind, c.term, c.n, row_number() OVER (PARTITION BY c.kind ORDER BY c.n DESC, c.term)::INT AS rank FROM c JOIN n ON n.kind = c.kind WHERE c.n <= greatest(n.rows * 0.2, 1) QUALIFY row_number() OVER (PARTITION BY c.kind ORDER BY c.n DESC, c.term) <= 10""")

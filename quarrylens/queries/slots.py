@@ -58,13 +58,13 @@ def slot_reach(spark, sf):
 
 @query(f"""WITH {_FACTS} SELECT config_hash, slot, count(*) AS sites, count(DISTINCT caller) AS callers FROM site GROUP BY 1, 2""")
 def indirect_sites(spark, sf):
-    return slot_facts(spark, sf)["sites"].drop("unit").distinct().groupBy("config_hash", "slot").agg(F.count(F.lit(1)).alias("sites"), F.countDistinct("caller").alias("callers"))
+    return P.site_counts(slot_facts(spark, sf)["sites"])
 
 
-@query(f"""WITH {REF} SELECT config_hash, from_file AS file, from_line AS line, from_col AS col, from_usr AS caller, ref_kind, slot_index, to_usr, min(from_file) AS unit FROM rf
-WHERE (origins & 16) <> 0 GROUP BY ALL""")
+@query(f"""WITH {REF} SELECT config_hash, from_line AS line, from_usr AS caller, ref_kind, slot_index, to_usr, min(from_file) AS unit FROM rf GROUP BY ALL""")
 def one_unit_sites(spark, sf):
-    r = ref(spark, sf).where("origins & 16 <> 0").select("config_hash", F.col("from_file").alias("file"), F.col("from_line").alias("line"), F.col("from_col").alias("col"), F.col("from_usr").alias("caller"), "ref_kind", "slot_index", "to_usr", F.col("from_file").alias("unit"))
+    """Bound: the copies of a site are the references of one caller and line to one target, their units the files."""
+    r = ref(spark, sf).select("config_hash", F.col("from_line").alias("line"), F.col("from_usr").alias("caller"), "ref_kind", "slot_index", "to_usr", F.col("from_file").alias("unit"))
     return R.one_unit_sites(r, [c for c in r.columns if c != "unit"])
 
 

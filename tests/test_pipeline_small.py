@@ -219,4 +219,4 @@ def test_a_delivery_late_in_time_is_not_passed_by(spark, tmp_path):
     give("d", [row(2, "s2", 2)], [])
     assert I.process_news(store) and got() == {(1, 1), (1, 2)}
     with pytest.raises(RuntimeError):
-        store.run(9, lambda low, high: store.committed().limit(0).withColumn("keep", F.lit(True)), before_commit=lambda: store._publish("commits", len(store.commits()), {"watermark": 9, "data": "", "schema": ""}))
+        store.run(9, lambda low, high: store.committed().limit(0).withColumn("keep", F.lit(True)), before_commit=lambda: store._commits.publish(len(store.commits()), {"watermark": 9, "data": "", "schema": ""}))

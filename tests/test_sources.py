@@ -12,6 +12,7 @@ from quarrylens.operators import text as T
 from quarrylens.operators import fusion as V
 from quarrylens.operators import intervals, paging, pointsto
 from quarrylens.sources import build as B
+from quarrylens.sources.manifests import Manifests
 from quarrylens.sources import sinks as K
 from quarrylens.streaming import watch as W
 
@@ -71,17 +72,43 @@ def test_replace_table_and_export(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     K.replace_table(spark.range(3).toDF("a"), path)
     K.replace_table(spark.range(5).toDF("a"), path)
-    assert spark.read.parquet(path).count() == 5 and {p.name for p in tmp_path.iterdir()} == {"t"}
-    K.replace_table(spark.read.parquet(path).where("a > 1"), path)
-    assert spark.read.parquet(path).count() == 3
+    held = K.read_table(spark, path)
+    assert held.count() == 5 and {p.name for p in tmp_path.iterdir()} == {"t"}
+    K.replace_table(held.where("a > 1"), path)
+    assert K.read_table(spark, path).count() == 3 and held.count() == 5 and len(list((tmp_path / "t" / "data").iterdir())) == 2
+    assert not Manifests(spark, f"{path}/versions").publish(1, {}) and K.read_table(spark, path).count() == 3
+    K.drop_table(spark, path)
+    K.drop_table(spark, path)
+    assert K.read_table(spark, path) is None and not list(tmp_path.iterdir())
+
+
+def test_facts_vectors_and_export(spark, tmp_path):
+    path = f"file://{tmp_path}/facts"
+    rows = spark.createDataFrame([("g", 1), ("h", 2)], "config_hash string, a int")
+    K.write_facts({"flows": rows}, path)
+    K.write_facts({"flows": rows.where("config_hash = 'g'").withColumn("a", F.lit(7))}, path)
+    assert sorted((r["config_hash"], r["a"]) for r in spark.read.parquet(f"{path}/flows").collect()) == [("g", 7), ("h", 2)]
+    old = spark.createDataFrame([(1, "a", 0, [1.0]), (1, "a", 1, [2.0])], "donor_id long, content_hash string, chunk_index int, embedding array<float>")
+    new = spark.createDataFrame([(1, "a", 0, [9.0]), (1, "a", 1, None), (2, "a", 0, [3.0])], old.schema)
+    assert sorted((r[0], r[2], list(r[3])) for r in K.upsert_vectors(old, new).collect()) == [(1, 0, [9.0]), (1, 1, [2.0]), (2, 0, [3.0])]
+    symbols = spark.createDataFrame([("g", "u", "n", "q", "function", "f.c", 1, None, 1)], "config_hash string, usr string, name string, qualified_name string, kind string, file_path string, line int, signature string, is_definition int")
+    refs = spark.createDataFrame([("g", "v", "u", "f.c", 3, "call")], "config_hash string, to_usr string, from_usr string, from_file string, from_line int, ref_kind string")
+    K.export_json(symbols, refs, f"file://{tmp_path}/out")
+    told = {r["kind"]: json.loads(r["value"]) for r in spark.read.text(f"file://{tmp_path}/out").collect()}
+    assert told["symbol"]["symbol_kind"] == "function" and "signature" not in told["symbol"]
+    assert told["ref"] == {"to_usr": "v", "from_usr": "u", "caller": "q", "from_file": "f.c", "from_line": 3, "ref_kind": "call"}
 
 
 def test_stream_is_idempotent(spark, sf, tmp_path):
     want = W.replay(spark, sf, f"file://{tmp_path}")
     first = sorted(map(str, want.collect()))
-    W.apply_batch(f"file://{tmp_path}/state")(spark.read.parquet(f"file://{tmp_path}/in"), 7)
-    again = spark.read.parquet(f"file://{tmp_path}/state")
-    assert sorted(map(str, again.collect())) == first
+    state = W.ListingState(spark, f"file://{tmp_path}/state")
+    state.apply(spark.read.parquet(f"file://{tmp_path}/in"), 7)
+    assert sorted(map(str, state.rows().collect())) == first
+    state.apply(spark.read.parquet(f"file://{tmp_path}/in").limit(3), 7)
+    state.compact()
+    state.compact()
+    assert sorted(map(str, state.rows().collect())) == first and len(state.store.commits()) == 1
     stream = W.listing_stream(spark, f"file://{tmp_path}/in", spark.read.parquet(f"file://{tmp_path}/in").schema)
     q = W.change_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
