@@ -432,6 +432,8 @@ def _induced(signs: DataFrame) -> DataFrame:
 def _matched(signs: DataFrame, opened: DataFrame, times: int) -> DataFrame:
     """(doc_id) of the open lines (doc_id, anchor, pattern) whose pattern so many different filled lines match."""
     templates = materialize(opened.select("anchor", "pattern").distinct(), "page-slots")  # written, so that Spark knows its size before it moves the words
+    if templates.isEmpty():
+        return opened.select("doc_id").limit(0)
     plain = signs.where("what in ('line', 'plain') and style <> ''").select(F.col("style").alias("line"))
     words = plain.select("line", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("anchor"))
     shown = words.join(templates, "anchor").where("line rlike pattern").groupBy("anchor", "pattern").agg(F.count_distinct("line").alias("n"))
