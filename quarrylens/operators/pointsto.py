@@ -73,7 +73,7 @@ def resolve_slots(
     A site calls the functions in its slot and its named callee. A pointer site without a slot, or with an escaped one,
     may also call every function of its type (type only). The arguments of a site go into the parameters of its targets;
     those of type-only targets escape. An escape for unseen code (reason outside) doesn't count if the build defines
-    the slot's code. An address site calls nothing.
+    what the slot names. An address site calls nothing. Lambdas and functions without a type are never guessed by type.
     """
     spark = sources.sparkSession
     direct = sources.select("config_hash", "slot", "function").distinct()
@@ -86,11 +86,11 @@ def resolve_slots(
     if escapes is not None:
         lost = escapes
         if defined is not None:
-            code = F.regexp_extract("slot", r"^.\|([^|]*)", 1)
+            code = F.expr("substring(slot, instr(slot, '|') + 1)")
             lost = lost.withColumn("usr", code).join(defined.select("config_hash", "usr").withColumn("d", F.lit(True)).distinct(), ["config_hash", "usr"], "left").where("reason <> 'outside' or d is null")
         escaped = lost.select("config_hash", "slot").distinct()
     flows, sites = materialize(flows, "flows"), materialize(sites, "sites")
-    by_type = sources.select("config_hash", F.col("function_type").alias("slot_type"), "function").distinct()
+    by_type = sources.where("function_type not in ('', 'lambda')").select("config_hash", F.col("function_type").alias("slot_type"), "function").distinct()
     steps = lambda f: f.where("source <> target").select("config_hash", F.col("source").alias("slot"), "target")
     empty = lambda item: spark.createDataFrame([], f"config_hash string, slot string, {item} string")
     marked = lambda df: df.select("config_hash", "slot", F.lit("e").alias("e"))

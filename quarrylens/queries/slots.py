@@ -113,3 +113,81 @@ def override_flows(spark, sf):
 @query(f"""WITH {_FACTS} SELECT DISTINCT slot, CASE WHEN starts_with(slot, 'P|') THEN 'parameter ' || regexp_extract(slot, '([^|]*)$', 1) || ' of ' || regexp_extract(slot, '^.\\|([^|]*)', 1) ELSE slot END AS label FROM src""")
 def slot_labels(spark, sf):
     return slot_facts(spark, sf)["sources"].select("slot", S.describe_slot(F.col("slot")).alias("label")).distinct()
+
+
+# --- points-to with arguments, overrides and escapes
+
+
+#: Bound to references: one with a slot index stores its target into a parameter of its source, one in four of the indexes
+#: each; indirect ones are sites, of C++ files without a slot, and flows between first parameters; every site passes its caller
+#: and the caller's second parameter on; targets of interrupt tables escape, and so does the return value of every caller that
+#: the build doesn't define.
+_FULL = f"""{BOTH}, {OVR}, src0 AS (SELECT DISTINCT config_hash, 'P|' || from_usr || '|' || (slot_index // 16) AS slot, to_usr AS function FROM rf WHERE slot_index IS NOT NULL AND from_usr IS NOT NULL),
+ty AS (SELECT DISTINCT config_hash, to_usr AS function FROM rf WHERE slot_index < 32 AND from_usr IS NOT NULL),
+site AS MATERIALIZED (SELECT DISTINCT config_hash, from_file AS file, from_line AS line, from_col AS col, from_usr AS caller, CASE WHEN regexp_matches(from_file, '\\.(cpp|cc)$') THEN '' ELSE 'P|' || from_usr || '|0' END AS slot,
+CASE WHEN (origins & 1) <> 0 THEN to_usr ELSE '' END AS callee FROM rf WHERE ref_kind = 'indirect' AND from_usr IS NOT NULL),
+arg AS MATERIALIZED (SELECT DISTINCT config_hash, file, line, col, 1 AS k, caller AS fn, NULL::VARCHAR AS other FROM site UNION ALL SELECT DISTINCT config_hash, file, line, col, 0, NULL::VARCHAR, 'P|' || caller || '|1' FROM site),
+raw AS (SELECT DISTINCT config_hash, 'P|' || from_usr || '|0' AS source, 'P|' || to_usr || '|0' AS target FROM rf WHERE ref_kind = 'indirect' AND from_usr IS NOT NULL
+UNION SELECT DISTINCT config_hash, 'R|' || from_usr, 'P|' || from_usr || '|0' FROM rf WHERE ref_kind = 'indirect' AND from_usr IS NOT NULL),
+named AS (SELECT config_hash, slot FROM src0 UNION SELECT config_hash, source FROM raw UNION SELECT config_hash, target FROM raw UNION SELECT config_hash, slot FROM site),
+ix AS (SELECT DISTINCT config_hash, regexp_extract(slot, '^P\\|(.*)\\|[^|]*$', 1) AS code, regexp_extract(slot, '([^|]*)$', 1) AS k FROM named WHERE starts_with(slot, 'P|')),
+flow0 AS MATERIALIZED (SELECT * FROM raw UNION SELECT o.config_hash, 'P|' || base_usr || '|' || k, 'P|' || derived_usr || '|' || k FROM ovr o JOIN ix ON ix.config_hash = o.config_hash AND ix.code IN (o.base_usr, o.derived_usr)
+UNION SELECT config_hash, 'R|' || derived_usr, 'R|' || base_usr FROM ovr),
+lost0 AS (SELECT DISTINCT config_hash, 'P|' || to_usr || '|0' AS slot FROM rf WHERE ref_kind = 'vector' UNION SELECT DISTINCT config_hash, 'R|' || from_usr FROM rf r WHERE ref_kind = 'indirect' AND from_usr IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM sym d WHERE d.config_hash = r.config_hash AND d.usr = r.from_usr AND d.is_definition = 1))"""
+
+
+def _full_sql(rounds: int) -> str:
+    """The outer fix point written out; it must have ended by then."""
+    out = _FULL
+    for i in range(rounds + 1):
+        out += f""",
+pt{i} AS (SELECT config_hash, slot, function FROM src{i} UNION SELECT p.config_hash, f.target, p.function FROM pt{i} p JOIN flow{i} f ON f.config_hash = p.config_hash AND f.source = p.slot WHERE f.source <> f.target),
+esc{i} AS (SELECT config_hash, slot FROM lost{i} UNION SELECT e.config_hash, f.target FROM esc{i} e JOIN flow{i} f ON f.config_hash = e.config_hash AND f.source = e.slot WHERE f.source <> f.target),
+ed{i} AS MATERIALIZED (SELECT DISTINCT s.config_hash, s.file, s.line, s.col, p.function, false AS type_only FROM site s JOIN pt{i} p ON p.config_hash = s.config_hash AND p.slot = s.slot WHERE s.slot <> ''
+UNION SELECT config_hash, file, line, col, callee, false FROM site WHERE callee <> ''
+UNION SELECT DISTINCT s.config_hash, s.file, s.line, s.col, t.function, true FROM site s JOIN ty t ON t.config_hash = s.config_hash
+WHERE (s.slot = '' OR EXISTS (SELECT 1 FROM esc{i} e WHERE e.config_hash = s.config_hash AND e.slot = s.slot)) AND NOT EXISTS (SELECT 1 FROM pt{i} p WHERE p.config_hash = s.config_hash AND p.slot = s.slot AND p.function = t.function))"""
+        if i < rounds:
+            given = f"ed{i} e JOIN arg a ON a.config_hash = e.config_hash AND a.file = e.file AND a.line = e.line AND a.col = e.col"
+            out += f""",
+src{i + 1} AS MATERIALIZED (SELECT config_hash, slot, function FROM src{i} UNION SELECT e.config_hash, 'P|' || e.function || '|' || a.k, a.fn FROM {given} WHERE NOT type_only AND a.fn IS NOT NULL),
+flow{i + 1} AS MATERIALIZED (SELECT config_hash, source, target FROM flow{i} UNION SELECT e.config_hash, a.other, 'P|' || e.function || '|' || a.k FROM {given} WHERE NOT type_only AND a.other IS NOT NULL),
+lost{i + 1} AS MATERIALIZED (SELECT config_hash, slot FROM lost{i} UNION SELECT e.config_hash, 'P|' || e.function || '|' || a.k FROM {given} WHERE type_only)"""
+    return f"WITH RECURSIVE {out}"
+
+
+def _full(spark, sf) -> P.Resolution:
+    r, s = ref(spark, sf), sym(spark, sf)
+    held = r.where("from_usr is not null")
+    at = [F.col("from_file").alias("file"), F.col("from_line").alias("line"), F.col("from_col").alias("col")]
+    param = lambda c, i: F.concat(F.lit("P|"), F.col(c), F.lit("|"), i.cast("string"))
+    zero = F.lit(0)
+    stored = held.where("slot_index is not null")
+    sources = stored.select("config_hash", param("from_usr", F.floor(F.col("slot_index") / 16)).alias("slot"), F.col("to_usr").alias("function"), F.when(F.col("slot_index") < 32, "T").otherwise("lambda").alias("function_type"))
+    calls = held.where("ref_kind = 'indirect'")
+    flows = calls.select("config_hash", param("from_usr", zero).alias("source"), param("to_usr", zero).alias("target")).unionByName(
+        calls.select("config_hash", F.concat(F.lit("R|"), "from_usr").alias("source"), param("from_usr", zero).alias("target")))
+    slot = F.when(F.col("from_file").rlike(r"\.(cpp|cc)$"), "").otherwise(param("from_usr", zero))
+    sites = calls.select("config_hash", *at, zero.alias("ordinal"), F.col("from_usr").alias("caller"), F.lit("pointer").alias("kind"), slot.alias("slot"), F.lit("T").alias("slot_type"),
+                         F.when(S.has_origin(F.col("origins"), "direct"), F.col("to_usr")).otherwise("").alias("callee"))
+    place = calls.select("config_hash", *at, zero.alias("ordinal"), F.col("from_usr").alias("caller")).distinct()
+    arguments = place.withColumns({"arg_index": F.lit(1), "value_kind": F.lit("function"), "value": F.col("caller")}).unionByName(
+        place.withColumns({"arg_index": zero, "value_kind": F.lit("slot"), "value": param("caller", F.lit(1))}))
+    escapes = r.where("ref_kind = 'vector'").select("config_hash", param("to_usr", zero).alias("slot"), F.lit("table").alias("reason")).unionByName(
+        calls.select("config_hash", F.concat(F.lit("R|"), "from_usr").alias("slot"), F.lit("outside").alias("reason")))
+    return P.resolve_slots(sources, flows, sites, arguments, overrides(spark, sf), escapes, s.where("is_definition = 1"))
+
+
+_ROUNDS = 8
+
+
+@query(f"""{_full_sql(_ROUNDS)} SELECT 'edge' AS part, config_hash, file || ':' || line || ':' || col AS place, function, type_only FROM ed{_ROUNDS}
+UNION ALL SELECT 'target', config_hash, slot, function, NULL FROM pt{_ROUNDS} UNION ALL SELECT 'escaped', config_hash, slot, NULL, NULL FROM esc{_ROUNDS}""")
+def points_to_full(spark, sf):
+    """All that the resolution of these facts gives: edges of sites, targets of slots, escaped slots."""
+    got = _full(spark, sf)
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, part, place, function, only: df.select(F.lit(part).alias("part"), "config_hash", place.alias("place"), function.alias("function"), only.alias("type_only"))
+    edges = row(got.edges.select("config_hash", "file", "line", "col", "function", "type_only").distinct(), "edge", F.concat_ws(":", "file", F.col("line").cast("string"), F.col("col").cast("string")), F.col("function"), F.col("type_only"))
+    return edges.unionByName(row(got.targets, "target", F.col("slot"), F.col("function"), none("boolean"))).unionByName(row(got.escaped, "escaped", F.col("slot"), none("string"), none("boolean")))
