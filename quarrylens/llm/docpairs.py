@@ -24,9 +24,10 @@ FUNCTION_KINDS = ("function", "method", "constructor", "destructor")
 _LEX = re.compile(
     r"""(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*(?:\\\r?\n[^\n]*)*)|(?P<pre>^[ \t]*\#[^\n]*(?:(?<=\\)\n[^\n]*|(?<=\\\r)\n[^\n]*)*)"""
     r"""|(?P<raw>R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)")"""
-    r"""|(?P<str>"(?:\\.|[^"\\\n])*"?)|(?P<chr>(?<![0-9a-fA-F])'(?:\\.|[^'\\\n])*'?)|(?P<mark>[{}()\[\];,]|::|:|[=!<>]?=+)|(?P<word>[^\W\d]\w*)""",
+    r"""|(?P<str>"(?:\\.|[^"\\\n])*"?)|(?P<chr>(?<![0-9a-fA-F])'(?:\\.|[^'\\\n])*'?)|(?P<mark>[{}()\[\];,]|::?|[=!<>]?=+)""",
     re.S | re.M,
 )
+_LAST_WORD = re.compile(r"(\w+)\s*$")
 #: Words that open a section of a class, and words whose parentheses are no parameter list.
 _ACCESS = frozenset(("public", "private", "protected", "signals"))
 _NO_CALL = frozenset("__attribute__ __declspec alignas decltype __asm__ asm noexcept throw requires".split())
@@ -78,33 +79,31 @@ class Function(NamedTuple):
     body: str
 
 
-class _Lexeme(NamedTuple):
-    kind: str  # block, line, pre, word, code, or the mark itself
-    start: int
-    end: int
+#: (kind, start, end); kind is block, line, pre, code, or the mark itself.
+_Lexeme = tuple[str, int, int]
 
 
 def _lexemes(source: str) -> list[_Lexeme]:
     out, at = [], 0
     for m in _LEX.finditer(source):
-        gap = source[at : m.start()]
-        if gap.strip():
-            out.append(_Lexeme("code", at + len(gap) - len(gap.lstrip()), at + len(gap.rstrip())))
+        start, end = m.span()
+        if start > at and (gap := source[at:start]) and not gap.isspace():
+            out.append(("code", at + len(gap) - len(gap.lstrip()), start))
         kind = m.lastgroup
-        out.append(_Lexeme(m.group(0) if kind == "mark" else kind if kind in ("block", "line", "pre", "word") else "code", *m.span()))
-        at = m.end()
+        out.append((source[start:end] if kind == "mark" else kind if kind in ("block", "line", "pre") else "code", start, end))
+        at = end
     if (rest := source[at:]).strip():
-        out.append(_Lexeme("code", at + len(rest) - len(rest.lstrip()), len(source.rstrip())))
+        out.append(("code", at + len(rest) - len(rest.lstrip()), len(source)))
     return out
 
 
 def _partners(lexemes: list[_Lexeme]) -> dict[int, int]:
     """The closing brace of each opening one."""
     held, found = [], {}
-    for i, x in enumerate(lexemes):
-        if x.kind == "{":
+    for i, (kind, _, _) in enumerate(lexemes):
+        if kind == "{":
             held.append(i)
-        elif x.kind == "}" and held:
+        elif kind == "}" and held:
             found[held.pop()] = i
     return found
 
@@ -113,13 +112,19 @@ def _touching(source: str, comments: list[_Lexeme], start: int) -> str:
     """The last comments ahead of a declaration that no blank line cuts off from it."""
     kept: list[str] = []
     for c in reversed(comments):
-        if source.count("\n", c.end, start) > 1:
+        if source.count("\n", c[2], start) > 1:
             break
-        kept.append(source[c.start : c.end])
-        start = c.start
+        kept.append(source[c[1] : c[2]])
+        start = c[1]
     return "\n".join(reversed(kept))
 
 
+def _word_before(source: str, at: int) -> str:
+    """The word that ends there, blanks aside."""
+    m = _LAST_WORD.search(source, max(0, at - 200), at)
+    return m.group(1) if m else ""
+
+
 def functions(source: str) -> Iterator[Function]:
     """The functions of a source in order, those inside of namespaces, classes and language blocks too.
 
@@ -132,68 +137,66 @@ def functions(source: str) -> Iterator[Function]:
     comments: list[_Lexeme] = []
     start = opened = None
     called = valued = colon = False
-    word, inner, i = "", 0, 0
+    inner = i = 0
 
     def following(j: int) -> str:
         """The next lexeme that is no comment: its mark or its text."""
         while (j := j + 1) < len(lexemes):
-            if lexemes[j].kind not in ("block", "line", "pre"):
-                return source[lexemes[j].start : lexemes[j].end]
+            if lexemes[j][0] not in ("block", "line", "pre"):
+                return source[lexemes[j][1] : lexemes[j][2]].strip()
         return ""
 
     while i < len(lexemes):
         x = lexemes[i]
+        kind, begin, end = x
         i += 1
-        if x.kind in ("block", "line"):
-            if start is None and not (i > 1 and lexemes[i - 2].kind not in ("block", "line") and "\n" not in source[lexemes[i - 2].end : x.start]):
+        if kind in ("block", "line"):
+            if start is None and not (i > 1 and lexemes[i - 2][0] not in ("block", "line") and "\n" not in source[lexemes[i - 2][2] : begin]):
                 comments.append(x)  # one that shares its line with code before it speaks of that code
             continue
-        if x.kind == "pre":
+        if kind == "pre":
             if start is None:
                 comments = []
             continue
-        if x.kind not in (";", "{", "}") and start is None:
-            start = x.start
-        if x.kind == "word":
-            word = source[x.start : x.end]
-            continue
-        if x.kind in ("(", "["):
-            if not inner and x.kind == "(" and word not in _NO_CALL:
+        if kind not in (";", "{", "}") and start is None:
+            start = begin
+        if kind in ("(", "["):
+            if not inner and kind == "(" and _word_before(source, begin) not in _NO_CALL:
                 called = True
             inner += 1
-        elif x.kind in (")", "]"):
+        elif kind in (")", "]"):
             inner = max(0, inner - 1)
-        elif x.kind == "{" and inner:
+        elif kind == "{" and inner:
             if i - 1 not in partner:
                 return
             i = partner[i - 1] + 1
-        elif x.kind == "{" and (called or valued):
+        elif kind == "{" and (called or valued):
             close = partner.get(i - 1)
             if close is None:
                 return
             i = close + 1
-            opened = x.start if opened is None else opened
+            opened = begin if opened is None else opened
             after = following(close)
             if called and not valued and after != "catch" and not (colon and after in (",", "{")):
-                yield Function(_touching(source, comments, start), source[start:opened].strip(), source[opened : lexemes[close].end])
-                comments, start, opened, called, colon, word = [], None, None, False, False, ""
+                yield Function(_touching(source, comments, start), source[start:opened].strip(), source[opened : lexemes[close][2]])
+                comments, start, opened, called, colon = [], None, None, False, False
             elif after != "catch":
                 opened = None
-        elif not inner and (x.kind in (";", "{", "}") or x.kind == ":" and source[start : x.start].split()[0] in _ACCESS):
-            comments, start, opened, called, valued, colon, word = [], None, None, False, False, False, ""
-        elif x.kind == ":" and not inner:
+        elif not inner and (kind in (";", "{", "}") or kind == ":" and source[start : begin].split()[0] in _ACCESS):
+            comments, start, opened, called, valued, colon = [], None, None, False, False, False
+        elif kind == ":" and not inner:
             colon |= called
-        elif x.kind == "=" and not inner and word != "operator":
+        elif kind == "=" and not inner and _word_before(source, begin) != "operator":
             valued |= called or following(i - 1) == "{"
-        if x.kind != "code":
-            word = ""
 
 
 def _named(found: list[Function], name) -> Function | None:
     """The function of that name, else the first."""
     tail = name.rsplit("::", 1)[-1] if isinstance(name, str) else ""
-    own = (f for f in found if tail and re.search(rf"(?<!\w){re.escape(tail)}\s*\(", f.declaration))
-    return next(own, found[0] if found else None)
+    if not found or len(found) == 1 or not tail:
+        return found[0] if found else None
+    named = re.compile(rf"(?<!\w){re.escape(tail)}\s*\(")
+    return next((f for f in found if named.search(f.declaration)), found[0])
 
 
 def _parts(text: str) -> set[str]:
@@ -227,8 +230,12 @@ def describe(comment: str | None, own: str) -> str:
         return ""
     plain = _MARKS.sub(" ", comment)
     names = _parts(own)
-    stems = [n for n in names if len(n) >= 3]
-    kept, news = [], 0
+    stems: dict[str, list[str]] = {}
+    for n in names:
+        if len(n) >= 3:
+            stems.setdefault(n[:3], []).append(n)
+    known = lambda p: p in names or p in _FILLER or any(_inflected(p, s) for s in stems.get(p[:3], ()))
+    kept, news = [], False
     for piece in _PIECE.split(plain):
         piece = re.sub(r"^[\W_]*$", "", piece.strip())
         if not piece or _EMPTY_TALK.match(piece):
@@ -236,10 +243,7 @@ def describe(comment: str | None, own: str) -> str:
         told = _TAG.sub(" ", piece).strip(" \t\r*-:#=~_")
         if not told or _EMPTY_TALK.match(told):
             continue
-        for w in _WORD.findall(told):
-            parts = [w.lower(), *(p.lower() for p in _CAMEL.findall(w))]
-            own = [p in names or p in _FILLER or any(_inflected(p, s) for s in stems) for p in parts]
-            news += not (own[0] or (len(own) > 1 and all(own[1:])))
+        news = news or any(not known(w.lower()) and not all(known(p.lower()) for p in _CAMEL.findall(w)) for w in _WORD.findall(told))
         kept.append(told)
     return " ".join(" ".join(kept).split()) if news else ""
 
