@@ -98,15 +98,23 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def knn_all(vectors: DataFrame, query: list[float], key: str = "symbol_id", vector: str = "embedding", threshold: float = 0.6, cap: int = 4_096) -> tuple[DataFrame, bool]:
+    """All rows above a threshold, the nearest cap of them, and whether there are more."""
+    near = materialize(knn(vectors, query, key, vector, threshold, limit=cap + 1, strict=True), "near")
+    return near.orderBy("distance", key).limit(cap), near.count() > cap
+
+
 def hybrid_rerank(candidates: DataFrame, vectors: DataFrame, query: list[float], key: str = "symbol_id") -> DataFrame:
     """Text candidates that have a vector, by distance."""
     return knn(vectors.join(candidates.select(key).distinct(), key, "left_semi"), query, key, threshold=None, limit=None)
 
 
-def source_boost(hits: DataFrame, by: list[str], project: float = 1.2, other: float = 0.85, window: int = 200, key: str = "symbol_id") -> DataFrame:
+def source_boost(hits: DataFrame, by: list[str], project: float = 1.2, other: float = 0.85, window: int = 200, key: str = "symbol_id", first: int = 1_000) -> DataFrame:
     """hits (by, key, similarity, is_project) with boosted similarity, per query (by) reordered only inside windows of
-    raw ranks; adds rank."""
-    raw = hits.withColumn("w", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), key)) - 1) / window))
+    raw ranks; adds rank. The result is the first places of each query, in whole windows; every task keeps as many only."""
+    places = -(-first // window) * window
+    raw = hits.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), key))).where(F.col("r") <= places)
+    raw = raw.withColumn("w", F.floor((F.col("r") - 1) / window)).drop("r")
     boosted = raw.withColumn("boosted", F.col("similarity") * F.when(F.col("is_project") == 1, project).otherwise(other))
     return boosted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("w", F.desc("boosted"), key)))
 
@@ -146,10 +154,12 @@ def round_robin_kinds(rows: DataFrame, by: list[str], order: list[Column], limit
     return turn.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("turn", "pos"))).where(F.col("rank") <= limit)
 
 
-def merge_lists(lists: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Lists (by, term_pos, rank, key) interleaved by rank per query (by), each key at its first occurrence; adds place."""
+def merge_lists(lists: DataFrame, by: list[str], key: str, limit: int = 1_000) -> DataFrame:
+    """Lists (by, term_pos, rank, key) interleaved by rank per query (by), each key at its first occurrence; adds place. The
+    first limit places of each query; every task keeps as many only."""
     first = lists.groupBy(*by, key).agg(F.min(F.struct("rank", "term_pos")).alias("f"))
-    return first.select(*by, key, "f.rank", "f.term_pos", F.row_number().over(Window.partitionBy(*by).orderBy("f.rank", "f.term_pos", key)).alias("place"))
+    placed = first.select(*by, key, "f.rank", "f.term_pos", F.row_number().over(Window.partitionBy(*by).orderBy("f.rank", "f.term_pos", key)).alias("place"))
+    return placed.where(F.col("place") <= limit)
 
 
 def reuse_vectors(wanted: DataFrame, stash: DataFrame) -> DataFrame:

@@ -77,11 +77,26 @@ def overrides_both_ways(overrides: DataFrame, symbols: DataFrame) -> DataFrame:
     return up.unionByName(down).join(as_side(symbols, "other", "other_usr"), ["config_hash", "other_usr"], "left")
 
 
-def virtual_callers(overrides: DataFrame, refs: DataFrame) -> DataFrame:
-    """(config_hash, usr, from_usr): callers recorded on the base of a method or on its sibling overrides."""
+def direct_relatives(inheritance: DataFrame, types: DataFrame) -> DataFrame:
+    """(config_hash, usr, direction, other_usr, access, is_virtual): the direct bases of many types and what derives from them."""
+    up = inheritance.select("config_hash", F.col("derived_usr").alias("usr"), F.lit("base").alias("direction"), F.col("base_usr").alias("other_usr"), "access", "is_virtual")
+    down = inheritance.select("config_hash", F.col("base_usr").alias("usr"), F.lit("derived").alias("direction"), F.col("derived_usr").alias("other_usr"), "access", "is_virtual")
+    return up.unionByName(down).join(types.select("config_hash", "usr").distinct(), ["config_hash", "usr"], "left_semi")
+
+
+def virtual_callers(overrides: DataFrame, refs: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(config_hash, usr, from_usr): callers recorded on the base of a method or on its sibling overrides.
+
+    With symbols, a method or destructor that overrides nothing has for siblings the virtual ones of its name in its class.
+    """
     bases = overrides.groupBy("config_hash", F.col("derived_usr").alias("usr")).agg(F.min("base_usr").alias("base_usr"))
     siblings = bases.join(overrides.select("config_hash", "base_usr", F.col("derived_usr").alias("to_usr")), ["config_hash", "base_usr"]).select("config_hash", "usr", "to_usr")
     family = siblings.unionByName(bases.select("config_hash", "usr", F.col("base_usr").alias("to_usr"))).where("to_usr <> usr").distinct()
+    if symbols is not None:
+        m = symbols.where("kind in ('method', 'destructor') and parent_usr <> ''").select("config_hash", "parent_usr", "name", "usr", ((F.col("is_virtual") == 1) | (F.col("is_pure_virtual") == 1)).alias("v"))
+        alone = m.drop("v").join(bases.select("config_hash", "usr"), ["config_hash", "usr"], "left_anti")
+        same = alone.join(m.where("v").select("config_hash", "parent_usr", "name", F.col("usr").alias("to_usr")), ["config_hash", "parent_usr", "name"]).where("to_usr <> usr")
+        family = family.unionByName(same.select("config_hash", "usr", "to_usr"))
     calls = refs.where(F.col("ref_kind").isin(*CALL_EDGES) & F.col("from_usr").isNotNull()).select("config_hash", "to_usr", "from_usr").distinct()
     return family.join(calls, ["config_hash", "to_usr"]).select("config_hash", "usr", "from_usr").distinct()
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from quarrylens.functions.scalars import macro_text
 
 
-def macro_lookup(macros: DataFrame, files: DataFrame, name: str, exact: bool = True) -> DataFrame:
-    """Macros of a name or prefix with their file, numbered by name, line and file."""
+def macro_lookup(macros: DataFrame, files: DataFrame, name: str, exact: bool = True, limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page per build of the macros of a name or prefix with their file, numbered by name, line and file."""
     hit = F.col("name") == name if exact else F.lower("name").startswith(name.lower())
     paths = files.groupBy("config_hash", F.col("id").alias("file_id")).agg(F.min("path").alias("path"))
     order = Window.partitionBy("config_hash").orderBy("name", "line", "file_id", "id")
-    found = macros.where(hit).join(paths, ["config_hash", "file_id"], "left")
-    return found.withColumn("label", macro_text(F.col("name"), F.col("params"), F.col("is_function_like"))).withColumn("rn", F.row_number().over(order))
+    first = macros.where(hit).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= offset + limit).where(F.col("rn") > offset)
+    return first.join(paths, ["config_hash", "file_id"], "left").withColumn("label", macro_text(F.col("name"), F.col("params"), F.col("is_function_like")))
 
 
 def template_places(instances: DataFrame, merged: DataFrame) -> DataFrame:

@@ -31,14 +31,30 @@ def resolve(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     return full.withColumn("rn", F.row_number().over(order))
 
 
-def lookup(symbols: DataFrame, name: str, exact: bool = True) -> DataFrame:
-    """Symbols by exact name or by prefix without regard to ASCII case, numbered in lookup order per build."""
+#: The order of a lookup; it ends in what is unique.
+LOOKUP_ORDER = ("is_definition desc", "line", "file_path", "usr")
+#: Fixed value: the longest page of a lookup.
+LOOKUP_PAGE = 100
+
+
+def lookup_hits(symbols: DataFrame, name: str, exact: bool = True) -> DataFrame:
+    """Symbols by exact name or by prefix without regard to ASCII case."""
     if exact:
-        hit = (F.col("name") == name) | (F.col("qualified_name") == name)
-    else:
-        hit = F.lower("name").startswith(name.lower()) | F.lower("qualified_name").startswith(name.lower())
-    order = Window.partitionBy("config_hash").orderBy(F.desc("is_definition"), "line", "file_path", "usr")
-    return symbols.where(hit).withColumn("rn", F.row_number().over(order))
+        return symbols.where((F.col("name") == name) | (F.col("qualified_name") == name))
+    return symbols.where(F.lower("name").startswith(name.lower()) | F.lower("qualified_name").startswith(name.lower()))
+
+
+def with_owner(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """rows with owner: the name of the class, struct or union around a symbol, else empty."""
+    around = symbols.where("kind in ('class', 'struct', 'union')").select("config_hash", F.col("usr").alias("parent_usr"), F.col("name").alias("owner"))
+    return rows.join(around, ["config_hash", "parent_usr"], "left").withColumn("owner", F.coalesce("owner", F.lit("")))
+
+
+def lookup(symbols: DataFrame, name: str, exact: bool = True, limit: int = LOOKUP_PAGE, offset: int = 0) -> DataFrame:
+    """One page per build of the symbols of a name or prefix in lookup order (rn); every task keeps its first ones only."""
+    order = Window.partitionBy("config_hash").orderBy(*[F.expr(c) if " " not in c else F.desc(c.split()[0]) for c in LOOKUP_ORDER])
+    numbered = lookup_hits(symbols, name, exact).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= offset + min(limit, LOOKUP_PAGE))
+    return numbered.where(F.col("rn") > offset)
 
 
 def lookup_definition(symbols: DataFrame, name: str, kinds: tuple[str, ...] = CALLABLE) -> DataFrame:
@@ -172,6 +188,26 @@ def file_page(files: DataFrame, start: int, count: int, content: str = "content"
     return files.withColumn("lines", F.slice(F.split(content, "\n"), start, count))
 
 
+def context_sections(symbols: DataFrame, refs: DataFrame, overrides: DataFrame, name: str, shown: int = 5) -> DataFrame:
+    """(section, config_hash, usr, other_usr, other_name, total, rn): what surrounds each symbol of a name: body, callers, callees,
+    indirect callers, overrides, what overrides it, members and constants; the first ones by name and usr with the section's total."""
+    own = symbols.where(F.col("name") == name).select("config_hash", "usr")
+    edges = refs.where(F.col("ref_kind").isin(*CALL_EDGES) & F.col("from_usr").isNotNull())
+    side = lambda df, key, other: df.join(own.withColumnRenamed("usr", key), ["config_hash", key], "left_semi").select("config_hash", F.col(key).alias("usr"), F.col(other).alias("other_usr")).distinct()
+    parts = [
+        ("body", symbols.where("source is not null").join(own, ["config_hash", "usr"], "left_semi").select("config_hash", "usr", F.col("usr").alias("other_usr"))),
+        ("callers", side(edges, "to_usr", "from_usr")), ("callees", side(edges, "from_usr", "to_usr")), ("indirect", side(edges.where("ref_kind = 'indirect'"), "to_usr", "from_usr")),
+        ("overrides", side(overrides, "derived_usr", "base_usr")), ("overridden_by", side(overrides, "base_usr", "derived_usr")),
+        ("members", side(symbols.where("kind <> 'enum_constant'"), "parent_usr", "usr")), ("constants", side(symbols.where("kind = 'enum_constant'"), "parent_usr", "usr")),
+    ]
+    rows = reduce(DataFrame.unionByName, [df.withColumn("section", F.lit(s)) for s, df in parts])
+    named = rows.join(symbols.select("config_hash", F.col("usr").alias("other_usr"), F.col("qualified_name").alias("other_name")), ["config_hash", "other_usr"], "left")
+    totals = rows.groupBy("section", "config_hash", "usr").agg(F.count(F.lit(1)).alias("total"))
+    order = Window.partitionBy("section", "config_hash", "usr").orderBy("other_name", "other_usr")
+    first = named.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= shown)
+    return first.join(totals, ["section", "config_hash", "usr"]).select("section", "config_hash", "usr", "other_usr", "other_name", "total", "rn")
+
+
 def context_counts(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     """Sections of a symbol's context with their totals: callers, callees, indirect, members, template instances."""
     own = symbols.where(F.col("name") == name).select("config_hash", "usr")

@@ -13,6 +13,19 @@ def build_stats(symbols: DataFrame) -> DataFrame:
     )
 
 
+def build_totals(builds: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame, macros: DataFrame) -> DataFrame:
+    """(config_hash, symbols, definitions, files, refs, macros) of every build; each table is counted before it is joined."""
+    counted = [
+        symbols.groupBy("config_hash").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("is_definition") == 1).alias("definitions")),
+        files.groupBy("config_hash").agg(F.countDistinct("id").alias("files")), refs.groupBy("config_hash").agg(F.count(F.lit(1)).alias("refs")),
+        macros.groupBy("config_hash").agg(F.count(F.lit(1)).alias("macros")),
+    ]
+    out = builds.select("config_hash")
+    for df in counted:
+        out = out.join(df, "config_hash", "left")
+    return out.fillna(0)
+
+
 def coverage(symbols: DataFrame, analysed: DataFrame) -> DataFrame:
     """Definitions per build and is_project, and those with an analysis; unnamed symbols don't count."""
     own = symbols.where((F.col("is_definition") == 1) & ~F.col("name").contains("(unnamed"))

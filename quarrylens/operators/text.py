@@ -131,23 +131,30 @@ class TextIndex:
     columns: tuple[str, ...] = field(default_factory=tuple)
 
 
-def build_index(df: DataFrame, key: str, columns: tuple[str, ...]) -> TextIndex:
-    """Postings of the columns of each row; null is empty. Statistics count every row."""
+#: Parts into which the postings of one term are cut by document, so that a term of most documents isn't one task's.
+TERM_PARTS = 8
+
+
+def build_index(df: DataFrame, key: str, columns: tuple[str, ...], stored: bool = False) -> TextIndex:
+    """Postings of the columns of each row; null is empty. Statistics count every row.
+
+    Postings are shuffled once, by term, and grouped there. stored: lengths and postings are written, these in order of
+    their terms within each file, so that a search reads the row groups of its terms only.
+    """
     tok = df.select(F.col(key).alias("doc"), *[words(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
     lengths = tok.select("doc", reduce(lambda a, b: a + b, [F.size(f"w{i}") for i in range(len(columns))]).alias("len"))
+    if stored:
+        lengths = materialize(lengths, "doc-lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     entry = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"w{i}").alias("words")) for i, c in enumerate(columns)]))
-    spread = tok.select("doc", entry.alias("e")).select("doc", "e.col", F.posexplode("e.words").alias("pos", "term"))
-    postings = spread.groupBy("doc", "col", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("places"))
+    spread = tok.select("doc", entry.alias("e")).select("doc", "e.col", F.posexplode("e.words").alias("pos", "term"), F.pmod(F.xxhash64("doc"), F.lit(TERM_PARTS)).alias("part"))
+    grouped = spread.repartition("term", "part").groupBy("doc", "col", "term", "part")
+    postings = grouped.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("places")).drop("part")
+    if stored:
+        postings = materialize(postings.sortWithinPartitions("term"), "postings")
     return TextIndex(postings, lengths, stats["n"], stats["avg"] or 1.0, tuple(columns))
 
 
-def store_index(index: TextIndex) -> TextIndex:
-    """The index with its postings written in order of their terms, so that a search reads the row groups of its terms only."""
-    ordered = index.postings.repartitionByRange("term").sortWithinPartitions("term", "col", "doc")
-    return TextIndex(materialize(ordered, "postings"), materialize(index.lengths, "doc-lengths"), index.docs, index.average, index.columns)
-
-
 def _hits(index: TextIndex, term: Term, no: int) -> DataFrame:
     """(doc, col, no, tf) of one term: phrase occurrences are counted by their places."""
     p = index.postings if term.column is None else index.postings.where(F.col("col") == term.column)

@@ -20,6 +20,7 @@ from quarrylens.operators import resolve as L
 from quarrylens.operators import stats as A
 from quarrylens.operators import text as T
 from quarrylens.runtime import load, materialize
+from quarrylens.sources.sinks import drop_table, read_table, replace_table
 
 
 class CodeIndex:
@@ -44,47 +45,53 @@ class CodeIndex:
     def texts(self) -> T.TextIndex:
         own = self._table("symbols_fts").join(self.symbols.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")
         once = own.groupBy("symbol_id").agg(*[F.min(c).alias(c) for c in T.SYMBOL_WEIGHTS])
-        index = T.build_index(once, "symbol_id", tuple(T.SYMBOL_WEIGHTS))
-        index.postings, index.lengths = materialize(index.postings, "postings"), materialize(index.lengths, "lengths")
-        return index
+        return T.build_index(once, "symbol_id", tuple(T.SYMBOL_WEIGHTS), stored=True)
+
+    @cached_property
+    def macros(self) -> T.TextIndex:
+        """Macros by name and value, bound to enum constants."""
+        rows = self.symbols.where("kind = 'enum_constant'").select("id", "name", F.col("enum_value").cast("string").alias("value"))
+        return T.build_index(rows, "id", ("name", "value"), stored=True)
 
     # search
 
     def search_code(self, query: str, kind: str | None = None, project_only: bool = False, limit: int = 20, offset: int = 0) -> tuple[DataFrame, P.Notice]:
-        """Ranked symbols; if nothing matches: without the kind, by name tokens, by docstring."""
-        rows = self.symbols if kind is None else self.symbols.where(F.col("kind") == kind)
-        rows = L.project_filter(rows, project_only)
-        hits = T.search(self.texts, query, T.SYMBOL_WEIGHTS).withColumnRenamed("doc", "id")
-        found = hits.join(rows, "id")
-        if found.isEmpty():
-            words = query.lower().split()
-            for other in (hits.join(self.symbols, "id"), T.name_token_search(self.symbols, words).withColumn("score", -F.col("matches").cast("double")),
-                          T.docstring_search(self.symbols, query).withColumn("score", F.lit(0.0))):
-                if not other.isEmpty():
-                    found = other
-                    break
+        """Ranked symbols; if nothing matches: without the kind, by name tokens, by docstring, word by word, and macros."""
+        rows = L.project_filter(self.symbols, project_only)
+        step, found = T.search_chain(self.texts, rows, self.macros, query, T.SYMBOL_WEIGHTS, kind)
+        if step == "macro":
+            found = found.join(self.symbols, "id")
         return P.page_with_total(found, [F.col("score"), F.col("usr")], limit, offset)
 
     def search_bodies(self, query: str, limit: int = 20, offset: int = 0) -> tuple[DataFrame, P.Notice]:
-        """Definitions whose body has all words, project code first, with match lines."""
+        """Definitions whose body has all words, project code first, with a snippet and match lines."""
         bound = query if ":" in query.replace("::", "") else f"source:({T.expand_query(query, body=True)})"
         hits = T.search(self.texts, bound, body=True).withColumnRenamed("doc", "id")
-        found = hits.join(self.symbols.where("is_definition = 1"), "id")
-        lines = T.match_lines(found, "id", "source", "line", T.query_terms(query))
-        return P.page_with_total(found.join(lines, "id", "left"), [F.desc("is_project"), F.col("score"), F.col("usr")], limit, offset)
+        found = T.body_page(hits, self.symbols, T.query_terms(query) or [query])
+        return P.page_with_total(found, [F.desc("is_project"), F.col("score"), F.col("usr")], limit, offset)
 
     def search_content(self, query: str, text: str = "text", limit: int = 20, offset: int = 0) -> tuple[DataFrame, P.Notice]:
         """Texts of the documents table that hold all terms."""
         return P.page_with_total(T.content_search(load(self.spark, self.dir, "documents"), query, text), [F.col("doc_id")], limit, offset)
 
-    def semantic_search(self, vector: list[float], model: str, threshold: float = 0.6, floor: float = 0.68, limit: int = 20) -> tuple[DataFrame, str]:
-        """Symbols by vector with boost; a warning if the best raw similarity is below the floor."""
+    def semantic_search(
+        self, vector: list[float], model: str, threshold: float = 0.6, floor: float = 0.68, limit: int = 20, text: str | None = None, score=None, head: int = 50,
+    ) -> tuple[DataFrame, str]:
+        """Symbols by vector with boost; a warning if the best raw similarity is below the floor.
+
+        score, a model's column function over the text of a symbol, reorders the first head results. Without any result the
+        text, if given, is searched for.
+        """
         stash = load(self.spark, self.dir, "embedding_stash").where(F.col("model") == model)
         near = V.knn(stash, vector, "donor_id", threshold=threshold, limit=None).select(F.col("donor_id").alias("id"), (1 - F.col("distance")).alias("similarity"))
         found = near.join(self.symbols.where("is_definition = 1"), "id").withColumn("query", F.lit(0))
         best = found.agg(F.max("similarity")).first()[0]
-        rows = V.source_boost(found, ["query"], key="id").orderBy("rank").limit(limit)
-        return rows, "" if best is not None and best >= floor else "results are weak"
+        if best is None and text is not None:
+            return self.search_code(text, limit=limit)[0], "no vector is near; found by text"
+        rows = V.source_boost(found, ["query"], key="id", first=max(limit, head)).orderBy("rank")
+        if score is not None:
+            rows = V.rerank(rows.limit(head).withColumn("__text", F.concat_ws(" ", "qualified_name", "signature", "docstring")), "__text", score, limit).drop("__text")
+        return rows.limit(limit), "" if best is not None and best >= floor else "results are weak"
 
     def smart_search(self, query: str, vector: list[float] | None = None, model: str = "", limit: int = 20) -> DataFrame:
         """Text and vector results, the vector's if there are enough, scored, deduplicated, with neighbours of the first ones."""
@@ -103,14 +110,16 @@ class CodeIndex:
 
     def lookup_symbol(self, name: str, exact: bool = True, limit: int = 20, offset: int = 0) -> tuple[DataFrame, P.Notice]:
         """By name, else by tail, else what was meant."""
-        found = L.lookup(self.symbols, name, exact)
+        found = L.lookup_hits(self.symbols, name, exact)
         if found.isEmpty() and "::" in name:
             tail = name.rsplit("::", 1)[-1]
-            found = L.lookup(self.symbols.where(F.col("qualified_name").endswith("::" + tail)), tail, exact)
+            found = L.lookup_hits(self.symbols.where(F.col("qualified_name").endswith("::" + tail)), tail, exact)
         if found.isEmpty():
+            macro = self.symbols.where((F.col("kind") == "enum_constant") & (F.lower("name") == name.lower()))
             names = L.suggest(self.symbols, name)
-            found = self.symbols.join(names.select("name"), "name", "left_semi").withColumn("rn", F.lit(1))
-        return P.page_with_total(found, [F.col("rn"), F.col("usr")], limit, offset)
+            found = self.symbols.join(names.select("name"), "name", "left_semi")
+            found = macro if found.isEmpty() else found
+        return P.page_with_total(L.with_owner(found, self.symbols), [F.desc("is_definition"), F.col("line"), F.col("file_path"), F.col("usr")], min(limit, L.LOOKUP_PAGE), offset)
 
     def find_variables(self, name: str, limit: int = 20, offset: int = 0) -> tuple[DataFrame, P.Notice]:
         return P.page_with_total(L.find_variables(self.symbols, name), [F.col("kind") != "varglobal", F.col("name"), F.col("usr")], limit, offset)
@@ -125,8 +134,10 @@ class CodeIndex:
         docs = load(self.spark, self.dir, "documents").where(F.col("doc_id") == doc_id)
         return L.file_page(docs, start, count, "text").select("doc_id", "lines")
 
-    def get_symbol_context(self, name: str) -> DataFrame:
-        return L.context_counts(self.symbols, self.refs, name)
+    def get_symbol_context(self, name: str, overrides: DataFrame | None = None, shown: int = 5) -> DataFrame:
+        """Body, callers, callees, overrides, members and constants, the first of each with the section's total."""
+        none = self.spark.createDataFrame([], "config_hash string, derived_usr string, base_usr string")
+        return L.context_sections(self.symbols, self.refs, none if overrides is None else overrides.where(F.col("config_hash") == self.build), name, shown)
 
     def explain_symbol(self, name: str) -> DataFrame:
         """The data of an explanation: definition, signature, docstring, body; no model's text."""
@@ -221,7 +232,13 @@ class CodeIndex:
     # status and maintenance
 
     def get_build_info(self) -> DataFrame:
-        return A.build_stats(self.symbols)
+        """Symbols by kind, and the totals of the build in the rows without a kind."""
+        macros = self.symbols.where("kind = 'enum_constant'")
+        totals = A.build_totals(self._table("build_configs"), self.symbols, self._table("files"), self.refs, macros)
+        return A.build_stats(self.symbols).unionByName(totals, allowMissingColumns=True)
+
+    def count_dead_code(self) -> DataFrame:
+        return G.dead_code(self.symbols, self.refs).groupBy("category").agg(F.count(F.lit(1)).alias("symbols"))
 
     def get_project_status(self) -> DataFrame:
         """Decisions of the newest run that ended well against the good run before it."""
@@ -237,9 +254,16 @@ class CodeIndex:
     def get_project_info(self) -> DataFrame:
         return self._table("build_configs")
 
-    def reindex_file(self, fresh: DataFrame) -> DataFrame:
-        """The symbols with the rows of fresh's files replaced."""
-        return M.replace_files(self.symbols, fresh, ["config_hash", "file_path"])
+    def reindex_file(self, fresh: DataFrame, path: str | None = None) -> DataFrame:
+        """The symbols with the rows of fresh's files replaced; with a path they become the next version of the table there."""
+        rows = M.replace_files(self.symbols, fresh, ["config_hash", "file_path"])
+        if path is None:
+            return rows
+        replace_table(rows, path, ["config_hash"])
+        return read_table(self.spark, path)
+
+    def reset_index(self, path: str) -> None:
+        drop_table(self.spark, path)
 
     def verify(self) -> DataFrame:
         return M.integrity(self.symbols, self.refs, self._table("files"))

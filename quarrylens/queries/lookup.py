@@ -49,14 +49,15 @@ def resolve_count(spark, sf):
     return L.resolve(sym(spark, sf), ref(spark, sf), "good").groupBy("config_hash").agg(F.countDistinct("usr").alias("candidates"))
 
 
-@query(f"""WITH {SYM} SELECT config_hash, usr, name, kind, file_path, line, row_number() OVER ({ORDER} is_definition DESC, line, file_path, usr)::INT AS rn
-FROM sym WHERE name = 'trace_emit' OR qualified_name = 'trace_emit'""")
+@query(f"""WITH {SYM}, r AS (SELECT *, row_number() OVER ({ORDER} is_definition DESC, line, file_path, usr)::INT AS rn FROM sym WHERE name = 'good' OR qualified_name = 'good')
+SELECT r.config_hash, r.usr, r.name, r.kind, r.file_path, r.line, r.rn, coalesce(p.name, '') AS owner FROM r LEFT JOIN sym p ON p.config_hash = r.config_hash AND p.usr = r.parent_usr AND p.kind IN ('class', 'struct', 'union') WHERE rn <= 100""")
 def lookup_exact(spark, sf):
-    return L.lookup(sym(spark, sf), "trace_emit").select("config_hash", "usr", "name", "kind", "file_path", "line", "rn")
+    s = sym(spark, sf)
+    return L.with_owner(L.lookup(s, "good"), s).select("config_hash", "usr", "name", "kind", "file_path", "line", "rn", "owner")
 
 
 @query(f"""WITH {SYM} SELECT config_hash, usr, name, row_number() OVER ({ORDER} is_definition DESC, line, file_path, usr)::INT AS rn
-FROM sym WHERE starts_with(lower(name), 'spi_') OR starts_with(lower(qualified_name), 'spi_')""")
+FROM sym WHERE starts_with(lower(name), 'spi_') OR starts_with(lower(qualified_name), 'spi_') QUALIFY rn <= 100""")
 def lookup_prefix(spark, sf):
     return L.lookup(sym(spark, sf), "SPI_", exact=False).select("config_hash", "usr", "name", "rn")
 
@@ -186,6 +187,17 @@ def symbol_context(spark, sf):
     return L.context_counts(sym(spark, sf), ref(spark, sf), "trace_emit")
 
 
+@query(f"""WITH {BOTH}, {OVR}, own AS (SELECT config_hash, usr FROM sym WHERE name = 'trace_emit' OR name = 'good'), e AS (SELECT * FROM rf WHERE ref_kind IN ('call', 'indirect', 'implicit_construct') AND from_usr IS NOT NULL),
+r AS (SELECT 'body' AS section, config_hash, usr, usr AS other_usr FROM sym WHERE source IS NOT NULL UNION SELECT 'callers', config_hash, to_usr, from_usr FROM e UNION SELECT 'callees', config_hash, from_usr, to_usr FROM e
+UNION SELECT 'indirect', config_hash, to_usr, from_usr FROM e WHERE ref_kind = 'indirect' UNION SELECT 'overrides', config_hash, derived_usr, base_usr FROM ovr UNION SELECT 'overridden_by', config_hash, base_usr, derived_usr FROM ovr
+UNION SELECT 'members', config_hash, parent_usr, usr FROM sym WHERE kind <> 'enum_constant' UNION SELECT 'constants', config_hash, parent_usr, usr FROM sym WHERE kind = 'enum_constant'),
+m AS (SELECT r.*, s.qualified_name AS other_name FROM r SEMI JOIN own o ON o.config_hash = r.config_hash AND o.usr = r.usr LEFT JOIN sym s ON s.config_hash = r.config_hash AND s.usr = r.other_usr)
+SELECT section, config_hash, usr, other_usr, other_name, count(*) OVER (PARTITION BY section, config_hash, usr) AS total, row_number() OVER (PARTITION BY section, config_hash, usr ORDER BY other_name NULLS FIRST, other_usr)::INT AS rn FROM m QUALIFY rn <= 5""")
+def symbol_sections(spark, sf):
+    s, r, o = sym(spark, sf), ref(spark, sf), overrides(spark, sf)
+    return L.context_sections(s, r, o, "trace_emit").unionByName(L.context_sections(s, r, o, "good"))
+
+
 # --- references
 
 @query(f"""WITH {BOTH} SELECT r.id, r.config_hash, r.from_usr, c.qualified_name AS caller_qualified_name, r.ref_kind FROM rf r
@@ -236,11 +248,13 @@ def override_both_ways(spark, sf):
 
 @query(f"""WITH {BOTH}, {OVR}, base AS (SELECT config_hash, derived_usr AS usr, min(base_usr) AS base_usr FROM ovr GROUP BY 1, 2),
 fam AS (SELECT b.config_hash, b.usr, o.derived_usr AS to_usr FROM base b JOIN ovr o ON o.config_hash = b.config_hash AND o.base_usr = b.base_usr
-UNION SELECT config_hash, usr, base_usr FROM base)
+UNION SELECT config_hash, usr, base_usr FROM base
+UNION SELECT a.config_hash, a.usr, b.usr FROM sym a JOIN sym b ON b.config_hash = a.config_hash AND b.parent_usr = a.parent_usr AND b.name = a.name AND b.usr <> a.usr WHERE a.parent_usr <> '' AND a.kind IN ('method', 'destructor')
+AND b.kind IN ('method', 'destructor') AND (b.is_virtual = 1 OR b.is_pure_virtual = 1) AND NOT EXISTS (SELECT 1 FROM base x WHERE x.config_hash = a.config_hash AND x.usr = a.usr))
 SELECT DISTINCT f.config_hash, f.usr, r.from_usr FROM fam f JOIN rf r ON r.config_hash = f.config_hash AND r.to_usr = f.to_usr
 WHERE f.to_usr <> f.usr AND r.from_usr IS NOT NULL AND r.ref_kind IN ('call', 'indirect', 'implicit_construct')""")
 def virtual_callers(spark, sf):
-    return R.virtual_callers(overrides(spark, sf), ref(spark, sf))
+    return R.virtual_callers(overrides(spark, sf), ref(spark, sf), sym(spark, sf))
 
 
 @query(f"""WITH {BOTH} SELECT m.config_hash, m.parent_usr AS class_usr, CASE WHEN contains(c.qualified_name, '::') THEN regexp_extract(c.qualified_name, '^(.*)::', 1) ELSE '(global)' END AS wrapper,
@@ -447,10 +461,19 @@ def pagerank_k(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {SYM}, {INH}, w AS (SELECT config_hash, derived_usr AS start_usr, base_usr AS usr, 1 AS depth FROM inh
-UNION SELECT w.config_hash, w.start_usr, i.base_usr, w.depth + 1 FROM w JOIN inh i ON i.config_hash = w.config_hash AND i.derived_usr = w.usr WHERE w.depth < 10)
-SELECT config_hash, start_usr, usr, min(depth) AS depth FROM w WHERE usr <> start_usr GROUP BY ALL""")
+UNION SELECT w.config_hash, w.start_usr, i.base_usr, w.depth + 1 FROM w JOIN inh i ON i.config_hash = w.config_hash AND i.derived_usr = w.usr WHERE w.depth < 10),
+n AS (SELECT config_hash, start_usr, usr, min(depth) AS depth FROM w WHERE usr <> start_usr GROUP BY ALL), o AS (SELECT * FROM n UNION ALL SELECT DISTINCT config_hash, start_usr, start_usr, 0 FROM w)
+SELECT n.config_hash, n.start_usr, n.usr, n.depth, arg_min(i.access, (i.derived_usr, i.access, i.is_virtual)) AS access, arg_min(i.is_virtual, (i.derived_usr, i.access, i.is_virtual)) AS is_virtual
+FROM n JOIN inh i ON i.config_hash = n.config_hash AND i.base_usr = n.usr JOIN o ON o.config_hash = n.config_hash AND o.start_usr = n.start_usr AND o.usr = i.derived_usr AND o.depth = n.depth - 1 GROUP BY 1, 2, 3, 4""")
 def inheritance_chain(spark, sf):
-    return G.inheritance_closure(inheritance(spark, sf)).select("config_hash", "start_usr", "usr", "depth")
+    return G.inheritance_closure(inheritance(spark, sf)).select("config_hash", "start_usr", "usr", "depth", "access", "is_virtual")
+
+
+@query(f"""WITH {SYM}, {INH}, own AS (SELECT config_hash, usr FROM sym WHERE kind IN ('class', 'struct', 'union'))
+SELECT o.config_hash, o.usr, 'base' AS direction, i.base_usr AS other_usr, i.access FROM own o JOIN inh i ON i.config_hash = o.config_hash AND i.derived_usr = o.usr
+UNION ALL SELECT o.config_hash, o.usr, 'derived', i.derived_usr, i.access FROM own o JOIN inh i ON i.config_hash = o.config_hash AND i.base_usr = o.usr""")
+def direct_relatives(spark, sf):
+    return R.direct_relatives(inheritance(spark, sf), sym(spark, sf).where("kind in ('class', 'struct', 'union')").select("config_hash", "usr")).select("config_hash", "usr", "direction", "other_usr", "access")
 
 
 @query(f"""WITH RECURSIVE {SYM}, {OVR}, w AS (SELECT config_hash, derived_usr, base_usr FROM ovr
@@ -549,6 +572,13 @@ def build_stats(spark, sf):
     return A.build_stats(sym(spark, sf))
 
 
+@query(f"""WITH {BOTH} SELECT b.config_hash, (SELECT count(*) FROM sym s WHERE s.config_hash = b.config_hash) AS symbols, (SELECT count(*) FROM sym s WHERE s.config_hash = b.config_hash AND is_definition = 1) AS definitions,
+(SELECT count(DISTINCT id) FROM files f WHERE f.config_hash = b.config_hash) AS files, (SELECT count(*) FROM rf r WHERE r.config_hash = b.config_hash) AS refs, (SELECT count(*) FROM sym s WHERE s.config_hash = b.config_hash AND kind = 'enum_constant') AS macros FROM build_configs b""")
+def build_totals(spark, sf):
+    s = sym(spark, sf)
+    return A.build_totals(load(spark, sf, "build_configs"), s, load(spark, sf, "files"), ref(spark, sf), s.where("kind = 'enum_constant'"))
+
+
 @query(f"""WITH {SYM}, a AS (SELECT DISTINCT symbol_id AS id FROM symbols_fts WHERE summary <> '')
 SELECT s.config_hash, s.is_project, count(*) AS total, count(a.id) AS analysed FROM sym s LEFT JOIN a ON a.id = s.id WHERE s.is_definition = 1 AND NOT contains(s.name, '(unnamed') GROUP BY 1, 2""")
 def coverage_conditional(spark, sf):

@@ -40,7 +40,7 @@ def _macros(spark, sf):
 
 @query(f"""WITH {SYM}, f AS (SELECT config_hash, id AS file_id, min(path) AS path FROM files GROUP BY 1, 2) SELECT s.config_hash, s.id, s.name, f.path, s.name AS label,
 row_number() OVER (PARTITION BY s.config_hash ORDER BY s.name, s.line, s.file_id, s.id)::INT AS rn FROM sym s LEFT JOIN f ON f.config_hash = s.config_hash AND f.file_id = s.file_id
-WHERE s.kind = 'enum_constant' AND starts_with(lower(s.name), 's')""")
+WHERE s.kind = 'enum_constant' AND starts_with(lower(s.name), 's') QUALIFY rn <= 100""")
 def macro_lookup(spark, sf):
     return R.macro_lookup(_macros(spark, sf), load(spark, sf, "files"), "S", exact=False).select("config_hash", "id", "name", "path", "label", "rn")
 

@@ -28,7 +28,7 @@ def query(sql=None):
 
 def _index(spark, sf, name, make, key, columns):
     """A stored index of the columns of a table."""
-    return stored(spark, sf, f"index {name} {columns}", lambda: T.store_index(T.build_index(make(), key, tuple(columns))))
+    return stored(spark, sf, f"index {name} {columns}", lambda: T.build_index(make(), key, tuple(columns), stored=True))
 
 
 def _symbol_index(spark, sf, columns=None):
@@ -166,6 +166,13 @@ def knn_all_strict(spark, sf):
     return V.knn(e, q, "vec_id", threshold=0.25, limit=None, strict=True).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH {_Q}, a AS (SELECT vec_id, 1 - s AS distance FROM c WHERE s > 0.1) SELECT vec_id, round(distance, 6) AS distance, (SELECT count(*) FROM a) > 20 AS capped FROM a ORDER BY a.distance, vec_id LIMIT 20")
+def knn_all_capped(spark, sf):
+    e, q = _first_vector(spark, sf)
+    rows, capped = V.knn_all(e, q, "vec_id", threshold=0.1, cap=20)
+    return rows.select("vec_id", F.round("distance", 6).alias("distance"), F.lit(capped).alias("capped"))
+
+
 @query("""WITH e AS (SELECT donor_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embedding_stash WHERE len(embedding) = 64 AND model = 'embed-lite-64' AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
 q AS (SELECT v FROM e ORDER BY donor_id, v LIMIT 1) SELECT donor_id, round(min(1 - CASE WHEN list_max(list_transform(v, lambda x: abs(x))) = 0 THEN 0 ELSE list_cosine_similarity(v, (SELECT v FROM q)) END), 6) AS distance FROM e GROUP BY 1 HAVING min(1 - CASE WHEN list_max(list_transform(v, lambda x: abs(x))) = 0 THEN 0 ELSE list_cosine_similarity(v, (SELECT v FROM q)) END) <= 0.8""")
 def knn_min_chunk(spark, sf):
@@ -175,7 +182,7 @@ def knn_min_chunk(spark, sf):
 
 
 @query(f"""WITH {_Q}, r AS (SELECT vec_id, s, label, floor((row_number() OVER (ORDER BY s DESC, vec_id) - 1) / 200) AS w FROM c)
-SELECT vec_id, round(s * CASE WHEN label % 2 = 1 THEN 1.2 ELSE 0.85 END, 6) AS boosted, row_number() OVER (ORDER BY w, s * CASE WHEN label % 2 = 1 THEN 1.2 ELSE 0.85 END DESC, vec_id)::INT AS rank FROM r""")
+SELECT vec_id, round(s * CASE WHEN label % 2 = 1 THEN 1.2 ELSE 0.85 END, 6) AS boosted, row_number() OVER (ORDER BY w, s * CASE WHEN label % 2 = 1 THEN 1.2 ELSE 0.85 END DESC, vec_id)::INT AS rank FROM r WHERE w < 5""")
 def source_boost(spark, sf):
     e, q = _first_vector(spark, sf)
     hits = e.select("vec_id", (F.col("label") % 2).alias("is_project"), V.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])).alias("similarity"), F.lit(0).alias("query"))
@@ -238,7 +245,7 @@ def round_robin_kind(spark, sf):
 
 @query(f"""WITH {SYM}, l AS (SELECT 0 AS term_pos, usr, config_hash, row_number() OVER (PARTITION BY config_hash ORDER BY usr) AS rank FROM sym WHERE contains(lower(name), 'spi')
 UNION ALL SELECT 1, usr, config_hash, row_number() OVER (PARTITION BY config_hash ORDER BY usr) FROM sym WHERE contains(lower(name), 'halt')),
-f AS (SELECT config_hash, usr, min({{'r': rank, 't': term_pos}}) AS f FROM l GROUP BY 1, 2) SELECT config_hash, usr, row_number() OVER (PARTITION BY config_hash ORDER BY f.r, f.t, usr)::INT AS place FROM f""")
+f AS (SELECT config_hash, usr, min({{'r': rank, 't': term_pos}}) AS f FROM l GROUP BY 1, 2) SELECT config_hash, usr, row_number() OVER (PARTITION BY config_hash ORDER BY f.r, f.t, usr)::INT AS place FROM f QUALIFY place <= 1000""")
 def merged_term_lists(spark, sf):
     s = sym(spark, sf)
     ranked = lambda t, i: s.where(F.lower("name").contains(t)).select("config_hash", "usr", F.lit(i).alias("term_pos"), F.row_number().over(Window.partitionBy("config_hash").orderBy("usr")).alias("rank"))

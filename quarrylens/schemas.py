@@ -64,6 +64,20 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table).fields])
 
 
+def quick_check(df: DataFrame, table: str) -> None:
+    """An error if a table lacks columns of its schema or holds them in a type that can't be read as the schema's."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [f"{f.name} is {have[f.name].simpleString()}" for f in schema(table).fields
+             if f.name in have and isinstance(have[f.name], (T.ArrayType, T.MapType, T.StructType)) != isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    if (lost := missing_columns(df, table)) or wrong:
+        raise ValueError(f"{table}: " + "; ".join([*(f"no {c}" for c in lost), *wrong]))
+
+
 def open_index(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("symbols", "refs", "files")) -> dict[str, DataFrame]:
-    """Tables of an index directory by name, conformed to their schemas."""
-    return {t: conform(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t) for t in tables}
+    """Tables of an index directory by name, checked against their schemas and conformed to them."""
+    out = {}
+    for t in tables:
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        quick_check(df, t)
+        out[t] = conform(df, t)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import struct
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,6 +126,19 @@ def memory_regions(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumns({"origin_value": evaluate("origin"), "length_value": evaluate("length")})
 
 
+def linker_values(symbols: DataFrame, defined: dict[str, int] | None = None) -> DataFrame:
+    """linker_symbols with value: what the text stands for, given values of other names (as by --defsym), null if it isn't
+    constant. A name given from outside overrides a PROVIDE and holds in the other assignments."""
+    given = dict(defined or {})
+
+    @F.pandas_udf(T.LongType())
+    def value(names: pd.Series, provided: pd.Series, texts: pd.Series) -> pd.Series:
+        found = [given[n] if n in given and p else constant(t, given) for n, p, t in zip(names, provided, texts)]
+        return pd.Series([v if v is not None and -(1 << 63) <= v < 1 << 63 else None for v in found], dtype="Int64")
+
+    return symbols.withColumn("value", value("name", "provided", "value_text"))
+
+
 def linker_symbols(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, name, provided, value_text, is_entry): assignments and the entry of linker scripts."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_path"), F.regexp_replace("value", r"(?s)/\*.*?\*/", " ").alias("t"))
@@ -180,6 +194,64 @@ def interrupt_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, irq int, flags long, handler long, argument long")
 
 
+def _functions_of(content: bytes) -> list[tuple[int, str]]:
+    """(address, name) of the functions in the symbol table of an ELF file; the Thumb bit of an address is cleared."""
+    if content[:4] != b"\x7fELF" or len(content) < 52:
+        return []
+    wide, end = content[4] == 2, "<" if content[5] == 1 else ">"
+    try:
+        at, = struct.unpack_from(end + ("Q" if wide else "I"), content, 40 if wide else 32)
+        size, count = struct.unpack_from(end + "HH", content, 58 if wide else 46)
+        sections = []
+        for i in range(count):
+            base = at + i * size
+            kind, = struct.unpack_from(end + "I", content, base + 4)
+            off, length = struct.unpack_from(end + ("QQ" if wide else "II"), content, base + (24 if wide else 16))
+            link, = struct.unpack_from(end + "I", content, base + (40 if wide else 24))
+            sections.append((kind, off, length, link))
+        out = []
+        for kind, off, length, link in sections:
+            if kind != 2:  # SHT_SYMTAB
+                continue
+            names = sections[link][1]
+            for p in range(off, off + length, 24 if wide else 16):
+                if wide:
+                    name, info, _, _, value, _ = struct.unpack_from(end + "IBBHQQ", content, p)
+                else:
+                    name, value, _, info, _, _ = struct.unpack_from(end + "IIIBBH", content, p)
+                if info & 15 == 2:  # STT_FUNC
+                    start = names + name
+                    out.append((value & ~1, content[start : content.index(b"\0", start)].decode("utf-8", "replace")))
+        return out
+    except (struct.error, ValueError, IndexError):
+        return []
+
+
+def interrupt_handlers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, irq, link_name, argument) of the interrupt registrations in ELF files, each handler's address by the name that
+    the file's own symbol table gives it, of several the smallest; null where it gives none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, c in zip(b["path"], b["content"]):
+                names: dict[int, str] = {}
+                for address, name in _functions_of(bytes(c)):
+                    names[address] = min(name, names.get(address, name))
+                rows += [(p, irq, names.get(handler & ~1), argument) for irq, _, handler, argument in _int_list(bytes(c))]
+            yield pd.DataFrame(rows, columns=["path", "irq", "link_name", "argument"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, irq int, link_name string, argument long")
+
+
+def sdk_rules(spark: SparkSession, text: str) -> DataFrame:
+    """(entry_name, callee_name, slot_index, kind, sdk) of the rules in a TOML text: tables [[call_graph.sdk]] with sdk, entry, and
+    callee or nothing, slot (0 by default) and kind (call by default). A text that is no TOML, or a rule without entry, is an error."""
+    rules = tomllib.loads(text).get("call_graph", {}).get("sdk", [])
+    rows = [(r["entry"], r.get("callee"), int(r.get("slot", 0)), r.get("kind", "call"), r.get("sdk", "")) for r in rules]
+    return spark.createDataFrame(rows, "entry_name string, callee_name string, slot_index int, kind string, sdk string")
+
+
 def interrupt_sources(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Slot sources (config_hash, slot, function) for interrupts (slot, link_name) whose link name names one symbol."""
     named = symbols.where("link_name <> ''").groupBy("config_hash", "link_name").agg(F.min("usr").alias("function"), F.max("usr").alias("other")).where("function = other")

@@ -194,3 +194,59 @@ def test_ranking_by_hand(spark):
     assert {r["doc"] for r in T.search(index, 'name:init NOT "the bus"').collect()} == {2}
     both = T.two_style_search(index, "spi init", spark.createDataFrame([(2,)], "doc long"), tokens="name").orderBy("place").collect()
     assert [r["doc"] for r in both] == [2, 1]
+
+
+def elf_with_names(handler, name=b"my_isr"):
+    """A 32-bit ELF file with one interrupt registration and one function."""
+    names = b"\0.intList\0.symtab\0.strtab\0.shstrtab\0"
+    strings = b"\0" + name + b"\0"
+    ints = b"\0" * 8 + struct.pack("<iIII", 5, 0, handler | 1, 77)
+    table = b"\0" * 16 + struct.pack("<IIIBBH", 1, handler | 1, 4, 2, 0, 1)
+    at = 52
+    places, body = [], b""
+    for part in (ints, table, strings, names):
+        places.append((at + len(body), len(part)))
+        body += part
+    kinds = [(1, 1, 0), (10, 2, 3), (18, 3, 0), (26, 3, 0)]
+    heads = b"\0" * 40 + b"".join(struct.pack("<IIIIIIIIII", n, k, 0, 0, off, size, link, 0, 0, 0) for (n, k, link), (off, size) in zip(kinds, places))
+    head = b"\x7fELF\x01\x01\x01" + b"\0" * 9 + struct.pack("<HHIIIIIHHHHHH", 2, 40, 1, 0, 0, at + len(body), 0, 52, 0, 0, 40, 5, 4)
+    return head + body + heads
+
+
+def test_interrupt_handlers_by_name(spark, tmp_path):
+    (tmp_path / "a.elf").write_bytes(elf_with_names(0x8000100))
+    (tmp_path / "b.elf").write_bytes(b"no elf")
+    got = [(r["irq"], r["link_name"], r["argument"]) for r in B.interrupt_handlers(spark, str(tmp_path)).collect()]
+    assert got == [(5, "my_isr", 77)]
+    assert [(r["irq"], r["handler"] & ~1) for r in B.interrupt_list(spark, str(tmp_path)).collect()] == [(5, 0x8000100)]
+
+
+def test_rules_values_and_checks(spark):
+    rules = B.sdk_rules(spark, '[[call_graph.sdk]]\nsdk = "rtos"\nentry = "start"\ncallee = "run"\n[[call_graph.sdk]]\nentry = "loop"\nslot = 2\n').collect()
+    assert [tuple(r) for r in rules] == [("start", "run", 0, "call", "rtos"), ("loop", None, 2, "call", "")]
+    assert B.sdk_rules(spark, "x = 1").count() == 0
+    sym = spark.createDataFrame([("_top", False, "BASE + 4K"), ("_heap", True, "0x100"), ("_bad", False, "other")], "name string, provided boolean, value_text string")
+    got = {r["name"]: r["value"] for r in B.linker_values(sym, {"BASE": 0x1000, "_heap": 64}).collect()}
+    assert got == {"_top": 0x2000, "_heap": 64, "_bad": None}
+    with pytest.raises(ValueError, match="no to_usr"):
+        schemas.quick_check(spark.range(1), "refs")
+
+
+def test_names_lengths_and_cuts(spark):
+    from quarrylens.functions import scalars as S
+    from quarrylens.operators import merge
+
+    rows = spark.createDataFrame([("int t[4]", "a/very/long/path/to/some/file/in/a/deep/tree/of/folders/name_of_the_file.c", "a.b_x"), ("int u[2][3]", "short.c", "axb"), ("int v", None, "spi_Init")], "t string, p string, n string")
+    got = rows.select(S.declared_length(F.col("t")).alias("l"), S.middle_cut(F.col("p")).alias("p"), S.stem_matches(F.col("n"), "a.b").alias("dot"), S.stem_matches(F.col("n"), "SPI").alias("spi"), S.stem_matches(F.col("n"), "(").alias("open")).collect()
+    assert [r["l"] for r in got] == [4, None, None] and len(got[0]["p"]) == 60 and got[1]["p"] == "short.c" and got[2]["p"] is None
+    assert [r["dot"] for r in got] == [True, False, False] and [r["spi"] for r in got] == [False, False, True] and not any(r["open"] for r in got)
+    chain = spark.createDataFrame([("g", f"m{i:02d}", f"m{i + 1:02d}") for i in range(60)], "config_hash string, derived_usr string, base_usr string")
+    from quarrylens.operators.callgraph import close_overrides, walk
+    assert close_overrides(chain).count() == 60 * 61 // 2
+    edges = chain.select("config_hash", F.col("derived_usr").alias("src"), F.col("base_usr").alias("dst"))
+    assert walk(edges, spark.createDataFrame([("g", "m00")], "config_hash string, usr string"), None).agg(F.max("depth")).first()[0] == 60
+    old = spark.createDataFrame([("g", "u", 1, 1, None, "a.c", 5, 0, 0), ("g", "u", 2, 0, None, "b.c", 9, 0, 0)], "config_hash string, usr string, id long, is_definition int, removed_at timestamp, file_path string, seen int, is_weak int, is_tentative int")
+    old = old.withColumn("seen_at", F.timestamp_seconds("seen"))
+    assert merge.merge_symbols(old).first()["id"] == 1
+    fresh = spark.createDataFrame([("g", "a.c", 7)], "config_hash string, file_path string, s int").select("config_hash", "file_path", F.timestamp_seconds("s").alias("since"))
+    assert merge.merge_symbols(old, fresh).first()["id"] == 2
