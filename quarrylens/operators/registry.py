@@ -19,6 +19,27 @@ def macro_lookup(macros: DataFrame, files: DataFrame, name: str, exact: bool = T
     return first.join(paths, ["config_hash", "file_id"], "left").withColumn("label", macro_text(F.col("name"), F.col("params"), F.col("is_function_like")))
 
 
+def macro_states(macros: DataFrame, readers: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, units, states, expanded_value) of each macro over the units that read its file.
+
+    macros: id, config_hash, path, name; readers: config_hash, path, unit; answers: config_hash, unit, name, state, value,
+    params, is_function_like. states lists the different answers, most units first, then by state, value and the rest; a
+    unit without an answer counts as no_answer. expanded_value is the value if all units give one and the same answer and
+    it is defined: one unit that leaves the macro undefined, or says nothing, takes it away. A macro that no unit reads has
+    no states.
+    """
+    asked = macros.select("id", "config_hash", "path", "name").join(readers.select("config_hash", "path", "unit").distinct(), ["config_hash", "path"])
+    told = asked.join(answers.select("config_hash", "unit", "name", "state", "value", "params", "is_function_like").distinct(), ["config_hash", "unit", "name"], "left")
+    told = told.withColumn("state", F.coalesce("state", F.lit("no_answer")))
+    counted = told.groupBy("id", "state", "value", "params", "is_function_like").agg(F.count(F.lit(1)).alias("n"))
+    one = F.struct((-F.col("n")).alias("m"), "state", "value", "params", "is_function_like")
+    per = counted.groupBy("id").agg(F.sum("n").alias("units"), F.sort_array(F.collect_list(one)).alias("s"))
+    sole = (F.size("s") == 1) & (F.col("s")[0]["state"] == "defined")
+    states = F.transform("s", lambda r: F.concat_ws(" ", (-r["m"]).cast("string"), r["state"], r["value"]))
+    return macros.select("id").join(per.select("id", "units", states.alias("states"), F.when(sole, F.col("s")[0]["value"]).alias("expanded_value")), "id", "left").select(
+        "id", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("states", F.array().cast("array<string>")).alias("states"), "expanded_value")
+
+
 def template_places(instances: DataFrame, merged: DataFrame) -> DataFrame:
     """(config_hash, template_usr, place): the place of a template that has one place, or whose places are merged."""
     places = instances.groupBy("config_hash", "template_usr").agg(F.countDistinct("file_path", "line").alias("n"), F.min(F.struct("file_path", "line")).alias("p"))

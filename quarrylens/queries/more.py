@@ -45,6 +45,25 @@ def macro_lookup(spark, sf):
     return R.macro_lookup(_macros(spark, sf), load(spark, sf, "files"), "S", exact=False).select("config_hash", "id", "name", "path", "label", "rn")
 
 
+@query(f"""WITH {BOTH}, m AS (SELECT id, config_hash, usr, file_path AS path, name, enum_value::VARCHAR AS value FROM sym WHERE kind = 'enum_constant'),
+rd AS (SELECT DISTINCT r.config_hash, s.file_path AS path, r.from_file AS unit FROM rf r JOIN sym s ON s.config_hash = r.config_hash AND s.usr = r.to_usr WHERE s.file_path IN (SELECT path FROM m)),
+an AS (SELECT DISTINCT r.config_hash, r.from_file AS unit, m.name, CASE WHEN r.ref_kind = 'indirect' THEN 'undefined' ELSE 'defined' END AS state, CASE WHEN r.ref_kind = 'indirect' THEN NULL ELSE m.value END AS value FROM rf r JOIN m ON m.config_hash = r.config_hash AND m.usr = r.to_usr),
+t AS (SELECT m.id, coalesce(an.state, 'no_answer') AS state, an.value FROM m JOIN rd ON rd.config_hash = m.config_hash AND rd.path = m.path LEFT JOIN an ON an.config_hash = m.config_hash AND an.unit = rd.unit AND an.name = m.name),
+c AS (SELECT id, state, value, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT id, sum(n)::BIGINT AS units, list(n || ' ' || state || coalesce(' ' || value, '') ORDER BY n DESC, state, value NULLS FIRST) AS states, CASE WHEN count(*) = 1 AND min(state) = 'defined' THEN min(value) END AS expanded_value FROM c GROUP BY 1)
+SELECT m.id, coalesce(units, 0) AS units, coalesce(states, []) AS states, expanded_value FROM m LEFT JOIN p ON p.id = m.id""")
+def macro_states(spark, sf):
+    """Bound: macros are enum constants, a unit reads a file if it refers to a symbol of it, and knows the constants that it refers to, but not those it
+    only reaches indirectly."""
+    s, r = sym(spark, sf), ref(spark, sf)
+    m = s.where("kind = 'enum_constant'").select("id", "config_hash", "usr", F.col("file_path").alias("path"), "name", F.col("enum_value").cast("string").alias("value"))
+    to = r.select("config_hash", F.col("to_usr").alias("usr"), F.col("from_file").alias("unit"), "ref_kind")
+    readers = to.join(s.select("config_hash", "usr", F.col("file_path").alias("path")), ["config_hash", "usr"]).select("config_hash", "path", "unit").distinct()
+    known = to.join(m.select("config_hash", "usr", "name", "value"), ["config_hash", "usr"])
+    indirect = F.col("ref_kind") == "indirect"
+    answers = known.select("config_hash", "unit", "name", F.when(indirect, "undefined").otherwise("defined").alias("state"), F.when(~indirect, F.col("value")).alias("value"), F.lit("").alias("params"), F.lit(0).alias("is_function_like"))
+    return R.macro_states(m, readers, answers)
+
+
 @query(f"WITH {SYM} SELECT config_hash, count(*) AS macros FROM sym WHERE kind = 'enum_constant' GROUP BY 1")
 def macro_count(spark, sf):
     return _macros(spark, sf).groupBy("config_hash").agg(F.count(F.lit(1)).alias("macros"))

@@ -81,17 +81,28 @@ def function_calls_by_slot(spark, sf):
     return R.as_side(sym(spark, sf), "caller", "from_usr").join(r, ["config_hash", "from_usr"], "right").select("id", "to_usr", "from_usr", "caller_name")
 
 
-@query(f"""WITH {BOTH}, d AS (SELECT DISTINCT config_hash, from_usr AS usr FROM rf WHERE ref_kind = 'indirect'), e AS (SELECT DISTINCT config_hash, from_file, slot_index, to_usr FROM rf WHERE ref_kind = 'vector' AND slot_index IS NOT NULL),
+_VECTORS = f"""WITH {BOTH}, d AS (SELECT DISTINCT config_hash, from_usr AS usr FROM rf WHERE ref_kind = 'indirect'), e AS (SELECT DISTINCT config_hash, from_file, slot_index, to_usr FROM rf WHERE ref_kind = 'vector' AND slot_index IS NOT NULL),
 c AS (SELECT *, count(*) OVER (PARTITION BY config_hash, from_file, to_usr) AS n FROM e)
 SELECT c.config_hash, c.from_file, c.slot_index, c.to_usr, CASE WHEN starts_with(c.to_usr, 'ld:') THEN 'linker' WHEN NOT starts_with(c.to_usr, 'asm:') AND n > 1 AND d.usr IS NOT NULL THEN 'dispatcher'
 WHEN NOT starts_with(c.to_usr, 'asm:') THEN 'c' WHEN EXISTS (SELECT 1 FROM rf a WHERE a.ref_kind = 'alias' AND a.config_hash = c.config_hash AND a.from_usr = c.to_usr) THEN 'unhandled'
 WHEN n > 1 AND d.usr IS NOT NULL THEN 'dispatcher' ELSE 'assembly' END AS status
-FROM c LEFT JOIN d ON d.config_hash = c.config_hash AND d.usr = c.to_usr""")
+FROM c LEFT JOIN d ON d.config_hash = c.config_hash AND d.usr = c.to_usr"""
+
+
+@query(_VECTORS)
 def vector_table(spark, sf):
     r = ref(spark, sf)
     return P.vector_table(r, sym(spark, sf), r.where("ref_kind = 'indirect'").select("config_hash", F.col("from_usr").alias("usr")))
 
 
+@query(f"""SELECT v.config_hash, from_file, v.slot_index, to_usr, CASE WHEN status = 'unhandled' AND EXISTS (SELECT 1 FROM refs r WHERE r.config_hash = v.config_hash AND r.slot_index = v.slot_index AND r.ref_kind = 'call') THEN 'runtime' ELSE status END AS status FROM ({_VECTORS}) v""")
+def vector_table_runtime(spark, sf):
+    """With registrations, bound to calls that carry a slot index."""
+    r = ref(spark, sf)
+    registered = r.where("ref_kind = 'call' and slot_index is not null").select("config_hash", "slot_index")
+    return P.vector_table(r, sym(spark, sf), r.where("ref_kind = 'indirect'").select("config_hash", F.col("from_usr").alias("usr")), registered)
+
+
 @query(f"""WITH RECURSIVE {_PT}, via AS (SELECT pt.config_hash, f.target AS slot, pt.function, pt.slot AS via FROM pt JOIN flow f ON f.config_hash = pt.config_hash AND f.source = pt.slot WHERE f.source <> f.target),
 w AS (SELECT DISTINCT pt.config_hash, pt.slot AS start_slot, pt.function, pt.slot FROM pt JOIN site s ON s.config_hash = pt.config_hash AND s.slot = pt.slot
 UNION SELECT w.config_hash, w.start_slot, w.function, v.via FROM w JOIN via v ON v.config_hash = w.config_hash AND v.slot = w.slot AND v.function = w.function),
