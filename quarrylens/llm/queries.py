@@ -82,6 +82,10 @@ FROM embedding_stash WHERE len(embedding) = 64 AND len(list_filter(embedding, la
 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)
 SELECT a.stash_id AS stash_id_a, b.stash_id AS stash_id_b FROM v a JOIN v b ON a.model = b.model AND a.stash_id < b.stash_id
 WHERE a.content_hash <> b.content_hash AND list_cosine_similarity(a.e, b.e) >= 0.9""",
+    # any usual tokenizer gives the same rows; here words and marks are counted
+    "p9_found": """WITH d AS (SELECT trim(lower(source)) AS name, len(regexp_extract_all(coalesce(text, ''), '\\w+|[^\\w\\s]'))::BIGINT AS n FROM documents),
+s AS (SELECT name, sum(n) AS n FROM d GROUP BY 1), t AS (SELECT sum(n) AS total FROM d)
+SELECT DISTINCT m.mix_id, m.source FROM mix_targets m LEFT JOIN s ON s.name = trim(lower(m.source)), t WHERE m.max_repeats * coalesce(s.n, 0) < m.target_share * t.total""",
     "p6_found": """WITH r AS (SELECT config_hash, usr, id, row_number() OVER (PARTITION BY config_hash, usr ORDER BY
 removed_at IS NOT NULL, is_definition = 1 DESC, is_weak = 0 DESC, is_tentative = 0 DESC,
 regexp_matches(lower(file_path), '\\.(h|hh|hpp|inc)$'),
