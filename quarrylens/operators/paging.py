@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.scalars import declared_length
+
 
 @dataclass(frozen=True)
 class Notice:
@@ -61,6 +63,17 @@ def round_robin(df: DataFrame, group: str, group_order: Column, order: list[Colu
     return numbered(df, [group], order).withColumn("pos", group_order)
 
 
+def table_coverage(tables: DataFrame, present: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """(keys, declared, present, ranges): for each table (keys, signature) whose signature holds exactly one [N] the numbers
+    from 0 to N - 1 that present (keys, number) lacks, as text; tables that lack none have no ranges."""
+    sized = tables.select(*keys, declared_length(F.col("signature")).alias("declared")).where("declared > 0")
+    have = present.select(*keys, number).where(F.col(number).isNotNull()).distinct()
+    counted = have.groupBy(*keys).agg(F.count(F.lit(1)).alias("present"))
+    due = sized.select(*keys, F.explode(F.sequence(F.lit(0), F.col("declared") - 1)).alias(number))
+    gaps = number_ranges(due.join(have, [*keys, number], "left_anti"), keys, number)
+    return sized.join(counted, keys, "left").join(gaps, keys, "left").select(*keys, "declared", F.coalesce("present", F.lit(0)).alias("present"), "ranges")
+
+
 def number_ranges(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     """(keys, ranges): the numbers of each key as text like "89, 198-200". Runs are found by gaps and islands."""
     w = Window.partitionBy(*keys).orderBy(number)

@@ -61,9 +61,11 @@ def ordered_states(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
         *keys, F.transform("s", lambda r: F.struct(r["value"].alias("value"), (-r["m"]).alias("units"))).alias("states"))
 
 
-def odr_groups(types: DataFrame, keys: list[str], main: str = "main") -> DataFrame:
-    """Types that stand in several files, none of them a main file, with the place that represents them."""
-    return types.groupBy(*keys).agg(F.countDistinct("file_path").alias("files"), F.min("file_path").alias("place"), F.bool_or(F.col("file_path").contains(main)).alias("m")).where("files > 1 and not m").drop("m")
+def odr_groups(types: DataFrame, keys: list[str], mains: DataFrame) -> DataFrame:
+    """Types that stand in several files, none of them a main file (path), with the place that represents them."""
+    marked = types.select(*keys, "file_path").distinct().join(mains.select(F.col("path").alias("file_path")).distinct().withColumn("m", F.lit(True)), "file_path", "left")
+    found = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.min("file_path").alias("place"), F.coalesce(F.bool_or("m"), F.lit(False)).alias("m"))
+    return found.where("files > 1 and not m").drop("m")
 
 
 def retrieval_metrics(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.functions.scalars import describe_slot
 from quarrylens.operators import callgraph as G
 from quarrylens.operators import fusion as V
 from quarrylens.operators import merge as M
@@ -204,9 +205,13 @@ class CodeIndex:
     def pagerank(self) -> DataFrame:
         return G.pagerank(self.symbols, self.refs)
 
-    def find_indirect_call_sites(self, caller: str | None = None) -> DataFrame:
-        sites = self.refs.where("ref_kind = 'indirect'")
-        return sites if caller is None else sites.join(self._candidates(caller).select(F.col("usr").alias("from_usr")), "from_usr", "left_semi")
+    def find_indirect_call_sites(self, caller: str | None = None, sites: DataFrame | None = None) -> DataFrame:
+        """The indirect call references, of one caller or all; with slot sites these, each with words for its slot."""
+        if sites is None:
+            rows, key = self.refs.where("ref_kind = 'indirect'"), "from_usr"
+        else:
+            rows, key = sites.where(F.col("config_hash") == self.build).drop("unit").distinct().withColumn("label", describe_slot(F.col("slot"))), "caller"
+        return rows if caller is None else rows.join(self._candidates(caller).select(F.col("usr").alias(key)), key, "left_semi")
 
     def find_indirect_targets(self, sources: DataFrame, flows: DataFrame, sites: DataFrame, **facts) -> S.Resolution:
         """The resolution of slot facts of this build."""

@@ -35,6 +35,18 @@ def exported_rows(spark, sf):
     return K.export_rows(sym(spark, sf), ref(spark, sf)).groupBy("kind", "config_hash").agg(F.count("json").alias("n"))
 
 
+@query(f"""WITH {BOTH} SELECT 'symbol' AS kind, s.config_hash, s.usr, s.name, s.kind AS detail, s.file_path AS file, s.line::VARCHAR AS line FROM sym s
+UNION ALL SELECT 'ref', r.config_hash, r.to_usr, c.qualified_name, r.ref_kind, r.from_file, r.from_line::VARCHAR FROM rf r LEFT JOIN sym c ON c.config_hash = r.config_hash AND c.usr = r.from_usr""")
+def exported_json(spark, sf):
+    """The JSON lines as they were written and read again, by their fields."""
+    path = scratch_path(spark, "export")
+    K.export_json(sym(spark, sf), ref(spark, sf), path)
+    rows = spark.read.schema("value string, config_hash string, kind string").text(path)
+    pick = lambda a, b: F.coalesce(F.get_json_object("value", f"$.{a}"), F.get_json_object("value", f"$.{b}"))
+    name = F.when(F.col("kind") == "symbol", F.get_json_object("value", "$.name")).otherwise(F.get_json_object("value", "$.caller"))
+    return rows.select("kind", "config_hash", pick("usr", "to_usr").alias("usr"), name.alias("name"), pick("symbol_kind", "ref_kind").alias("detail"), pick("file_path", "from_file").alias("file"), pick("line", "from_line").alias("line"))
+
+
 @query("SELECT project_id, upper(name) AS name, root_path FROM projects")
 def registry_upsert(spark, sf):
     p = load(spark, sf, "projects")

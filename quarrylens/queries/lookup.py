@@ -539,6 +539,18 @@ def gap_ranges(spark, sf):
     return P.number_ranges(due.join(have, ["config_hash", "slot_index"], "left_anti"), ["config_hash"], "slot_index")
 
 
+@query("""WITH d AS (SELECT DISTINCT config_hash, from_file, slot_index AS s FROM refs WHERE ref_kind = 'vector' AND slot_index IS NOT NULL), t AS (SELECT config_hash, from_file, max(s) + 8 AS n, count(*) AS present FROM d GROUP BY 1, 2),
+m AS (SELECT config_hash, from_file, unnest(range(0, n))::INT AS s FROM t EXCEPT SELECT * FROM d), g AS (SELECT *, s - row_number() OVER (PARTITION BY config_hash, from_file ORDER BY s) AS k FROM m),
+r AS (SELECT config_hash, from_file, min(s) AS a, max(s) AS b FROM g GROUP BY config_hash, from_file, k), x AS (SELECT config_hash, from_file, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY 1, 2)
+SELECT t.config_hash, t.from_file, t.n::INT AS declared, t.present, x.ranges FROM t LEFT JOIN x ON x.config_hash = t.config_hash AND x.from_file = t.from_file""")
+def table_gaps(spark, sf):
+    """Bound: a file's vector references are a table, declared with eight places more than its last."""
+    have = load(spark, sf, "refs").where("ref_kind = 'vector' and slot_index is not null").select("config_hash", "from_file", "slot_index")
+    length = F.max("slot_index") + 8
+    tables = have.groupBy("config_hash", "from_file").agg(F.concat(F.lit("handler vectors["), length.cast("string"), F.lit("]")).alias("signature"))
+    return P.table_coverage(tables, have, ["config_hash", "from_file"], "slot_index")
+
+
 @query("""SELECT id, list_filter(['direct', 'asm', 'sdk', 'instantiation', 'slot', 'type_only'], lambda x, i: (origins & [1, 4, 8, 16, 32, 64][i]) <> 0) AS names FROM refs""")
 def origin_names(spark, sf):
     return load(spark, sf, "refs").select("id", S.origin_names(F.col("origins")).alias("names"))
@@ -616,10 +628,12 @@ def macro_consensus(spark, sf):
     return A.consensus(load(spark, sf, "symbols").where("signature is not null"), ["name", "kind"], "signature")
 
 
-@query(f"""WITH {SYM} SELECT qualified_name, kind, count(DISTINCT file_path) AS files, min(file_path) AS place FROM sym WHERE kind IN ('class', 'struct', 'union', 'enum') GROUP BY 1, 2
-HAVING count(DISTINCT file_path) > 1 AND NOT bool_or(contains(file_path, 'main'))""")
+@query(f"""WITH {SYM} SELECT name, count(DISTINCT file_path) AS files, min(file_path) AS place FROM sym WHERE kind IN ('class', 'struct', 'union', 'enum', 'typedef') GROUP BY 1
+HAVING count(DISTINCT file_path) > 1 AND NOT bool_or(file_path IN (SELECT path FROM files WHERE language = 'cpp' AND is_project = 1 AND regexp_matches(path, '\\.(cpp|cc|cxx)$')))""")
 def odr_groups(spark, sf):
-    return A.odr_groups(sym(spark, sf).where("kind in ('class', 'struct', 'union', 'enum')"), ["qualified_name", "kind"])
+    """The merge key of a type is its name; main files are the C++ units of the project."""
+    mains = load(spark, sf, "files").where("language = 'cpp' and is_project = 1").where(F.col("path").rlike(r"\.(cpp|cc|cxx)$")).select("path")
+    return A.odr_groups(sym(spark, sf).where("kind in ('class', 'struct', 'union', 'enum', 'typedef')"), ["name"], mains)
 
 
 # --- merges and maintenance

@@ -121,13 +121,13 @@ def sdk_entries(spark, sf):
 
 @query(f"""WITH {BOTH}, gone AS (SELECT DISTINCT config_hash, path FROM files WHERE contains(path, 'vendor')),
 lost AS (SELECT s.config_hash, s.usr FROM sym s SEMI JOIN gone g ON g.config_hash = s.config_hash AND g.path = s.file_path)
-SELECT 'symbols' AS kind, count(*) AS kept FROM sym s ANTI JOIN gone g ON g.config_hash = s.config_hash AND g.path = s.file_path
-UNION ALL SELECT 'refs', count(*) FROM rf r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.config_hash = r.config_hash AND g.path = r.from_file)
+SELECT 'symbols' AS kind, id FROM sym s ANTI JOIN gone g ON g.config_hash = s.config_hash AND g.path = s.file_path
+UNION ALL SELECT 'refs', id FROM rf r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.config_hash = r.config_hash AND g.path = r.from_file)
 AND NOT EXISTS (SELECT 1 FROM lost l WHERE l.config_hash = r.config_hash AND l.usr = r.to_usr)""")
 def files_deleted(spark, sf):
     gone = load(spark, sf, "files").where("path like '%vendor%'").select("config_hash", "path").distinct()
     s, r = M.delete_files(sym(spark, sf), ref(spark, sf), gone)
-    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(n).alias("kind"), "kept") for n, df in (("symbols", s), ("refs", r))])
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("kind"), "id") for n, df in (("symbols", s), ("refs", r))])
 
 
 @query(f"""WITH {SYM}, f AS (SELECT config_hash, file_path FROM sym WHERE is_definition = 0) SELECT config_hash, usr, id FROM sym WHERE (config_hash, file_path) NOT IN (SELECT config_hash, file_path FROM f)
@@ -138,10 +138,10 @@ def files_replaced(spark, sf):
     return M.replace_files(s, fresh, ["config_hash", "file_path"]).select("config_hash", "usr", "id")
 
 
-@query(f"WITH {SYM}, b AS (SELECT min(config_hash) AS h FROM sym) SELECT config_hash, count(*) AS n FROM sym WHERE config_hash <> (SELECT h FROM b) GROUP BY 1")
+@query(f"WITH {SYM}, b AS (SELECT min(config_hash) AS h FROM sym) SELECT config_hash, usr FROM sym WHERE config_hash <> (SELECT h FROM b)")
 def build_deleted(spark, sf):
     s = sym(spark, sf)
-    return M.delete_build({"symbols": s}, s.agg(F.min("config_hash")).first()[0])["symbols"].groupBy("config_hash").agg(F.count(F.lit(1)).alias("n"))
+    return M.delete_build({"symbols": s}, s.agg(F.min("config_hash")).first()[0])["symbols"].select("config_hash", "usr")
 
 
 @query("""WITH c AS (SELECT DISTINCT f.config_hash, h.path AS header, f.path AS unit_path, f.language, f.flags_hash FROM files f JOIN files h ON h.config_hash = f.config_hash
