@@ -51,7 +51,7 @@ WAVE = 8_192
 
 def nearest_of(asked: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, wave: int = WAVE) -> DataFrame:
     """(query, id, rank, similarity): for each asked vector the k most similar of all vectors of its length but its own; ties
-    go to the smaller key. Null vectors and a null key take no part.
+    go to the smaller key. Null vectors and a null key take no part, a vector with a NaN is near nothing.
 
     Exact, a blocked product: the asked vectors are cut by hash into waves of about that many, which is what is sent to the
     tasks at once; every task compares its batches with the wave, and only the k best of each asked vector leave it.

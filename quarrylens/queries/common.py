@@ -23,13 +23,23 @@ def stored(spark: SparkSession, sf: str, name: str, make: Callable[[], object])
     fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
     state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(files)))
     key = (spark.sparkContext.applicationId, sf, name, state)
-    if key not in _stored:
+    if key not in _stored or not _there(_stored[key]):
         for old in [k for k in _stored if k[:3] == key[:3]]:
             del _stored[old]
         _stored[key] = make()
     return _stored[key]
 
 
+def _there(made: object) -> bool:
+    """Whether the files of a written table, or of an index's postings, are still where they were written."""
+    df = made if isinstance(made, DataFrame) else made.postings
+    files = df.inputFiles()
+    if not files:
+        return True
+    first = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0])
+    return first.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(first)
+
+
 def sym(spark: SparkSession, sf: str) -> DataFrame:
     """The merged symbols, sorted by build and usr."""
     return stored(spark, sf, "symbols", lambda: materialize(_sorted(merge_symbols(load(spark, sf, "symbols")), "config_hash", "usr"), "merged-symbols"))
