@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylens.runtime import drop_scratch, materialize
+from quarrylens.runtime import BROADCAST_ROWS, drop_scratch, materialize
 
 K, ORDERS, ROUNDS, BLOCK_ROWS, CELL_ROWS, PROBES = 10, 5, 4, 25_000, 256, 6
 #: Neighbours of one vector, forward and back, that a round compares with each other (the sampling of NN-descent).
@@ -540,6 +540,32 @@ def _pair_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim.astype("f4"))], ["query", "id", "sim"])
 
 
+def _enter(doors: list, ef: int) -> Callable:
+    """The ef best entry vectors of each query (query, model, qh, qq); doors are BROADCAST_ROWS at most."""
+    by: dict[int, tuple] = {}
+    for model in {d["model"] for d in doors}:
+        own = sorted((d for d in doors if d["model"] == model), key=lambda d: d["id"])
+        by[model] = np.array([d["id"] for d in own]), np.array([d["h"] for d in own]), np.frombuffer(b"".join(bytes(d["q"]) for d in own), "i1").reshape(len(own), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            models = b.column(1).to_numpy()
+            for model in np.unique(models):
+                part = b.filter(pa.array(models == model))
+                if model not in by or not part.num_rows:
+                    continue
+                ids, h, q = by[model]
+                x, y = _unit(np.frombuffer(b"".join(part.column(3).to_pylist()), "i1").reshape(part.num_rows, -1)), _unit(q)
+                for at in range(0, len(x), 2_000):
+                    sims = x[at : at + 2_000] @ y.T
+                    sims[part.column(2).to_numpy()[at : at + 2_000, None] == h[None, :]] = -2
+                    found, s = _best(sims, ids, ef)
+                    row, place = np.nonzero(s > -1.5)
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[at + row]), pa.array(found[row, place]), pa.array(s[row, place].astype("f4"))], ["query", "id", "sim"])
+
+    return run
+
+
 def greedy_search(
     graph: NeighbourGraph, queries: DataFrame, k: int = K, ef: int = 96, width: int = 16, rounds: int = 12, entries: int = 512,
 ) -> DataFrame:
@@ -555,10 +581,13 @@ def greedy_search(
     doors = materialize(doors, "doors")  # entries rows a model; written, so that Spark knows the size and chooses the join
     edges = graph.neighbours().select("id", F.col("neighbour").alias("nb"))
     edges = materialize(edges.union(edges.select(F.col("nb"), F.col("id"))).distinct(), "edges")
-    asked = queries.select("query", "model", F.col("h").alias("qh"), F.col("q").alias("qq"))
+    asked = materialize(queries.select("query", "model", F.col("h").alias("qh"), F.col("q").alias("qq")), "asked")
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     shape = "query long, id long, sim float"
-    start = asked.join(doors, "model").where("h <> qh").select("query", "id", "qq", "q").mapInArrow(_pair_similarity, shape)
+    if doors.count() <= BROADCAST_ROWS:
+        start = asked.select("query", "model", "qh", "qq").mapInArrow(_enter(doors.collect(), ef), shape)
+    else:
+        start = asked.join(doors, "model").where("h <> qh").select("query", "id", "qq", "q").mapInArrow(_pair_similarity, shape)
     beam = materialize(start.withColumn("open", F.lit(False)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= ef).drop("r"), "beam")
     for _ in range(rounds):
         next_up = Window.partitionBy("query", "open").orderBy(F.desc("sim"), "id")
