@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,11 +48,11 @@ class CommitStore:
         for d in self.deliveries():
             if d["name"] == name:
                 return d["number"]
-        folder = f"data/in-{uuid.uuid4().hex[:12]}"
+        folder = f"in/__delivery={uuid.uuid4().hex[:12]}"
         held = {}
         for table, df in tables.items():
             cut = df.withColumn("__part", F.pmod(F.xxhash64(parts), F.lit(PARTS)).cast("int")).hint("rebalance", "__part")
-            cut.write.option("compression", "zstd").partitionBy("__part").parquet(f"{self.path}/{folder}/{table}")
+            cut.write.option("compression", "zstd").partitionBy("__part").parquet(f"{self.path}/{folder}/__table={table}")
             held[table] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         while True:
             done = self.deliveries()
@@ -66,15 +65,15 @@ class CommitStore:
     def delivered(self, table: str, above: int | None, upto: int | None, parts: Iterable[int] | None = None) -> DataFrame | None:
         """The rows of a table in the deliveries with above < number <= upto, of those parts; None without a delivery."""
         chosen = [d for d in self.deliveries() if (above is None or d["number"] > above) and (upto is None or d["number"] <= upto) and table in d["tables"]]
-        return self._read(chosen, lambda d: f"{d['data']}/{table}", lambda d: d["tables"][table], parts)
+        return self._read("in", [f"{d['data']}/__table={table}" for d in chosen], chosen[0]["tables"][table] if chosen else "", ("__delivery", "__table"), parts)
 
-    def _read(self, manifests: list[dict], path: Callable[[dict], str], schema: Callable[[dict], str], parts: Iterable[int] | None) -> DataFrame | None:
-        if not manifests:
+    def _read(self, root: str, folders: list[str], schema: str, names: tuple[str, ...], parts: Iterable[int] | None) -> DataFrame | None:
+        """One scan of folders below root, however many; names are the parts of their paths."""
+        if not folders:
             return None
-        shape = f"{schema(manifests[0])}, `__part` int"
-        read = [self.spark.read.schema(shape).option("basePath", f"{self.path}/{path(m)}").parquet(f"{self.path}/{path(m)}") for m in manifests]
-        df = reduce(DataFrame.unionByName, read)
-        return (df if parts is None else df.where(F.col("__part").isin(*parts) if parts else F.lit(False))).drop("__part")
+        shape = ", ".join([schema, *(f"`{n}` string" for n in names), "`__part` int"])
+        df = self.spark.read.schema(shape).option("basePath", f"{self.path}/{root}").parquet(*[f"{self.path}/{f}" for f in folders])
+        return (df if parts is None else df.where(F.col("__part").isin(*parts) if parts else F.lit(False))).drop("__part", *names)
 
     # --- what went out
 
@@ -91,7 +90,7 @@ class CommitStore:
         done = self.commits()
         if not done:
             return None
-        rows = self._read(done, lambda c: c["data"], lambda c: c["schema"], parts)
+        rows = self._read("out", [c["data"] for c in done], done[0]["schema"], ("__run",), parts)
         if len(done) > 1:
             keys = [c for c in rows.columns if c not in ("keep", "commit")]
             rows = rows.groupBy(*keys).agg(F.max_by("keep", "commit").alias("keep"))
@@ -100,7 +99,7 @@ class CommitStore:
     def snapshot(self) -> DataFrame | None:
         """The rows of the last commit alone, for runs whose output stands for all that came before."""
         done = self.commits()
-        return self._read(done[-1:], lambda c: c["data"], lambda c: c["schema"], None).where("keep").drop("keep", "commit") if done else None
+        return self._read("out", [done[-1]["data"]], done[-1]["schema"], ("__run",), None).where("keep").drop("keep", "commit") if done else None
 
     def run(self, upper: int | None, make: Callable[[int | None, int], DataFrame], before_commit: Callable[[], None] | None = None, parts: str = "config_hash") -> bool:
         """Process (watermark, upper] once; True if something was committed.
@@ -113,7 +112,7 @@ class CommitStore:
         if upper is None or (low is not None and upper <= low):
             return False
         number = len(done)
-        data = f"data/out-{number:08d}-{uuid.uuid4().hex[:12]}"
+        data = f"out/__run={number:08d}-{uuid.uuid4().hex[:12]}"
         out = make(low, upper).withColumn("commit", F.lit(number))
         cut = out.withColumn("__part", F.pmod(F.xxhash64(parts), F.lit(PARTS)).cast("int")).hint("rebalance", "__part")
         cut.write.option("compression", "zstd").partitionBy("__part").parquet(f"{self.path}/{data}")
