@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import bpe, docpairs, mixing, neighbours, residue, survivors
-from quarrylens.runtime import load
+from quarrylens.runtime import load, materialize
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,9 @@ def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = survivors.survivors(load(spark, sf_dir, "symbols"), fields=())
-    return best.where("several").select("config_hash", "usr", "best_id")
+    """Keys of the survivors of several ids. The surviving rows are built whole, their fields by truth discovery, and written first."""
+    whole = materialize(survivors.survivors(load(spark, sf_dir, "symbols")), "survivors")
+    return whole.where("several").select("config_hash", "usr", "best_id")
 
 
 def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,15 @@ claims with a weight drawn from its reliability; the reliability of a source is
 both are estimated in turn until the weights stand still. Each field of the survivor then takes its highest-supported
 value. Values travel as 64-bit hashes beside the id of the best row that holds them; the texts are fetched once, by id,
 for the values that won. The survivor's id follows an order that the rows state themselves (not removed, definition,
-strong, real, not a header, complete, recent), which no vote can change: it is one aggregate, without truth discovery.
+strong, real, not a header, complete, recent), which no vote can change; its fields are what the votes decide.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +23,13 @@ from quarrylens.runtime import drop_scratch, materialize
 FIELDS = ("name", "qualified_name", "kind", "signature", "docstring", "parent_usr", "link_name", "source", "file_path")
 #: The estimate ends when no weight moved by more than TOLERANCE; one that hasn't after MAX_ROUNDS is an error.
 TOLERANCE, MAX_ROUNDS = 0.01, 50
-#: Claims of patterns in one task of a round.
+#: Claims of patterns in one task of a round; so few in all are settled by one task.
 PATTERN_ROWS = 400_000
+SPACE = " \t\n\x0b\f\r"
 
 
 def has_text(col: Column) -> Column:
-    return F.coalesce(col.rlike(r"[^\s]"), F.lit(False))
+    return F.coalesce(F.ltrim(col, F.lit(SPACE)) != "", F.lit(False))  # ends at the first mark, a pattern decodes the whole text
 
 
 def same_path(col: Column) -> Column:
@@ -61,6 +66,14 @@ def truth_discovery(claims: DataFrame, tolerance: float | None = TOLERANCE, max_
     parts = -(-once.count() // PATTERN_ROWS)  # the rounds are many and small: no more tasks than the rows ask for
     table = materialize(once.join(kept, "k").repartition(max(1, min(parts, -(-kept.count() // (PATTERN_ROWS // 8)))), "k"), "pattern-claims")
     drop_scratch(once)
+    drop_scratch(kept)
+    if table.count() <= PATTERN_ROWS:
+        schema = f"src {table.schema['src'].dataType.simpleString()}, weight double, rounds int, moved double"
+        settled = materialize(table.coalesce(1).mapInPandas(_settle(tolerance, max_rounds), schema), "source-weights")
+        rounds, moved = settled.agg(F.max("rounds"), F.max("moved")).first()
+        if tolerance is not None and (moved or 0.0) > tolerance:
+            raise ValueError(f"weights still move by {moved:.3f} after {max_rounds} rounds")
+        return settled.select("src", "weight"), rounds or 1
     weights = table.select("src").distinct().withColumn("weight", F.lit(1.0))
     for rounds in range(1, max_rounds + 1):
         both = materialize(_round(table, weights).join(weights.withColumnRenamed("weight", "was"), "src"), "source-weights")
@@ -71,6 +84,35 @@ def truth_discovery(claims: DataFrame, tolerance: float | None = TOLERANCE, max_
     raise ValueError(f"weights still move by {moved:.3f} after {max_rounds} rounds")
 
 
+def _settle(tolerance: float | None, max_rounds: int):
+    """All rounds over claims that fit one task; each is that of _round."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True)
+        src, names = pd.factorize(rows["src"])
+        side = rows.groupby(["k", "v"], sort=False).ngroup().to_numpy()
+        key = np.zeros(side.max() + 1, dtype=np.int64)
+        key[side] = pd.factorize(rows["k"])[0]
+        times = rows["times"].to_numpy(dtype=np.float64)
+        told = np.bincount(src, times)
+        weight = np.ones(len(names))
+        for rounds in range(1, max_rounds + 1):
+            support = np.bincount(side, weight[src])
+            share = support / np.bincount(key, support)[key]
+            p = (np.bincount(src, share[side] * times) + 1) / (told + 2)
+            fresh = -np.log(1 - np.clip(p, 0.05, 0.95))
+            fresh /= fresh.mean()
+            moved, weight = float(np.abs(fresh - weight).max()), fresh
+            if tolerance is not None and moved <= tolerance:
+                break
+        yield pd.DataFrame({"src": names, "weight": weight, "rounds": rounds, "moved": moved})
+
+    return run
+
+
 def _round(table: DataFrame, weights: DataFrame) -> DataFrame:
     """New weights: the support that each source's claims find under the old ones, as -log of what is left to doubt; 1 on average."""
     votes = table.join(weights, "src").groupBy("k", "v").agg(F.sum("weight").alias("support"))
@@ -89,7 +131,7 @@ def survivors(rows: DataFrame, fields: tuple[str, ...] = FIELDS, tolerance: floa
     value with most weight behind it, of equal ones that of the row that ranks first; null and blank texts claim
     nothing, a field without a claim is null. Flags that are null count as not set, a null seen_at as the earliest.
     Rows with null build, usr or id are left out; a row delivered twice counts once, of rows that differ under one id the
-    smallest text holds. An empty table gives no rows. Without fields no truth discovery is run.
+    smallest text holds. An empty table gives no rows.
     """
     used = dict.fromkeys(("config_hash", "usr", "id", "removed_at", "is_definition", "is_weak", "is_tentative", "file_path", "signature",
                           "docstring", "source", "seen_at", *fields))
@@ -102,9 +144,6 @@ def survivors(rows: DataFrame, fields: tuple[str, ...] = FIELDS, tolerance: floa
         (~header).alias("t5"), full.alias("t6"), F.coalesce(F.unix_micros("seen_at"), F.lit(-(1 << 62))).alias("t7"), (-F.col("id")).alias("t8"),
     )
     keys = ["config_hash", "usr"]
-    best = [(F.min("id") < F.max("id")).alias("several"), (-F.max(trust)["t8"]).alias("best_id")]
-    if not fields:
-        return rows.groupBy(*keys).agg(*best)
 
     # one small row for each row: hashes of its values, its source, its rank
     n = range(len(fields))
@@ -135,6 +174,8 @@ def survivors(rows: DataFrame, fields: tuple[str, ...] = FIELDS, tolerance: floa
     chosen = materialize(chosen, "chosen")
     twice = hashes.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*keys, F.col("id").alias("again"))
     again = materialize(twice.groupBy(*keys).agg(F.lit(True).alias("again")), "delivered-twice")
+    for done in (hashes, groups, rivals):
+        drop_scratch(done)
     placed = chosen.join(again, keys, "left")
     texts = rows.select(*keys, "id", *[_claim(f).alias(f"x{i}") for i, f in enumerate(fields)])
     # one row that came once: its texts are the survivor's; the others are put together from several

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, docpairs, mixing, neighbours, residue, survivors
+from quarrylens.llm import bpe, docpairs, mixing, neighbours, queries, residue, survivors
 
 # --- 8
 
@@ -325,6 +325,48 @@ def test_reliable_sources_win_fields(spark):
     assert got["duel"]["docstring"] == "true" and got["duel"]["best_id"] == 901 and got["blank"]["docstring"] is None
 
 
+def test_found_reads_whole_survivors(spark, tmp_path, monkeypatch):
+    """p6_found runs the rounds of truth discovery and writes every voted row, with its fields, before it lists keys."""
+    rows = [row(f"u{n}", 10 * n + i, path=path, doc=doc) for n in range(9) for i, (path, doc) in enumerate((("good/a.c", "true"), ("mid/a.c", "true"), ("bad/a.c", f"false{n}")))]
+    rows += [row("duel", 900, path="good/a.c", doc="true"), row("duel", 901, path="bad/a.c", doc="lie", seen=5), row("one", 902), row("one", 902)]
+    spark.createDataFrame(rows, ROW).write.parquet(f"{tmp_path}/symbols.parquet")
+    settled, discover, apart = [], survivors.truth_discovery, tmp_path / "written"
+    monkeypatch.setattr(survivors, "truth_discovery", lambda *a: settled.append(discover(*a)) or settled[-1])
+    monkeypatch.setattr("quarrylens.runtime.scratch_path", lambda _, label: str(apart / f"{label}-{len(list(apart.glob('*')))}"))
+    found = {r["usr"]: r["best_id"] for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert found == {**{f"u{n}": 10 * n for n in range(9)}, "duel": 901}
+    (weights, rounds), (whole,) = settled[0], apart.glob("survivors-*")
+    weights = {r["src"]: r["weight"] for r in weights.collect()}
+    assert rounds > 1 and max(weights.values()) > 2 * min(weights.values())
+    whole = {r["usr"]: r for r in spark.read.parquet(str(whole)).collect()}
+    assert set(whole) == {*found, "one"} and set(survivors.FIELDS) <= set(whole["duel"].asDict()) and whole["duel"]["docstring"] == "true"
+
+
+def test_one_task_settles_as_rounds_of_joins_do(spark, monkeypatch):
+    draw = random.Random(6)
+    claims = [(k, v, s) for k in range(300) for s in range(7) if (v := (0 if draw.random() < 0.95 - 0.1 * s else draw.randrange(1, 4))) < 3]
+    df = spark.createDataFrame(claims, "k long, v long, src int")
+    weights, rounds = survivors.truth_discovery(df)
+    monkeypatch.setattr(survivors, "PATTERN_ROWS", 1_000)
+    assert df.count() > 1_000
+    monkeypatch.setattr(survivors, "_settle", None)  # not called
+    joined, joins = survivors.truth_discovery(df)
+    a, b = ({r["src"]: r["weight"] for r in w.collect()} for w in (weights, joined))
+    assert rounds == joins > 1 and a.keys() == b.keys() and all(abs(a[s] - b[s]) < 1e-9 for s in a)
+    with pytest.raises(ValueError, match="still move"):
+        survivors.truth_discovery(df, max_rounds=1)
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="still move"):
+        survivors.truth_discovery(df, max_rounds=1)
+
+
+def test_blank_texts_are_blank(spark):
+    texts = ["", " ", "\t\n\x0b\f\r ", " x", "\u00a0", "\u2003\n", None, "\n\n y z "]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(survivors.has_text(F.col("t"))).collect()]
+    want = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce(F.col("t").rlike(r"[^\s]"), F.lit(False))).collect()]
+    assert got == want == [False, False, False, True, True, True, False, True]
+
+
 # --- 10
 
 CASES = [
