@@ -1,8 +1,9 @@
-"""Points-to resolution of indirect calls as semi-naive fix points.
+"""Points-to resolution of indirect calls as fix points.
 
 Facts: sources (a function stored into a slot), flows (a slot copied into another), sites (a call through a slot),
 arguments (what a site passes), overrides, escapes. The inner fix point carries functions along flows; the outer one
-passes arguments into the parameters of newly found targets. A round joins only what the last round added.
+passes arguments into the parameters of newly found targets. No fact leaves its build: the facts of each come together
+once and are solved there (solve.py), into sets of functions that are only written out as rows when they are read.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.operators.callgraph import REWRITE, walk
-from quarrylens.runtime import materialize
+from quarrylens.operators.callgraph import walk
+from quarrylens.operators.solve import FACT, SOLVED, solve
+from quarrylens.runtime import materialize, ship
 
 _SITE = ("config_hash", "file", "line", "col", "ordinal")
 
@@ -24,24 +26,6 @@ def reach(flows: DataFrame, start: DataFrame) -> DataFrame:
     return walk(edges, start.select("config_hash", F.col("slot").alias("usr")), None)
 
 
-def propagate(known: DataFrame, delta: DataFrame, step: DataFrame, item: str, label: str) -> DataFrame:
-    """(config_hash, slot, item): what follows from delta along step (config_hash, slot, target), delta included, and isn't known.
-
-    known must be closed under step already, or be joined with what of step is new by the caller.
-    """
-    front = materialize(delta.distinct().join(known, ["config_hash", "slot", item], "left_anti"), f"{label}new")
-    seen, added, round_no = known.unionByName(front), front, 0
-    while not front.isEmpty():
-        round_no += 1
-        moved = front.join(step, ["config_hash", "slot"]).select("config_hash", F.col("target").alias("slot"), item).distinct()
-        front = materialize(moved.join(seen, ["config_hash", "slot", item], "left_anti"), f"{label}{round_no}")
-        seen, added = seen.unionByName(front), added.unionByName(front)
-        if round_no % REWRITE == 0:
-            added = materialize(added, f"{label}all{round_no}")
-            seen = known.unionByName(added)
-    return added
-
-
 def override_flows(overrides: DataFrame, slots: DataFrame) -> DataFrame:
     """Flows between the parameters of a base method and its override, and from the override's return value to the base's."""
     index = slots.where("slot like 'P|%'").select("config_hash", F.regexp_extract("slot", r"^P\|(.*)\|[^|]*$", 1).alias("code"), F.substring_index("slot", "|", -1).alias("i")).distinct()
@@ -76,64 +60,51 @@ def resolve_slots(
     what the slot names. An address site calls nothing. Lambdas and functions without a type are never guessed by type.
     """
     spark = sources.sparkSession
-    direct = sources.select("config_hash", "slot", "function").distinct()
-    flows = flows.select("config_hash", "source", "target").distinct()
-    sites = sites.select(*_SITE, "caller", "kind", "slot", "slot_type", "callee").where("kind <> 'address'").distinct()
+    ship(spark)
+    direct = sources.select("config_hash", "slot", "function")
+    flows = flows.select("config_hash", "source", "target")
+    sites = sites.select(*_SITE, "caller", "kind", F.coalesce("slot", F.lit("")).alias("slot"), "slot_type", "callee").where("kind <> 'address'")
     if overrides is not None:
         named = sources.select("config_hash", "slot").union(flows.select("config_hash", "source")).union(flows.select("config_hash", "target")).union(sites.select("config_hash", "slot"))
-        flows = flows.unionByName(override_flows(overrides, named)).distinct()
-    escaped = spark.createDataFrame([], "config_hash string, slot string")
+        flows = flows.unionByName(override_flows(overrides, named))
+    by_type = sources.where("function_type not in ('', 'lambda')").select("config_hash", F.col("function_type").alias("slot_type"), "function")
+    pointer_type = F.when(F.col("kind") == "pointer", F.col("slot_type"))
+    facts = [
+        direct.select("config_hash", F.lit("source").alias("fact"), F.col("slot").alias("a"), F.col("function").alias("b")),
+        flows.where("source <> target").select("config_hash", F.lit("flow").alias("fact"), F.col("source").alias("a"), F.col("target").alias("b")),
+        by_type.select("config_hash", F.lit("type").alias("fact"), F.col("slot_type").alias("a"), F.col("function").alias("b")),
+        sites.select(*_SITE, F.lit("site").alias("fact"), F.col("slot").alias("a"), pointer_type.alias("b"), F.col("callee").alias("c")),
+    ]
     if escapes is not None:
         lost = escapes
         if defined is not None:
             code = F.expr("substring(slot, instr(slot, '|') + 1)")
             lost = lost.withColumn("usr", code).join(defined.select("config_hash", "usr").withColumn("d", F.lit(True)).distinct(), ["config_hash", "usr"], "left").where("reason <> 'outside' or d is null")
-        escaped = lost.select("config_hash", "slot").distinct()
-    flows, sites = materialize(flows, "flows"), materialize(sites, "sites")
-    by_type = sources.where("function_type not in ('', 'lambda')").select("config_hash", F.col("function_type").alias("slot_type"), "function").distinct()
-    steps = lambda f: f.where("source <> target").select("config_hash", F.col("source").alias("slot"), "target")
-    empty = lambda item: spark.createDataFrame([], f"config_hash string, slot string, {item} string")
-    marked = lambda df: df.select("config_hash", "slot", F.lit("e").alias("e"))
-    targets = materialize(propagate(empty("function"), direct, steps(flows), "function", "pt0-"), "pt-targets")
-    escaped = materialize(propagate(empty("e"), marked(escaped), steps(flows), "e", "esc0-"), "pt-escaped")
-
-    def calls(t: DataFrame, e: DataFrame) -> DataFrame:
-        held = sites.where("slot <> ''").join(t, ["config_hash", "slot"]).select(*_SITE, "function")
-        fixed = sites.where("callee <> ''").select(*_SITE, F.col("callee").alias("function"))
-        sure = held.unionByName(fixed).distinct()
-        open_sites = sites.where("kind = 'pointer'").join(e.select("config_hash", "slot", F.lit(True).alias("esc")).distinct(), ["config_hash", "slot"], "left").where("esc or coalesce(slot, '') = ''")
-        guess = open_sites.join(by_type, ["config_hash", "slot_type"]).join(t, ["config_hash", "slot", "function"], "left_anti").select(*_SITE, "function")
-        return sure.withColumn("type_only", F.lit(False)).unionByName(guess.distinct().withColumn("type_only", F.lit(True)))
-
-    edges = materialize(calls(targets, escaped), "pt-edges0")
+        facts.append(lost.select("config_hash", F.lit("escape").alias("fact"), F.col("slot").alias("a")))
+    args = None
     if arguments is not None:
-        args = materialize(arguments.select(*_SITE, "arg_index", "value_kind", "value").distinct(), "args")
-        passed, i = None, 0
-        while True:
-            fresh = edges if passed is None else edges.join(passed, [*_SITE, "function", "type_only"], "left_anti")
-            fresh = materialize(fresh, f"pt-fresh{i}")
-            if fresh.isEmpty():
-                break
-            given = fresh.join(args, list(_SITE)).withColumn("param", F.concat_ws("|", F.lit("P"), "function", F.col("arg_index").cast("string")))
-            into, out_of = given.where("not type_only"), given.where("type_only")
-            new_src = into.where("value_kind = 'function'").select("config_hash", F.col("param").alias("slot"), F.col("value").alias("function")).distinct()
-            new_flow = into.where("value_kind <> 'function'").select("config_hash", F.col("value").alias("source"), F.col("param").alias("target")).distinct()
-            new_flow = materialize(new_flow.join(flows, ["config_hash", "source", "target"], "left_anti"), f"pt-flow{i}")
-            flows = materialize(flows.unionByName(new_flow), f"pt-flows{i}")
-            direct = materialize(direct.unionByName(new_src).distinct(), f"pt-direct{i}")
-            # what is new: functions passed, and what the old slots hold carried over the new flows
-            carried = lambda held, item: held.join(steps(new_flow), ["config_hash", "slot"]).select("config_hash", F.col("target").alias("slot"), item)
-            more = propagate(targets, new_src.unionByName(carried(targets, "function")), steps(flows), "function", f"pt{i + 1}-")
-            lost = propagate(escaped, marked(out_of.select("config_hash", F.col("param").alias("slot"))).unionByName(carried(escaped, "e")), steps(flows), "e", f"esc{i + 1}-")
-            targets, escaped = materialize(targets.unionByName(more), f"pt-targets{i}"), materialize(escaped.unionByName(lost), f"pt-escaped{i}")
-            passed = fresh if passed is None else materialize(passed.unionByName(fresh), f"pt-passed{i}")
-            edges = materialize(calls(targets, escaped), f"pt-edges{i + 1}")
-            i += 1
-    escaped = escaped.select("config_hash", "slot")
+        args = arguments.select(*_SITE, F.col("arg_index").cast("string").alias("arg_index"), "value_kind", "value")
+        facts.append(args.select(*_SITE, F.lit("argument").alias("fact"), F.col("arg_index").alias("a"), F.col("value_kind").alias("b"), F.col("value").alias("c")))
+    every = facts[-1]
+    for f in facts[:-1]:
+        every = every.unionByName(f, allowMissingColumns=True)
+    where = ", ".join(f"{c}: {sites.schema[c].dataType.simpleString()}" for c in _SITE[1:])
+    parts = 4 * spark.sparkContext.defaultParallelism
+    solved = every.select(*FACT, *_SITE[1:]).repartition(parts, "config_hash").sortWithinPartitions("config_hash").mapInArrow(solve, f"{SOLVED}, places array<struct<{where}>>")
+    solved = materialize(solved.repartition(parts, "config_hash", "n"), "pt-solved")
+    part = lambda name: solved.where(F.col("part") == name)
+    place = solved.select("config_hash", F.explode("places").alias("at"), "functions", (F.col("part") == "guess").alias("type_only"))
+    edges = place.select("config_hash", *(F.col(f"at.{c}").alias(c) for c in _SITE[1:]), F.explode("functions").alias("function"), "type_only")
+    targets = part("target").select("config_hash", "slot", F.explode("functions").alias("function"))
+    escaped = part("escaped").select("config_hash", "slot")
+    if args is not None:
+        given = edges.where("not type_only").join(args, list(_SITE)).withColumn("param", F.concat_ws("|", F.lit("P"), "function", "arg_index"))
+        direct = direct.unionByName(given.where("value_kind = 'function'").select("config_hash", F.col("param").alias("slot"), F.col("value").alias("function")))
+        flows = flows.unionByName(given.where("value_kind <> 'function'").select("config_hash", F.col("value").alias("source"), F.col("param").alias("target")))
     given_on = flows.where("source <> target").join(targets.withColumnRenamed("slot", "source"), ["config_hash", "source"]).select(
         "config_hash", F.col("target").alias("slot"), "function", F.col("source").alias("via"))
     via = direct.withColumn("via", F.lit("")).unionByName(given_on).distinct()
-    return Resolution(targets.distinct(), via, escaped.distinct(), edges)
+    return Resolution(targets, via, escaped, edges)
 
 
 def site_counts(sites: DataFrame) -> DataFrame:
